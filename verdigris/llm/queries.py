@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import chat, quality
+from verdigris.llm import chat, packing, quality
 from verdigris.llm.common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.quality_filter(docs, stats=True)
@@ -68,7 +78,7 @@ FROM s
 
 
 def queries() -> dict:
-    return {"op3_quality_rules": op3_quality_rules, "op9_chat_formatting": op9_chat_formatting}
+    return {"op1_packing": op1_packing, "op3_quality_rules": op3_quality_rules, "op9_chat_formatting": op9_chat_formatting}
 
 
 def oracle_sql() -> dict[str, str]:
