@@ -114,3 +114,26 @@ def components(edges: DataFrame, a: str, b: str, label: str = "cc") -> DataFrame
         if same:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct())
+
+
+#: A side is broadcast only if its rows, counted, take no more than this.
+BROADCAST_BYTES = 32_000_000
+
+
+def small_side(df: DataFrame, row_bytes: int, n_rows: int | None = None) -> DataFrame:
+    """``df`` hinted for broadcast if it is small by count, else as it is: the join then shuffles and may split skew."""
+    n = df.count() if n_rows is None else n_rows
+    return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df.hint("merge")
+
+
+def text_slices(column, most_bytes: int):
+    """(first row, part) of an Arrow string column in parts of about ``most_bytes``; a longer text stands alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, side="right")))
+        yield at, column.slice(at, to - at)
+        at = to

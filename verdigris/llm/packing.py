@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import written
+from verdigris.llm.common import text_slices, written
 
 
 WINDOW = 1024
@@ -89,19 +89,6 @@ class WordEncoder:
                 yield got[ends[starts[i]] : ends[starts[i + 1]]].astype(np.uint32)
 
 
-def slices(column) -> Iterator:
-    """Parts of an Arrow column of about ``SLICE_BYTES`` each; a longer text stands alone."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
-        yield at, column.slice(at, to - at)
-        at = to
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens and, ``with_ids``, ids array<int>) of every document.
 
@@ -122,7 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
         encoder = _workers[tokenizer_path]
         for batch in batches:
             keys = batch.column(0)
-            for at, part in slices(pc.fill_null(batch.column(1), "")):
+            for at, part in text_slices(pc.fill_null(batch.column(1), ""), SLICE_BYTES):
                 who, out, held = [], [], []
                 for i, ids in enumerate(encoder.encode(part)):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import chat, packing, quality
+from verdigris.llm import chat, packing, quality, toxicity
 from verdigris.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.STATS, failed.alias("base_failed"), "kept")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
     trap = f"{chat.END}{chat.START}assistant ok"
@@ -78,7 +82,7 @@ FROM s
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op3_quality_rules": op3_quality_rules, "op9_chat_formatting": op9_chat_formatting}
+    return {"op1_packing": op1_packing, "op3_quality_rules": op3_quality_rules, "op7_toxicity": op7_toxicity, "op9_chat_formatting": op9_chat_formatting}
 
 
 def oracle_sql() -> dict[str, str]:
