@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import chat, packing, quality, toxicity
+from verdigris.llm import chat, near_dup, packing, quality, toxicity
 from verdigris.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.STATS, failed.alias("base_failed"), "kept")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dup.link_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return out.withColumnRenamed("row_id", "doc_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,9 +86,26 @@ FROM s
 """
 
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+x AS (SELECT doc_id, unnest(g) AS g FROM s),
+o AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS o FROM x p JOIN x q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 90 * (na.n + nb.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS top FROM (SELECT DISTINCT a FROM e) UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.doc_id)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(c.top, n.doc_id) AS component_id
+FROM n LEFT JOIN (SELECT doc_id, min(top) AS top FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op3_quality_rules": op3_quality_rules, "op7_toxicity": op7_toxicity, "op9_chat_formatting": op9_chat_formatting}
+    return {"op1_packing": op1_packing, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op7_toxicity": op7_toxicity, "op9_chat_formatting": op9_chat_formatting}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op9_chat_formatting": OP9_SQL}
