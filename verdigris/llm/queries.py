@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import chat, near_dup, packing, quality, toxicity
+from verdigris.llm import chat, licenses, near_dup, packing, quality, toxicity
 from verdigris.llm.common import table
 
 
@@ -19,6 +19,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("hits", lambda h: h["exact"])
+    starts = F.transform(base, lambda h: h["start"].cast("long"))
+    labels = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))), ",")
+    return found.select(
+        F.col("row_id").alias("doc_id"), "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels("hits").alias("labels"), F.coalesce(F.array_max(F.transform("hits", lambda h: h["cover"])), F.lit(0.0)).cast("double").alias("score"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.quality_filter(docs, stats=True)
@@ -104,7 +115,7 @@ FROM n LEFT JOIN (SELECT doc_id, min(top) AS top FROM r GROUP BY doc_id) c USING
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op7_toxicity": op7_toxicity, "op9_chat_formatting": op9_chat_formatting}
+    return {"op1_packing": op1_packing, "op2_license_scans": op2_license_scans, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op7_toxicity": op7_toxicity, "op9_chat_formatting": op9_chat_formatting}
 
 
 def oracle_sql() -> dict[str, str]:
