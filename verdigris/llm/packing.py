@@ -22,7 +22,7 @@ WINDOW = 1024
 #: Pieces a rank bucket holds on average; ranks are counted in buckets, so no task ranks all pieces of a common length.
 BUCKET_PIECES = 512
 #: Words whose ids a worker remembers, and bytes of text that it takes at once.
-CACHED_WORDS, SLICE_BYTES = 700_000, 8_000_000
+CACHED_WORDS, SLICE_BYTES = 600_000, 6_000_000
 _workers: dict = {}
 
 
@@ -30,30 +30,87 @@ class WordEncoder:
     """Ids of many texts at a time, equal to the tokenizer's own.
 
     The byte-level pattern never joins a space with what stands before it, so a text without runs of spaces is the join of
-    its first word and " word" units.  Units are coded by Arrow and each distinct one is encoded once and remembered; a text
-    with two spaces in a row or a special token goes to the tokenizer whole.
+    its first word and " word" units.  Units are coded by Arrow; each distinct one is encoded once and remembered.  New
+    units are joined to one string for the merges, and cut apart again by their bytes.  Where the file's merges stand in
+    order of their ids, tiktoken runs them from the same vocabulary, else the tokenizer itself.  A text with two spaces in a
+    row or a special token goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.wide = 4 if self.tok.get_vocab_size() > 65_536 else 2
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, int] = {}
+        self._reset()
+        spec = json.loads(self.tok.to_str())
+        vocab, merges = spec["model"]["vocab"], spec["model"].get("merges", [])
+        pre = spec.get("pre_tokenizer") or {}
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        self.quick = None
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec.get("normalizer") is None and all(a < b for a, b in zip(made, made[1:])):
+            import public_tokenizers
+            import tiktoken
+
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+            chars = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+            ranks = {bytes(chars[c] for c in t): i for t, i in vocab.items() if t not in set(self.special)}
+            self.quick = tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.width = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+            self.width[list(ranks.values())] = [len(b) for b in ranks]
+
+    def _reset(self) -> None:
+        import numpy as np
 
-    def _units(self, units: list[str]) -> list[bytes]:
+        self.cache.clear()
+        self.ids, self.ends = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 15, dtype=np.int64)
+        self.n_ids = self.n_units = 0
+
+    def _room(self, array, used: int, more: int):
+        import numpy as np
+
+        return array if used + more <= len(array) else np.concatenate([array, np.zeros(max(len(array), more), dtype=array.dtype)])
+
+    def _learn(self, units: list[str]) -> None:
+        """Ids of new units, appended to ``ids`` with their ends; units begin with a space, or are the texts' first words."""
+        import numpy as np
+
+        if self.quick is None:
+            got = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+            sizes, flat = np.fromiter(map(len, got), dtype=np.int64, count=len(got)), np.array([i for g in got for i in g], dtype=np.uint32)
+        else:
+            flat = np.array(self.quick.encode_ordinary("".join(units)), dtype=np.uint32)
+            ends = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(np.fromiter((len(u.encode()) for u in units), dtype=np.int64, count=len(units))), side="left") + 1
+            sizes = np.diff(ends, prepend=0)
+        self.ids, self.ends = self._room(self.ids, self.n_ids, len(flat)), self._room(self.ends, self.n_units, len(units) + 1)
+        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+        self.ends[self.n_units + 1 : self.n_units + 1 + len(units)] = self.n_ids + np.cumsum(sizes)
+        self.cache.update(zip(units, range(self.n_units, self.n_units + len(units)), strict=True))
+        self.n_ids += len(flat)
+        self.n_units += len(units)
+
+    def _numbers(self, units: list[str]):
+        """The number of each unit in ``ends``; those not known yet are learnt."""
         import numpy as np
 
-        if len(self.cache) + len(units) > CACHED_WORDS:
-            self.cache.clear()
         cache = self.cache
         new = [u for u in units if u not in cache]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for u, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[u] = np.array(e.ids, dtype=f"<u{self.wide}").tobytes()
-        return [cache[u] for u in units]
+        if len(cache) + len(new) > CACHED_WORDS:
+            self._reset()
+            new = units
+        for kind in (True, False):
+            part = [u for u in new if (u[:1] == " ") == kind and u]
+            for i in range(0, len(part), 20_000 if kind else 1):
+                self._learn(part[i : i + (20_000 if kind else 1)])
+        if "" in new:
+            self.ends = self._room(self.ends, self.n_units, 2)
+            self.ends[self.n_units + 1] = self.n_ids
+            cache[""] = self.n_units
+            self.n_units += 1
+        return np.fromiter(map(cache.__getitem__, units), dtype=np.int64, count=len(units))
 
     def encode(self, texts) -> Iterator:
         """A numpy array of ids for each text of an Arrow string array without nulls, in order."""
@@ -68,25 +125,28 @@ class WordEncoder:
         lists = pc.split_pattern(plain, " ")
         starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        names = coded.dictionary.to_pylist()
-        if len(codes):
-            first = starts[:-1]
-            opening = [names[c] for c in codes[first]]
-            units = list(dict.fromkeys(opening))
-            at = {u: len(names) + i for i, u in enumerate(units)}
-            codes[first] = [at[u] for u in opening]
-            ids = self._units([" " + n for n in names] + units)
-            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.wide
-            flat, begin = np.frombuffer(b"".join(ids), dtype=f"<u{self.wide}"), np.concatenate([[0], np.cumsum(size)])
-            each = size[codes]
+        codes, names = coded.indices.to_numpy(zero_copy_only=False).copy(), coded.dictionary.to_pylist()
+        del lists, coded
+        opening = [names[c] for c in codes[starts[:-1]]]
+        units = list(dict.fromkeys(opening))
+        at = {u: len(names) + i for i, u in enumerate(units)}
+        codes[starts[:-1]] = [at[u] for u in opening]
+        number = self._numbers([f" {n}" for n in names] + units)
+        begin, end = self.ends[number], self.ends[number + 1]
+        size = end - begin
+        # some texts at a time, so that the positions being gathered stay few
+        step = max(1, len(texts) // 8)
+        for lo in range(0, len(texts), step):
+            hi = min(len(texts), lo + step)
+            c = codes[starts[lo] : starts[hi]]
+            each = size[c]
             ends = np.concatenate([[0], np.cumsum(each)])
-            got = flat[np.repeat(begin[codes] - ends[:-1], each) + np.arange(ends[-1])]
-        for i in range(len(texts)):
-            if odd[i]:
-                yield np.array(self.tok.encode_batch_fast([texts[i].as_py()], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            else:
-                yield got[ends[starts[i]] : ends[starts[i + 1]]].astype(np.uint32)
+            got = self.ids[np.repeat(begin[c] - ends[:-1], each) + np.arange(ends[-1])]
+            for i in range(lo, hi):
+                if odd[i]:
+                    yield np.array(self.tok.encode_batch_fast([texts[i].as_py()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                else:
+                    yield got[ends[starts[i] - starts[lo]] : ends[starts[i + 1] - starts[lo]]]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 0, with_ids: bool = False) -> DataFrame:
