@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import chat, licenses, near_dup, packing, quality, toxicity
+from verdigris.llm import chat, licenses, line_dedup, mixing, near_dup, packing, quality, toxicity
 from verdigris.llm.common import table
 
 
@@ -46,6 +46,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: What a mixture should hold: domains first, then the languages in each; sources weigh the same.
+WEIGHTS = {"domain": {"web": 0.4, "books": 0.3, "code": 0.2, "forum": 0.1}, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "source": None}
+
+
+def domain_of(source: str = "source"):
+    """Domain of a source by the number at its end, modulo four; without one, the first."""
+    n = F.coalesce(F.try_to_number(F.regexp_extract(source, r"([0-9]{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(0))
+    return F.get(F.array(*(F.lit(d) for d in WEIGHTS["domain"])), n % 4)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), domain_of(), WEIGHTS, share=0.6, max_epochs=2, seed=20)
+    return out.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
     trap = f"{chat.END}{chat.START}assistant ok"
@@ -60,6 +75,27 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM d),
+w AS (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+'))) AS w FROM e),
+l AS (SELECT doc_id, i, w, len(w) AS n FROM w WHERE len(w) > 0),
+s AS (SELECT row_number() OVER () AS s, * FROM (SELECT w, n, min((doc_id, i)) AS f FROM l GROUP BY w, n)),
+t AS (SELECT s, n, f, unnest(w) AS x FROM s WHERE n > 3),
+o AS (SELECT a.s, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o
+      FROM t a JOIN t b ON a.x = b.x AND b.f < a.f AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.s, b.s),
+g AS (SELECT DISTINCT s FROM o WHERE 100 * o >= 80 * (na + nb - o)),
+r AS (SELECT l.doc_id, list(l.i) AS gone FROM l JOIN s USING (w) WHERE (l.doc_id, l.i) <> s.f OR s.s IN (FROM g) GROUP BY l.doc_id)
+SELECT documents.doc_id, coalesce(len(gone), 0) AS n_removed,
+       CASE WHEN gone IS NULL THEN documents.text
+            ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda k: NOT list_contains(gone, k)), lambda k: ls[k]), chr(10)), '') END AS text
+FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH log AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -114,9 +150,46 @@ FROM n LEFT JOIN (SELECT doc_id, min(top) AS top FROM r GROUP BY doc_id) c USING
 """
 
 
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+         ['web', 'books', 'code', 'forum'][1 + coalesce(TRY_CAST(regexp_extract(source, '([0-9]{1,9})$', 1) AS INT), 0) % 4] AS domain FROM documents),
+lw AS (SELECT unnest(['en', 'de', 'fr', 'es']) AS lang, unnest([0.55::DOUBLE, 0.15::DOUBLE, 0.15::DOUBLE, 0.15::DOUBLE]) AS w1),
+dw AS (SELECT unnest(['web', 'books', 'code', 'forum']) AS domain, unnest([0.4::DOUBLE, 0.3::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE]) AS w0),
+t AS (SELECT floor(sum(n_tokens) * 0.6::DOUBLE)::DOUBLE AS total FROM d),
+leaf AS (SELECT *, CASE WHEN w0 > 0 AND w1 > 0 THEN (tokens * 2)::DOUBLE ELSE 0 END AS cap
+         FROM (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, coalesce(w0, 0) AS w0, coalesce(w1, 0) AS w1
+               FROM d LEFT JOIN dw USING (domain) LEFT JOIN lw USING (lang) GROUP BY domain, lang, source, w0, w1)),
+l1 AS (SELECT domain, lang, sum(cap) AS cap, w0, w1 FROM leaf GROUP BY ALL),
+l0 AS (SELECT domain, sum(cap) AS cap, w0 FROM l1 GROUP BY ALL),
+x0 AS (
+  SELECT domain, CASE WHEN b IS NULL THEN 0 ELSE least(cap, greatest(max(CASE WHEN w > 0 THEN (b - (cc - cap)) / wr END) OVER (PARTITION BY 0), 0) * w) END AS b0
+  FROM (SELECT *, sum(cap) OVER (PARTITION BY 0 ORDER BY r NULLS LAST, domain ROWS UNBOUNDED PRECEDING) AS cc,
+               sum(w) OVER (PARTITION BY 0 ORDER BY r NULLS LAST, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wr
+        FROM (SELECT *, CASE WHEN w > 0 THEN cap / w END AS r FROM (SELECT l0.*, CASE WHEN cap > 0 THEN w0 ELSE 0 END AS w, total AS b FROM l0, t)))),
+x1 AS (
+  SELECT domain, lang, CASE WHEN b0 IS NULL THEN 0 ELSE least(cap, greatest(max(CASE WHEN w > 0 THEN (b0 - (cc - cap)) / wr END) OVER (PARTITION BY domain), 0) * w) END AS b1
+  FROM (SELECT *, sum(cap) OVER (PARTITION BY domain ORDER BY r NULLS LAST, lang ROWS UNBOUNDED PRECEDING) AS cc,
+               sum(w) OVER (PARTITION BY domain ORDER BY r NULLS LAST, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wr
+        FROM (SELECT *, CASE WHEN w > 0 THEN cap / w END AS r FROM (SELECT l1.*, CASE WHEN cap > 0 THEN w1 ELSE 0 END AS w, b0 FROM l1 JOIN x0 USING (domain))))),
+x2 AS (
+  SELECT domain, lang, source, tokens, CASE WHEN b1 IS NULL THEN 0 ELSE least(cap, greatest(max(CASE WHEN w > 0 THEN (b1 - (cc - cap)) / wr END) OVER (PARTITION BY domain, lang), 0) * w) END AS b2
+  FROM (SELECT *, sum(cap) OVER (PARTITION BY domain, lang ORDER BY r NULLS LAST, source ROWS UNBOUNDED PRECEDING) AS cc,
+               sum(w) OVER (PARTITION BY domain, lang ORDER BY r NULLS LAST, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wr
+        FROM (SELECT *, CASE WHEN w > 0 THEN cap / w END AS r FROM (SELECT leaf.*, CASE WHEN cap > 0 THEN 1.0::DOUBLE ELSE 0 END AS w, b1 FROM leaf JOIN x1 USING (domain, lang))))),
+p AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN floor(b2 + 1e-6)::BIGINT // tokens ELSE CASE WHEN floor(b2 + 1e-6) > 0 THEN 1 ELSE 0 END END AS full_,
+             CASE WHEN tokens > 0 THEN floor(b2 + 1e-6)::BIGINT % tokens ELSE 0 END AS rest FROM x2),
+k AS (SELECT d.*, full_, rest, md5('20:' || full_ || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM d JOIN p USING (domain, lang, source)),
+c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto FROM k),
+m AS (SELECT *, max(CASE WHEN rest > 0 AND upto <= rest THEN key END) OVER (PARTITION BY domain, lang, source) AS cut FROM c),
+n AS (SELECT *, full_ + CASE WHEN key <= cut THEN 1 ELSE 0 END AS times FROM m)
+SELECT doc_id, domain, lang, source, n_tokens, unnest(range(times))::INT AS epoch FROM n
+"""
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_license_scans": op2_license_scans, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op7_toxicity": op7_toxicity, "op9_chat_formatting": op9_chat_formatting}
+    return {"op1_packing": op1_packing, "op2_license_scans": op2_license_scans, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_chat_formatting": op9_chat_formatting, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op8_mixing": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op10_line_dedup": OP10_SQL}
