@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import chat, licenses, line_dedup, mixing, near_dup, packing, quality, toxicity
+from verdigris.llm import chat, cover_tree, licenses, line_dedup, mixing, near_dup, packing, quality, toxicity
 from verdigris.llm.common import table
 
 
@@ -42,6 +42,25 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("row_id", "doc_id")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])
+         AND list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding]) > 0 AS ok FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE ok),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS vec_id, a AS top FROM (SELECT DISTINCT a FROM e) UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.vec_id)
+SELECT v.vec_id, coalesce(k.n, 0) AS n_links, coalesce(c.top, v.vec_id) AS component_id, coalesce(c.top, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a) k USING (vec_id)
+       LEFT JOIN (SELECT vec_id, min(top) AS top FROM r GROUP BY vec_id) c USING (vec_id)
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -188,8 +207,8 @@ SELECT doc_id, domain, lang, source, n_tokens, unnest(range(times))::INT AS epoc
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_license_scans": op2_license_scans, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_chat_formatting": op9_chat_formatting, "op10_line_dedup": op10_line_dedup}
+    return {"op1_packing": op1_packing, "op2_license_scans": op2_license_scans, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_chat_formatting": op9_chat_formatting, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op8_mixing": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op6_embedding_near_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op10_line_dedup": OP10_SQL}
