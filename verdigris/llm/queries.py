@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import chat, cover_tree, licenses, line_dedup, mixing, near_dup, packing, quality, toxicity
+from verdigris.llm import chat, cover_tree, html_text, licenses, line_dedup, mixing, near_dup, packing, quality, toxicity
 from verdigris.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("row_id", "doc_id")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -207,7 +212,7 @@ SELECT doc_id, domain, lang, source, n_tokens, unnest(range(times))::INT AS epoc
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_license_scans": op2_license_scans, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_chat_formatting": op9_chat_formatting, "op10_line_dedup": op10_line_dedup}
+    return {"op1_packing": op1_packing, "op2_license_scans": op2_license_scans, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_html_extraction": op5_html_extraction, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_chat_formatting": op9_chat_formatting, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
