@@ -67,32 +67,39 @@ def parse_cell(task: Task, cell: Column, doc: Column) -> Column:
         pieces = F.filter(F.transform(F.split(F.replace(t, F.lit("\n"), F.lit(SEPARATOR)), SEPARATOR), unquoted), lambda x: x != "")
         items = F.when(blank, none).otherwise(pieces)
         if task.type == "extract_list":
-            return result(F.to_json(items), nothing, F.transform(joined_entries(items), lambda x: F.concat(x, F.lit(" may be more than one entry"))))
-        named = F.transform(items, lambda x: N.enum(x, task.params))
-        wrong = F.filter(F.zip_with(items, named, lambda x, m: F.when(F.array_contains(known, m), nothing).otherwise(x)), lambda x: x.isNotNull())
-        return result(F.to_json(F.array_sort(F.array_distinct(named))), F.when(F.size(wrong) > 0, F.concat(F.get(wrong, F.lit(0)), F.lit(f" is not one of: {members}"))))
+            return T.let(items, lambda i: result(F.to_json(i), nothing, F.transform(joined_entries(i), lambda x: F.concat(x, F.lit(" may be more than one entry")))))
+
+        def members_of(pairs: Column) -> Column:
+            wrong = F.filter(pairs, lambda s: ~F.coalesce(F.array_contains(known, s["m"]), F.lit(False)))
+            right = F.array_sort(F.array_distinct(F.transform(pairs, lambda s: s["m"])))
+            return result(F.to_json(right), F.when(F.size(wrong) > 0, F.concat(F.get(wrong, F.lit(0))["x"], F.lit(f" is not one of: {members}"))))
+
+        return T.let(F.transform(items, lambda x: F.struct(x.alias("x"), N.enum(x, task.params).alias("m"))), members_of)
     if task.type == "multiclass":
-        m = F.when(t != "", N.enum(t, task.params))
-        return result(m, F.when(m.isNull(), blank_error).when(~F.array_contains(known, m), F.concat(t, F.lit(f" is not one of: {members}"))))
+        return T.let(F.when(t != "", N.enum(t, task.params)), lambda m: result(m, F.when(m.isNull(), blank_error).when(~F.array_contains(known, m), F.concat(t, F.lit(f" is not one of: {members}")))))
     blank = (t == "") | T.is_null_word(t, task.params.get("null_tokens"))
     error = lambda bad, what: F.when(blank, blank_error).when(bad, what)
     given = lambda c: F.when(~blank, c)
     if task.type == "binary":
-        b = N.boolean(t, task.params)
-        return result(given(b), error(~b.isin("true", "false"), F.concat(t, F.lit(" is not yes or no"))))
+        return T.let(N.boolean(t, task.params), lambda b: result(given(b), error(~b.isin("true", "false"), F.concat(t, F.lit(" is not yes or no")))))
     if task.type in ("extract_exact", "extract_fuzzy"):
         return result(given(unquoted(t)), error(F.lit(False), nothing))
     if task.type == "extract_numeric":
-        q = N.numeric(t, task.params)
         unit = task.params.get("unit")
-        other = F.when(~blank & q["unit"].isNotNull() & (q["unit"] != F.lit(unit)), F.array(F.concat(F.lit("unit "), q["unit"], F.lit(f" differs from the declared {unit}")))).otherwise(none) if unit else none
-        return result(given(F.to_json(F.struct(q["value"].alias("value"), q["unit"].alias("unit")))), error(q["value"].isNull(), F.concat(t, F.lit(" is not a number"))), other)
+
+        def number(q: Column) -> Column:
+            other = F.when(~blank & q["unit"].isNotNull() & (q["unit"] != F.lit(unit)), F.array(F.concat(F.lit("unit "), q["unit"], F.lit(f" differs from the declared {unit}")))).otherwise(none) if unit else none
+            return result(given(F.to_json(F.struct(q["value"].alias("value"), q["unit"].alias("unit")))), error(q["value"].isNull(), F.concat(t, F.lit(" is not a number"))), other)
+
+        return T.let(N.numeric(t, task.params), number)
     if task.type == "extract_date":
-        d = N.date(t, task.params)
-        return result(given(d["iso"]), error(d["iso"].isNull(), F.concat(t, F.lit(" is not a date"))))
-    at = Sp.locate(doc, t)
-    again = Sp.locate(F.substr(doc, at["stop"] + 1, F.length(doc)), t).isNotNull()
-    return result(given(F.to_json(at)), error(at.isNull(), F.lit("the passage is not in the text")), F.when(~blank & again, F.array(F.lit("the passage appears more than once; the first is used"))).otherwise(none))
+        return T.let(N.date(t, task.params), lambda d: result(given(d["iso"]), error(d["iso"].isNull(), F.concat(t, F.lit(" is not a date")))))
+
+    def place(at: Column) -> Column:
+        again = Sp.locate(F.substr(doc, at["stop"] + 1, F.length(doc)), t, folded=False).isNotNull()
+        return result(given(F.to_json(at)), error(at.isNull(), F.lit("the passage is not in the text")), F.when(~blank & again, F.array(F.lit("the passage appears more than once; the first is used"))).otherwise(none))
+
+    return T.let(Sp.locate(doc, t), place)
 
 
 def import_sheet(rows: DataFrame, plan: DataFrame, texts: DataFrame, registry: Registry, inclusion_probability: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -102,18 +109,18 @@ def import_sheet(rows: DataFrame, plan: DataFrame, texts: DataFrame, registry: R
     """
     tasks = list(registry)
     sheet = rows.select("doc_id", F.coalesce("notes", F.lit("")).alias("notes"), *(F.trim(F.coalesce(F.col(t.id), F.lit(""))).alias(t.id) for t in tasks))
-    copies = sheet.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    one = sheet.dropDuplicates(["doc_id"]).join(copies, "doc_id").join(plan.select("doc_id", "is_prefilled", F.lit(True).alias("planned")), "doc_id", "left").join(texts.select("doc_id", "text", F.lit(True).alias("there")), "doc_id", "left")
+    copies = sheet.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies"))
+    one = sheet.dropDuplicates(["doc_id"]).join(copies, "doc_id").join(plan.select("doc_id", "is_prefilled", F.lit(True).alias("_planned")), "doc_id", "left").join(texts.select("doc_id", F.col("text").alias("_text"), F.lit(True).alias("_there")), "doc_id", "left")
     reason = skip_reason(F.col("notes"))
     empty = (F.trim("notes") == "") & (F.concat(*(F.col(t.id) for t in tasks)) == "")
-    one = one.withColumn("state", F.when(F.col("planned").isNull(), "not in the sample").when(reason == "", "skipped with no reason").when(reason.isNotNull(), "skipped").when(empty, "nothing filled in yet").when(F.col("there").isNull(), "no text").otherwise("ok"))
-    cells = one.where("state = 'ok'").select("doc_id", "notes", "is_prefilled", F.struct(*(parse_cell(t, F.col(t.id), F.col("text")).alias(t.id) for t in tasks)).alias("c"))
+    one = one.withColumn("_state", F.when(F.col("_planned").isNull(), "not in the sample").when(reason == "", "skipped with no reason").when(reason.isNotNull(), "skipped").when(empty, "nothing filled in yet").when(F.col("_there").isNull(), "no text").otherwise("ok"))
+    cells = one.where("_state = 'ok'").select("doc_id", "notes", "is_prefilled", F.struct(*(parse_cell(t, F.col(t.id), F.col("_text")).alias(t.id) for t in tasks)).alias("c"))
     each = cells.select("doc_id", F.explode(F.array(*(F.struct(F.lit(t.id).alias("task_id"), F.col(f"c.{t.id}.error").alias("error"), F.col(f"c.{t.id}.warnings").alias("warnings")) for t in tasks))).alias("e")).select("doc_id", "e.*")
     missing = plan.select("doc_id").join(sheet, "doc_id", "left_anti")
     blank = F.lit(None).cast("string")
     problems = (
-        one.where("copies > 1").select("doc_id", blank.alias("task_id"), F.lit("appears in more than one row").alias("problem"))
-        .unionByName(one.where(~F.col("state").isin("ok", "skipped")).select("doc_id", blank.alias("task_id"), F.col("state").alias("problem")))
+        one.where("_copies > 1").select("doc_id", blank.alias("task_id"), F.lit("appears in more than one row").alias("problem"))
+        .unionByName(one.where(~F.col("_state").isin("ok", "skipped")).select("doc_id", blank.alias("task_id"), F.col("_state").alias("problem")))
         .unionByName(each.where("error is not null").select("doc_id", "task_id", F.col("error").alias("problem")))
         .unionByName(missing.select("doc_id", blank.alias("task_id"), F.lit("has no row").alias("problem")))
     )
