@@ -8,12 +8,14 @@ set with Jaccard similarity of ``percent``/100 or more; whether that earlier lin
    filter), have near sizes (length filter), and share enough behind the first common word (positional filter).
 3. A prefix word that many lines have does not key a group by itself but with each word that follows it in the prefix, which
    linked sets must share as well; so common words make no large groups.
-4. Groups are joined in two turns: all members with the group's first line, then the lines that this did not settle with all
-   earlier members.  Families of near copies are settled in the first turn, in one pair per member.
-5. Pairs that pass are verified on the words themselves.
-
-Rarity is counted over all lines in ``BUCKETS`` hashed counters, which is what is sent to the executors; any order is right,
-a good one is fast.  Words that few counters tell apart are ordered by length.
+4. Groups are joined with themselves where they lie; sizes, places and bitmaps of words decide there which pairs go on: bits
+   that one set has and the other lacks bound the overlap from above.  A line that can match its group's first line is paired
+   with that one alone, so families of near copies make one pair per member.
+5. Pairs are verified on the words themselves.  Lines whose first line did not hold, and that nothing else settled, are
+   paired with all earlier members of their groups and verified again.
+
+Rarity is counted over all lines in hashed counters, up to ``BUCKETS`` of them, one byte each, which is all that is sent to
+the executors.  Any order is right, a good one is fast.
 """
 
 from __future__ import annotations
@@ -25,64 +27,97 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import drop_written, free_name, small_side, written
 
-BUCKETS = 1 << 18
-#: Bits of a word's place in the order: class, length (longer first), hash.
-CLASS_BITS, LENGTH_BITS, HASH_BITS = 4, 5, 22
+#: Counters at most, and words a counter has on average before there are more of them.
+BUCKETS, BUCKET_WORDS = 1 << 20, 32
+#: A counter's class: four for each doubling of its count, from 1 on for a word said once; its bits stand before a word's hash.
+CLASSES, HASH_BITS = 100, 24
+#: A word is common, and keys groups only with another, from this count on.
+COMMON = 4096
 
 
-def words_of(line: Column) -> Column:
-    """Distinct words of a line: runs of anything but ASCII white space, as written."""
-    plain = line
+def class_of(n: Column) -> Column:
+    return F.least(F.floor(4 * F.log2(n.cast("double"))).cast("int") + 1, F.lit(CLASSES))
+
+
+COMMON_CLASS = int(4 * math.log2(COMMON)) + 1
+
+
+def word_hashes(line: Column) -> Column:
+    """Hashes of a line's distinct words: runs of anything but ASCII white space, as written."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def spaced(text: Column) -> Column:
     for c in ("\t", "\x0b", "\x0c", "\r"):
-        plain = F.replace(plain, F.lit(c), F.lit(" "))
-    return F.array_distinct(F.array_remove(F.split(plain, " "), ""))
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def words_of(line: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(spaced(line), " "), ""))
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, w) of every line with a word, from (doc_id, text)."""
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", words_of(F.col("line")).alias("w")).where(F.size("w") > 0)
-
-
-def rarity_classes(lines: DataFrame) -> list[int]:
-    """A class per counter, higher for more frequent words: 0 up to twice the mean, then by powers of two."""
-    counts = lines.select(F.explode("w").alias("x")).groupBy(F.pmod(F.xxhash64("x"), F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    mean = max(total / BUCKETS, 2.0)
-    out = [0] * BUCKETS
-    for b, n in counts.where(F.col("n") > 2 * mean).toLocalIterator():
-        out[b] = min((1 << CLASS_BITS) - 1, int(math.log2(n / mean)))
-    return out
+    """(doc_id, line_no, line) of every line of (doc_id, text)."""
+    return docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
+
 
+def rarity_table(docs: DataFrame) -> tuple[bytes, int]:
+    """A byte per counter, and the number of counters: a power of two that follows the words of the corpus.
 
-def ordered(lines: DataFrame, classes: list[int], percent: int) -> DataFrame:
-    """``lines`` as (doc_id, line_no, n, h1, h2, pre): size, hash of the set, and the first words in order, one beyond the prefix."""
-    of = F.from_json(F.lit(str(classes)), "array<tinyint>")
-    place = lambda x, h: (
-        F.shiftleft(F.get(of, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("int"), LENGTH_BITS + HASH_BITS)
-        .bitwiseOR(F.shiftleft(F.lit((1 << LENGTH_BITS) - 1) - F.least(F.length(x), F.lit((1 << LENGTH_BITS) - 1)), HASH_BITS))
-        .bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS).cast("int"))
-    )
-    o = lines.select("doc_id", "line_no", F.size("w").alias("n"), F.sort_array(F.transform("w", lambda x: place(x, F.xxhash64(x)))).alias("o"), F.sort_array(F.transform("w", lambda x: F.xxhash64(x, F.lit(1)))).alias("s"))
+    A word counts once for each time that it stands in a text; blocks of counters are put together by Spark.
+    """
+    words = docs.where("doc_id is not null").select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    fine = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    fine = written(fine, "counters")
+    total = fine.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = min(BUCKETS, 1 << max(12, math.ceil(math.log2(max(total, 1) / BUCKET_WORDS))))
+    counts = fine.groupBy((F.col("b") % size).alias("b")).agg(class_of(F.sum("n")).alias("c"))
+    every = counts.unionByName(fine.sparkSession.range(size).select(F.col("id").cast("int").alias("b"), F.lit(1).alias("c")))
+    each = every.groupBy("b").agg(F.max("c").alias("c"))
+    block = each.groupBy(F.expr("b div 4096").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "c"))), lambda s: F.char(s["c"] + 27)), "").alias("s"))
+    one = block.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]), "").cast("binary").alias("classes"))
+    out = bytes(one.first()["classes"])
+    drop_written(fine)
+    return out, size
+
+
+def ordered(docs: DataFrame, table: bytes, size: int, percent: int) -> DataFrame:
+    """Lines as (doc_id, line_no, n, h, b1, b2, pre): size, hash and bitmap of the set, and the first words in order, one beyond the prefix."""
+    classes = F.lit(table)
+    place = lambda h: F.shiftleft(F.ascii(F.substr(classes, F.pmod(h, F.lit(size)).cast("int") + 1, F.lit(1)).cast("string")) - 27, HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS).cast("int"))
+    h = all_lines(docs).select("doc_id", "line_no", word_hashes(F.col("line")).alias("h")).where(F.size("h") > 0)
+    zero, bit = F.lit(0).cast("long"), lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    low = F.aggregate("h", zero, lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == 0, acc.bitwiseOR(bit(x))).otherwise(acc))
+    high = F.aggregate("h", zero, lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == 0, acc).otherwise(acc.bitwiseOR(bit(x))))
+    o = h.select("doc_id", "line_no", F.size("h").alias("n"), low.alias("b1"), high.alias("b2"), F.sort_array(F.transform("h", place)).alias("o"))
     keep = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 2
-    return o.select("doc_id", "line_no", "n", F.xxhash64("s").alias("h1"), F.hash("s", F.lit(7)).alias("h2"), F.slice("o", 1, F.least(keep, F.col("n"))).alias("pre"))
+    return o.select("doc_id", "line_no", "n", F.xxhash64("o").alias("h"), "b1", "b2", F.slice("o", 1, F.least(keep, F.col("n"))).alias("pre"))
 
 
 def postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, line_no, n, pos) of the sets that can have a partner of their own or another size."""
-    hot = 1 << (LENGTH_BITS + HASH_BITS)
+    """(key, doc_id, line_no, n, b1, b2, pos) of the sets that can have a partner of their own or another size.
+
+    A word whose counter says that it stands once in the corpus can be shared with nobody and keys nothing.
+    """
+    common, once = COMMON_CLASS << HASH_BITS, 2 << HASH_BITS
     p = F.size("pre") - 1
-    rare = F.filter(F.transform(F.slice("pre", 1, p), lambda t, i: F.when(t < hot, F.struct(F.xxhash64(t).alias("key"), (i + 1).alias("pos")))), lambda s: s.isNotNull())
-    pairs = F.flatten(F.transform(F.slice("pre", 1, p), lambda t, i: F.when(t >= hot, F.transform(F.slice("pre", i + 2, F.size("pre")), lambda u: F.struct(F.xxhash64(t, u).alias("key"), (i + 1).alias("pos")))).otherwise(F.array().cast("array<struct<key:bigint,pos:int>>"))))
+    entry = lambda key, i: F.struct(key.alias("key"), (i + 1).alias("pos"))
+    rare = F.filter(F.transform(F.slice("pre", 1, p), lambda t, i: F.when((t >= once) & (t < common), entry(F.xxhash64(t), i))), lambda s: s.isNotNull())
+    pairs = F.flatten(F.transform(F.slice("pre", 1, p), lambda t, i: F.when(t >= common, F.transform(F.slice("pre", i + 2, F.size("pre")), lambda u: entry(F.xxhash64(t, u), i))).otherwise(F.array().cast("array<struct<key:bigint,pos:int>>"))))
+    keys = F.when(F.element_at(F.slice("pre", 1, p), -1) >= common, F.concat(rare, pairs)).otherwise(rare)
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
-    return sets.where(F.col("n") >= least).select("doc_id", "line_no", "n", F.explode(F.concat(rare, pairs)).alias("k")).select("k.key", "doc_id", "line_no", "n", "k.pos")
+    return sets.where(F.col("n") >= least).select("doc_id", "line_no", "n", "b1", "b2", F.explode(keys).alias("k")).select("k.key", "doc_id", "line_no", "n", "b1", "b2", "k.pos")
 
 
-def possible(n: str, pos: str, m: str, qos: str, percent: int) -> Column:
-    """Length and positional filter: what both have from the common word on must be enough."""
-    need = F.col(n) + F.col(m)
-    most = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(qos)) + 1
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * (most + F.least(pos, qos) - 1) >= percent * need)
+def possible(x: str, y: str, percent: int) -> Column:
+    """Length, positional and bitmap filter for sets whose columns end in ``x`` and ``y``."""
+    c = lambda name, end: F.col(f"{name}{end}")
+    n, m, i, j = c("n", x), c("n", y), c("pos", x), c("pos", y)
+    lacks = lambda p, q: F.bit_count(c("b1", p).bitwiseAND(F.bitwise_not(c("b1", q)))) + F.bit_count(c("b2", p).bitwiseAND(F.bitwise_not(c("b2", q))))
+    placed = F.least(n - i, m - j) + F.least(i, j)
+    most = F.least(placed, n - lacks(x, y), m - lacks(y, x))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
 def before(a: str, i: str, b: str, j: str) -> Column:
@@ -94,9 +129,8 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     ends = pairs.select(F.col("d1").alias("d"), F.col("l1").alias("l")).union(pairs.select("d2", "l2")).distinct()
     need = written(ends.groupBy("d").agg(F.collect_list("l").alias("ls")), "need")
     texts = docs.join(small_side(need, 80), docs["doc_id"] == need["d"])
-    texts = texts.select("d", F.split("text", "\n").alias("lines"), F.explode("ls").alias("l")).select("d", "l", words_of(F.get("lines", F.col("l"))).alias("w"))
-    # rows that share a doc_id can have other lines at that place
-    texts = written(texts.where(F.size("w") > 0).distinct(), "lines")
+    cut = F.get(F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("ls", lambda l: F.struct(l.alias("l"), F.get(lines, l).alias("line")))), F.lit(0))
+    texts = written(texts.select("d", F.explode(cut).alias("x")).select("d", "x.l", words_of(F.col("x.line")).alias("w")).where(F.size("w") > 0), "lines")
     side = lambda i: texts.select(F.col("d").alias(f"d{i}"), F.col("l").alias(f"l{i}"), F.col("w").alias(f"w{i}"))
     both = pairs.join(side(1), ["d1", "l1"]).join(side(2), ["d2", "l2"]).withColumn("both", F.size(F.array_intersect("w1", "w2")))
     same = 100 * F.col("both") >= percent * (F.size("w1") + F.size("w2") - F.col("both"))
@@ -106,33 +140,49 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _named(df: DataFrame, end: str) -> DataFrame:
+    return df.select("key", *(F.col(c).alias(f"{c}{end}") for c in ("doc_id", "line_no", "n", "b1", "b2", "pos")))
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id1").alias("d1"), F.col("line_no1").alias("l1"), F.col("doc_id2").alias("d2"), F.col("line_no2").alias("l2")).distinct()
+
+
 def later_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, gone array<int>): the lines to remove from each document of (doc_id, text); documents without any are left out."""
-    found = all_lines(docs)
-    lines = written(ordered(found, rarity_classes(found), percent), "ordered")
+    table, size = rarity_table(docs)
+    lines = written(ordered(docs, table, size, percent), "ordered")
     first = F.min(F.struct("doc_id", "line_no", "n", "pre")).alias("f")
-    sets = lines.groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("copies"))
-    own = postings(sets.select("f.*"), percent)
-    group = Window.partitionBy("key").orderBy("doc_id", "line_no")
-    met = own.withColumns({"d1": F.first("doc_id").over(group), "l1": F.first("line_no").over(group), "n1": F.first("n").over(group), "p1": F.first("pos").over(group), "more": F.lead("key").over(group).isNotNull()})
-    met = written(met.where("more or d1 <> doc_id or l1 <> line_no").drop("more"), "met")
-
-    with_first = met.where(before("d1", "l1", "doc_id", "line_no") & possible("n1", "p1", "n", "pos", percent))
-    pairs = written(with_first.select("d1", "l1", F.col("doc_id").alias("d2"), F.col("line_no").alias("l2")).distinct(), "pairs")
-    settled = verified(pairs, docs, percent)
-    rest = met.join(settled, ["doc_id", "line_no"], "left_anti").select("key", F.col("doc_id").alias("d2"), F.col("line_no").alias("l2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-    early = met.select("key", F.col("doc_id").alias("e1"), F.col("line_no").alias("f1"), F.col("n").alias("m1"), F.col("pos").alias("q1"))
-    every = rest.join(early.hint("merge"), "key").where(before("e1", "f1", "d2", "l2") & possible("m1", "q1", "n2", "p2", percent))
-    more = written(every.select(F.col("e1").alias("d1"), F.col("f1").alias("l1"), "d2", "l2").distinct().join(pairs, ["d1", "l1", "d2", "l2"], "left_anti"), "pairs")
-    near = settled.union(verified(more, docs, percent)).distinct().select(F.col("doc_id").alias("gd"), F.col("line_no").alias("gl"))
-    for t in (met, pairs, more):
-        drop_written(t)
+    sets = written(lines.groupBy("h", "b1", "b2").agg(first, F.count(F.lit(1)).alias("copies")).select("h", "b1", "b2", "copies", "f.*"), "sets")
+    own = postings(sets, percent).repartition("key")
+    earlier = before("doc_id1", "line_no1", "doc_id2", "line_no2")
+    head = F.first(F.struct("doc_id", "line_no", "n", "b1", "b2", "pos")).over(Window.partitionBy("key").orderBy("doc_id", "line_no"))
+    with_head = own.withColumn("head", head).select("key", *(F.col(f"head.{c}").alias(f"{c}1") for c in ("doc_id", "line_no", "n", "b1", "b2", "pos")), *(F.col(c).alias(f"{c}2") for c in ("doc_id", "line_no", "n", "b1", "b2", "pos")))
+    near_head = with_head.where("doc_id1 <> doc_id2 or line_no1 <> line_no2").withColumn("near", possible("1", "2", percent))
+    far = near_head.where(~F.col("near")).select("key", *(f"{c}2" for c in ("doc_id", "line_no", "n", "b1", "b2", "pos")))
+    others = far.join(_named(own, "1").hint("merge"), "key").where(earlier & possible("1", "2", percent))
+    pairs = written(_pairs(near_head.where("near")).withColumn("head", F.lit(True)).unionByName(_pairs(others).withColumn("head", F.lit(False))), "pairs")
+    settled = verified(pairs.select("d1", "l1", "d2", "l2").distinct(), docs, percent)
+    # lines that only a head stood for, in vain
+    open_ = pairs.where("head").select(F.col("d2").alias("doc_id"), F.col("l2").alias("line_no")).distinct().join(settled, ["doc_id", "line_no"], "left_anti")
+    open_ = written(open_, "open")
+    n_open = open_.count()
+    near = settled
+    if n_open:
+        late = postings(sets.join(small_side(open_, 40, n_open), ["doc_id", "line_no"], "left_semi"), percent)
+        keys = written(late.select("key").distinct(), "keys")
+        early = postings(sets, percent).join(small_side(keys, 24), "key", "left_semi")
+        again = written(_pairs(_named(late, "2").join(_named(early, "1").hint("merge"), "key").where(earlier & possible("1", "2", percent))).join(pairs.select("d1", "l1", "d2", "l2"), ["d1", "l1", "d2", "l2"], "left_anti"), "again")
+        near = settled.union(verified(again, docs, percent)).distinct()
+        drop_written(keys)
+    near = near.select(F.col("doc_id").alias("gd"), F.col("line_no").alias("gl"))
 
     # all lines of a set but its first, and that one too if an earlier line is near
-    some = sets.select("h1", "h2", F.col("f.doc_id").alias("fd"), F.col("f.line_no").alias("fl"), "copies").join(near.hint("merge"), (F.col("fd") == F.col("gd")) & (F.col("fl") == F.col("gl")), "left").where("copies > 1 or gd is not null")
-    gone = lines.select("doc_id", "line_no", "h1", "h2").join(some.hint("merge"), ["h1", "h2"]).where("gd is not null or doc_id <> fd or line_no <> fl")
+    some = sets.select("h", "b1", "b2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"), "copies").join(near.hint("merge"), (F.col("fd") == F.col("gd")) & (F.col("fl") == F.col("gl")), "left").where("copies > 1 or gd is not null")
+    gone = lines.select("doc_id", "line_no", "h", "b1", "b2").join(some.hint("merge"), ["h", "b1", "b2"]).where("gd is not null or doc_id <> fd or line_no <> fl")
     out = written(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "gone")
-    drop_written(lines)
+    for t in (pairs, open_, sets, lines):
+        drop_written(t)
     return out
 
 
