@@ -6,7 +6,7 @@ Two texts link when the Jaccard similarity of their sets of word n-grams is at l
 * Sizes fall into bands.  Within a band a linked pair differs in at most ``d`` n-grams, known from the band's sizes, so if
   n-grams are dealt by hash into more than ``d`` cells, some cell is equal on both sides.  A tile is (band, cell, hash of
   the cell's n-grams): every linked pair meets in a tile, unrelated texts hardly ever do.
-* In a tile, members meet one anchor at a time; a pair goes on only if a bitmap of its hashed n-grams allows it: bits set in
+* In a round, a text meets one anchor of its tiles; a pair goes on only if a bitmap of its hashed n-grams allows it: bits set in
   one bitmap but not in the other are n-grams missing from the other, which bounds the overlap from above.
 * What is left is settled by the exact intersection of the two sorted arrays.
 * After each round, tiles whose members are all connected are done.  Pairs of a tile across components that no anchor has
@@ -15,7 +15,7 @@ Two texts link when the Jaccard similarity of their sets of word n-grams is at l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import components, drop_written, free_name, small_side, text_slices, written
@@ -235,13 +235,17 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, row_id: str
     signed = written(signatures(rows, n, percent), "signed")
     # equal sets are one node, named by its smallest id
     sets = written(signed.where("n_shingles > 0 and row_id is not null").groupBy("set_hi", "set_lo").agg(F.min("row_id").alias("node"), F.count(F.lit(1)).alias("copies")), "sets")
-    nodes = signed.where("n_shingles > 0").join(sets.select("node", "set_hi", "set_lo"), ["set_hi", "set_lo"]).where("node = row_id").dropDuplicates(["row_id", "set_hi", "set_lo"])
-    key = F.explode("tiles").alias("tile")
-    tiles = nodes.select("row_id", key)
-    many = tiles.groupBy("tile").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high")).where("low <> high").select("tile")
-    # only tiles with two texts or more go on
-    shared = written(tiles.join(many, "tile"), "tiles")
-    sizes = nodes.select("row_id", F.col("n_shingles").alias("n"), "bits")
+    nodes = signed.where("n_shingles > 0").join(small_side(sets.select("node", "set_hi", "set_lo"), 48), ["set_hi", "set_lo"]).where("node = row_id")
+    if not signed.groupBy("row_id").count().where("count > 1").isEmpty():
+        nodes = nodes.dropDuplicates(["row_id", "set_hi", "set_lo"])
+    tiles = nodes.select("row_id", F.explode("tiles").alias("tile"))
+    # only tiles with two texts or more go on: a row stays if one beside it has its tile
+    beside = Window.partitionBy("tile").orderBy("row_id")
+    shared = written(tiles.withColumn("met", F.lag("row_id").over(beside).isNotNull() | F.lead("row_id").over(beside).isNotNull()).where("met").drop("met"), "tiles")
+    met = shared.select("row_id").distinct()
+    sizes = written(nodes.select("row_id", F.col("n_shingles").alias("n"), "bits").join(met, "row_id", "left_semi"), "sizes")
+    ids = written(signed.select("row_id", "n_shingles", "set_hi", "set_lo"), "ids")
+    drop_written(signed)
     links = None
     comps = None
     for turn in range(ROUNDS + 1):
@@ -251,7 +255,10 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, row_id: str
         open_tiles = now.groupBy("tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct((F.xxhash64("row_id", F.lit(turn)) if turn else F.col("row_id")).alias("turn"), F.col("row_id"), F.col("comp"))).alias("anchor"), F.count(F.lit(1)).alias("members")).where("c0 <> c1")
         if turn < ROUNDS:
             meet = now.join(open_tiles.select("tile", F.col("anchor.row_id").alias("other"), F.col("anchor.comp").alias("oc")), "tile").where("comp <> oc")
-            pairs = meet.select(F.least("row_id", "other").alias("a"), F.greatest("row_id", "other").alias("b")).distinct()
+            # of its tiles' anchors a text meets one, the first in this round's order
+            first = F.min(F.struct((F.xxhash64("other", F.lit(turn)) if turn else F.col("other")).alias("turn"), "other"))["other"].alias("other")
+            one = meet.groupBy("row_id").agg(first)
+            pairs = one.select(F.least("row_id", "other").alias("a"), F.greatest("row_id", "other").alias("b")).distinct()
             pairs = pairs.join(sizes.select(F.col("row_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(sizes.select(F.col("row_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
             pairs = written(_allowed(pairs, percent), "pairs")
         else:
@@ -262,12 +269,18 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, row_id: str
             break
         new = _verified(pairs, rows, n, percent)
         drop_written(pairs)
-        links = new if links is None else written(links.union(new), "links")
+        if links is not None:
+            new, old = written(links.union(new), "links"), (links, new)
+            for t in old:
+                drop_written(t)
+        links = new
         comps = components(links, "a", "b")
     # an id with several texts joins their nodes
-    named = signed.where("n_shingles > 0 and row_id is not null").join(sets, ["set_hi", "set_lo"]).select(F.col("row_id").alias("a"), F.col("node").alias("b"))
+    named = ids.where("n_shingles > 0 and row_id is not null").join(sets, ["set_hi", "set_lo"]).select(F.col("row_id").alias("a"), F.col("node").alias("b"))
     whole = components(named.where("a <> b").union(links) if links is not None else named.where("a <> b"), "a", "b", "whole")
-    out = signed.select("row_id", "n_shingles").join(whole.withColumnRenamed("node", "row_id"), "row_id", "left")
+    drop_written(shared)
+    drop_written(sizes)
+    out = ids.select("row_id", "n_shingles").join(whole.withColumnRenamed("node", "row_id"), "row_id", "left")
     return out.select("row_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "row_id")).otherwise(F.col("row_id")).alias("component_id"))
 
 
