@@ -24,7 +24,7 @@ from verdigris.llm.common import components, drop_written, free_name, small_side
 BAND = 1.25
 #: Cells beyond those that differences can spoil: this many more must be equal, so that equal empty cells don't count.
 SPARE = 2
-BITMAP_BITS = 1024
+BITMAP_BITS = 4096
 #: Rounds of anchors before blocks of tiles meet, and members of a block.
 ROUNDS, BLOCK = 3, 512
 SLICE_BYTES = 4_000_000
