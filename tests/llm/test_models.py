@@ -1,7 +1,9 @@
 """HTML extraction and toxicity: held-out quality and odd rows."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -68,3 +70,49 @@ def test_toxicity(spark):
     assert next(r for r in got if r["doc_id"] == 5002)["score"] > 0.5
     assert toxicity.scores(d.limit(0), lab).count() == 0
     assert {r["predicted"] for r in toxicity.scores(d.limit(20), lab.limit(0)).collect()} == {0}
+
+
+def plain_evidence(rows, words):
+    """Class-conditional Kneser-Ney over dictionaries of the n-grams themselves; rows are (words, toxic)."""
+    grams = lambda w, k: [(s[max(0, i - k + 1) : i + 1], s[max(0, i - k + 1) : i]) for s in (f"^{w}$",) for i in range(1, len(s))]
+    top, *rest = toxicity.ORDERS
+    n, types = [Counter(), Counter()], {}
+    for said, bad in rows:
+        for w in said:
+            for i, (g, h) in enumerate(grams(w, top)):
+                n[bad][g] += 1
+                types[g] = (h, {k: grams(w, k)[i] for k in rest})
+    whole, seen = [Counter(), Counter()], [Counter(), Counter()]
+    for c in (0, 1):
+        for g, m in n[c].items():
+            whole[c][types[g][0]] += m
+            seen[c][types[g][0]] += 1
+    ends = {k: Counter(t[1][k] for t in types.values()) for k in rest}
+    total = {k: Counter() for k in rest}
+    kinds = {k: Counter() for k in rest}
+    for k in rest:
+        for (_, h), m in ends[k].items():
+            total[k][h] += m
+            kinds[k][h] += 1
+    out = []
+    for w in words:
+        each = 0.0
+        for i, (g, h) in enumerate(grams(w, top)):
+            p = toxicity.FLOOR
+            for k in reversed(rest):
+                e = grams(w, k)[i]
+                if total[k][e[1]]:
+                    p = (max(ends[k][e] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * kinds[k][e[1]] * p) / total[k][e[1]]
+            q = [(max(n[c][g] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * seen[c][h] * p) / whole[c][h] if whole[c][h] else p for c in (0, 1)]
+            each += math.log(q[1] / q[0])
+        out.append(each)
+    return out
+
+
+def test_toxicity_counts_are_exact(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 12)))
+    rows = [([word() for _ in range(200)], i % 4 == 0) for i in range(150)]
+    model = toxicity.train(spark.createDataFrame([(" ".join(w), int(bad)) for w, bad in rows], "text string, toxic int"))
+    words = [w for said, _ in rows[:8] for w in said] + [word() for _ in range(300)]
+    assert max(abs(a - b) for a, b in zip(toxicity.evidence(model, words), plain_evidence(rows, words), strict=True)) < 1e-4

@@ -6,7 +6,8 @@ many different n-grams end in a shorter one.  A text's evidence is the differenc
 divided by their number; a small logistic fit on held-back training rows turns it into a score.
 
 Corpus counts cover all training rows, whatever their number: words are counted exactly by a shuffle, and so are the
-n-grams of the distinct words.  The model that is broadcast has ``SLOTS`` hashed counters a table, so its size is fixed.
+n-grams of the distinct words.  The model that is broadcast has one row for each n-gram and context that was counted, under
+its whole 64-bit hash, so it grows with them and no two share a counter: 16 bytes an n-gram of the first order, 24 a context.
 """
 
 from __future__ import annotations
@@ -14,11 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import small_side, text_slices, written
+from verdigris.llm.common import drop_written, small_side, text_slices, written
 
 #: Characters in a class's n-grams, then in the shared backoff counts.
 ORDERS = (6, 4, 2, 1)
-SLOTS = 1 << 20
 DISCOUNT = 0.75
 #: Probability of a character that no count knows.
 FLOOR = 1 / 200
@@ -112,33 +112,41 @@ def ngram_types(counts: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> dict:
-    """Counter tables of ``SLOTS`` each, from labelled rows (text, toxic)."""
+    """Tables (sorted hashes, counts) of n-grams and contexts, from labelled rows (text, toxic)."""
     import numpy as np
 
     types = written(ngram_types(word_counts(labelled)), "kn")
     top = ORDERS[0]
-    slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS)).cast("int").alias("slot")
-
-    def dense(df: DataFrame, columns: list[str]) -> list:
-        got = df.toArrow()
-        at = got["slot"].to_numpy()
-        out = []
-        for c in columns:
-            x = np.zeros(SLOTS, dtype=np.float32)
-            x[at] = got[c].to_numpy()
-            out.append(x)
-        return out
-
-    model = {"n": dense(types.groupBy(slot(f"g{top}")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), ["n0", "n1"])}
+
+    def gathered(df: DataFrame, key: str, columns: list[str]) -> tuple:
+        got = df.select(key, *columns).toArrow()
+        keys = got[key].to_numpy()
+        order = np.argsort(keys)
+        return keys[order], [got[c].to_numpy()[order].astype(np.float32) for c in columns]
+
+    model = {"n": gathered(types, f"g{top}", ["n0", "n1"])}
     seen = [F.sum((F.col(c) > 0).cast("long")) for c in ("n0", "n1")]
-    model["h"] = dense(types.groupBy(slot(f"h{top}")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), seen[0].alias("t0"), seen[1].alias("t1")), ["n0", "n1", "t0", "t1"])
+    model["h"] = gathered(types.groupBy(f"h{top}").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), seen[0].alias("t0"), seen[1].alias("t1")), f"h{top}", ["n0", "n1", "t0", "t1"])
     model["shared"] = {}
     for k in ORDERS[1:]:
         ends = types.groupBy(f"g{k}").agg(F.first(f"h{k}").alias(f"h{k}"), F.count(F.lit(1)).alias("n"))
-        model["shared"][k] = dense(ends.groupBy(slot(f"g{k}")).agg(F.sum("n").alias("n")), ["n"]) + dense(ends.groupBy(slot(f"h{k}")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t")), ["n", "t"])
+        model["shared"][k] = gathered(ends, f"g{k}", ["n"]), gathered(ends.groupBy(f"h{k}").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t")), f"h{k}", ["n", "t"])
+    drop_written(types)
     return model
 
 
+def looked_up(table: tuple, keys):
+    """The counts of ``keys`` in a table of :func:`train`, a row for each column; 0 for what it doesn't have."""
+    import numpy as np
+
+    known, counts = table
+    if not len(known):
+        return np.zeros((len(counts), len(keys)))
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    hit = known[at] == keys
+    return np.array([np.where(hit, c[at], 0) for c in counts], dtype=np.float64)
+
+
 def evidence(model: dict, words: list[str]):
     """Toxic minus ordinary log-likelihood of each word."""
     import numpy as np
@@ -146,19 +154,20 @@ def evidence(model: dict, words: list[str]):
     if not words:
         return np.zeros(0)
     word, grams = ngrams(words)
-    slot = {k: tuple(x % SLOTS for x in v) for k, v in grams.items()}
-    p = np.full(len(word), FLOOR)
+    # an n-gram of the first order settles the shorter ones
+    _, first, back = np.unique(grams[ORDERS[0]][0], return_index=True, return_inverse=True)
+    p = np.full(len(first), FLOOR)
     for k in reversed(ORDERS[1:]):
-        n, total, types = model["shared"][k]
-        g, h = slot[k]
-        whole = total[h].astype(np.float64)
-        p = np.where(whole > 0, (np.maximum(n[g] - DISCOUNT, 0) + DISCOUNT * types[h] * p) / np.maximum(whole, 1), p)
-    g, h = slot[ORDERS[0]]
+        g, h = (x[first] for x in grams[k])
+        (n,), (whole, types) = looked_up(model["shared"][k][0], g), looked_up(model["shared"][k][1], h)
+        p = np.where(whole > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * types * p) / np.maximum(whole, 1), p)
+    g, h = (x[first] for x in grams[ORDERS[0]])
+    n, context = looked_up(model["n"], g), looked_up(model["h"], h)
     both = []
     for c in (0, 1):
-        whole = model["h"][c][h].astype(np.float64)
-        both.append(np.where(whole > 0, (np.maximum(model["n"][c][g] - DISCOUNT, 0) + DISCOUNT * model["h"][2 + c][h] * p) / np.maximum(whole, 1), p))
-    return np.bincount(word, weights=np.log(both[1] / both[0]), minlength=len(words))
+        whole = context[c]
+        both.append(np.where(whole > 0, (np.maximum(n[c] - DISCOUNT, 0) + DISCOUNT * context[2 + c] * p) / np.maximum(whole, 1), p))
+    return np.bincount(word, weights=np.log(both[1] / both[0])[back], minlength=len(words))
 
 
 def features(model: dict, part):
