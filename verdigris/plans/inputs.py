@@ -52,7 +52,7 @@ SELECT user_id, event_type, [[b|concat(CAST(user_id AS STRING), event_type)|set]
 """
 ITEMS = r"""
 SELECT l_orderkey, l_linenumber, p_name, [[b|concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))|item]] AS b
-FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 4
+FROM lineitem JOIN part ON p_partkey = l_partkey
 """
 SPANS = r"""
 SELECT doc_id AS id, CAST(a AS INT) AS gold_start, CAST(a + 40 + doc_id % 60 AS INT) AS gold_stop,
