@@ -116,3 +116,22 @@ def test_toxicity_counts_are_exact(spark):
     model = toxicity.train(spark.createDataFrame([(" ".join(w), int(bad)) for w, bad in rows], "text string, toxic int"))
     words = [w for said, _ in rows[:8] for w in said] + [word() for _ in range(300)]
     assert max(abs(a - b) for a, b in zip(toxicity.evidence(model, words), plain_evidence(rows, words), strict=True)) < 1e-4
+
+
+def test_toxicity_counts_the_calibration_fold(spark):
+    rng = random.Random(6)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    plain = ["".join(rng.choice("aeiou" if i % 2 else "bdlmnrst") for i in range(rng.randint(2, 8))) for _ in range(300)]
+    docs = []
+    for i in range(900):
+        w = [rng.choice(plain) for _ in range(30)]
+        bad = int(i % 3 == 0)
+        if bad:
+            w[3] = w[20] = "zhqwkyx" if fold(i) == 4 and i % 4 == 0 else "skrunk"
+        docs.append((i, " ".join(w), bad))
+    tests = [i for i in range(1000, 1100) if fold(i) == 0]
+    docs += [(i, " ".join([rng.choice(plain) for _ in range(28)] + ["zhqwkyx"] * 2), None) for i in tests]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scores(df.drop("toxic"), df.select("doc_id", "toxic")).collect()}
+    assert sum(got[i] for i in tests) > 0.9 * len(tests)
+    assert sum(got[i] == b for i, _, b in docs if i < 1000 and fold(i) == 0) > 0.95 * sum(i < 1000 and fold(i) == 0 for i, _, _ in docs)

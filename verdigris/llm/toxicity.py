@@ -3,7 +3,8 @@
 A word is scored character by character.  Each class has its own counts of n-grams of ``ORDERS[0]`` characters (with the
 word's edges); what a class has not seen is smoothed by absolute discounting through counts that the classes share: how
 many different n-grams end in a shorter one.  A text's evidence is the difference of the two log-likelihoods of its words,
-divided by their number; a small logistic fit on held-back training rows turns it into a score.
+divided by their number; a small logistic fit turns it into a score.  The fit takes a bounded sample of training rows and the
+evidence of a model that hasn't counted them; the model that scores counts them too.
 
 Corpus counts cover all training rows, whatever their number: words are counted exactly by a shuffle, and so are the
 n-grams of the distinct words.  The model that is broadcast has one row for each n-gram and context that was counted, under
@@ -24,7 +25,7 @@ DISCOUNT = 0.75
 FLOOR = 1 / 200
 #: Evidence of one word, in nats, that is taken for chance.
 MARGINS = (1.0, 3.0)
-#: Labelled rows that the logistic fit takes at most; the counts take all.
+#: Labelled documents that the logistic fit takes, about, where there are more; the counts take all.
 CALIBRATION_ROWS = 20_000
 SLICE_BYTES = 8_000_000
 
@@ -206,8 +207,9 @@ def fit_logistic(x, y, ridge: float = 1.0, steps: int = 30):
 def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", folds: int = 5, held_out: int = 0, calibration_fold: int = 4, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
-    A row's fold is crc32(doc_id as text) mod ``folds``.  Labels of fold ``held_out`` are never read; those of
-    ``calibration_fold`` fit the logistic step, on at most ``calibration_rows`` rows; all others are counted.  Null and empty
+    A row's fold is crc32(doc_id as text) mod ``folds``.  Labels of fold ``held_out`` are never read; all others
+    are counted.  About ``calibration_rows`` documents of ``calibration_fold``, drawn by hash, fit the logistic step, or all if
+    there are fewer.  Null and empty
     texts have no evidence and get a score too; a null label counts as none, and a document with two as toxic if one says
     so; a null doc_id has fold crc32('') and no label; repeated rows are scored each; without labels every score is low.
     """
@@ -217,12 +219,11 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
     known = known.where(fold != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = rows.join(small_side(known, 24), "doc_id")
-    model = spark.sparkContext.broadcast(train(labelled.where(fold != calibration_fold)))
-
-    back = labelled.where(fold == calibration_fold)
     n_back = known.where(fold == calibration_fold).count()
-    if n_back > calibration_rows:
-        back = back.sample(fraction=calibration_rows / n_back, seed=11)
+    share = min(1.0, calibration_rows / max(n_back, 1))
+    drawn = (fold == calibration_fold) & (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    back = labelled.where(drawn)
+    without = spark.sparkContext.broadcast(train(labelled.where(~drawn)))
 
     def probe(batches):
         import numpy as np
@@ -231,7 +232,7 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
         for batch in batches:
             for at, part in text_slices(pc.fill_null(batch.column(0), ""), SLICE_BYTES):
-                x = features(model.value, part)
+                x = features(without.value, part)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).slice(at, len(part))], names=["x", "y"])
 
     import numpy as np
@@ -239,6 +240,8 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     got = back.select("text", F.col("toxic").cast("double").alias("y")).mapInArrow(probe, "x array<double>, y double").toArrow()
     x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(-1, 4 + len(MARGINS))
     weights = fit_logistic(x, np.array(got["y"].to_pylist(), dtype=np.float64))
+    without.destroy()
+    model = spark.sparkContext.broadcast(train(labelled))
 
     def score(batches):
         import numpy as np
