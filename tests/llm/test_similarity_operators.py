@@ -108,6 +108,16 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_one_other_word_are_no_copies(spark):
+    h = F.xxhash64("w")
+    words = spark.range(400_000).select(F.concat(F.lit("id"), "id").alias("w")).groupBy(F.shiftrightunsigned(h, 40).alias("top"), h.bitwiseAND(127).alias("low")).agg(F.collect_list("w").alias("ws")).where("size(ws) > 1")
+    pairs = [r["ws"][:2] for r in words.collect()]
+    assert len(pairs) > 5
+    rows = [(i, "\n".join(f"{p[i]} of{k}" for k, p in enumerate(pairs))) for i in (0, 1)] + [(2, f"of0 {pairs[0][0]}")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: rows[0][1], 1: rows[1][1], 2: ""}
+
+
 def test_vectors(spark, monkeypatch):
     import numpy as np
 

@@ -3,7 +3,8 @@
 A line is its set of words.  A line goes if an earlier line (smaller doc_id, then smaller line number) of any document has a
 set with Jaccard similarity of ``percent``/100 or more; whether that earlier line goes too doesn't matter.
 
-1. Lines with equal sets are one: the first of them stands for all.
+1. Lines with equal sets are one: the first of them stands for all.  Two 64-bit hashes over the sorted 64-bit hashes of all its
+   words say which set a line has.
 2. Words are put in one order over the corpus, rare ones first.  Linked sets share a word among each one's first few (prefix
    filter), have near sizes (length filter), and share enough behind the first common word (positional filter).
 3. A prefix word that many lines have does not key a group by itself but with each word that follows it in the prefix, which
@@ -83,16 +84,17 @@ def rarity_table(docs: DataFrame) -> tuple[bytes, int]:
 
 
 def ordered(docs: DataFrame, table: bytes, size: int, percent: int) -> DataFrame:
-    """Lines as (doc_id, line_no, n, h, b1, b2, pre): size, hash and bitmap of the set, and the first words in order, one beyond the prefix."""
+    """Lines as (doc_id, line_no, n, h, h2, b1, b2, pre): size, hashes and bitmap of the set, and the first words in order, one beyond the prefix."""
     classes = F.lit(table)
     place = lambda h: F.shiftleft(F.ascii(F.substr(classes, F.pmod(h, F.lit(size)).cast("int") + 1, F.lit(1)).cast("string")) - 27, HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS).cast("int"))
     h = all_lines(docs).select("doc_id", "line_no", word_hashes(F.col("line")).alias("h")).where(F.size("h") > 0)
     zero, bit = F.lit(0).cast("long"), lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     low = F.aggregate("h", zero, lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == 0, acc.bitwiseOR(bit(x))).otherwise(acc))
     high = F.aggregate("h", zero, lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == 0, acc).otherwise(acc.bitwiseOR(bit(x))))
-    o = h.select("doc_id", "line_no", F.size("h").alias("n"), low.alias("b1"), high.alias("b2"), F.sort_array(F.transform("h", place)).alias("o"))
+    every = F.sort_array("h")
+    o = h.select("doc_id", "line_no", F.size("h").alias("n"), F.xxhash64(every).alias("h1"), F.xxhash64(F.lit(1), every).alias("h2"), low.alias("b1"), high.alias("b2"), F.sort_array(F.transform("h", place)).alias("o"))
     keep = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 2
-    return o.select("doc_id", "line_no", "n", F.xxhash64("o").alias("h"), "b1", "b2", F.slice("o", 1, F.least(keep, F.col("n"))).alias("pre"))
+    return o.select("doc_id", "line_no", "n", F.col("h1").alias("h"), "h2", "b1", "b2", F.slice("o", 1, F.least(keep, F.col("n"))).alias("pre"))
 
 
 def postings(sets: DataFrame, percent: int) -> DataFrame:
@@ -152,8 +154,8 @@ def later_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, gone array<int>): the lines to remove from each document of (doc_id, text); documents without any are left out."""
     table, size = rarity_table(docs)
     lines = written(ordered(docs, table, size, percent), "ordered")
-    first = F.min(F.struct("doc_id", "line_no", "n", "pre")).alias("f")
-    sets = written(lines.groupBy("h", "b1", "b2").agg(first, F.count(F.lit(1)).alias("copies")).select("h", "b1", "b2", "copies", "f.*"), "sets")
+    first = F.min(F.struct("doc_id", "line_no", "n", "b1", "b2", "pre")).alias("f")
+    sets = written(lines.groupBy("h", "h2").agg(first, F.count(F.lit(1)).alias("copies")).select("h", "h2", "copies", "f.*"), "sets")
     own = postings(sets, percent).repartition("key")
     earlier = before("doc_id1", "line_no1", "doc_id2", "line_no2")
     head = F.first(F.struct("doc_id", "line_no", "n", "b1", "b2", "pos")).over(Window.partitionBy("key").orderBy("doc_id", "line_no"))
@@ -178,8 +180,8 @@ def later_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     near = near.select(F.col("doc_id").alias("gd"), F.col("line_no").alias("gl"))
 
     # all lines of a set but its first, and that one too if an earlier line is near
-    some = sets.select("h", "b1", "b2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"), "copies").join(near.hint("merge"), (F.col("fd") == F.col("gd")) & (F.col("fl") == F.col("gl")), "left").where("copies > 1 or gd is not null")
-    gone = lines.select("doc_id", "line_no", "h", "b1", "b2").join(some.hint("merge"), ["h", "b1", "b2"]).where("gd is not null or doc_id <> fd or line_no <> fl")
+    some = sets.select("h", "h2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"), "copies").join(near.hint("merge"), (F.col("fd") == F.col("gd")) & (F.col("fl") == F.col("gl")), "left").where("copies > 1 or gd is not null")
+    gone = lines.select("doc_id", "line_no", "h", "h2").join(some.hint("merge"), ["h", "h2"]).where("gd is not null or doc_id <> fd or line_no <> fl")
     out = written(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "gone")
     for t in (pairs, open_, sets, lines):
         drop_written(t)
