@@ -127,22 +127,25 @@ def _sets(a: Column, b: Column) -> Column:
 def list_match(g: Column, p: Column, params: dict) -> Column:
     """Items paired best first, each once, from ``theta`` on; duplicates count."""
     theta = float(params.get("theta", 1.0))
-    return _bound(as_items(g, params, "entity_name"), as_items(p, params, "entity_name"), lambda a, b: _lists(a, b, theta))
+    gold, pred = (as_items(c, params, "entity_name") for c in (g, p))
+    if theta < 1.0:
+        return _bound(gold, pred, lambda a, b, pairs: _greedy(a, b, pairs, theta), S.pair_scores(gold, pred))
+    same = lambda x, y, i, j: F.struct(F.when(x == y, -1.0).otherwise(0.0).alias("s"), i.alias("i"), j.alias("j"))
+    every = lambda a, b: F.flatten(F.transform(a, lambda x, i: F.transform(b, lambda y, j: same(x, y, i, j))))
+    return _bound(gold, pred, lambda a, b: let(every(a, b), lambda pairs: _greedy(a, b, pairs, theta)))
 
 
-def _lists(a: Column, b: Column, theta: float) -> Column:
-    score = (lambda x, y: F.when(x == y, 1.0).otherwise(0.0)) if theta >= 1.0 else S.similarity_sql
-    pairs = F.flatten(F.transform(a, lambda x, i: F.transform(b, lambda y, j: F.struct((-score(x, y)).alias("s"), i.alias("i"), j.alias("j")))))
+def _greedy(a: Column, b: Column, pairs: Column, theta: float) -> Column:
     near = F.array_sort(F.filter(pairs, lambda q: -q["s"] >= theta))
     none = F.array().cast("array<int>")
     start = F.struct(none.alias("i"), none.alias("j"))
     free = lambda acc, q: ~F.array_contains(acc["i"], q["i"]) & ~F.array_contains(acc["j"], q["j"])
     used = F.aggregate(near, start, lambda acc, q: F.when(free(acc, q), F.struct(F.concat(acc["i"], F.array(q["i"])).alias("i"), F.concat(acc["j"], F.array(q["j"])).alias("j"))).otherwise(acc))
-    return let(F.size(used["i"]), lambda n: _paired(a, b, n, score, theta))
+    return let(F.size(used["i"]), lambda n: _paired(a, b, n, pairs, theta))
 
 
-def _paired(a: Column, b: Column, n: Column, score: Callable, theta: float) -> Column:
-    best = F.transform(a, lambda x: F.coalesce(F.array_max(F.transform(b, lambda y: score(x, y))), F.lit(0.0)))
+def _paired(a: Column, b: Column, n: Column, pairs: Column, theta: float) -> Column:
+    best = F.transform(a, lambda x, i: F.coalesce(F.array_max(F.transform(F.filter(pairs, lambda q: q["i"] == i), lambda q: -q["s"])), F.lit(0.0)))
     closest = F.get(F.array_sort(F.transform(best, lambda s, i: F.struct(F.abs(s - theta).alias("d"), i.alias("i"), s.alias("s")))), F.lit(0))["s"]
     empty = (F.size(a) == 0) & (F.size(b) == 0)
     c = counts(n, F.size(b) - n, F.size(a) - n, F.when(empty, 1).otherwise(0), (n == F.size(a)) & (n == F.size(b)))

@@ -174,26 +174,37 @@ def date(c: Column, p: dict) -> Column:
 
 def _read_date(t: Column, p: dict) -> Column:
     months = F.create_map(*(x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m), F.lit(f"{i:02d}"))))
-    month = lambda pattern, g: F.try_element_at(months, F.substr(F.regexp_extract(t, pattern, g), F.lit(1), F.lit(3)))
+    month = lambda name: F.try_element_at(months, F.substr(name, F.lit(1), F.lit(3)))
+    unread = F.struct(F.lit(None).cast("string").alias("iso"), F.lit(None).cast("int").alias("parts"), t.alias("text"))
+    exactly = lambda iso, parts: T.let(iso, lambda x: F.coalesce(partial_date(x, parts), unread))
     named, yearly, year_month = r"^([a-z]{3,9})\.?\s*\s(\d{4})$", r"^(\d{4})\s+([a-z]{3,9})$", r"^(\d{4})-(\d{1,2})$"
-    number = F.regexp_extract(t, year_month, 2).try_cast("int")
+    part = lambda pattern, g: F.regexp_extract(t, pattern, g)
+    number = part(year_month, 2).try_cast("int")
+    monthly = F.when(number.between(1, 12), F.concat(part(year_month, 1), F.lit("-"), F.lpad(number.cast("string"), 2, "0")))
+    # a text goes the way of its shape, so that each is read by the patterns that it can match
+    return (
+        F.when(t.rlike(r"^\d{4}$"), partial_date(t, 1))
+        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), T.let(t.try_cast("date"), lambda d: F.coalesce(partial_date(F.date_format(d, "yyyy-MM-dd"), 3), unread)))
+        .when(t.rlike(year_month), exactly(monthly, 2))
+        .when(t.rlike(named), exactly(F.concat(part(named, 2), F.lit("-"), month(part(named, 1))), 2))
+        .when(t.rlike(yearly), exactly(F.concat(part(yearly, 1), F.lit("-"), month(part(yearly, 2))), 2))
+        .otherwise(exactly(F.date_format(_whole_date(t, p), "yyyy-MM-dd"), 3))
+    )
+
+
+def _whole_date(t: Column, p: dict) -> Column:
     slashed = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
     at = lambda g: F.lpad(F.regexp_extract(t, slashed, g), 2, "0")
-    as_date = lambda m, d: F.when(t.rlike(slashed), F.concat_ws("-", F.regexp_extract(t, slashed, 3), at(m), at(d)).try_cast("date"))
+    as_date = lambda m, d: F.concat_ws("-", F.regexp_extract(t, slashed, 3), at(m), at(d)).try_cast("date")
     # month first unless the task says otherwise; the other way round if that is no date
     numbers = F.coalesce(as_date(2, 1), as_date(1, 2)) if p.get("dayfirst") else F.coalesce(as_date(1, 2), as_date(2, 1))
     plain = F.regexp_replace(t, r"^([a-z]{3})[a-z]*\.? ", "$1 ")
     plain = F.initcap(F.regexp_replace(plain, r"^(\d{1,2}) ([a-z]{3})[a-z]*\.? ", "$1 $2 "))
-    whole = F.coalesce(numbers, *(F.to_date(F.try_to_timestamp(plain, F.lit(f))) for f in ("yyyy-M-d", "yyyy/M/d", "MMM d yyyy", "d MMM yyyy", "yyyy-M-d HH:mm:ss")), F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}t"), F.substr(t, F.lit(1), F.lit(10)).try_cast("date")))
-    found = F.coalesce(
-        partial_date(F.when(t.rlike(r"^\d{4}$"), t), 1),
-        partial_date(F.when(number.between(1, 12), F.concat(F.regexp_extract(t, year_month, 1), F.lit("-"), F.lpad(number.cast("string"), 2, "0"))), 2),
-        partial_date(F.when(t.rlike(named), F.concat(F.regexp_extract(t, named, 2), F.lit("-"), month(named, 1))), 2),
-        partial_date(F.when(t.rlike(yearly), F.concat(F.regexp_extract(t, yearly, 1), F.lit("-"), month(yearly, 2))), 2),
-        partial_date(F.date_format(whole, "yyyy-MM-dd"), 3),
-    )
-    unread = F.struct(F.lit(None).cast("string").alias("iso"), F.lit(None).cast("int").alias("parts"), t.alias("text"))
-    return F.coalesce(found, unread)
+    forms = ("yyyy-M-d", "yyyy/M/d", "MMM d yyyy", "d MMM yyyy", "yyyy-M-d HH:mm:ss")
+    spelled = T.let(plain, lambda x: F.coalesce(*(F.to_date(F.try_to_timestamp(x, F.lit(f))) for f in forms)))
+    stamp = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}t"), F.substr(t, F.lit(1), F.lit(10)).try_cast("date"))
+    # without a digit there is no whole date
+    return F.when(t.rlike(slashed), numbers).when(t.rlike(r"\d"), F.coalesce(spelled, stamp))
 
 
 @register_normalizer("span")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 
 def sorted_words(c: Column) -> Column:
@@ -43,18 +43,22 @@ def similarity(a: Column, b: Column) -> Column:
     return _similarity(sorted_words(a), sorted_words(b))
 
 
-def similarity_sql(a: Column, b: Column) -> Column:
-    """The same by built-in functions alone: one row of the table per character, for short texts inside arrays."""
-    x, y = F.split(sorted_words(a), ""), F.split(sorted_words(b), "")
-    m, n = F.length(sorted_words(a)), F.length(sorted_words(b))
-    start = F.transform(F.sequence(F.lit(0), F.length(sorted_words(b))), lambda i: F.lit(0))
+_SCORED = ArrayType(StructType([StructField("s", DoubleType()), StructField("i", IntegerType()), StructField("j", IntegerType())]))
 
-    def step(row: Column, ch: Column) -> Column:
-        line = F.aggregate(
-            F.sequence(F.lit(1), F.size(row) - 1), F.array(F.lit(0)),
-            lambda acc, j: F.concat(acc, F.array(F.when(F.get(y, j - 1) == ch, F.get(row, j - 1) + 1).otherwise(F.greatest(F.element_at(acc, -1), F.get(row, j))))),
-        )
-        return line
 
-    lcs = F.element_at(F.aggregate(x, start, step), -1)
-    return F.when(sorted_words(a) == sorted_words(b), 1.0).when((m == 0) | (n == 0), 0.0).otherwise(2.0 * lcs / (m + n))
+@F.pandas_udf(_SCORED)
+def _pair_scores(a: pd.Series, b: pd.Series) -> pd.Series:
+    def scored(xs, ys) -> list[dict]:
+        out = []
+        for i, x in enumerate(xs):
+            for j, y in enumerate(ys):
+                score = 1.0 if x == y else 2.0 * common_length(x, y) / (len(x) + len(y)) if x and y else 0.0
+                out.append({"s": -score, "i": i, "j": j})
+        return out
+
+    return pd.Series([scored([] if x is None else x, [] if y is None else y) for x, y in zip(a, b, strict=True)])
+
+
+def pair_scores(a: Column, b: Column) -> Column:
+    """ARRAY<STRUCT<s, i, j>>: minus the similarity of every item of one array with every one of the other, by Arrow batches."""
+    return _pair_scores(F.transform(a, sorted_words), F.transform(b, sorted_words))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -74,3 +74,18 @@ def span_of_quote(doc: Column, quote: Column, folded: bool = True) -> Column:
 def quoted(doc: Column, start: Column, stop: Column) -> Column:
     """The passage at a span; null for one that reaches out of the text."""
     return F.when((start >= 0) & (stop > start) & (stop <= F.length(doc)), F.substr(doc, start + 1, stop - start))
+
+
+def containing(docs: DataFrame, quotes: DataFrame, text: str = "text", quote: str = "quote") -> DataFrame:
+    """Rows of ``docs`` and ``quotes`` where the text holds the quote word for word.
+
+    A quote's inner words stand whole in a text that holds it, so quotes are joined by their longest one; quotes without an
+    inner word are held against every text.
+    """
+    words = F.split(F.col(quote), r"[\x20\x09-\x0D]+")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    keyed = quotes.withColumn("_key", F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    said = docs.withColumn("_word", F.explode(F.array_distinct(F.split(F.col(text), r"[\x20\x09-\x0D]+"))))
+    by_word = said.join(keyed.where("_key is not null"), F.col("_word") == F.col("_key")).where(F.contains(F.col(text), F.col(quote))).drop("_word", "_key")
+    short = docs.join(keyed.where("_key is null").drop("_key"), F.contains(F.col(text), F.col(quote)))
+    return by_word.unionByName(short)

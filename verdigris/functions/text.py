@@ -201,3 +201,11 @@ def render(c: Column, kind: str) -> Column:
     if kind == "extract_date":
         return F.coalesce(c["iso"], F.lit(""))
     return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def field_of(df, column: str, field: str) -> Column:
+    """A task's value from a struct or a map; null where there is no such field."""
+    kind = df.schema[column].dataType
+    if kind.typeName() == "map":
+        return F.try_element_at(F.col(column), F.lit(field))
+    return F.col(f"{column}.{field}") if field in kind.names else F.lit(None)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.operators.facts import labels_of, long_labels
-from verdigris.operators.sampling import hash_rank
+from verdigris.operators.sampling import hash_rank, numbered
 from verdigris.plans.registry import THRESHOLDED, Registry
 
 CLASS_SHIFT, NULL_RISE, LOW_CONFIDENCE = 0.15, 0.15, 0.10
@@ -91,9 +91,9 @@ def triage(outcomes: DataFrame, registry: Registry, manifest: DataFrame | None =
     n = good.select("doc_id", silent.alias("silent")).join(usual)
     out = out.unionByName(route(n.where(F.arrays_overlap("silent", "usual")), "nulls_on_answered_tasks"))
     # the least answered tenth, one at least
+    low = n.select("doc_id", F.size("silent").alias("k")).where("k > 0")
     total = good.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * LOW_CONFIDENCE)).alias("take"))
-    low = n.select("doc_id", F.size("silent").alias("k")).where("k > 0").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("k"), "doc_id")))
-    out = out.unionByName(route(low.join(F.broadcast(total)).where("rank <= take"), "low_confidence"))
+    out = out.unionByName(route(numbered(low, F.desc("k"), F.col("doc_id")).join(F.broadcast(total)).where("at < take"), "low_confidence"))
     return out.unionByName(route(good.orderBy(hash_rank(F.col("doc_id"), seed, "slice"), "doc_id").limit(spot_check), "random_slice")).distinct()
 
 
@@ -140,26 +140,45 @@ def best_run(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc("aggregate"), "run").limit(1)
 
 
+def failure_share(outcomes: DataFrame, ceiling: float = 0.0) -> DataFrame:
+    """(share, refused): the share of failed outcomes, and whether it is over the ceiling."""
+    share = outcomes.agg(F.coalesce(F.avg((~F.col("ok")).cast("int")), F.lit(0.0)).alias("share"))
+    return share.withColumn("refused", F.col("share") > ceiling)
+
+
 def failure_gate(outcomes: DataFrame, ceiling: float = 0.0) -> float:
     """The share of failed outcomes; over the ceiling the step is refused."""
-    share = outcomes.agg(F.coalesce(F.avg((~F.col("ok")).cast("int")), F.lit(0.0))).first()[0]
-    if share > ceiling:
+    share, refused = failure_share(outcomes, ceiling).first()
+    if refused:
         raise GateRefused(f"{share:.2%} of replies could not be read; at most {ceiling:.2%} may fail")
     return share
 
 
+def by_task(decisions: DataFrame) -> DataFrame:
+    """(task_id, reason, n, first_doc, docs) of what :func:`adjudicate` lists: a row per task and reason with its documents' first 50."""
+    first = decisions.groupBy("task_id", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    rank = F.row_number().over(Window.partitionBy("task_id", "reason").orderBy("doc_id"))
+    few = decisions.withColumn("at", rank).where("at <= 50").groupBy("task_id", "reason").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    return first.join(few, ["task_id", "reason"])
+
+
+def priced(entries: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
+    """``entries`` with the columns of ``prices`` for their model: by its name, else by its name without the provider in front."""
+    columns = [c for c in prices.columns if c != "model"]
+    named = lambda i: F.broadcast(prices.select(F.col("model").alias(f"_name{i}"), *(F.col(c).alias(f"_{c}{i}") for c in columns)))
+    out = entries.join(named(0), F.col(model) == F.col("_name0"), "left")
+    out = out.join(named(1), F.substring_index(F.col(model), "/", -1) == F.col("_name1"), "left")
+    return out.select(*entries.columns, *(F.coalesce(f"_{c}0", f"_{c}1").alias(c) for c in columns))
+
+
 def spend_totals(entries: DataFrame, prices: DataFrame, batch_factor: float = 0.5) -> DataFrame:
     """(model, input_tokens, output_tokens, usd, priced) from entries (model, route, input_tokens, output_tokens).
 
     A model's price (model, input_per_million, output_per_million) is found by its name, else by its name without the
     provider in front; an unpriced model has tokens and no dollars.
     """
-    p = prices.select(F.col("model").alias("name"), "input_per_million", "output_per_million")
-    bare = F.substring_index("model", "/", -1)
-    e = entries.join(F.broadcast(p), F.col("model") == F.col("name"), "left").drop("name")
-    q = p.select(F.col("name").alias("name2"), F.col("input_per_million").alias("i2"), F.col("output_per_million").alias("o2"))
-    e = e.join(F.broadcast(q), bare == F.col("name2"), "left")
-    usd = (F.col("input_tokens") * F.coalesce("input_per_million", "i2") + F.col("output_tokens") * F.coalesce("output_per_million", "o2")) / 1e6
+    e = priced(entries, prices)
+    usd = (F.col("input_tokens") * F.col("input_per_million") + F.col("output_tokens") * F.col("output_per_million")) / 1e6
     usd = usd * F.when(F.col("route") == "batch", batch_factor).otherwise(1.0)
     return e.withColumn("usd", usd).groupBy("model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("usd").alias("usd"), F.bool_and(F.col("usd").isNotNull()).alias("priced"))
 

@@ -51,6 +51,23 @@ def cell_text(c: Column, kind: str = "string") -> Column:
     return F.coalesce(F.trim(c.cast("string")), F.lit(""))
 
 
+def render_cell(kind: str, value: Column) -> Column:
+    """A stored value of a task type as the text that a person writes; nothing is an empty cell.
+
+    Numbers are STRUCT<value, unit>, spans the quoted passage, lists and sets arrays.
+    """
+    if kind == "binary":
+        text = F.when(F.lower(value.cast("string")) == "true", "yes").when(F.lower(value.cast("string")) == "false", "no")
+    elif kind in ("multilabel", "extract_list"):
+        text = F.array_join(value, f"{SEPARATOR} ")
+    elif kind == "extract_numeric":
+        number = F.when(value["value"] == F.floor(value["value"]), F.floor(value["value"]).cast("string")).otherwise(value["value"].cast("string"))
+        text = F.concat_ws(" ", number, value["unit"])
+    else:
+        text = value.cast("string")
+    return F.coalesce(text, F.lit(""))
+
+
 def parse_cell(task: Task, cell: Column, doc: Column) -> Column:
     """STRUCT<value STRING, error STRING, warnings ARRAY<STRING>>: a cell as a stored label; lists and structs as JSON."""
     t = F.trim(F.coalesce(cell, F.lit("")))
@@ -141,3 +158,21 @@ def schema_problems(labels: DataFrame, registry: Registry) -> DataFrame:
         v = F.try_element_at("labels", F.lit(t.id))
         out = out.unionByName(labels.where(v.isNotNull() & ~v.isin(*t.enum)).select("doc_id", F.lit(t.id).alias("task_id"), F.concat(F.lit("not in the enum: "), v).alias("problem")))
     return out
+
+
+def sheet_frame(plan: DataFrame, values: DataFrame | None, registry: Registry, texts: DataFrame | None = None) -> DataFrame:
+    """(file_name, notes, a text column per task) to fill in, by document: blind rows are empty, the others hold ``values``.
+
+    ``plan`` has doc_id and is_prefilled, ``values`` doc_id and a struct ``values`` with a field per task.
+    """
+    rows = plan if values is None else plan.join(values.select("doc_id", "values"), "doc_id", "left")
+    cells = []
+    for t in registry:
+        given = F.lit("") if values is None else render_cell(t.type, F.col(f"values.{t.id}"))
+        cells.append(F.when(F.col("is_prefilled"), given).otherwise("").alias(t.id))
+    return rows.select(F.col("doc_id").alias("file_name"), F.lit("").alias("notes"), *cells).orderBy("file_name")
+
+
+def write_sheet(sheet: DataFrame, path: str) -> None:
+    """The sheet as one CSV file with a header, for a person to open: a sample, so one task writes it."""
+    sheet.coalesce(1).sortWithinPartitions("file_name").write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)

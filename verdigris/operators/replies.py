@@ -50,13 +50,9 @@ def merge_groups(replies: DataFrame, n_groups: int) -> DataFrame:
 
 def batches(pending: DataFrame, size: int = 10_000, key: str = "doc_id") -> DataFrame:
     """Pending requests with a batch number, ``size`` a batch, in order of key; numbers come from counts per range, not from one task."""
-    from pyspark.sql import Window
+    from verdigris.operators.sampling import numbered
 
-    parts = pending.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("before"))
-    ranked = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1).join(F.broadcast(before), "_part")
-    return ranked.withColumn("batch", F.floor((F.col("before") + F.col("_at")) / size).cast("int")).drop("_part", "_at", "before")
+    return numbered(pending, F.col(key)).withColumn("batch", F.floor(F.col("at") / size).cast("int")).drop("at")
 
 
 def feedback(facts: DataFrame, texts: DataFrame, tasks: int = 5, around: int = 200) -> DataFrame:

@@ -24,6 +24,19 @@ def hash_rank(key: Column, seed: int, purpose: str) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(purpose)))
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``at``, their place from 0 in an order: ranges are sorted apart and shifted by the sizes of those before.
+
+    The number of ranges is fixed, so that it does not change between counting and numbering.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    inner = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    return inner.join(F.broadcast(before), "_part").withColumn("at", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+
+
 def draw_sample(docs: DataFrame, n: int, holdout_share: float, seed: int, key: str = "doc_id") -> DataFrame:
     """(key, is_holdout): ``n`` documents without replacement, the corpus at most; a share of them, one at least, held out.
 
@@ -102,27 +115,32 @@ def assign_splits(strata: DataFrame, ratios: tuple[float, float, float], seed: i
 def repaired(splits: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """Splits where no class is in the holdout alone: the smallest such class gives its first carrier to train, until there is none.
 
-    Only carriers of orphan classes are looked at on the driver.
+    A class's first carrier is all that a round brings to the driver; as many rounds as there are orphan classes at most.
     """
-    moved: list[str] = []
+    spark = splits.sparkSession
     where = labels.join(splits.select(F.col(key).alias("doc_id"), "split"), "doc_id")
     tally = where.groupBy("task_id", "label").agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "holdout").alias("hold"))
     orphans = tally.where("train = 0 and hold > 0").select("task_id", "label")
-    rows = where.where(F.col("split") == "holdout").join(F.broadcast(orphans), ["task_id", "label"]).select("task_id", "label", "doc_id").collect()
-    carriers: dict[tuple[str, str], set[str]] = {}
-    for r in rows:
-        carriers.setdefault((r["task_id"], r["label"]), set()).add(r["doc_id"])
-    while carriers:
-        name = min(carriers, key=lambda k: (len(carriers[k]), k))
-        doc = min(carriers[name])
+    carriers = where.where(F.col("split") == "holdout").join(F.broadcast(orphans), ["task_id", "label"]).select("task_id", "label", "doc_id").distinct()
+    per = {(r["task_id"], r["label"]): (r["n"], r["doc"]) for r in carriers.groupBy("task_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc")).collect()}
+    moved: list[str] = []
+    while per:
+        name = min(per, key=lambda k: (per[k][0], k))
+        doc = per.pop(name)[1]
         moved.append(doc)
-        carriers = {k: v for k, v in carriers.items() if doc not in v}
-    return splits.withColumn("split", F.when(F.col(key).isin(moved), "train").otherwise(F.col("split"))) if moved else splits
+        for r in carriers.where(F.col("doc_id") == doc).collect():
+            per.pop((r["task_id"], r["label"]), None)
+    if not moved:
+        return splits
+    gives = F.broadcast(spark.createDataFrame([(m,) for m in moved], "_moved string"))
+    out = splits.join(gives, F.col(key).cast("string") == F.col("_moved"), "left")
+    return out.withColumn("split", F.when(F.col("_moved").isNotNull(), "train").otherwise(F.col("split"))).drop("_moved")
 
 
 def with_folds(splits: DataFrame, seed: int = SPLIT_SEED, folds: int = CV_FOLDS, key: str = "doc_id") -> DataFrame:
     """Splits with ``fold`` for rows outside the holdout; the last fold validates."""
-    pool = splits.where(F.col("split") != "holdout").select(key, ((F.row_number().over(Window.orderBy(hash_rank(F.col(key), seed, "fold"), key)) - 1) % folds).alias("fold"))
+    free = splits.where(F.col("split") != "holdout").select(key)
+    pool = numbered(free, hash_rank(F.col(key), seed, "fold"), F.col(key)).select(key, (F.col("at") % folds).alias("fold"))
     out = splits.join(pool, key, "left")
     return out.withColumn("split", F.when(F.col("fold") == folds - 1, "val").when(F.col("fold").isNotNull(), "train").otherwise(F.col("split")))
 
@@ -200,11 +218,13 @@ def build_examples(labels: DataFrame, texts: DataFrame, key: str = "doc_id") ->
     return out.withColumn("text", F.when(F.col("_there"), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("no text for "), F.col(key).cast("string"))))).drop("_there")
 
 
-def class_coverage_order(labels: DataFrame, docs: DataFrame, registry: Registry, seed: int = 0, key: str = "doc_id") -> list[str]:
-    """Ids with a carrier of every class in front, as few as that takes in order of the classes; then the rest by hash.
+def class_coverage_order(labels: DataFrame, docs: DataFrame, registry: Registry, seed: int = 0, key: str = "doc_id") -> DataFrame:
+    """(key, front, place): documents in order of ``front`` and ``place``, carriers of every class first, as few as that takes in
+    order of the classes; then the rest by hash.
 
-    A carrier per class is what reaches the driver, and the ids of an optimization pool.
+    A carrier per class is what reaches the driver; places of the rest are hashes, to be sorted by.
     """
+    spark = labels.sparkSession
     rank = Window.partitionBy("task_id", "label").orderBy(hash_rank(F.col("doc_id"), seed, "cover"), "doc_id")
     first = labels.withColumn("r", F.row_number().over(rank)).where("r = 1")
     carried = {(r["task_id"], r["label"]): r["doc_id"] for r in first.collect()}
@@ -217,6 +237,34 @@ def class_coverage_order(labels: DataFrame, docs: DataFrame, registry: Registry,
             if (doc := carried.get((t.id, label))) and (t.id, label) not in done:
                 front.append(doc)
                 done |= classes[doc]
-    rest = [r[key] for r in docs.select(F.col(key).cast("string").alias(key)).orderBy(hash_rank(F.col(key), seed, "order"), key).collect()]
-    taken = set(front)
-    return front + [d for d in rest if d not in taken]
+    head = F.broadcast(spark.createDataFrame([(d, f"{i:08d}") for i, d in enumerate(front)], "_head string, _at string"))
+    ids = docs.select(F.col(key).cast("string").alias(key)).distinct()
+    out = ids.join(head, F.col(key) == F.col("_head"), "left")
+    return out.select(key, F.col("_head").isNotNull().alias("front"), F.coalesce("_at", hash_rank(F.col(key), seed, "order")).alias("place"))
+
+
+def demo_class_coverage(labels: DataFrame, demos: DataFrame, registry: Registry) -> DataFrame:
+    """(task_id, label, n_demos, shown): how many demonstrations (doc_id) carry each declared class of labels (doc_id, task_id, label)."""
+    seen = labels.join(F.broadcast(demos.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("task_id", "label").agg(F.count_distinct("doc_id").alias("n"))
+    out = registry.labels_frame(labels.sparkSession).join(seen, ["task_id", "label"], "left").withColumn("n_demos", F.coalesce("n", F.lit(0)))
+    return out.select("task_id", "label", "n_demos", (F.col("n_demos") > 0).alias("shown"))
+
+
+def coverage_notes(coverage: DataFrame) -> list[str]:
+    """A line for each class that no demonstration shows."""
+    return [f"{r['task_id']}: no demonstration shows {r['label']}" for r in coverage.where("not shown").orderBy("task_id", "label").collect()]
+
+
+def support_decision(folder: str, task_id: str, label: str, choice: str, reason: str = "") -> dict:
+    """Records what was decided about a rare class, beside the project's other decisions; a merge or a report needs no reason."""
+    import json
+    from pathlib import Path
+
+    if choice not in ("label", "enrich", "merge", "report"):
+        raise ValueError("a rare class is labelled more, enriched, merged or reported")
+    entry = {"task_id": task_id, "label": label, "choice": choice, "reason": reason}
+    path = Path(folder) / "support_decisions.json"
+    kept = json.loads(path.read_text(encoding="utf-8")) if path.exists() else []
+    kept = [k for k in kept if (k["task_id"], k["label"]) != (task_id, label)] + [entry]
+    path.write_text(json.dumps(kept, indent=1), encoding="utf-8")
+    return entry

@@ -189,9 +189,8 @@ SELECT user_id, len(list_intersect(g, p)) AS tp, len(p) - len(list_intersect(g,
 @query(SETS)
 def match_set(spark: SparkSession, d: str) -> DataFrame:
     e = I.frame(spark, d, I.EVENTS)
-    members = [r[0] for r in e.select("event_type").distinct().collect()]
     s = e.groupBy("user_id").agg(F.collect_set(F.when(F.col("b") < 70, F.col("event_type"))).alias("g"), F.collect_set(F.when((F.col("b") < 55) | (F.col("b") >= 85), F.col("event_type"))).alias("p"))
-    return s.select("user_id", M.set_match(F.col("g"), F.col("p"), {"enum": members}).alias("o")).select("user_id", *(f"o.{c}" for c in COUNTS))
+    return s.select("user_id", M.set_match(F.col("g"), F.col("p"), {"normalizer": "free_string"}).alias("o")).select("user_id", *(f"o.{c}" for c in COUNTS))
 
 
 LISTS = f"""
@@ -332,11 +331,11 @@ def wilson_ci(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, quality FROM labels), n AS (SELECT count(*) AS n FROM v),
-g AS (SELECT r, CAST(concat('0x', substr(md5(concat('7:', r, ':', k)), 1, 8)) AS BIGINT) % n AS i FROM (SELECT unnest(range(200)) AS r), n, LATERAL (SELECT unnest(range(n)) AS k)),
+g AS (SELECT r, CAST(concat('0x', substr(md5(concat('7:', r, ':', k)), 1, 8)) AS BIGINT) % n AS i FROM (SELECT unnest(range(2000)) AS r), n, LATERAL (SELECT unnest(range(n)) AS k)),
 m AS (SELECT r, avg(quality) AS m FROM g JOIN v USING (i) GROUP BY r)
 SELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, any_value(n) AS n FROM m, n""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    out = St.bootstrap_interval(table(spark, d, "labels"), "quality", "doc_id", 200, 7)
+    out = St.bootstrap_interval(table(spark, d, "labels"), "quality", "doc_id", 2000, 7)
     return out.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "n")
 
 
@@ -489,9 +488,9 @@ def spend_totals(spark: SparkSession, d: str) -> DataFrame:
     return G.spend_totals(e, prices).withColumn("usd", F.round("usd", 8))
 
 
-@query("SELECT source AS task_id, max(value) AS best FROM (SELECT source, lang, avg((n_chars > 5000)::INT) AS value FROM documents GROUP BY ALL) GROUP BY source HAVING max(value) <= 0.05")
+@query("SELECT source AS task_id, max(value) AS best FROM (SELECT source, lang, avg((n_chars % 40 = 0)::INT) AS value FROM documents GROUP BY ALL) GROUP BY source HAVING max(value) <= 0.05")
 def upstream_problems(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "documents").groupBy(F.col("source").alias("task_id"), F.col("lang").alias("run")).agg(F.avg((F.col("n_chars") > 5000).cast("int")).alias("value"))
+    runs = table(spark, d, "documents").groupBy(F.col("source").alias("task_id"), F.col("lang").alias("run")).agg(F.avg((F.col("n_chars") % 40 == 0).cast("int")).alias("value"))
     return G.upstream_problems(runs)
 
 
@@ -509,7 +508,7 @@ def pending_documents(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, item_id, CAST(strpos(documents.text, benchmark.text) - 1 AS INT) AS start, CAST(strpos(documents.text, benchmark.text) - 1 + length(benchmark.text) AS INT) AS stop FROM documents JOIN benchmark ON strpos(documents.text, benchmark.text) > 0")
 def locate_quote(spark: SparkSession, d: str) -> DataFrame:
     quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(quotes), F.contains("text", "quote"))
+    docs = Sp.containing(table(spark, d, "documents").select("doc_id", "text"), quotes)
     at = Sp.locate(F.col("text"), F.col("quote"), folded=False)
     return docs.select("doc_id", "item_id", at.alias("at")).select("doc_id", "item_id", "at.start", "at.stop")
 

@@ -120,3 +120,51 @@ def legacy_manifest(rows: DataFrame) -> DataFrame:
     if "unread_pages" not in rows.columns:
         out = out.withColumn("unread_pages", F.when(F.lower(F.col("ocr_needed").cast("string")) == "true", F.col("page_count").cast("int")).otherwise(0) if "ocr_needed" in rows.columns else F.lit(0))
     return out.drop("ocr", "ocr_needed")
+
+
+def texts_of(ids: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, text) of the ids; an id without a text is an error when it is read."""
+    found = ids.select(key).join(texts.select(key, "text", F.lit(True).alias("_there")), key, "left")
+    missing = F.raise_error(F.concat(F.lit("no text for "), F.col(key).cast("string")))
+    return found.withColumn("text", F.when(F.col("_there"), F.col("text")).otherwise(missing)).drop("_there")
+
+
+def missing_texts(ids: DataFrame, texts: DataFrame, key: str = "doc_id") -> list[str]:
+    """Ids without a text, in order: what a message lists."""
+    return [str(r[0]) for r in ids.select(key).distinct().join(texts.select(key), key, "left_anti").orderBy(key).collect()]
+
+
+def extract_corpus(spark: SparkSession, folder: str, out: str, extractor: str = "plain", fallback: str | None = None, suffix: str = "pdf", transcripts: DataFrame | None = None, limit: int | None = None, head_share: float = 0.7) -> DataFrame:
+    """Texts under ``out/texts`` and manifest rows under ``out/manifest`` for the files that ``out`` does not have yet.
+
+    Run again, it goes on where it stood; with ``transcripts`` documents with unread pages are read again.  Returns the
+    manifest, one row for each document; files and manifest that don't add up are an error.
+    """
+    from verdigris.sources.io import read_manifest
+
+    def there(path: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    files = list_files(spark, folder, suffix)
+    old = read_manifest(spark, f"{out}/manifest") if there(f"{out}/manifest") else None
+    todo = pending_documents(files, old, retry_unread=transcripts is not None)
+    names = files.select("doc_id", F.substring_index("path", "/", -1).alias("file_name"))
+    rows = document_texts(read_pages(todo, extractor, fallback), transcripts, limit, head_share)
+    rows.select("doc_id", "text", "page_count", "extractor", "thin_pages", "transcribed_pages", "unread_pages", "truncated", "original_chars", "error", "n_chars").write.mode("append").parquet(f"{out}/texts")
+    kept = spark.read.parquet(f"{out}/texts")
+    new = kept if old is None else kept.join(todo.select("doc_id"), "doc_id", "left_semi")
+    manifest = new.join(names, "doc_id").withColumns({"limit": F.lit("" if limit is None else str(limit)), "head_share": F.lit(head_share)})
+    manifest.select(*MANIFEST).write.mode("append").option("header", True).csv(f"{out}/manifest")
+    done = read_manifest(spark, f"{out}/manifest")
+    if lost := [r[0] for r in files.join(done, "doc_id", "left_anti").select("doc_id").limit(5).collect()]:
+        raise BadCorpus(f"files without a manifest row: {lost}")
+    return done
+
+
+def load_texts(spark: SparkSession, out: str, ids: DataFrame) -> DataFrame:
+    """Texts that :func:`extract_corpus` stored, for the ids; missing ones are an error that lists them."""
+    stored = spark.read.parquet(f"{out}/texts").groupBy("doc_id").agg(F.max_by("text", "transcribed_pages").alias("text"))
+    if lost := missing_texts(ids, stored):
+        raise BadCorpus(f"{len(lost)} ids have no text: {lost[:50]}")
+    return texts_of(ids, stored)

@@ -13,6 +13,10 @@ SPEND = "at string, label string, model string, route string, input_tokens bigin
 LEDGER = ("date", "project", "version", "n_documents", "n_tasks", "k_labeled", "baseline_holdout", "compiled_holdout", "labeling_hours", "cost_usd", "notes")
 
 
+#: Problems that a message names.
+SHOWN = 50
+
+
 class BadData(ValueError):
     """Stored rows that can't be used; the message lists what is wrong."""
 
@@ -23,16 +27,21 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def load_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label records; broken lines, missing or repeated ids, missing labels and an empty file are errors, all named at once."""
-    rows = read_json(spark, path, LABELS).cache()
+    """Label records; broken lines, missing or repeated ids, missing labels and an empty file are errors.
+
+    Problems are found in one go over all records; a message names the first :data:`SHOWN` and says how many more there are.
+    """
+    rows = read_json(spark, path, LABELS)
     wrong = rows.select(F.when(F.col("_bad").isNotNull(), F.concat(F.lit("no JSON: "), F.substring("_bad", 1, 60))).when(F.col("doc_id").isNull(), "a record has no doc_id").when(F.col("labels").isNull(), F.concat("doc_id", F.lit(" has no labels"))).alias("p")).where("p is not null")
     twice = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.concat("doc_id", F.lit(" repeats")).alias("p"))
-    problems = [r["p"] for r in wrong.union(twice).limit(50).collect()]
+    found = wrong.union(twice)
+    problems = sorted(r["p"] for r in found.orderBy("p").limit(SHOWN).collect())
+    if len(problems) == SHOWN and (more := found.count() - SHOWN):
+        problems.append(f"and {more} more")
     if not problems and rows.isEmpty():
         problems = ["the file has no records"]
-    rows.unpersist()
     if problems:
-        raise BadData("; ".join(sorted(problems)))
+        raise BadData("; ".join(problems))
     return rows.drop("_bad").withColumn("inclusion_probability", F.coalesce("inclusion_probability", F.lit(1.0)))
 
 
@@ -70,13 +79,18 @@ def read_sheet(spark: SparkSession, path: str, registry: Registry) -> DataFrame:
     return raw.select(doc_id_of(F.col(f"`{names[key]}`")).alias("doc_id"), F.coalesce(notes, F.lit("")).alias("notes"), *(F.coalesce(F.col(f"`{names[t.id]}`"), F.lit("")).alias(t.id) for t in registry)).where("coalesce(doc_id, '') <> ''")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest's rows, the last of each id."""
-    from pyspark.sql import Window
+def last_rows(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """Of each key the row with the largest ``at``."""
+    others = [c for c in rows.columns if c != key]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(at)).alias("_last"))
+    return best.select(key, "_last.*").select(*rows.columns)
+
 
-    rows = spark.read.option("header", True).csv(path).withColumn("_at", F.monotonically_increasing_id())
-    last = Window.partitionBy("doc_id").orderBy(F.desc("_at"))
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_at")
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A manifest's rows, of each id the one that was written last: by the file's time, then by the place in the file."""
+    rows = spark.read.option("header", True).csv(path)
+    placed = rows.withColumn("_at", F.struct(F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("n")))
+    return last_rows(placed, "doc_id", "_at").drop("_at")
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:

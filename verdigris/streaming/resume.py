@@ -8,7 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OUTCOME = "doc_id string, ok boolean, values map<string,string>, error string, attempts int"
+#: ``at`` is when an outcome was made, in seconds.
+OUTCOME = "doc_id string, ok boolean, values map<string,string>, error string, attempts int, at double"
 #: A predictor maps a batch of (doc_id, text) to a values dict each; an exception in a dict's place is a failure.
 Predictor = Callable[[list[tuple[str, str]], int], list[Any]]
 
@@ -19,9 +20,20 @@ def pending(docs: DataFrame, outcomes: DataFrame | None, key: str = "doc_id") ->
 
 
 def predict(docs: DataFrame, predictor: Predictor, retries: int = 3, batch: int = 64) -> DataFrame:
-    """Outcomes of (doc_id, text): unreadable replies are asked again, with the attempt's number, then fail."""
+    """Outcomes of (doc_id, text): unreadable replies are asked again, with the attempt's number, then fail.
+
+    A predictor that raises over a batch is asked for its rows one by one; what raises alone is a failed reply.
+    """
+
+    def asked(rows: list, attempt: int) -> list:
+        try:
+            return list(predictor(rows, attempt))
+        except Exception as e:  # a fault of one document must not take the others along
+            return [e] if len(rows) == 1 else [r for row in rows for r in asked([row], attempt)]
 
     def run(batches: Iterable):
+        import time
+
         import pandas as pd
 
         for frame in batches:
@@ -30,7 +42,7 @@ def predict(docs: DataFrame, predictor: Predictor, retries: int = 3, batch: int
                 left, out = rows[lo : lo + batch], []
                 for attempt in range(1, retries + 1):
                     again = []
-                    for row, reply in zip(left, predictor(left, attempt), strict=True):
+                    for row, reply in zip(left, asked(left, attempt), strict=True):
                         if isinstance(reply, Exception) or reply is None:
                             again.append((row, f"{reply}"[:300]))
                         else:
@@ -40,7 +52,7 @@ def predict(docs: DataFrame, predictor: Predictor, retries: int = 3, batch: int
                         break
                     if attempt == retries:
                         out += [(r[0], False, None, e or "no reply", attempt) for r, e in again]
-                yield pd.DataFrame(out, columns=["doc_id", "ok", "values", "error", "attempts"])
+                yield pd.DataFrame([(*o, time.time()) for o in out], columns=["doc_id", "ok", "values", "error", "attempts", "at"])
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, OUTCOME)
 
@@ -62,7 +74,7 @@ def produce(docs: DataFrame, path: str, predictor: Predictor, retries: int = 3)
     keyed = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     predict(pending(keyed, done), predictor, retries).write.mode("append").parquet(path)
     rows = spark.read.schema(OUTCOME).parquet(path)
-    best = rows.groupBy("doc_id").agg(F.max_by(F.struct("ok", "values", "error", "attempts"), F.col("ok").cast("int")).alias("o")).select("doc_id", "o.*")
+    best = rows.groupBy("doc_id").agg(F.max_by(F.struct("ok", "values", "error", "attempts"), F.struct("ok", "at")).alias("o")).select("doc_id", "o.*")
     lost = keyed.select("doc_id").distinct().join(best, "doc_id", "left_anti").count()
     if lost:
         raise RuntimeError(f"{lost} documents have no outcome")
