@@ -140,3 +140,81 @@ def test_vectors(spark, monkeypatch):
     assert cover_tree.link_vectors(df.limit(0)).count() == 0
     single = df.where("vec_id < 40").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
     assert cover_tree.link_vectors(single).count() == 40
+
+
+@pytest.mark.parametrize("percent", [50, 67, 70, 95, 100])
+def test_line_dedup_at_other_thresholds(spark, percent):
+    rng = random.Random(percent)
+    words = [f"w{i}" for i in range(40)]
+    pool = [[rng.choice(words) for _ in range(rng.randint(1, 30))] for _ in range(12)]
+
+    def line():
+        x = list(rng.choice(pool))
+        for _ in range(rng.randint(0, 6)):
+            x[rng.randrange(len(x))] = rng.choice(words)
+        return " ".join(x)
+
+    rows = [(i, "\n".join(line() for _ in range(6))) for i in range(40)]
+    gone = plain_lines(rows, percent)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    assert got == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
+
+
+def test_linked_sets_share_a_key():
+    rng = random.Random(6)
+    length = lambda n, run, p: min(n, int((run - 1) * ((n - n * (100 - p) // 100) * (100 - p) / p + 1) + 1 + n * (100 - p) // 100))
+    met = 0
+    for _ in range(20_000):
+        p, shared, one, other = rng.choice((50, 67, 70, 80, 90)), rng.randint(1, 40), rng.randint(0, 9), rng.randint(0, 9)
+        order = ["both"] * shared + ["one"] * one + ["other"] * other
+        rng.shuffle(order)
+        a, b = ([i for i, x in enumerate(order) if x in ("both", name)] for name in ("one", "other"))
+        for run in (1, 2, 3):
+            least = line_dedup.least_size(run, p)
+            if least is not None and 100 * shared >= p * len(order) and min(len(a), len(b)) >= least:
+                keys = [{tuple(x[i : i + run]) for i in range(length(len(x), run, p) - run + 1)} for x in (a, b)]
+                assert keys[0] & keys[1]
+                met += 1
+    assert met > 1000
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    rows = [(1, "a b c d e\nx y z"), (1, "p q r s t\nx y z"), (2, "a b c d e\np q r s t\nnew words here"), (3, None), (3, "x y z")]
+    got = sorted((r["doc_id"], r["text"] or "", r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "a b c d e\nx y z", 0), (1, "p q r s t\nx y z", 0), (2, "new words here", 2), (3, "", 0), (3, "", 1)]
+
+
+@pytest.mark.parametrize("percent", [50, 70, 79])
+def test_near_duplicates_far_apart_in_size(spark, percent):
+    rng = random.Random(percent)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for k in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(20, 90))]
+        for cut in (1.0, 0.9, 0.8, 0.7, 0.6, 0.52):
+            rows.append((len(rows), " ".join(base[: int(len(base) * cut)])))
+    sets = {i: shingles(t, 3) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    got = near_dup.link_components(spark.createDataFrame(rows, "row_id long, text string"), 3, percent, "row_id").collect()
+    assert {r["row_id"]: r["component_id"] for r in got} == groups(sets, links)
+
+
+def test_one_row_of_a_repeated_representative_stays(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (None, "a b c d e f g"), (4, None), (4, None)]
+    kept = near_dup.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 1, 4]
+
+
+def test_folded_bitmaps_bound_the_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 900))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: int(rng.integers(0, len(a) + 1))], rng.integers(0, 2**63, int(rng.integers(1, 300))).astype(np.uint64)]))
+        maps = [near_dup.bitmap(a), near_dup.bitmap(b)]
+        p, q = near_dup.folded(maps, min(map(len, maps)) // 8)
+        both = len(np.intersect1d(a, b))
+        percent = max(1, 100 * both // (len(a) + len(b) - both))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            assert near_dup._possible(p[None, :], q[None, :], np.array([len(a)]), np.array([len(b)]), percent).all()

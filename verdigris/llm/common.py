@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 #: A run of anything but ASCII white space is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Where written tables go if the session names no folder and everything runs in one process, as in tests.
+_LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+#: Spark deletes an execution's shuffle files when it ends, instead of when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,20 +22,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where the session names none (tests)."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    A local master without the setting gets a folder of its own; a cluster without it is an error, since a machine's own
+    folder would hold only part of a table.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or f"file://{_LOCAL_CHECKPOINTS}"
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _LOCAL_CHECKPOINTS
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/verdigris/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/verdigris/{label}-{uuid.uuid4().hex}"
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    finally:
+        if was is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
     out._verdigris_path = path
     return out
 
 
+#: Rows of an Arrow batch that holds whole texts: both sides of the pipe hold a batch or two at a time.
+TEXT_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on the session sends at most ``TEXT_ROWS`` rows a batch to Python; a smaller setting stays."""
+    was = int(spark.conf.get(_BATCH))
+    if was <= 0 or was > TEXT_ROWS:
+        spark.conf.set(_BATCH, str(TEXT_ROWS))
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by :func:`written`; the frame must not be read again."""
     path = getattr(df, "_verdigris_path", None)
@@ -97,8 +130,10 @@ def components(edges: DataFrame, a: str, b: str, label: str = "cc") -> DataFrame
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = e.mapInArrow(_forest, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     now = written(e.distinct(), label)
-    while True:
+    before = mark(now)
+    while before[0]:
         # large-star: neighbours larger than a node go to the smallest of its neighbourhood
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -107,11 +142,10 @@ def components(edges: DataFrame, a: str, b: str, label: str = "cc") -> DataFrame
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         new = written(star.where("u <> v").distinct(), label)
-        mark = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        same = mark(new) == mark(now)
         drop_written(now)
-        now = new
-        if same:
+        now, last = new, before
+        before = mark(now)
+        if before == last:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct())
 
@@ -120,10 +154,21 @@ def components(edges: DataFrame, a: str, b: str, label: str = "cc") -> DataFrame
 BROADCAST_BYTES = 32_000_000
 
 
-def small_side(df: DataFrame, row_bytes: int, n_rows: int | None = None) -> DataFrame:
-    """``df`` hinted for broadcast if it is small by count, else as it is: the join then shuffles and may split skew."""
-    n = df.count() if n_rows is None else n_rows
-    return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df.hint("merge")
+def small_side(df: DataFrame, row_bytes: int, n_rows: int | None = None, arrays: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` hinted for broadcast if its bytes, summed, are few, else as it is: the join then shuffles and may split skew.
+
+    ``row_bytes`` is what a row takes beside ``arrays``, whose elements are counted at eight bytes or the array's own
+    struct's fields at eight bytes each.
+    """
+    if n_rows is not None and not arrays:
+        size = n_rows * row_bytes
+    else:
+        width = {f.name: 8 * max(1, len(getattr(getattr(f.dataType, "elementType", None), "fields", None) or [0])) for f in df.schema.fields}
+        each = F.lit(row_bytes)
+        for name in arrays:
+            each = each + F.greatest(F.size(name), F.lit(0)) * width[name]
+        size = df.agg(F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
 
 
 def text_slices(column, most_bytes: int):

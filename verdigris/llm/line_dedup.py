@@ -3,17 +3,21 @@
 A line is its set of words.  A line goes if an earlier line (smaller doc_id, then smaller line number) of any document has a
 set with Jaccard similarity of ``percent``/100 or more; whether that earlier line goes too doesn't matter.
 
-1. Lines with equal sets are one: the first of them stands for all.  Two 64-bit hashes over the sorted 64-bit hashes of all its
+1. Every line's words are hashed once and written, 32 bits each; the steps up to the last read these hashes, not text.
+2. Lines with equal sets are one: the first of them stands for all.  Two 64-bit hashes over the sorted 64-bit hashes of all its
    words say which set a line has.
-2. Words are put in one order over the corpus, rare ones first.  Linked sets share a word among each one's first few (prefix
-   filter), have near sizes (length filter), and share enough behind the first common word (positional filter).
-3. A prefix word that many lines have does not key a group by itself but with each word that follows it in the prefix, which
-   linked sets must share as well; so common words make no large groups.
-4. Groups are joined with themselves where they lie; sizes, places and bitmaps of words decide there which pairs go on: bits
-   that one set has and the other lacks bound the overlap from above.  A line that can match its group's first line is paired
-   with that one alone, so families of near copies make one pair per member.
-5. Pairs are verified on the words themselves.  Lines whose first line did not hold, and that nothing else settled, are
-   paired with all earlier members of their groups and verified again.
+3. Words are put in one order over the corpus, rare ones first.  Let two linked sets share o words and differ in e and f, so
+   that e + f <= o * (100 - percent) / percent.  Of the runs of t neighbouring shared words each word of only one set breaks at
+   most t - 1, so among the first (t - 1) * (e + f) + 1 runs one is clean: its words stand side by side in both sets.  Every
+   set is therefore keyed by the runs in its prefix, the first words that such a run can reach to (prefix filter).  Few sets
+   share a run of rare words, so groups stay small where single words would make large ones.  Words that share a place in the
+   order only make keys that more sets share.
+4. A group's sets are held against its first one; sizes (length filter), the places of the shared run (positional filter) and
+   parities of the words' hashes, which differ in no more bits than the sets do in words, bound the overlap from above.  What
+   is left is verified on the words themselves.
+5. Sets that no first one settled are held against all earlier sets of their groups and verified again.
+
+Sets without a clean run of ``RUN`` words, where ``percent`` is low, take single words, as in the plain prefix.
 
 Rarity is counted over all lines in hashed counters, up to ``BUCKETS`` of them, one byte each, which is all that is sent to
 the executors.  Any order is right, a good one is fast.
@@ -29,29 +33,33 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import drop_written, free_name, small_side, written
 
 #: Counters at most, and words a counter has on average before there are more of them.
-BUCKETS, BUCKET_WORDS = 1 << 20, 32
-#: A counter's class: four for each doubling of its count, from 1 on for a word said once; its bits stand before a word's hash.
-CLASSES, HASH_BITS = 100, 24
-#: A word is common, and keys groups only with another, from this count on.
-COMMON = 4096
+BUCKETS, BUCKET_WORDS = 1 << 16, 256
+#: A counter's class: four for each doubling of its count, from ``LOW`` on for a word said once; it stands before a word's hash.
+CLASSES, LOW, HASH_BITS = 100, 27, 24
+#: Words in a run at most.
+RUN = 2
+#: Sizes and places from here on are not told apart by the filters, which then let a pair pass.
+WIDE = 0xFFFF
 
 
 def class_of(n: Column) -> Column:
     return F.least(F.floor(4 * F.log2(n.cast("double"))).cast("int") + 1, F.lit(CLASSES))
 
 
-COMMON_CLASS = int(4 * math.log2(COMMON)) + 1
+def spaced(text: Column) -> Column:
+    """White space other than line ends as spaces; texts that have none are not copied."""
+    others = ("\t", "\x0b", "\x0c", "\r")
+    has, out = F.lit(False), text
+    for c in others:
+        has = has | F.contains(text, F.lit(c))
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.when(has, out).otherwise(text)
 
 
 def word_hashes(line: Column) -> Column:
-    """Hashes of a line's distinct words: runs of anything but ASCII white space, as written."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-
-
-def spaced(text: Column) -> Column:
-    for c in ("\t", "\x0b", "\x0c", "\r"):
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
+    """Sorted hashes of a line's distinct words: runs of anything but ASCII white space, as written."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))))
 
 
 def words_of(line: Column) -> Column:
@@ -60,131 +68,195 @@ def words_of(line: Column) -> Column:
 
 def all_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of every line of (doc_id, text)."""
-    return docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
+    lines = F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line")
+    return docs.where("doc_id is not null").select("doc_id", lines)
+
+
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, n, h1, h2, h array<int>) of every line: its set's size, two hashes of the set, and the words' hashes."""
+    h = all_lines(docs).select("doc_id", "line_no", word_hashes(F.col("line")).alias("h"))
+    return h.select("doc_id", "line_no", F.size("h").alias("n"), F.xxhash64("h").alias("h1"), F.xxhash64(F.lit(1), "h").alias("h2"), F.transform("h", lambda x: F.shiftright(x, 32).cast("int")).alias("h"))
 
 
-def rarity_table(docs: DataFrame) -> tuple[bytes, int]:
+def rarity_table(hashed: DataFrame) -> tuple[bytes, int]:
     """A byte per counter, and the number of counters: a power of two that follows the words of the corpus.
 
-    A word counts once for each time that it stands in a text; blocks of counters are put together by Spark.
+    A word counts once for each line that has it; blocks of counters are put together by Spark.
     """
-    words = docs.where("doc_id is not null").select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    fine = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    fine = written(fine, "counters")
-    total = fine.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = hashed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = min(BUCKETS, 1 << max(12, math.ceil(math.log2(max(total, 1) / BUCKET_WORDS))))
-    counts = fine.groupBy((F.col("b") % size).alias("b")).agg(class_of(F.sum("n")).alias("c"))
-    every = counts.unionByName(fine.sparkSession.range(size).select(F.col("id").cast("int").alias("b"), F.lit(1).alias("c")))
-    each = every.groupBy("b").agg(F.max("c").alias("c"))
-    block = each.groupBy(F.expr("b div 4096").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "c"))), lambda s: F.char(s["c"] + 27)), "").alias("s"))
-    one = block.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]), "").cast("binary").alias("classes"))
-    out = bytes(one.first()["classes"])
-    drop_written(fine)
-    return out, size
-
-
-def ordered(docs: DataFrame, table: bytes, size: int, percent: int) -> DataFrame:
-    """Lines as (doc_id, line_no, n, h, h2, b1, b2, pre): size, hashes and bitmap of the set, and the first words in order, one beyond the prefix."""
-    classes = F.lit(table)
-    place = lambda h: F.shiftleft(F.ascii(F.substr(classes, F.pmod(h, F.lit(size)).cast("int") + 1, F.lit(1)).cast("string")) - 27, HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS).cast("int"))
-    h = all_lines(docs).select("doc_id", "line_no", word_hashes(F.col("line")).alias("h")).where(F.size("h") > 0)
-    zero, bit = F.lit(0).cast("long"), lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    low = F.aggregate("h", zero, lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == 0, acc.bitwiseOR(bit(x))).otherwise(acc))
-    high = F.aggregate("h", zero, lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == 0, acc).otherwise(acc.bitwiseOR(bit(x))))
-    every = F.sort_array("h")
-    o = h.select("doc_id", "line_no", F.size("h").alias("n"), F.xxhash64(every).alias("h1"), F.xxhash64(F.lit(1), every).alias("h2"), low.alias("b1"), high.alias("b2"), F.sort_array(F.transform("h", place)).alias("o"))
-    keep = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 2
-    return o.select("doc_id", "line_no", "n", F.col("h1").alias("h"), "h2", "b1", "b2", F.slice("o", 1, F.least(keep, F.col("n"))).alias("pre"))
-
-
-def postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, line_no, n, b1, b2, pos) of the sets that can have a partner of their own or another size.
-
-    A word whose counter says that it stands once in the corpus can be shared with nobody and keys nothing.
+    counts = hashed.select(F.explode("h").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(size - 1)).alias("b")).agg(class_of(F.count(F.lit(1))).alias("c"))
+    empty = hashed.sparkSession.range(size).select(F.col("id").cast("int").alias("b"), F.lit(1).alias("c"))
+    each = counts.unionByName(empty).groupBy("b").agg(F.max("c").alias("c"))
+    in_order = lambda rows, text: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), text), "")
+    block = each.groupBy(F.expr("b div 4096").alias("k")).agg(in_order(F.struct("b", "c"), lambda s: F.char(s["c"] + LOW)).alias("s"))
+    one = block.agg(in_order(F.struct("k", "s"), lambda x: x["s"]).cast("binary").alias("classes"))
+    return bytes(one.first()["classes"]), size
+
+
+def least_size(run: int, percent: int) -> int | None:
+    """Smallest size from which two linked sets always share a clean run of ``run`` words; None if there is none in practice."""
+    if (run - 1) * (100 - percent) >= percent:
+        return None
+    clean = lambda o: o - (run - 1) >= (run - 1) * (o * (100 - percent) // percent) + 1
+    # from here on the gain of a shared word outweighs what it allows to differ
+    far = -(-run * percent // (percent - (run - 1) * (100 - percent))) + 1
+    bad = max((o for o in range(far + 1) if not clean(o)), default=0)
+    return max(1, 100 * bad // percent + 1)
+
+
+def prefix_length(n: Column, run: int, percent: int) -> Column:
+    """Words at the head of a set of ``n`` that the keys are made of.
+
+    At most ``e`` words of the set are missing from a linked one, and then e + f <= (n - e) * (100 - percent) / percent: the
+    last word of the first clean run stands at place (run - 1) * (e + f + 1) + 1 + e at most.
     """
-    common, once = COMMON_CLASS << HASH_BITS, 2 << HASH_BITS
-    p = F.size("pre") - 1
-    entry = lambda key, i: F.struct(key.alias("key"), (i + 1).alias("pos"))
-    rare = F.filter(F.transform(F.slice("pre", 1, p), lambda t, i: F.when((t >= once) & (t < common), entry(F.xxhash64(t), i))), lambda s: s.isNotNull())
-    pairs = F.flatten(F.transform(F.slice("pre", 1, p), lambda t, i: F.when(t >= common, F.transform(F.slice("pre", i + 2, F.size("pre")), lambda u: entry(F.xxhash64(t, u), i))).otherwise(F.array().cast("array<struct<key:bigint,pos:int>>"))))
-    keys = F.when(F.element_at(F.slice("pre", 1, p), -1) >= common, F.concat(rare, pairs)).otherwise(rare)
-    least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
-    return sets.where(F.col("n") >= least).select("doc_id", "line_no", "n", "b1", "b2", F.explode(keys).alias("k")).select("k.key", "doc_id", "line_no", "n", "b1", "b2", "k.pos")
+    e = F.floor(n * (100 - percent) / 100)
+    return F.least(F.floor((run - 1) * ((n - e) * (100 - percent) / percent + 1) + 1 + e).cast("int"), n)
+
+
+def postings(lines: DataFrame, classes: bytes, size: int, percent: int) -> DataFrame:
+    """(key, doc_id, at, flips) of the sets that can have a partner of another set.
+
+    ``at`` packs line number, size and place, ``flips`` the parities of the words' hashes in 64 classes.
+    """
+    # a set without its like in size has no partner: the next larger one holds it and one word more
+    kept = lines.where(100 * F.col("n").cast("long") >= percent * (F.col("n").cast("long") + 1))
+    out, above = None, None
+    for run in range(RUN, 0, -1):
+        least = least_size(run, percent)
+        if least is None:
+            continue
+        # sets of this run's sizes, and those that one smaller than the longer run's least size can be linked to
+        part = kept.where(F.col("n") >= least)
+        part = part if above is None else part.where(percent * F.col("n").cast("long") <= 100 * (above - 1))
+        part = _keyed(part, classes, size, run, percent)
+        out, above = part if out is None else out.unionByName(part), least
+        if least <= 1:
+            break
+    return out
 
 
-def possible(x: str, y: str, percent: int) -> Column:
-    """Length, positional and bitmap filter for sets whose columns end in ``x`` and ``y``."""
-    c = lambda name, end: F.col(f"{name}{end}")
-    n, m, i, j = c("n", x), c("n", y), c("pos", x), c("pos", y)
-    lacks = lambda p, q: F.bit_count(c("b1", p).bitwiseAND(F.bitwise_not(c("b1", q)))) + F.bit_count(c("b2", p).bitwiseAND(F.bitwise_not(c("b2", q))))
-    placed = F.least(n - i, m - j) + F.least(i, j)
-    most = F.least(placed, n - lacks(x, y), m - lacks(y, x))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
+def _keyed(lines: DataFrame, classes: bytes, size: int, run: int, percent: int) -> DataFrame:
+    # positions count from 1, so without its first byte the table is read by counter, and counter 0 reads that of 1
+    table = F.lit(classes[1:])
+    class_at = lambda h: F.ascii(F.substr(table, h.bitwiseAND(F.lit(size - 1)), F.lit(1)))
+    place = lambda h: F.shiftleft(class_at(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 32 - HASH_BITS))
+    prefix = F.slice(F.sort_array(F.transform("h", place)), F.lit(1), prefix_length(F.col("n"), run, percent)).alias("pre")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h)  # noqa: E731  # by the low six bits
+    flips = F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h))).alias("flips")
+    lines = lines.select("doc_id", "line_no", "n", flips, prefix)
+    keys = F.col("pre")
+    count = F.greatest(F.size("pre") - (run - 1), F.lit(0))
+    for i in range(1, run):
+        keys = F.zip_with(F.slice(keys, F.lit(1), count), F.slice("pre", F.lit(1 + i), count), lambda a, b: F.xxhash64(a, b))
+    narrow = lambda c: F.least(F.col(c), F.lit(WIDE)).cast("long")
+    line = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.shiftleft(narrow("n"), 16))
+    each = lines.select("doc_id", line.alias("line"), "flips", F.posexplode(keys).alias("pos", "key"))
+    return each.select(F.xxhash64("key", F.lit(run)).alias("key"), "doc_id", F.col("line").bitwiseOR(narrow("pos")).alias("at"), "flips")
 
 
-def before(a: str, i: str, b: str, j: str) -> Column:
-    return (F.col(a) < F.col(b)) | ((F.col(a) == F.col(b)) & (F.col(i) < F.col(j)))
+def line_no(at: str) -> Column:
+    return F.shiftright(at, 32).cast("int")
+
+
+def possible(x: str, y: str, p: str, q: str, percent: int) -> Column:
+    """Length, positional and parity filter for two packed places ``x`` and ``y`` and parities ``p`` and ``q``.
+
+    Sizes must be near; what can be shared is what stands before and behind the key; linked sets differ in at most
+    (n + m) * (100 - percent) / (100 + percent) words, each of which flips one parity.
+    """
+    n, m = (F.shiftright(c, 16).bitwiseAND(F.lit(WIDE)) for c in (x, y))
+    i, j = (F.col(c).bitwiseAND(F.lit(WIDE)) for c in (x, y))
+    most = F.least(i, j) + F.least(n - i, m - j)
+    differ = F.bit_count(F.col(p).bitwiseXOR(F.col(q)))
+    sized = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+    return (sized & ((100 + percent) * most >= percent * (n + m))) | (n == WIDE) | (m == WIDE)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Later lines (doc_id, line_no) of those ``pairs`` (d1, l1, d2, l2) whose words are similar enough."""
     ends = pairs.select(F.col("d1").alias("d"), F.col("l1").alias("l")).union(pairs.select("d2", "l2")).distinct()
     need = written(ends.groupBy("d").agg(F.collect_list("l").alias("ls")), "need")
-    texts = docs.join(small_side(need, 80), docs["doc_id"] == need["d"])
-    cut = F.get(F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("ls", lambda l: F.struct(l.alias("l"), F.get(lines, l).alias("line")))), F.lit(0))
-    texts = written(texts.select("d", F.explode(cut).alias("x")).select("d", "x.l", words_of(F.col("x.line")).alias("w")).where(F.size("w") > 0), "lines")
-    side = lambda i: texts.select(F.col("d").alias(f"d{i}"), F.col("l").alias(f"l{i}"), F.col("w").alias(f"w{i}"))
+    texts = docs.join(small_side(need, 48, arrays=("ls",)), docs["doc_id"] == need["d"])
+    lines = F.get(F.transform(F.array(F.split("text", "\n")), lambda x: F.transform("ls", lambda l: F.struct(l.alias("l"), F.get(x, l).alias("line")))), F.lit(0))
+    words = texts.select("d", F.explode(lines).alias("x")).select("d", "x.l", words_of(F.col("x.line")).alias("w"))
+    words = written(words, "words")
+    side = lambda i: words.select(F.col("d").alias(f"d{i}"), F.col("l").alias(f"l{i}"), F.col("w").alias(f"w{i}")).hint("merge")
     both = pairs.join(side(1), ["d1", "l1"]).join(side(2), ["d2", "l2"]).withColumn("both", F.size(F.array_intersect("w1", "w2")))
     same = 100 * F.col("both") >= percent * (F.size("w1") + F.size("w2") - F.col("both"))
     out = written(both.where(same).select(F.col("d2").alias("doc_id"), F.col("l2").alias("line_no")).distinct(), "later")
-    drop_written(texts)
+    drop_written(words)
     drop_written(need)
     return out
 
 
-def _named(df: DataFrame, end: str) -> DataFrame:
-    return df.select("key", *(F.col(c).alias(f"{c}{end}") for c in ("doc_id", "line_no", "n", "b1", "b2", "pos")))
+def repeats(hashed: DataFrame) -> DataFrame:
+    """(doc_id, line_no, h1, h2) of every line whose set an earlier line has as well."""
+    own = hashed.select("doc_id", "line_no", "h1", "h2")
+    first = F.min(F.struct("doc_id", "line_no")).alias("f")
+    sets = own.groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    sets = written(sets.select("h1", "h2", F.col("f.doc_id").alias("fd"), F.col("f.line_no").alias("fl")), "repeated")
+    out = own.join(small_side(sets, 56), ["h1", "h2"]).where("doc_id <> fd or line_no <> fl")
+    out = written(out.select("doc_id", "line_no", "h1", "h2"), "repeats")
+    drop_written(sets)
+    return out
+
 
+def met_sets(hashed: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """(key, doc_id, at, flips, hd, ha, place, near_head) of sets behind the first of their group: that first one's document and
+    place, the set's own place in the group, and whether the two can be near.
 
-def _pairs(df: DataFrame) -> DataFrame:
-    return df.select(F.col("doc_id1").alias("d1"), F.col("line_no1").alias("l1"), F.col("doc_id2").alias("d2"), F.col("line_no2").alias("l2")).distinct()
+    A set that can't be near the first, and with which no third one stands, is left out.
+    """
+    classes, size = rarity_table(hashed)
+    once = hashed.join(small_side(copies, 56), ["doc_id", "line_no", "h1", "h2"], "left_anti")
+    group = Window.partitionBy("key").orderBy("doc_id", "at")
+    head = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = postings(once, classes, size, percent).select(
+        "key", "doc_id", "at", "flips", F.first("doc_id").over(head).alias("hd"), F.first("at").over(head).alias("ha"), F.first("flips").over(head).alias("hf"),
+        F.row_number().over(group).alias("place"), F.lead("at").over(group).isNull().alias("last"),
+    )
+    met = met.where("place > 1").withColumn("near_head", possible("at", "ha", "flips", "hf", percent))
+    # lines of one document number that share a line number, from repeated ids, are not earlier than each other
+    other = (F.col("doc_id") != F.col("hd")) | (line_no("at") != line_no("ha"))
+    return written(met.withColumn("near_head", F.col("near_head") & other).where("near_head or place > 2 or not last").drop("hf", "last"), "met")
+
+
+def near_lines(met: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, line_no) of the lines, first of their set, that an earlier line's other set is near to."""
+    as_pair = lambda df, d1, a1, d2, a2: df.select(F.col(d1).alias("d1"), line_no(a1).alias("l1"), F.col(d2).alias("d2"), line_no(a2).alias("l2")).distinct()
+    heads = written(as_pair(met.where("near_head"), "hd", "ha", "doc_id", "at"), "heads")
+    settled = verified(heads, docs, percent)
+
+    # sets that no first one settled, with those between
+    late = met.where("place > 2").withColumn("line_no", line_no("at")).join(small_side(settled, 32), ["doc_id", "line_no"], "left_anti")
+    late = late.select("key", F.col("doc_id").alias("d2"), F.col("at").alias("a2"), F.col("flips").alias("f2"))
+    early = met.select("key", F.col("doc_id").alias("d1"), F.col("at").alias("a1"), F.col("flips").alias("f1"))
+    earlier = (F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (line_no("a1") < line_no("a2")))
+    others = as_pair(late.join(early.hint("merge"), "key").where(earlier & possible("a1", "a2", "f1", "f2", percent)), "d1", "a1", "d2", "a2")
+    others = written(others.join(heads.hint("merge"), ["d1", "l1", "d2", "l2"], "left_anti"), "others")
+    again = verified(others, docs, percent)
+    out = written(settled.union(again).distinct(), "near")
+    for t in (heads, settled, others, again):
+        drop_written(t)
+    return out
 
 
 def later_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, gone array<int>): the lines to remove from each document of (doc_id, text); documents without any are left out."""
-    table, size = rarity_table(docs)
-    lines = written(ordered(docs, table, size, percent), "ordered")
-    first = F.min(F.struct("doc_id", "line_no", "n", "b1", "b2", "pre")).alias("f")
-    sets = written(lines.groupBy("h", "h2").agg(first, F.count(F.lit(1)).alias("copies")).select("h", "h2", "copies", "f.*"), "sets")
-    own = postings(sets, percent).repartition("key")
-    earlier = before("doc_id1", "line_no1", "doc_id2", "line_no2")
-    head = F.first(F.struct("doc_id", "line_no", "n", "b1", "b2", "pos")).over(Window.partitionBy("key").orderBy("doc_id", "line_no"))
-    with_head = own.withColumn("head", head).select("key", *(F.col(f"head.{c}").alias(f"{c}1") for c in ("doc_id", "line_no", "n", "b1", "b2", "pos")), *(F.col(c).alias(f"{c}2") for c in ("doc_id", "line_no", "n", "b1", "b2", "pos")))
-    near_head = with_head.where("doc_id1 <> doc_id2 or line_no1 <> line_no2").withColumn("near", possible("1", "2", percent))
-    far = near_head.where(~F.col("near")).select("key", *(f"{c}2" for c in ("doc_id", "line_no", "n", "b1", "b2", "pos")))
-    others = far.join(_named(own, "1").hint("merge"), "key").where(earlier & possible("1", "2", percent))
-    pairs = written(_pairs(near_head.where("near")).withColumn("head", F.lit(True)).unionByName(_pairs(others).withColumn("head", F.lit(False))), "pairs")
-    settled = verified(pairs.select("d1", "l1", "d2", "l2").distinct(), docs, percent)
-    # lines that only a head stood for, in vain
-    open_ = pairs.where("head").select(F.col("d2").alias("doc_id"), F.col("l2").alias("line_no")).distinct().join(settled, ["doc_id", "line_no"], "left_anti")
-    open_ = written(open_, "open")
-    n_open = open_.count()
-    near = settled
-    if n_open:
-        late = postings(sets.join(small_side(open_, 40, n_open), ["doc_id", "line_no"], "left_semi"), percent)
-        keys = written(late.select("key").distinct(), "keys")
-        early = postings(sets, percent).join(small_side(keys, 24), "key", "left_semi")
-        again = written(_pairs(_named(late, "2").join(_named(early, "1").hint("merge"), "key").where(earlier & possible("1", "2", percent))).join(pairs.select("d1", "l1", "d2", "l2"), ["d1", "l1", "d2", "l2"], "left_anti"), "again")
-        near = settled.union(verified(again, docs, percent)).distinct()
-        drop_written(keys)
-    near = near.select(F.col("doc_id").alias("gd"), F.col("line_no").alias("gl"))
-
-    # all lines of a set but its first, and that one too if an earlier line is near
-    some = sets.select("h", "h2", F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"), "copies").join(near.hint("merge"), (F.col("fd") == F.col("gd")) & (F.col("fl") == F.col("gl")), "left").where("copies > 1 or gd is not null")
-    gone = lines.select("doc_id", "line_no", "h", "h2").join(some.hint("merge"), ["h", "h2"]).where("gd is not null or doc_id <> fd or line_no <> fl")
+    # hashes hardly repeat within a page, so neither a dictionary nor compression would pay
+    every = written(hashed_lines(docs), "hashed", **{"compression": "uncompressed", "parquet.enable.dictionary": "false"})
+    hashed = every.where("n > 0")
+    copies = repeats(hashed)
+    met = met_sets(hashed, copies, percent)
+    drop_written(every)
+    near = near_lines(met, docs, percent)
+    drop_written(met)
+    gone = copies.select("doc_id", "line_no").union(near)
     out = written(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "gone")
-    for t in (pairs, open_, sets, lines):
-        drop_written(t)
+    drop_written(copies)
+    drop_written(near)
     return out
 
 
@@ -193,12 +265,15 @@ def dedup_lines(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text
 
     Lines end at ``\\n``.  Lines without words stay.  Null text stays null, an empty one empty; rows with a null doc_id stay
     and take no part; of rows that share a doc_id none is earlier than the other, and a line number removed in one is removed
-    in all; no rows give no rows; if ``n_removed`` is taken as a name, it gets underscores in front.
+    in all; no rows give no rows; if ``n_removed`` is taken as a name, it gets underscores in front (it is the last column).
+    ``percent`` is 1 to 100.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be 1 to 100")
     gone = later_lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), percent)
     key, drop, name = free_name(docs, "_key"), free_name(docs, "_gone"), free_name(docs, "n_removed")
     side = gone.select(F.col("doc_id").alias(key), F.col("gone").alias(drop))
-    out = docs.join(small_side(side, 100), docs[doc_id].cast("long") == side[key], "left")
+    out = docs.join(small_side(side, 48, arrays=(drop,)), docs[doc_id].cast("long") == side[key], "left")
     parts = F.split(F.col(text).cast("string"), "\n")
     kept = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains(F.col(drop), i), x)), lambda x: x.isNotNull())
     new = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))

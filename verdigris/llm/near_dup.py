@@ -3,30 +3,33 @@
 Two texts link when the Jaccard similarity of their sets of word n-grams is at least ``percent``/100.
 
 * Texts with the same set are one node from the start.
-* Sizes fall into bands.  Within a band a linked pair differs in at most ``d`` n-grams, known from the band's sizes, so if
-  n-grams are dealt by hash into more than ``d`` cells, some cell is equal on both sides.  A tile is (band, cell, hash of
-  the cell's n-grams): every linked pair meets in a tile, unrelated texts hardly ever do.
-* In a round, a text meets one anchor of its tiles; a pair goes on only if a bitmap of its hashed n-grams allows it: bits set in
-  one bitmap but not in the other are n-grams missing from the other, which bounds the overlap from above.
-* What is left is settled by the exact intersection of the two sorted arrays.
-* After each round, tiles whose members are all connected are done.  Pairs of a tile across components that no anchor has
-  settled meet block by block in the last round, so every link between different components is found.
+* Sizes fall into bands.  A linked pair whose larger set is in a band differs in at most ``d`` n-grams, known from the band's
+  sizes, so if n-grams are dealt by hash into more than ``d`` cells, some cell is equal on both sides.  A tile is (band, cell,
+  hash of the cell's n-grams); a set has tiles of its own band and of every band that a larger linked set can be in.  Every
+  linked pair meets in a tile, unrelated texts hardly ever do.
+* In a round, a text meets one anchor of its tiles; a pair goes on only if the bitmaps of their hashed n-grams allow it: bits
+  set in one bitmap but not in the other are n-grams missing from the other, which bounds the overlap from above.  A bitmap has
+  bits in proportion to its set; of two, the longer is folded to the shorter one's length.
+* What is left is settled by the exact intersection of the two sorted arrays, for all texts that meet an anchor in one go.
+* After each round, tiles whose members are all connected are done.  In the last round, members outside a tile's largest
+  component meet all its members across components, block by block, so every link between different components is found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import components, drop_written, free_name, small_side, text_slices, written
+from verdigris.llm.common import components, drop_written, free_name, small_side, text_batches, text_slices, written
 
 #: Bands' sizes grow by this factor.
 BAND = 1.25
 #: Cells beyond those that differences can spoil: this many more must be equal, so that equal empty cells don't count.
 SPARE = 2
-BITMAP_BITS = 4096
-#: Rounds of anchors before blocks of tiles meet, and members of a block.
-ROUNDS, BLOCK = 3, 512
+#: Bits of a bitmap for each n-gram of its set, up to a power of two, and bits at least.
+GRAM_BITS, LEAST_BITS = 4, 64
+#: Rounds of anchors before blocks of tiles meet, members of a block, and texts that meet one copy of an anchor's text.
+ROUNDS, BLOCK, SHARE = 3, 512, 64
 SLICE_BYTES = 4_000_000
 
 
@@ -101,20 +104,20 @@ def shingle_sets(part, n: int):
 
 
 def tile_keys(grams, percent: int, starts: list[int]):
-    """64-bit tile hashes of one sorted set: of its own band, and of the next if a linked larger set can stand there."""
+    """64-bit tile hashes of one sorted set: of its own band, and of every band that a linked larger set can be in."""
     import numpy as np
 
     size = len(grams)
     band = int(np.searchsorted(starts, size, side="right")) - 1
+    spread = (grams ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+    high = spread >> np.uint64(32)
+    spread = (spread ^ (spread >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    spread ^= spread >> np.uint64(32)
     out = []
-    for b in (band, band + 1):
-        if b > band and size * 100 < percent * starts[b]:
-            continue
+    b = band
+    while b == band or size * 100 >= percent * starts[b]:
         cells = cells_of(b, percent)
-        spread = (grams ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
-        cell = ((spread >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
-        spread = (spread ^ (spread >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        spread ^= spread >> np.uint64(32)
+        cell = (high * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
         own, at = np.unique(cell[order], return_index=True)
         sums = np.add.reduceat(spread[order], at)
@@ -124,15 +127,31 @@ def tile_keys(grams, percent: int, starts: list[int]):
         key = (sums + own.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) ^ np.uint64((b + 1) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)
         key = (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         out.append(key ^ (key >> np.uint64(30)))
+        b += 1
     return np.concatenate(out).view(np.int64)
 
 
 def bitmap(grams):
+    """Bits of the n-grams' hashes, as many as the next power of two holds for each."""
     import numpy as np
 
-    bits = np.zeros(BITMAP_BITS, dtype=np.uint8)
-    bits[(grams % np.uint64(BITMAP_BITS)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    size = max(LEAST_BITS, 1 << (GRAM_BITS * len(grams) - 1).bit_length()) if len(grams) else LEAST_BITS
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(grams & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(maps: list, words: int):
+    """Bitmaps of any lengths as rows of ``words`` 64-bit words: halves of a longer one are laid over each other."""
+    import numpy as np
+
+    out = np.zeros((len(maps), words), dtype=np.uint64)
+    for i, m in enumerate(maps):
+        row = np.frombuffer(m, dtype=np.uint64)
+        while len(row) > words:
+            row = row[: len(row) // 2] | row[len(row) // 2 :]
+        out[i] = row
+    return out
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -158,168 +177,224 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(sign, schema)
 
 
+def _possible(p, q, n, m, percent: int):
+    """Whether sets of ``n`` and ``m`` with bitmaps ``p`` and ``q`` can link: bits of one that the other lacks bound the overlap."""
+    import numpy as np
+
+    both = np.bitwise_count(p & q).sum(axis=-1, dtype=np.int64)
+    lack = np.bitwise_count(p).sum(axis=-1, dtype=np.int64) - both
+    over = np.bitwise_count(q).sum(axis=-1, dtype=np.int64) - both
+    most = np.minimum(n - lack, m - over)
+    return 100 * most >= percent * (n + m - most)
+
+
 def _allowed(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb, ba, bb) whose sizes and bitmaps allow a link."""
+    """Pairs (a, b) of (a, b, na, nb, ba, bb) whose sizes and bitmaps allow a link."""
 
     def sift(batches):
         import numpy as np
+        import pyarrow as pa
 
         for batch in batches:
-            x, y, na, nb = (batch.column(i) for i in (4, 5, 2, 3))
-            if not len(x):
-                continue
-            p, q = (np.frombuffer(b"".join(v.to_pylist()), dtype=np.uint8).reshape(len(v), -1) for v in (x, y))
-            yield batch.filter(_possible(p, q, na.to_numpy(), nb.to_numpy(), percent)).select([0, 1])
-
-    return pairs.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(sift, "a long, b long")
-
-
-def _possible(p, q, n, m, percent):
-    """Whether sets of ``n`` and ``m`` with bitmaps ``p`` and ``q`` can link: bits of one that the other lacks bound the overlap."""
-    import numpy as np
-    import pyarrow as pa
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            x, y = (batch.column(i).to_pylist() for i in (4, 5))
+            words = np.array([min(len(p), len(q)) // 8 for p, q in zip(x, y, strict=True)], dtype=np.int64)
+            keep = np.zeros(len(n), dtype=bool)
+            for size in np.unique(words):
+                at = np.flatnonzero(words == size)
+                p, q = (folded([v[i] for i in at], int(size)) for v in (x, y))
+                keep[at] = _possible(p, q, n[at], m[at], percent)
+            yield batch.filter(pa.array(keep)).select([0, 1])
 
-    lack = np.bitwise_count(p & ~q).sum(axis=-1, dtype=np.int64)
-    over = np.bitwise_count(q & ~p).sum(axis=-1, dtype=np.int64)
-    most = np.minimum(n - lack, m - over)
-    ok = 100 * most >= percent * (n + m - most)
-    return pa.array(ok) if ok.ndim == 1 else ok
+    sized = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return sized.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(sift, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link, by exact intersection of the two texts' sorted n-grams."""
+    """Those of ``pairs`` (a, b) that link, by exact intersection of the two texts' sorted n-grams.
+
+    The texts that meet one ``a`` travel to it once each, in parts of about ``SHARE``; a part has one copy of that text and
+    is streamed, so that only the set of ``a`` is held.
+    """
 
     def exact(batches):
         import numpy as np
         import pyarrow as pa
 
+        now, heads = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            step = 256
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                left, back = [], []
-                for col in (2, 3):
-                    coded = part.column(col).dictionary_encode()
-                    sets: list = []
-                    for _, piece in text_slices(coded.dictionary, SLICE_BYTES):
-                        sets += shingle_sets(piece, n)
-                    left.append(sets)
-                    back.append(coded.indices.to_numpy(zero_copy_only=False))
-                keep = []
-                for i, j in zip(*back, strict=True):
-                    x, y = left[0][i], left[1][j]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield part.filter(pa.array(keep)).select([0, 1])
-
-    t = texts.select("row_id", "text")
-    need = written(pairs.select(F.col("a").alias("row_id")).union(pairs.select(F.col("b").alias("row_id"))).distinct(), "need")
-    held = written(t.join(small_side(need, 16), "row_id", "left_semi"), "held")
-    both = pairs.join(held.select(F.col("row_id").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("row_id").alias("b"), F.col("text").alias("tb")), "b")
-    out = written(both.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"), "links")
-    drop_written(held)
-    drop_written(need)
+            a, part, b = (batch.column(i) for i in (0, 1, 2))
+            where, other = list(zip(a.to_pylist(), part.to_pylist(), strict=True)), b.to_pylist()
+            out_a, out_b = [], []
+            for at, piece in text_slices(batch.column(3), SLICE_BYTES):
+                for i, grams in enumerate(shingle_sets(piece, n), at):
+                    if where[i] != now:
+                        now, heads = where[i], []
+                    if other[i] is None:
+                        heads.append(grams)
+                        continue
+                    for h in heads:
+                        both = len(np.intersect1d(h, grams, assume_unique=True))
+                        if 100 * both >= percent * (len(h) + len(grams) - both):
+                            out_a.append(now[0])
+                            out_b.append(other[i])
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("parts"))
+    dealt = written(pairs.join(small_side(many, 24), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")), "dealt")
+    rows = texts.where("text is not null").select("row_id", "text")
+    heads = small_side(written(dealt.select("a", "part").distinct(), "heads"), 24)
+    left = rows.join(heads, F.col("row_id") == F.col("a")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    right = rows.join(small_side(dealt, 32), F.col("row_id") == F.col("b")).select("a", "part", "b", "text")
+    met = left.union(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    out = written(met.mapInArrow(exact, "a long, b long"), "links")
+    drop_written(dealt)
+    drop_written(heads)
     return out
 
 
 def link_components(docs: DataFrame, n: int = 5, percent: int = 80, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row_id, n_shingles, component_id) of every row: the smallest id reachable by links, itself included.
 
-    ``row_id`` should be unique; rows that share one are told apart by their sets, and the id stands for all of them.  A
-    null id takes part in nothing and keeps a null component; null and empty texts have no n-gram and link with nothing; no
-    rows give no rows; other columns don't matter.
+    ``percent`` is 1 to 100; the lower, the more bands a set has tiles in.  ``row_id`` should be unique; rows that share one
+    are told apart by their sets, and the id stands for all of them.  A null id takes part in nothing and keeps a null
+    component; null and empty texts have no n-gram and link with nothing; no rows give no rows; other columns don't matter.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be 1 to 100")
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).cast("string").alias("text"))
     signed = written(signatures(rows, n, percent), "signed")
     # equal sets are one node, named by its smallest id
-    sets = written(signed.where("n_shingles > 0 and row_id is not null").groupBy("set_hi", "set_lo").agg(F.min("row_id").alias("node"), F.count(F.lit(1)).alias("copies")), "sets")
-    nodes = signed.where("n_shingles > 0").join(small_side(sets.select("node", "set_hi", "set_lo"), 48), ["set_hi", "set_lo"]).where("node = row_id")
+    with_sets = signed.where("n_shingles > 0 and row_id is not null")
+    sets = written(with_sets.groupBy("set_hi", "set_lo").agg(F.min("row_id").alias("node"), F.count(F.lit(1)).alias("copies")), "sets")
+    copied = sets.where("copies > 1").select("set_hi", "set_lo", "node")
+    nodes = with_sets.join(small_side(copied, 48), ["set_hi", "set_lo"], "left").where("node is null or node = row_id")
     if not signed.groupBy("row_id").count().where("count > 1").isEmpty():
         nodes = nodes.dropDuplicates(["row_id", "set_hi", "set_lo"])
+    nodes = nodes.select("row_id", F.col("n_shingles").alias("n"), "bits", "tiles")
+    # only tiles with two texts or more go on; counts are summed where tiles are read, so a tile of very many is no load
     tiles = nodes.select("row_id", F.explode("tiles").alias("tile"))
-    # only tiles with two texts or more go on: a row stays if one beside it has its tile
-    beside = Window.partitionBy("tile").orderBy("row_id")
-    shared = written(tiles.withColumn("met", F.lag("row_id").over(beside).isNotNull() | F.lead("row_id").over(beside).isNotNull()).where("met").drop("met"), "tiles")
-    met = shared.select("row_id").distinct()
-    sizes = written(nodes.select("row_id", F.col("n_shingles").alias("n"), "bits").join(met, "row_id", "left_semi"), "sizes")
+    many = written(tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("tile"), "many")
+    shared = written(tiles.join(small_side(many, 24), "tile", "left_semi"), "tiles")
+    met = small_side(written(shared.select("row_id").distinct(), "met"), 24)
+    sizes = written(nodes.select("row_id", "n", "bits").join(met, "row_id", "left_semi"), "sizes")
     ids = written(signed.select("row_id", "n_shingles", "set_hi", "set_lo"), "ids")
-    drop_written(signed)
-    links = None
-    comps = None
+    for t in (signed, many, met):
+        drop_written(t)
+    links = _links(shared, sizes, rows, n, percent)
+    # an id with several texts joins their nodes
+    named = ids.where("n_shingles > 0 and row_id is not null").join(small_side(copied, 48), ["set_hi", "set_lo"])
+    whole = components(named.select(F.col("row_id").alias("a"), F.col("node").alias("b")).where("a <> b").union(links), "a", "b", "whole")
+    for t in (shared, sizes, links):
+        drop_written(t)
+    out = ids.select("row_id", "n_shingles").join(whole.withColumnRenamed("node", "row_id"), "row_id", "left")
+    return out.select("row_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "row_id")).otherwise(F.col("row_id")).alias("component_id"))
+
+
+def _links(shared: DataFrame, sizes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect all that is linked, from tiles (row_id, tile) of two members or more."""
+    links = written(shared.select(F.col("row_id").alias("a"), F.col("row_id").alias("b")).limit(0), "links")
     for turn in range(ROUNDS + 1):
-        now = shared if comps is None else shared.join(comps.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("comp", F.coalesce("component_id", "row_id")).drop("component_id")
-        if comps is None:
-            now = now.withColumn("comp", F.col("row_id"))
-        open_tiles = now.groupBy("tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct((F.xxhash64("row_id", F.lit(turn)) if turn else F.col("row_id")).alias("turn"), F.col("row_id"), F.col("comp"))).alias("anchor"), F.count(F.lit(1)).alias("members")).where("c0 <> c1")
-        if turn < ROUNDS:
-            meet = now.join(open_tiles.select("tile", F.col("anchor.row_id").alias("other"), F.col("anchor.comp").alias("oc")), "tile").where("comp <> oc")
-            # of its tiles' anchors a text meets one, the first in this round's order
-            first = F.min(F.struct((F.xxhash64("other", F.lit(turn)) if turn else F.col("other")).alias("turn"), "other"))["other"].alias("other")
-            one = meet.groupBy("row_id").agg(first)
-            pairs = one.select(F.least("row_id", "other").alias("a"), F.greatest("row_id", "other").alias("b")).distinct()
-            pairs = pairs.join(sizes.select(F.col("row_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(sizes.select(F.col("row_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-            pairs = written(_allowed(pairs, percent), "pairs")
+        if turn and links.isEmpty():
+            now = shared.withColumn("comp", F.col("row_id"))
+        elif turn:
+            comps = written(components(links, "a", "b"), "comps")
+            side = small_side(comps.withColumnRenamed("node", "row_id"), 32)
+            now = shared.join(side, "row_id", "left").withColumn("comp", F.coalesce("component_id", "row_id")).drop("component_id")
+            now = written(now, "now")
+            drop_written(comps)
         else:
-            pairs = written(_blocks(now, open_tiles, sizes, percent), "pairs")
-        if pairs.isEmpty():
-            if turn < ROUNDS and not open_tiles.isEmpty():
-                continue
+            now = shared.withColumn("comp", F.col("row_id"))
+        pairs = _anchored(now, sizes, percent, turn) if turn < ROUNDS else written(_blocks(now, sizes, percent), "pairs")
+        if pairs is None:
+            drop_written(now)
             break
-        new = _verified(pairs, rows, n, percent)
+        if not pairs.isEmpty():
+            new = _verified(pairs, rows, n, percent)
+            old, links = links, written(links.union(new), "links")
+            drop_written(new)
+            drop_written(old)
         drop_written(pairs)
-        if links is not None:
-            new, old = written(links.union(new), "links"), (links, new)
-            for t in old:
-                drop_written(t)
-        links = new
-        comps = components(links, "a", "b")
-    # an id with several texts joins their nodes
-    named = ids.where("n_shingles > 0 and row_id is not null").join(sets, ["set_hi", "set_lo"]).select(F.col("row_id").alias("a"), F.col("node").alias("b"))
-    whole = components(named.where("a <> b").union(links) if links is not None else named.where("a <> b"), "a", "b", "whole")
-    drop_written(shared)
-    drop_written(sizes)
-    out = ids.select("row_id", "n_shingles").join(whole.withColumnRenamed("node", "row_id"), "row_id", "left")
-    return out.select("row_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "row_id")).otherwise(F.col("row_id")).alias("component_id"))
+        drop_written(now)
+    return links
+
 
+def _anchored(now: DataFrame, sizes: DataFrame, percent: int, turn: int) -> DataFrame | None:
+    """Pairs (a, b) of an anchor and a text in one of its tiles but not in its component; one anchor for a text.
 
-def _blocks(now: DataFrame, open_tiles: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of open tiles across components that sizes and bitmaps allow: blocks of members meet block by block."""
-    side = open_tiles.select("tile", F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int").alias("blocks"))
-    m = now.join(side, "tile").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")).join(sizes, "row_id")
+    None if the members of every tile are connected.
+    """
+    order = F.xxhash64("row_id", F.lit(turn)) if turn else F.col("row_id")
+    anchor = F.min(F.struct(order.alias("turn"), "row_id", "comp")).alias("anchor")
+    tiles = now.groupBy("tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), anchor).where("c0 <> c1")
+    tiles = tiles.select("tile", "anchor.turn", F.col("anchor.row_id").alias("other"), F.col("anchor.comp").alias("oc"))
+    meet = now.join(tiles.hint("merge"), "tile").where("comp <> oc")
+    # of its tiles' anchors a text meets one, the first in this round's order
+    one = meet.groupBy("row_id").agg(F.min(F.struct("turn", "other"))["other"].alias("a")).select("a", F.col("row_id").alias("b"))
+    one = written(one, "one")
+    if one.isEmpty():
+        drop_written(one)
+        return None
+    side = lambda x: sizes.select(F.col("row_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    out = written(_allowed(one.join(side("a"), "a").join(side("b"), "b"), percent), "allowed")
+    drop_written(one)
+    return out
+
+
+def _blocks(now: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open tiles across components that sizes and bitmaps allow.
+
+    A tile's largest component needs no comparison within itself: its members meet the blocks of the others alone.
+    """
+    per = now.groupBy("tile", "comp").agg(F.count(F.lit(1)).alias("k"))
+    tiles = per.groupBy("tile").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("members"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    tiles = tiles.select("tile", F.col("main.comp").alias("main"), blocks(F.col("members") - F.col("main.k")).alias("minor"), blocks(F.col("main.k")).alias("major"))
+    m = now.join(tiles.hint("merge"), "tile").join(sizes, "row_id")
+    outside, dealt = F.col("comp") != F.col("main"), F.xxhash64("row_id")
+    m = m.withColumn("block", F.when(outside, F.pmod(dealt, F.col("minor"))).otherwise(F.col("minor") + F.pmod(dealt, F.col("major"))).cast("int"))
     # a member goes to every pair of blocks that its own is in
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    m = m.select("tile", "row_id", "comp", "n", "bits", "block", other).withColumns({"lo": F.least("block", "o"), "hi": F.greatest("block", "o")})
+    last = F.when(outside, F.col("minor") + F.col("major")).otherwise(F.col("minor")) - 1
+    m = m.select("tile", "row_id", "comp", "n", "bits", "block", F.explode(F.sequence(F.lit(0), last)).alias("o"))
+    m = m.withColumns({"lo": F.least("block", "o"), "hi": F.greatest("block", "o")})
 
     def compare(key, table):
         import numpy as np
         import pyarrow as pa
 
-        rid, comp, n, block = (table[c].to_numpy() for c in ("row_id", "comp", "n", "block"))
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint8).reshape(len(rid), -1)
+        rid, comp, size, block = (table[c].to_numpy() for c in ("row_id", "comp", "n", "block"))
+        maps = table["bits"].to_pylist()
+        bits = folded(maps, min(map(len, maps)) // 8)
         lo, hi = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         a, b = [], []
         for i in left:
-            r = right[(comp[right] != comp[i]) & ((rid[right] > rid[i]) if lo == hi else True)]
+            r = right[(comp[right] != comp[i]) & (100 * np.minimum(size[i], size[right]) >= percent * np.maximum(size[i], size[right]))]
+            r = r[rid[r] > rid[i]] if lo == hi else r
             if len(r):
-                ok = r[np.asarray(_possible(bits[i][None, :], bits[r], n[i], n[r], percent))]
+                ok = r[_possible(bits[i][None, :], bits[r], size[i], size[r], percent)]
                 a += [rid[i]] * len(ok)
                 b += rid[ok].tolist()
-        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.table({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
-    return m.groupBy("tile", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    out = m.groupBy("tile", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_representatives(docs: DataFrame, n: int = 5, percent: int = 80, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that another represents: of each component the row with the smallest id stays.
 
-    Of rows that share that id one stays.  Rows with a null id stay.  Columns and their order stay.
+    Of rows that share that id one stays, any of them.  Rows with a null id stay.  Columns and their order stay.
     """
     own, mark = free_name(docs, "component_id"), free_name(docs, "linked")
+    ids = docs.where(F.col(row_id).isNotNull()).groupBy(F.col(row_id).cast("long").alias(own)).agg(F.count(F.lit(1)).alias(mark))
+    again = written(ids.where(F.col(mark) > 1).select(own), "again")
     found = link_components(docs, n, percent, row_id, text).where("component_id <> row_id").select("row_id").distinct()
-    gone = written(found.select(F.col("row_id").alias(own), F.lit(True).alias(mark)), "gone")
-    kept = docs.join(small_side(gone, 16), docs[row_id].cast("long") == gone[own], "left_anti")
-    return kept
+    gone = written(found.select(F.col("row_id").alias(own)), "gone")
+    kept = docs.join(small_side(gone, 24), docs[row_id].cast("long") == gone[own], "left_anti")
+    if again.isEmpty():
+        return kept
+    here = lambda how: kept.join(small_side(again, 24), docs[row_id].cast("long") == again[own], how)
+    return here("left_anti").unionByName(here("left_semi").dropDuplicates([row_id]))
