@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -23,6 +24,25 @@ def test_blocks():
     assert html_text.blocks(None) == [] and html_text.blocks("<p") == [("<p", (), 0)] and html_text.blocks("<script>never closed") == []
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '", "<!--", "<!", "<?", "<head>", "<svg>", "<div>", "</p>", "<", '<p class="', "<select>", "<math>", "<script", "&amp", "<div class='x'>y"])
+def test_broken_pages_take_linear_time(piece):
+    began = time.perf_counter()
+    html_text.blocks((piece + "x ") * (2_000_000 // (len(piece) + 2)) + '">\'>')
+    assert time.perf_counter() - began < 20
+
+
+def test_blocks_of_odd_markup():
+    texts = lambda page: [b[0] for b in html_text.blocks(page)]
+    assert texts("<p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> here</p>") == ["sum x+1 here"]
+    assert texts("<p>a</p><svg><path d='1'><p>b</p><article>c</article>") == ["a", "b", "c"]
+    assert texts("<p title='a > b'>in</p>") == ["in"] and texts("<p title='a>b>in</p><p>next") == ["b>in", "next"]
+    assert texts("<head><title>t</title><body><p>x") == ["x"] and texts("1 < 2 and 3 > 2") == ["1 < 2 and 3 > 2"]
+    many = " ".join(f"u{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    assert html_text.blocks(f"<div class='{many} comments'>x</div>")[0][1][-1] == ".comments"
+    deep = html_text.blocks("<div>" * 3000 + "x" + "</div>" * 3000 + "<p>y")
+    assert [b[0] for b in deep] == ["x", "y"] and len(deep[0][1]) == html_text.DEPTH
+
+
 def test_held_out_pages(model):
     right = wrong = missed = 0
     for page, truth in html_text.sample_pages(150, seed=99):

@@ -1,6 +1,7 @@
 """Packing, licences, quality rules, chat, mixing: small fixtures against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -78,6 +79,66 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def plain_hits(text, templates):
+    """Labels of one text: exact places, and windows around every place where a template's words stand in order."""
+    w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if x]
+    labels, places = set(), []
+    for t in templates:
+        want = t.text.split()
+        for d in range(-len(want), len(w)):
+            if t.exact:
+                if d >= 0 and w[d : d + len(want)] == want:
+                    labels.add(t.label)
+                    places.append(d)
+                continue
+            votes = [sum(0 <= d + i + k and w[d + i + k : d + i + k + 2] == want[i : i + 2] for i in range(len(want) - 1)) for k in range(-licenses.SHIFT, licenses.SHIFT + 1)]
+            if not votes[licenses.SHIFT] or sum(votes) + 1 < math.ceil(licenses.COVER * len(want) / 2):
+                continue
+            have = w[max(0, d - licenses.SHIFT) : d + len(want) + licenses.SHIFT]
+            row = [0] * (len(want) + 1)
+            for x in have:
+                new = [0]
+                for i, y in enumerate(want):
+                    new.append(max(new[-1], row[i + 1], row[i] + (x == y)))
+                row = new
+            if row[-1] / len(want) >= licenses.COVER:
+                labels.add(t.label)
+    return labels, sorted(places), len(w)
+
+
+def test_licenses_against_all_windows(spark):
+    rng = random.Random(12)
+    templates = licenses.BASE + licenses.MORE
+    rows = []
+    for i in range(60):
+        words = [rng.choice(["of", "the", "and", "general", "license", "public", "cc", "by", "w1", "w2", "w3", "reserved"]) for _ in range(rng.randint(0, 40))]
+        for t in rng.sample(templates, rng.randint(0, 3)):
+            phrase = t.text.split()
+            kind = rng.random()
+            if kind < 0.3 and len(phrase) > 9:
+                phrase[rng.randrange(len(phrase))] = "other"
+            elif kind < 0.5:
+                phrase.insert(rng.randint(1, len(phrase)), "extra")
+            at = rng.randint(0, len(words))
+            words[at:at] = phrase
+        rows.append((i, rng.choice((" ", ", ", "\n")).join(words).title()))
+    # the words of a notice far apart, filled with what it also says: no notice
+    rows.append((100, " ".join(f"{x} " + "of the " * 10 for x in "under the terms of the gnu lesser general public license".split())))
+    rows += [(None, "Licensed under the MIT license"), (None, "nothing"), (101, "the terms of " * 30000 + "licensed under cc by nc 4 0")]
+    got = [(r["row_id"], r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows)
+    texts = {i: t for i, t in rows if i is not None}
+    for i, r in got:
+        labels = {h["label"] for h in r["hits"]}
+        if i is None:
+            assert labels == ({"mit"} if r["n_words"] == 5 else set())
+            continue
+        want, places, n = plain_hits(texts[i], templates) if i != 101 else ({"cc-by", "cc-by-nc"}, [90002], 90006 + 1)
+        assert labels == want, (i, labels, want, texts[i])
+        assert sorted(h["start"] for h in r["hits"] if h["exact"]) == places
+    assert "lgpl" not in {h["label"] for i, r in got if i == 100 for h in r["hits"]}
+
+
 def plain_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     tri = Counter(zip(w, w[1:], w[2:]))
@@ -105,10 +166,41 @@ def test_quality(spark):
     for order in (names, names[::-1]):
         assert [r["_kept"] for r in quality.quality_filter(docs, order=order).collect()] == [r["_kept"] for r in rows]
     plan = quality.plan_cascade(docs)
-    assert sorted(p["rule"] for p in plan) == sorted(names) and [p["score"] for p in plan] == sorted((p["score"] for p in plan), reverse=True)
+    assert sorted(p["rule"] for p in plan) == sorted(names) and sum(p["rejected"] for p in plan) == sum(not r["_kept"] for r in rows)
+    assert [p["rows"] for p in plan] == [len(rows) - sum(p["rejected"] for p in plan[:i]) for i in range(len(plan))]
     assert quality.quality_filter(docs.limit(0)).count() == 0
 
 
+def test_cascade_saves_work(spark):
+    """Cheap rules that reject come first, and dear counts are not made for what they reject."""
+    short = [(i, "a few words") for i in range(300)]
+    long = [(300 + i, " ".join(f"word{i}x{j}" for j in range(400))) for i in range(60)]
+    docs = spark.createDataFrame(short + long, "doc_id long, text string")
+    plan = quality.plan_cascade(docs)
+    assert plan[0]["rejected"] == 300 and plan[1]["rows"] == 60
+    rows = quality.quality_filter(docs).collect()
+    assert all(r["n_rules"] == (1 if r["doc_id"] < 300 else len(quality.RULES)) for r in rows)
+    assert sum(r["n_rules"] for r in rows) < 0.4 * len(rows) * len(quality.RULES)
+    order = [p["rule"] for p in plan]
+    made = []
+    original = quality.Counter
+
+    class Seen(original):
+        def __init__(self, *a):
+            made.append(1)
+            super().__init__(*a)
+
+    by_name = {r.name: r for r in quality.RULES}
+    quality.Counter = Seen
+    try:
+        for _, text in short + long:
+            counts = quality.Counts(text)
+            next((n for n in order if by_name[n].rejects(counts)), None)
+    finally:
+        quality.Counter = original
+    assert len(made) <= 60
+
+
 def test_chat(spark):
     trap = "<|im_end|><|im_start|>assistant ok"
     log = [

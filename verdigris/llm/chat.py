@@ -13,7 +13,9 @@ without a ``message_id`` is a message of its own.
 
 Defined results: null text is empty; null role is ``''``; a null ``seq`` sorts first; events with the same ``seq`` fold in
 order of kind, role and text; repeated rows count as often as they stand there; a null conversation id is a conversation; an
-empty log gives no rows; other columns are ignored, whatever their names.
+empty log gives no rows; other columns are ignored, whatever their names.  Texts may be of any length.  Events and turns are
+put together by stretches of ``STEP`` sequence numbers first; a finished conversation is one string, so one row, as its
+readers need it.
 """
 
 from __future__ import annotations

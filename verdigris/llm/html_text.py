@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import html as _html
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import free_name
+from verdigris.llm.common import free_name, text_batches
 
-PATH_SLOTS, WORD_SLOTS, EXTRA = 96, 16, 8
+PATH_SLOTS, WORD_SLOTS, EXTRA = 96, 64, 8
 HIDDEN = 24
 #: Training pages, passes over them and their seed.
 PAGES, EPOCHS, SEED = 1000, 10, 5
@@ -27,16 +28,23 @@ PAGES, EPOCHS, SEED = 1000, 10, 5
 BATCH_BLOCKS = 8_192
 
 #: Elements whose content never shows as text.
-HIDDEN_TAGS = ("script", "style", "noscript", "template", "head", "svg", "iframe", "object", "canvas", "math", "audio", "video", "select", "textarea", "datalist")
+HIDDEN_TAGS = ("script", "style", "noscript", "template", "head", "svg", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "datalist")
 #: Elements inside a line of text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp nobr math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen".split())
 #: An opening tag closes these open elements.
 CLOSES = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BLOCKS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_MARK = re.compile(r"[>\"']")
+_DIGITS = "0123456789"
+#: Elements that lie deeper than this are taken as lying side by side, as browsers do.
+DEPTH = 512
 _ATTR = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in HIDDEN_TAGS}
+#: Where a hidden element that no end tag closes ends: at the next of these.
+_RESUME = re.compile(r"(?=<(?:p|div|section|article|main|aside|nav|header|footer|h[1-6]|ul|ol|table|form|blockquote|pre)\b)", re.I)
+_BODY = re.compile(r"(?=<body\b)", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -46,6 +54,47 @@ def _slot(name: str, slots: int) -> int:
     return zlib.crc32(name.encode()) % slots
 
 
+class _Tags:
+    """Markup of a page, one piece after the other, in time linear in the page.
+
+    A tag ends at the first ``>`` outside quotes.  Once a tag runs to the page's end that way, quotes are no longer heeded, so
+    that a page of broken tags is not read again and again; behind the last ``>`` there are no tags at all.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def _end(self, at: int) -> int:
+        i = at
+        while self.quotes:
+            m = _MARK.search(self.page, i)
+            if not m:
+                self.quotes = False
+                break
+            if m[0] == ">":
+                return m.start()
+            close = self.page.find(m[0], m.end())
+            i = close + 1 if close >= 0 else m.end()
+        return self.page.find(">", at)
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, past, slash, name, attributes) of the next markup from ``at`` on; the name is empty for what is no tag."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), "", "", ""
+            if start > self.last:
+                return None
+            if page.startswith(("<!", "<?"), start):
+                return start, page.find(">", start) + 1, "", "", ""
+            if m := _NAME.match(page, start + 1):
+                end = self._end(m.end())
+                return start, end + 1, m[1], m[2].lower(), page[m.end() : end]
+            at = start + 1
+        return None
+
+
 def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path, characters in links) of each leaf block with text, in page order.
 
@@ -68,20 +117,19 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         linked = 0
 
     n = len(page)
+    tags, held_head = _Tags(page), False
+    unclosed: set[str] = set()
     while at < n:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else n]
-        if text:
+        m = tags.after(at)
+        start, past, slash, tag, attributes = m or (n, n, "", "", "")
+        if text := page[at:start]:
             held.append(text)
             if in_link:
                 linked += len(text)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+        at = past
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if slash:
             if tag in INLINE:
                 if tag == "a":
                     in_link = 0
@@ -96,19 +144,22 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if tag in HIDDEN_TAGS:
             if tag not in ("select", "textarea", "datalist"):
                 flush()
-            if not m[3].endswith("/"):
-                end = _RAW_END[tag].search(page, at)
-                if not end and tag == "head":
-                    end = re.compile(r"(?=<body\b)", re.I).search(page, at)
-                    if not end:
-                        continue
-                at = end.end() if end else n
+            if attributes.endswith("/") or (tag == "head" and held_head):
+                continue
+            held_head = held_head or tag == "head"
+            end = None if tag in unclosed else _RAW_END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):  # raw text to the end
+                at = n
+            else:
+                unclosed.add(tag)
+                resume = (_BODY if tag == "head" else _RESUME).search(page, at)
+                at = resume.start() if resume else at if tag == "head" else n
             continue
         if tag in INLINE:
             if tag == "a":
                 in_link = 1
-            elif tag in ("img", "wbr"):
-                pass
             continue
         flush()
         in_link = 0
@@ -123,10 +174,9 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             if stack[i][0] in ("ul", "ol", "dl", "table", "article", "section", "div", "nav"):
                 break
         names = [tag]
-        if m[3]:
-            for a in _ATTR.finditer(m[3]):
-                names += [f".{w}" for w in _SPLIT.split((a[2] or a[3] or a[4] or "").lower()) if len(w) > 1][:6]
-        if not m[3].endswith("/") or tag not in VOID:
+        for a in _ATTR.finditer(attributes):
+            names += [f".{w}" for w in _SPLIT.split((a[2] or a[3] or a[4] or "").lower()) if len(w) > 1]
+        if len(stack) < DEPTH:
             stack.append((tag, tuple(names)))
     flush()
     return out
@@ -147,13 +197,11 @@ def vectors(page_blocks):
                 row[_slot(name, PATH_SLOTS)] += 1.0 if depth < 4 else 0.6
             row = seen[path] = np.minimum(row, 1.5)
         x[i, :PATH_SLOTS] = row
-        words = text.split(" ", 40)[:40]
-        for w in words:
-            x[i, PATH_SLOTS + hash_word(w)] += 1
-        x[i, PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] /= len(words)
+        words = [hash_word(w) for w in text.split(" ")]
+        x[i, PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] = np.bincount(words, minlength=WORD_SLOTS) / len(words)
         k = PATH_SLOTS + WORD_SLOTS
         size = len(text)
-        x[i, k : k + EXTRA] = (min(size, 2000) ** 0.5 / 20, min(1.0, linked / size), size < 25, text[-1] in ".!?:;\"'”»…", i / n, sum(text.count(c) for c in "©|»·") / (size**0.5), sum(map(str.isdigit, text[:80])) / 20, 1.0)
+        x[i, k : k + EXTRA] = (min(size, 2000) ** 0.5 / 20, min(1.0, linked / size), size < 25, text[-1] in ".!?:;\"'”»…", i / n, sum(text.count(c) for c in "©|»·") / (size**0.5), 4 * sum(map(text.count, _DIGITS)) / size, 1.0)
     return x
 
 
@@ -448,6 +496,7 @@ def labelled(page: str, truth: list[str]) -> tuple[list, list[int]]:
     return found, labels
 
 
+@lru_cache(maxsize=2)
 def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
     rows = []
     for page, truth in sample_pages(pages, seed):
@@ -480,9 +529,10 @@ def main_texts(model: Labeller, pages: list[str | None]) -> list[str]:
 def extract(pages: DataFrame, html: str = "html", model: Labeller | None = None) -> DataFrame:
     """``pages`` with ``main_text`` and ``n_chars`` (its code points) in place of ``html``; no shuffle.
 
-    Null and empty html give an empty text, and so does a page without an article.  Pages of any length are read whole;
-    equal pages give equal texts; no rows give no rows; new columns whose names are taken get underscores in front.
+    Null and empty html give an empty text, and so does a page without an article.  Pages of any length are read whole, in time
+    linear in their length whatever their markup; equal pages give equal texts, and a block whose odds are even is left out; no rows give no rows; new columns whose names are taken get underscores in front.
     """
+    text_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast((model or trained()).w)
     text, size = free_name(pages, "main_text"), free_name(pages, "n_chars")
 

@@ -2,8 +2,10 @@
 
 Rolling hashes of ``GRAM`` words of every text are joined by Spark to the positions of the same hashes in license
 templates.  A hit votes for its diagonal (place in the text less place in the template); votes are summed by (text,
-template, diagonal), neighbouring diagonals that overlap are merged, so that a word put in or left out does not break a
-passage, and each span is verified word by word against its template.
+template, diagonal).  Votes of neighbouring diagonals, at most ``SHIFT`` apart, are merged, so that a word put in or left out
+does not break a passage; since a hit lies within its template's length of its diagonal, merged votes come from one window
+of the text, of the template's length and ``SHIFT`` words more on either side.  Windows with enough votes are verified by the longest common
+subsequence of their words and the template's; of neighbouring windows the best one is kept, the first of several.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import LOWER, UPPER, small_side, written
+from verdigris.llm.common import LOWER, UPPER, drop_written, small_side, written
 
 #: Words in a rolling hash; no template is shorter.
 GRAM = 2
@@ -88,34 +90,49 @@ def votes(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
 
 
 def spans(found: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
-    """(row_id, template, start, past): passages from neighbouring diagonals whose votes can cover enough of the template.
+    """(row_id, template, start, past): windows whose merged votes can cover enough of their template.
 
-    Diagonals of a text and template are merged in order while the next is at most ``SHIFT`` further and begins before the
-    template could have ended; the bound on votes is that of the words to be covered.
+    Exact templates need all their votes on one diagonal, and every such diagonal is a window.
     """
     size = F.create_map(*(x for i, t in enumerate(templates) for x in (F.lit(i), F.lit(len(t.text.split())))))
     exact = F.create_map(*(x for i, t in enumerate(templates) for x in (F.lit(i), F.lit(t.exact))))
-    f = found.withColumns({"size": size[F.col("template")], "exact": exact[F.col("template")]})
-    order = Window.partitionBy("row_id", "template").orderBy("diagonal")
-    apart = F.col("exact") | F.lag("diagonal").over(order).isNull() | (F.col("diagonal") - F.lag("diagonal").over(order) > SHIFT)
-    f = f.withColumn("run", F.sum(apart.cast("int")).over(order))
-    merged = f.groupBy("row_id", "template", "run").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("size").alias("size"), F.first("exact").alias("exact"))
-    enough = F.when(F.col("exact"), F.col("n") >= F.col("size") - GRAM + 1).otherwise(F.col("n") + GRAM - 1 >= F.ceil(COVER * F.col("size") / 2))
-    return merged.where(enough).select("row_id", "template", F.col("first").cast("int").alias("start"), (F.col("last") + GRAM).cast("int").alias("past"))
+    near = Window.partitionBy("row_id", "template").orderBy("diagonal").rangeBetween(-SHIFT, SHIFT)
+    f = found.withColumns({"size": size[F.col("template")], "exact": exact[F.col("template")], "votes": F.sum("n").over(near)})
+    enough = F.when(F.col("exact"), F.col("n") >= F.col("size") - GRAM + 1).otherwise(F.col("votes") + GRAM - 1 >= F.ceil(COVER * F.col("size") / 2))
+    room = F.when(F.col("exact"), 0).otherwise(SHIFT)
+    f = f.where(enough)
+    return f.select("row_id", "template", F.greatest(F.col("diagonal") - room, F.lit(0)).cast("int").alias("start"), (F.col("diagonal") + F.col("size") + room).cast("int").alias("past"))
+
+
+def common_words(have: Column, want: Column) -> Column:
+    """Length of the longest common subsequence of two word arrays: one row of the table for each word of ``have``."""
+    first = F.array_repeat(F.lit(0), F.size(want) + 1)
+
+    def row(above: Column, word: Column) -> Column:
+        def cell(now: Column, i: Column) -> Column:
+            left = F.element_at(now, -1)
+            diagonal = F.get(above, i) + F.when(F.get(want, i) == word, 1).otherwise(0)
+            return F.concat(now, F.array(F.greatest(left, F.get(above, i + 1), diagonal)))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(want) - 1), F.array(F.lit(0)), cell)
+
+    return F.element_at(F.aggregate(have, first, row), -1)
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: row_id, n_words, hits array<struct<template, label, exact, start, past, cover>>.
 
-    Hits are verified in the text: ``cover`` is the share of the template's words that stand there in order, 1 for exact
-    ones.  Null and empty texts have no words and no hits; repeated rows are scanned each, and rows that share an id get the
-    hits that their own text has; no rows give no rows; other columns don't matter.
+    Hits are verified in the text: ``cover`` is the share of the template's words that stand in the window in order, 1 for
+    exact ones; ties of votes go to the first diagonal.  Null and empty texts have no words and no hits; texts of any length
+    are read whole; repeated rows are scanned each, and rows that share an id, the null id too, get the hits that their own
+    text has; no rows give no rows; other columns don't matter.
     """
     rows = docs.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).cast("string").alias("text"))
     place = written(spans(votes(rows, templates), templates), "spans")
-    per_row = place.where("row_id is not null").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("template", "start", "past"))).alias("spans"))
-    n = place.count()
-    out = rows.join(small_side(per_row, 96, n), "row_id", "left")
+    per_row = written(place.groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("template", "start", "past"))).alias("spans")), "rows")
+    drop_written(place)
+    side = per_row.select(F.col("row_id").alias("spans_of"), "spans")
+    out = rows.join(small_side(side, 48, arrays=("spans",)), F.col("row_id").eqNullSafe(F.col("spans_of")), "left")
     w = out.select("row_id", words_of(F.col("text")).alias("w"), F.coalesce("spans", F.array().cast("array<struct<template:int,start:int,past:int>>")).alias("spans"))
     phrases = F.array(*(F.array(*(F.lit(x) for x in t.text.split())) for t in templates))
     about = F.array(*(F.struct(F.lit(t.label).alias("label"), F.lit(t.exact).alias("exact")) for t in templates))
@@ -123,11 +140,12 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE, row_id:
     def verified(s: Column) -> Column:
         want = F.get(phrases, s["template"])
         have = F.slice("w", s["start"] + 1, s["past"] - s["start"])
-        # words of the template met in order: each is looked for behind the one before
-        step = lambda acc, x: F.struct(F.when(F.array_position(F.slice(have, acc["at"] + 1, F.size(have)), x) > 0, acc["at"] + F.array_position(F.slice(have, acc["at"] + 1, F.size(have)), x).cast("int")).otherwise(acc["at"]).alias("at"), (acc["n"] + F.when(F.array_position(F.slice(have, acc["at"] + 1, F.size(have)), x) > 0, 1).otherwise(0)).alias("n"))
-        in_order = F.aggregate(want, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), step)["n"] / F.size(want)
-        cover = F.when(F.get(about, s["template"])["exact"], F.when(have == want, 1.0).otherwise(0.0)).otherwise(in_order)
+        cover = F.when(F.get(about, s["template"])["exact"], F.when(have == want, 1.0).otherwise(0.0)).otherwise(common_words(have, want) / F.size(want))
         return F.struct(s["template"].alias("template"), F.get(about, s["template"])["label"].alias("label"), F.get(about, s["template"])["exact"].alias("exact"), s["start"].alias("start"), s["past"].alias("past"), cover.alias("cover"))
 
-    hits = F.when(F.size("spans") > 0, F.filter(F.transform("spans", verified), lambda h: h["cover"] >= COVER)).otherwise(F.array().cast("array<struct<template:int,label:string,exact:boolean,start:int,past:int,cover:double>>"))
-    return w.select("row_id", F.size("w").cast("long").alias("n_words"), hits.alias("hits"))
+    none = F.array().cast("array<struct<template:int,label:string,exact:boolean,start:int,past:int,cover:double>>")
+    hits = F.when(F.size("spans") > 0, F.filter(F.transform("spans", verified), lambda h: h["cover"] >= COVER)).otherwise(none)
+    better = lambda a, b: (a["cover"] > b["cover"]) | ((a["cover"] == b["cover"]) & (a["start"] < b["start"]))
+    beside = lambda a, b: (a["template"] == b["template"]) & ~a["exact"] & (F.abs(a["start"] - b["start"]) <= SHIFT)
+    w = w.select("row_id", F.size("w").cast("long").alias("n_words"), hits.alias("hits"))
+    return w.withColumn("hits", F.filter("hits", lambda h: ~F.exists("hits", lambda o: beside(o, h) & better(o, h))))

@@ -15,12 +15,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import text_slices, written
+from verdigris.llm.common import text_batches, text_slices, written
 
 
 WINDOW = 1024
 #: Pieces a rank bucket holds on average; ranks are counted in buckets, so no task ranks all pieces of a common length.
 BUCKET_PIECES = 512
+#: Buckets of a length at most.
+BUCKETS = 4096
 #: Words whose ids a worker remembers, and bytes of text that it takes at once.
 CACHED_WORDS, SLICE_BYTES = 600_000, 6_000_000
 _workers: dict = {}
@@ -184,6 +186,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
                     cols.append(pa.array(held, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, schema)
 
 
@@ -247,14 +250,17 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
-def ranked(pieces: DataFrame, n_rows: int, order: list[str]) -> DataFrame:
+def ranked(pieces: DataFrame, histogram: dict[int, int], order: list[str]) -> DataFrame:
     """``pieces`` with ``rank``: 0, 1, ... within each ``length``, each rank once.
 
     Ranks are counted within hashed buckets and shifted by the sizes of the buckets before, so a length that most pieces
-    have is spread over many tasks.
+    have is spread over many tasks.  A length has as many buckets as its pieces need, ``BUCKETS`` at most, which is also
+    what the task that adds up a length's sizes gets.
     """
-    buckets = max(1, n_rows // BUCKET_PIECES)
-    p = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    spark = pieces.sparkSession
+    many = [(length, min(BUCKETS, 1 + n // BUCKET_PIECES)) for length, n in histogram.items()]
+    p = pieces.join(F.broadcast(spark.createDataFrame(many, "length long, buckets long")), "length")
+    p = p.withColumn("bucket", F.pmod(F.xxhash64(*order), F.col("buckets"))).drop("buckets")
     sizes = p.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     inner = p.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order)) - 1)
@@ -271,7 +277,7 @@ def assign_sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     table = slots(shortest_pack_first(histogram, window))
     by_length = spark.createDataFrame(table, "length long, first long, past long, base long, offset long")
     by_length = by_length.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "past", "base", "offset"))).alias("slots"))
-    out = ranked(pieces, sum(histogram.values()), ["doc_id", "start", "ids_crc32"] if "ids_crc32" in pieces.columns else ["doc_id", "start"]).join(F.broadcast(by_length), "length")
+    out = ranked(pieces, histogram, ["doc_id", "start", "ids_crc32"] if "ids_crc32" in pieces.columns else ["doc_id", "start"]).join(F.broadcast(by_length), "length")
     out = out.withColumn("slot", F.get(F.filter("slots", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["past"])), F.lit(0)))
     return out.select(*pieces.columns, (F.col("slot.base") + F.col("rank") - F.col("slot.first")).alias("sequence_id"), F.col("slot.offset").alias("offset"))
 
@@ -288,7 +294,9 @@ def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataF
 def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """All documents packed: one row per piece with its sequence and offset there.
 
-    No rows give no rows.  Other columns of ``docs`` are ignored, whatever their names; pieces of equal documents differ by
+    Pieces are written to the shared folder, where the result reads them.  A null doc_id is an id like any other; rows that
+    share an id are packed each, and their pieces can't be told apart but by sequence and offset; texts of any length are cut
+    into pieces of the window; no rows give no rows.  Other columns of ``docs`` are ignored, whatever their names; pieces of equal documents differ by
     their sequence alone.
     """
     return assign_sequences(written(token_pieces(docs, tokenizer_path, doc_id, text, window, end_id, with_ids), "pieces"), window)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import drop_written, small_side, text_slices, written
+from verdigris.llm.common import drop_written, small_side, text_batches, text_slices, written
 
 #: Characters in a class's n-grams, then in the shared backoff counts.
 ORDERS = (6, 4, 2, 1)
@@ -214,6 +214,7 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     so; a null doc_id has fold crc32('') and no label; repeated rows are scored each; without labels every score is low.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
