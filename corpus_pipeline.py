@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import line_dedup, mixing, near_dup, packing, quality
-from verdigris.llm.common import WORD, table, written
+from verdigris.llm.common import WORD, drop_written, free_name, table, written
 from verdigris.llm.queries import WEIGHTS, domain_of, tokenizer_path
 
 #: Words in a shingle and percent of shingles that near-duplicates share; percent of words that near lines share.
@@ -21,14 +21,15 @@ SHARE, SEED = 0.8, 20
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    return quality.quality_filter(docs).where("kept").select(*docs.columns)
+    kept = free_name(docs, "kept")
+    return quality.quality_filter(docs).where(F.col(kept)).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier line is near to; one that had words and keeps none goes."""
-    out = line_dedup.dedup_lines(docs, LINES)
-    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
-    return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    out, removed = line_dedup.dedup_lines(docs, LINES), free_name(docs, "n_removed")
+    out = out.where((F.col(removed) == 0) | F.col("text").rlike(WORD))
+    return out.withColumn("n_chars", F.when(F.col(removed) == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; a stage's table goes when the next one is written, but for the one that the result reads.
+
+    Rows that share a doc_id are documents of their own up to the near-duplicate stage, which keeps one for each id.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, "stage")
+            drop_written(before)
     return docs
