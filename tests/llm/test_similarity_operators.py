@@ -209,12 +209,43 @@ def test_folded_bitmaps_bound_the_overlap():
     import numpy as np
 
     rng = np.random.default_rng(9)
-    for _ in range(200):
+    for _ in range(300):
         a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 900))).astype(np.uint64))
         b = np.unique(np.concatenate([a[: int(rng.integers(0, len(a) + 1))], rng.integers(0, 2**63, int(rng.integers(1, 300))).astype(np.uint64)]))
-        maps = [near_dup.bitmap(a), near_dup.bitmap(b)]
-        p, q = near_dup.folded(maps, min(map(len, maps)) // 8)
         both = len(np.intersect1d(a, b))
         percent = max(1, 100 * both // (len(a) + len(b) - both))
+        maps = [near_dup.bitmap(a, percent), near_dup.bitmap(b, percent)]
+        p, q = near_dup.folded(maps, min(map(len, maps)) // 8)
         if 100 * both >= percent * (len(a) + len(b) - both):
-            assert near_dup._possible(p[None, :], q[None, :], np.array([len(a)]), np.array([len(b)]), percent).all()
+            assert near_dup._possible(p, q, len(a), len(b), percent)
+    a, b = (np.unique(rng.integers(0, 2**63, 2000).astype(np.uint64)) for _ in "ab")
+    b = np.unique(np.concatenate([b, a[:600]]))
+    maps = [near_dup.bitmap(x, 80) for x in (a, b)]
+    p, q = near_dup.folded(maps, min(map(len, maps)) // 8)
+    assert not near_dup._possible(p, q, len(a), len(b), 80)
+
+
+def test_blocks_of_clustered_vectors_hardly_meet(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = cover_tree.unit(rng.normal(size=(300, 64)))
+    x = cover_tree.unit(np.repeat(centres, 40, axis=0) + rng.normal(size=(12_000, 64)) * 0.02)
+    pivots = cover_tree.unit(centres)
+    dots = x @ pivots.T
+    near = dots.argmax(axis=1)
+    far = np.sqrt(np.maximum(0, 2 - 2 * dots.max(axis=1)))
+    monkeypatch.setattr(cover_tree, "BLOCK", 256)
+    kind = (far[:, None] > np.array(cover_tree.SHELLS)).sum(axis=1)
+    stats = [(int(p), int(k), int(m.sum()), float(far[m].min()), float(far[m].max())) for p in range(300) for k in range(3) if (m := (near == p) & (kind == k)).any()]
+    shells, meets = cover_tree.top_tiles(pivots, stats, 0.316)
+    n = 1 + max(c for *_, c, _ in shells)
+    assert n > 30 and len(meets) < 0.1 * n * n, (n, len(meets))
+    # every pair within reach is in blocks that meet
+    cell = {(p, k): c for p, k, c, _ in shells}
+    own = np.array([cell[int(p), int(k)] for p, k in zip(near, kind)])
+    met = {(i, j) for i, j, _ in meets}
+    some = rng.integers(0, len(x), 400)
+    for i in some:
+        for j in np.flatnonzero(x @ x[i] >= 0.95):
+            assert (own[i], own[j]) in met

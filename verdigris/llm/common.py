@@ -91,8 +91,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+#: Nodes that a task's forest holds before it is sent on.
+FOREST_NODES = 500_000
+
+
 def _forest(rows):
-    """Union-find over one task's edges: each node once with its root, so that what is shuffled never exceeds the nodes met."""
+    """Union-find over a task's edges: each node once with its root, so that what is shuffled hardly exceeds the nodes met.
+
+    With ``FOREST_NODES`` nodes the forest so far goes out and a new one begins; joined forests connect what the edges do.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -107,17 +114,23 @@ def _forest(rows):
             x = up
         return top
 
+    def out():
+        nodes = np.fromiter(parent, dtype=np.int64, count=len(parent))
+        roots = np.fromiter((root(x) for x in parent), dtype=np.int64, count=len(parent))
+        keep = nodes != roots
+        return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], names=["u", "v"])
+
     for batch in rows:
+        if len(parent) > FOREST_NODES:
+            yield out()
+            parent.clear()
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             parent.setdefault(a, a)
             parent.setdefault(b, b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = np.fromiter(parent, dtype=np.int64, count=len(parent))
-    roots = np.fromiter((root(x) for x in parent), dtype=np.int64, count=len(parent))
-    keep = nodes != roots
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], names=["u", "v"])
+    yield out()
 
 
 def components(edges: DataFrame, a: str, b: str, label: str = "cc") -> DataFrame:

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import WORD, free_name, small_side, written
+from verdigris.llm.common import WORD, drop_written, free_name, small_side, written
 
 LEVELS = ("domain", "lang", "source")
 #: Documents in a bucket of the seeded order, on average; sums run over buckets, then within one.
@@ -99,7 +99,8 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float] | N
     plan = plan.select(*LEVELS, F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.when(F.col("budget") > 0, 1).otherwise(0)).alias("full"), F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("rest"))
     plan = written(plan, "plan")
 
-    digits = max(1, math.ceil(math.log(max(sums["r"], 1) / BUCKET_ROWS, 16))) if sums["r"] > BUCKET_ROWS else 1
+    # 16 ** digits stretches of a leaf at most, whose sums one task adds up
+    digits = min(3, max(1, math.ceil(math.log(max(sums["r"], 1) / BUCKET_ROWS, 16)))) if sums["r"] > BUCKET_ROWS else 1
     part = stock.join(small_side(plan.where("rest > 0"), 200, sums["n"]), list(LEVELS)).withColumn("key", draw(seed, F.col("full"), F.col("doc")))
     part = part.groupBy(*LEVELS, "rest", "key").agg(F.sum("tokens").alias("tokens")).withColumn("stretch", F.substring("key", 1, digits))
     size = part.groupBy(*LEVELS, "stretch").agg(F.sum("tokens").alias("n"))
@@ -108,6 +109,8 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float] | N
     cut = inside.join(before, [*LEVELS, "stretch"]).where(F.col("before") + F.col("upto") <= F.col("rest")).groupBy(*LEVELS).agg(F.max("key").alias("cut"))
     ends = plan.join(cut, list(LEVELS), "left").where("full > 0 or cut is not null").select(F.struct(*LEVELS).alias(own["_leaf"]), F.struct("full", "cut").alias(own["_cut"]))
     ends = written(ends, "ends")
+    for t in (stock, leaves, plan):
+        drop_written(t)
 
     out = docs.withColumns({own["_leaf"]: leaf, own["n_tokens"]: counted.cast("long")}).join(small_side(ends, 200, sums["n"]), own["_leaf"])
     cut_, full = F.col(f"{own['_cut']}.cut"), F.col(f"{own['_cut']}.full")

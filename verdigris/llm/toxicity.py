@@ -2,9 +2,11 @@
 
 A word is scored character by character.  Each class has its own counts of n-grams of ``ORDERS[0]`` characters (with the
 word's edges); what a class has not seen is smoothed by absolute discounting through counts that the classes share: how
-many different n-grams end in a shorter one.  A text's evidence is the difference of the two log-likelihoods of its words,
-divided by their number; a small logistic fit turns it into a score.  The fit takes a bounded sample of training rows and the
-evidence of a model that hasn't counted them; the model that scores counts them too.
+many different n-grams end in a shorter one.  Evidence is always the difference of the two log-likelihoods of a run of words,
+divided by their number: of the whole text, of the whole text without what a word may differ by chance (``MARGINS``), and of
+its most toxic stretch of each of ``STRETCHES`` words, so that neither a long text hides a short insult nor an expression of
+several words counts word by word alone.  A logistic fit of these differences and nothing else turns them into a score.  The fit takes a bounded sample of training rows and the evidence of a
+model that hasn't counted them; the model that scores counts them too.
 
 Corpus counts cover all training rows, whatever their number: words are counted exactly by a shuffle, and so are the
 n-grams of the distinct words.  The model that is broadcast has one row for each n-gram and context that was counted, under
@@ -25,6 +27,8 @@ DISCOUNT = 0.75
 FLOOR = 1 / 200
 #: Evidence of one word, in nats, that is taken for chance.
 MARGINS = (1.0, 3.0)
+#: Words in the stretches that are compared, and the most that evidence counts, in nats a word.
+STRETCHES, MOST = (1, 2, 4, 8), 12.0
 #: Labelled documents that the logistic fit takes, about, where there are more; the counts take all.
 CALIBRATION_ROWS = 20_000
 SLICE_BYTES = 8_000_000
@@ -123,7 +127,8 @@ def train(labelled: DataFrame) -> dict:
         got = df.select(key, *columns).toArrow()
         keys = got[key].to_numpy()
         order = np.argsort(keys)
-        return keys[order], [got[c].to_numpy()[order].astype(np.float32) for c in columns]
+        counts = [got[c].to_numpy()[order] for c in columns]
+        return keys[order], [c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c for c in counts]
 
     model = {"n": gathered(types, f"g{top}", ["n0", "n1"])}
     seen = [F.sum((F.col(c) > 0).cast("long")) for c in ("n0", "n1")]
@@ -172,17 +177,23 @@ def evidence(model: dict, words: list[str]):
 
 
 def features(model: dict, part):
-    """Rows of features of an Arrow array of texts: length-normalised evidence, whole and beyond each margin, and its largest word."""
+    """Rows of features of an Arrow array of texts: length-normalised evidence of the whole and of the strongest stretches."""
     import numpy as np
 
     rows, codes, names = split_words(part)
     each = evidence(model, names)[codes]
     n = np.bincount(rows, minlength=len(part))
-    mean = lambda x: np.bincount(rows, weights=x, minlength=len(part)) / np.maximum(n, 1)
-    most = np.zeros(len(part))
-    np.maximum.at(most, rows, each)
-    over = [np.log1p(100 * mean(np.maximum(each - m, 0))) for m in MARGINS]
-    return np.stack([np.ones(len(part)), np.clip(mean(each), -1, 1), *over, np.minimum(most, 12) / 4, np.log1p(n) / 8], axis=1)
+    by_word = lambda x: np.bincount(rows, weights=x, minlength=len(part)) / np.maximum(n, 1)
+    mean = by_word(each)
+    total = np.concatenate([[0.0], np.cumsum(each)])
+    out = [np.ones(len(part)), np.clip(mean, -1, 1), *(np.log1p(100 * by_word(np.maximum(each - m, 0))) for m in MARGINS)]
+    for k in STRETCHES:
+        # a text with fewer words is one stretch
+        best = np.where(n < k, mean, -np.inf)
+        start = np.flatnonzero(rows[: len(rows) - k + 1] == rows[k - 1 :]) if len(rows) >= k else np.zeros(0, dtype=np.int64)
+        np.maximum.at(best, rows[start], (total[start + k] - total[start]) / k)
+        out.append(np.clip(best, -MOST, MOST) / 4)
+    return np.stack(out, axis=1)
 
 
 def fit_logistic(x, y, ridge: float = 1.0, steps: int = 30):
@@ -207,11 +218,10 @@ def fit_logistic(x, y, ridge: float = 1.0, steps: int = 30):
 def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", folds: int = 5, held_out: int = 0, calibration_fold: int = 4, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
-    A row's fold is crc32(doc_id as text) mod ``folds``.  Labels of fold ``held_out`` are never read; all others
-    are counted.  About ``calibration_rows`` documents of ``calibration_fold``, drawn by hash, fit the logistic step, or all if
-    there are fewer.  Null and empty
-    texts have no evidence and get a score too; a null label counts as none, and a document with two as toxic if one says
-    so; a null doc_id has fold crc32('') and no label; repeated rows are scored each; without labels every score is low.
+    A row's fold is crc32(doc_id as text) mod ``folds``.  Labels of fold ``held_out`` are never read; all others are counted.
+    About ``calibration_rows`` documents of ``calibration_fold``, drawn by hash, fit the logistic step, or all if there are
+    fewer.  Null and empty texts have no evidence and get a score too; texts of any length are read whole; a null label counts
+    as none, and a document with two as toxic if one says so; a null doc_id has fold crc32('') and no label; repeated rows are scored each; without labels every score is low.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -239,7 +249,7 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     import numpy as np
 
     got = back.select("text", F.col("toxic").cast("double").alias("y")).mapInArrow(probe, "x array<double>, y double").toArrow()
-    x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(-1, 4 + len(MARGINS))
+    x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(-1, 2 + len(MARGINS) + len(STRETCHES))
     weights = fit_logistic(x, np.array(got["y"].to_pylist(), dtype=np.float64))
     without.destroy()
     model = spark.sparkContext.broadcast(train(labelled))
