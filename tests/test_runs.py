@@ -2,6 +2,7 @@
 
 import csv
 import json
+import zipfile
 from pathlib import Path
 
 import pytest
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 
 from verdigris import project
 from verdigris.__main__ import main
-from verdigris.operators import batching, runs
+from verdigris.operators import batching, labeling, program, runs
 from verdigris.operators import sampling as Sa
-from verdigris.plans.registry import Registry
-from verdigris.sources import extract, io
-from verdigris.streaming import resume
+from verdigris.plans.registry import BadDeclaration, Registry
+from verdigris.sources import extract, io, xlsx
+from verdigris.streaming import resume, transcribe
 
 TASKS = """tasks:
   - {id: urgent, type: binary, question: "Is it urgent?"}
@@ -178,3 +179,77 @@ def test_messages_say_how_many_more(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text("\n".join(json.dumps({"doc_id": str(i)}) for i in range(70)))
     with pytest.raises(io.BadData, match="and 20 more"):
         io.load_labels(spark, str(tmp_path / "l.jsonl"))
+
+
+def test_workbooks(spark, tmp_path):
+    r = Registry.of({"tasks": [{"id": "k", "type": "multiclass", "question": "?", "output": {"enum": ["a", "b"]}}, {"id": "flag", "type": "binary", "question": "?"}]})
+    plan = spark.createDataFrame([("d1", False), ("d2", True)], "doc_id string, is_prefilled boolean")
+    values = spark.createDataFrame([("d2", ("b", "true"))], "doc_id string, values struct<k:string,flag:string>")
+    path = str(tmp_path / "s.xlsx")
+    labeling.write_workbook(labeling.sheet_frame(plan, values, r), r, path)
+    head, rows = xlsx.read_xlsx(path)
+    assert head == ["file_name", "notes", "k", "flag"] and rows == [["d1", "", "", ""], ["d2", "", "b", "yes"]]
+    assert [tuple(x) for x in io.read_sheet(spark, path, r).orderBy("doc_id").collect()] == [("d1", "", "", ""), ("d2", "", "b", "yes")]
+    xlsx.write_xlsx(tmp_path / "odd.xlsx", ["a", "b"], [["x & <y>\x01", " é"], ["", ""]], {0}, {"a": ["z" * 300]})
+    assert xlsx.read_xlsx(tmp_path / "odd.xlsx") == (["a", "b"], [["x & <y>", "é"]])
+    with zipfile.ZipFile(tmp_path / "typed.xlsx", "w") as z, zipfile.ZipFile(path) as old:
+        for n in old.namelist():
+            body = old.read(n).decode()
+            if n.endswith("sheet1.xml"):
+                body = body[: body.index("<sheetData>")] + '<sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>h</t></is></c><c r="C1" t="inlineStr"><is><t>i</t></is></c></row><row r="3"><c r="A3" t="b"><v>1</v></c><c r="B3" s="3"><v>45292</v></c><c r="C3"><v>2.50</v></c></row></sheetData></worksheet>'
+            if n.endswith("styles.xml"):
+                body = body.replace("</cellXfs>", '<xf numFmtId="14"/></cellXfs>')
+            z.writestr(n, body)
+    assert xlsx.read_xlsx(tmp_path / "typed.xlsx") == (["h", "", "i"], [["", "", ""], ["yes", "2024-01-01", "2.50"]])
+
+
+def test_programs(spark, tmp_path):
+    r = Registry.of({"tasks": [{"id": "a", "type": "binary", "question": "A?"}, {"id": "b", "type": "extract_exact", "question": "B?", "group": "two words"}]})
+    asked = []
+
+    def ask(prompts, attempt):
+        asked.append((len(prompts), attempt))
+        return [f"[[ ## a ## ]]\nyes" if "A?" in p else "[[ ## b ## ]]\nnull" if "good" in p else "nothing" for p in prompts]
+
+    out = program.build_program(r, ask)([("1", "good"), ("2", "bad")], 1)
+    assert out[0] == {"a": "yes", "b": None} and isinstance(out[1], ValueError)
+    p = program.Program.of(r)
+    p.demos.append({"text": "shown", "labels": {"a": True, "b": "x"}})
+    p.save(tmp_path / "p.json")
+    again = program.Program.load(tmp_path / "p.json", r)
+    assert again == p and "shown" in again.prompt(r, "all", "t") and "[[ ## b ## ]]\nx" in again.prompt(r, "two words", "t")
+    with pytest.raises(BadDeclaration):
+        program.Program.load(tmp_path / "p.json", Registry.of({"tasks": [{"id": "a", "type": "binary", "question": "A?"}]}))
+    asked.clear()
+    held = program.cached(ask, {})
+    held(["A? x", "A? x"], 1), held(["A? x"], 1), held(["A? x"], 2)
+    assert asked == [(1, 1), (1, 2)]
+    assert program.attribute_for("two words") != program.attribute_for("two-words") and program.attribute_for("all") == "all"
+    assert program.ModelConfig("m", thinking=False).options()["thinking"] == "off" and not program.ModelConfig("m").priced
+    with pytest.raises(BadDeclaration):
+        program.ModelConfig("m", effort="low", thinking=False)
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def read(image):
+        (log / f"{image.decode()}-{len(list(log.iterdir()))}").write_text("")
+        if image == b"bad":
+            raise ValueError
+        return image.decode().upper(), image != b"cut"
+
+    pages = spark.createDataFrame([("d", 0, bytearray(b"one")), ("d", 1, bytearray(b"cut")), ("e", 0, bytearray(b"one")), ("e", 1, bytearray(b"bad"))], "doc_id string, page int, image binary").coalesce(1)
+    for _ in range(2):
+        got = {(r["doc_id"], r["page"]): (r["text"], r["status"]) for r in transcribe.transcribe(pages, read, str(tmp_path / "cache"), retries=1).collect()}
+        assert got == {("d", 0): ("ONE", "complete"), ("d", 1): ("CUT", "truncated"), ("e", 0): ("ONE", "complete"), ("e", 1): (None, "failed")}
+    assert sum(p.name.startswith("one") for p in log.iterdir()) == 1 and sum(p.name.startswith("bad") for p in log.iterdir()) == 2
+
+
+def test_spend_is_read(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{"model": "m", "input_tokens": 5, "usd": 0.1}\n')
+    assert io.load_spend(spark, str(tmp_path / "s.jsonl")).first()["input_tokens"] == 5
+    (tmp_path / "s.jsonl").write_text("no\n")
+    with pytest.raises(io.BadData):
+        io.load_spend(spark, str(tmp_path / "s.jsonl"))

@@ -119,7 +119,11 @@ def label_sheet(c: Context, args) -> None:
     if args.predictions:
         p = io.load_predictions(c.spark, args.predictions).where("predicted is not null")
         values = p.select("doc_id", F.struct(*(F.try_element_at("predicted", F.lit(t.id)).alias(t.id) for t in c.registry)).alias("values"))
-    labeling.write_sheet(labeling.sheet_frame(plan, values, c.registry), c.path("sheet"))
+    sheet = labeling.sheet_frame(plan, values, c.registry)
+    if args.xlsx:
+        labeling.write_workbook(sheet, c.registry, c.path("sheet.xlsx"))
+    else:
+        labeling.write_sheet(sheet, c.path("sheet"))
 
 
 def import_labels(c: Context, args) -> None:
@@ -212,7 +216,7 @@ COMMANDS = {
     "status": (status, ()), "check-tasks": (check_tasks, ()), "newproject": (newproject, ()),
     "extract": (extract_command, (("--documents", {}), ("--extractor", {"default": "plain"}), ("--suffix", {"default": "pdf"}))),
     "sample-labels": (sample_labels, (("--n", {"type": int, "default": 120}), ("--holdout", {"type": float, "default": 0.25}), ("--seed", {"type": int, "default": 1}), ("--prefill", {"action": "store_true"}))),
-    "label-sheet": (label_sheet, (("--predictions", {}),)), "import-labels": (import_labels, (("sheet", {}),)), "audit-labels": (audit_labels, ()),
+    "label-sheet": (label_sheet, (("--predictions", {}), ("--xlsx", {"action": "store_true"}))), "import-labels": (import_labels, (("sheet", {}),)), "audit-labels": (audit_labels, ()),
     "make-splits": (make_splits, (("--reason", {"default": ""}),)), "run-baseline": (run_baseline, (("--name", {"default": "zero_shot"}),)), "compile": (compile_command, (("--name", {"default": ""}),)),
     "holdout": (holdout, (("--who", {"required": True}), ("--reason", {"default": ""}))), "production": (production, ()),
     "rescore": (rescore, (("pairs", {"help": "parquet with doc_id and gold and pred structs"}), ("out", {}))), "adjudicate": (adjudicate, (("pairs", {}),)), "close": (close, (("--notes", {}),)),

@@ -176,3 +176,13 @@ def sheet_frame(plan: DataFrame, values: DataFrame | None, registry: Registry, t
 def write_sheet(sheet: DataFrame, path: str) -> None:
     """The sheet as one CSV file with a header, for a person to open: a sample, so one task writes it."""
     sheet.coalesce(1).sortWithinPartitions("file_name").write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def write_workbook(sheet: DataFrame, registry: Registry, path: str) -> None:
+    """The sheet as an XLSX workbook: rows to be labelled blind are shaded, enums have drop-down lists."""
+    from verdigris.sources.xlsx import write_xlsx
+
+    rows = [["" if v is None else str(v) for v in r] for r in sheet.orderBy("file_name").collect()]
+    blind = {i for i, r in enumerate(rows) if not any(r[2:])}
+    choices = {t.id: ["yes", "no"] if t.type == "binary" else list(t.enum) for t in registry if t.type in ("binary", "multiclass")}
+    write_xlsx(path, sheet.columns, rows, blind, choices)

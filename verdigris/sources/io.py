@@ -65,8 +65,19 @@ def outputs_json(outcomes: DataFrame, values: str = "values") -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str, registry: Registry) -> DataFrame:
-    """(doc_id, notes, a STRING column per task) of a CSV sheet keyed by file_name or doc_id; missing task columns are an error."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    """(doc_id, notes, a STRING column per task) of a sheet, CSV or XLSX, keyed by file_name or doc_id.
+
+    Missing task columns are an error; a workbook is a sample that a person filled in, so the driver reads it.
+    """
+    if path.lower().endswith(".xlsx"):
+        from verdigris.sources.xlsx import read_xlsx
+
+        head, rows = read_xlsx(path)
+        if not head:
+            raise BadData("the workbook has no rows")
+        raw = spark.createDataFrame(rows, ", ".join(f"`{h}` string" for h in head))
+    else:
+        raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
     names = {c.lstrip("﻿").strip(): c for c in raw.columns}
     key = next((k for k in ("file_name", "doc_id") if k in names), None)
     if key is None:
@@ -98,3 +109,11 @@ def append_ledger(rows: DataFrame, path: str) -> None:
     if unknown := set(rows.columns) - set(LEDGER):
         raise BadData(f"the ledger has no columns {sorted(unknown)}")
     rows.select(*(F.col(c) if c in rows.columns else F.lit("").alias(c) for c in LEDGER)).write.mode("append").option("header", True).csv(path)
+
+
+def load_spend(spark: SparkSession, path: str) -> DataFrame:
+    """Spend entries of JSON lines; broken lines are an error."""
+    rows = read_json(spark, path, SPEND)
+    if bad := rows.where("_bad is not null").limit(SHOWN).collect():
+        raise BadData("; ".join(f"no JSON: {r['_bad'][:60]}" for r in bad))
+    return rows.drop("_bad")
