@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 from test_similarity_operators import groups, plain_lines, shingles
 from test_small_operators import plain_mix
@@ -31,6 +32,7 @@ def plain_pipeline(rows):
 
 
 def test_run(spark, tmp_path):
+    import numpy as np
     from tokenizers import Tokenizer
 
     rng = random.Random(9)
@@ -51,11 +53,20 @@ def test_run(spark, tmp_path):
     want = plain_pipeline(rows)
     got = P.run(spark, str(tmp_path)).collect()
     tok = Tokenizer.from_file(tokenizer_path())
-    sizes = {}
+    ids = {d: tok.encode(t, add_special_tokens=False).ids + [0] for d, t in want.items()}
+    pieces, sequences = {}, {}
     for r in got:
-        sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["length"]
-        assert r["doc_tokens"] == len(tok.encode(want[r["doc_id"]], add_special_tokens=False).ids) + 1
-    assert set(sizes) == set(want) and all(n == next(r["doc_tokens"] for r in got if r["doc_id"] == d) for d, n in sizes.items())
+        pieces.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append(r)
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["doc_tokens"] == len(ids[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(np.array(part, dtype="<u4").tobytes())
+    assert set(pieces) == set(want)
+    for d, rs in pieces.items():
+        rs.sort(key=lambda r: r["start"])
+        assert [r["start"] for r in rs] == [sum(x["length"] for x in rs[:i]) for i in range(len(rs))] and sum(r["length"] for r in rs) == len(ids[d])
+    for rs in sequences.values():
+        rs.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in rs] == [sum(x["length"] for x in rs[:i]) for i in range(len(rs))] and sum(r["length"] for r in rs) <= 1024
 
 
 def test_stages_on_nothing(spark):
@@ -65,3 +76,19 @@ def test_stages_on_nothing(spark):
         assert out.count() == 0, name
         if name != P.STAGES[-1][0]:
             assert out.columns == none.columns
+
+
+def test_stages_on_odd_rows(spark):
+    """Columns with the stages' own names, repeated ids, a very long text, nulls: columns stay, and no stage fails."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    long = "\n".join(text(40) for _ in range(400))
+    rows = [(i, text(80), "en", "src0", 1, False, "x", 5) for i in range(20)] + [(3, rows_text := text(90), "en", "src0", 1, False, "x", 5), (3, rows_text, "en", "src0", 1, False, "x", 5), (50, long, None, None, None, None, None, None), (None, text(70), "de", "src1", 1, True, "y", 6), (51, None, "en", "src2", 0, True, "z", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n_removed string, length long")
+    docs = df
+    for name, stage in P.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), df.schema)
+        assert docs.columns == df.columns, name
+        if name == "n-gram Jaccard join":
+            assert docs.where("doc_id = 3").count() == 1 and docs.where("doc_id is null").count() == 1
+    assert P.packing_stage(spark, docs, "").count() >= docs.count()

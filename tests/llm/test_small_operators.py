@@ -284,3 +284,28 @@ def test_mixing_odd_rows(spark):
     out = mixing.mix(df, F.lit("d"), {"domain": None, "lang": None, "source": None}, share=1.0)
     assert out.columns[-1] == "_epoch" and out.where("doc_id is null").count() == 1
     assert mixing.mix(df.limit(0), F.lit("d"), {}, share=1.0).count() == 0
+
+
+def test_packing_odd_rows(spark):
+    """Repeated and null ids, columns with the names of the result, all lengths of one kind."""
+    docs = spark.createDataFrame([(1, "same text", 5, 7, 9), (1, "same text", 5, 7, 9), (None, "no id", 5, 7, 9), (2, None, 5, 7, 9)] + [(10 + i, "word " * 400, 0, 0, 0) for i in range(30)], "doc_id long, text string, length long, start long, sequence_id long")
+    got = packing.pack_documents(docs, tokenizer_path()).collect()
+    by_seq = {}
+    for r in got:
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+    for rs in by_seq.values():
+        rs.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in rs] == [sum(x["length"] for x in rs[:i]) for i in range(len(rs))] and sum(r["length"] for r in rs) <= 1024
+    assert sum(r["doc_id"] == 1 for r in got) == 2 and sum(r["doc_id"] is None for r in got) == 1 and next(r for r in got if r["doc_id"] == 2)["length"] == 1
+
+
+def test_very_long_texts(spark):
+    long = "word " * 300_000 + "\n" + "x" * 1_000_000
+    docs = spark.createDataFrame([(1, long, "en", "s1"), (1, long, "en", "s1"), (2, "short text", "en", "s1")], "doc_id long, text string, lang string, source string")
+    stats = {r["doc_id"]: r for r in quality.quality_filter(docs, stats=True).collect()}
+    assert tuple(stats[1][n] for n in quality.STATS) == plain_counts(long)
+    out = mixing.mix(docs, F.lit("d"), {"domain": None, "lang": None, "source": None}, share=1.0).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["epoch"]) for r in out) == [(1, 300_001, 0), (1, 300_001, 0), (2, 2, 0)]
+    talk = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", long)], "conv_id long, seq long, role string, text string")
+    back = chat.read_back(chat.format_conversations(talk)).first()
+    assert back["turns"][1]["text"] == long and back["loss_texts"] == [long]
