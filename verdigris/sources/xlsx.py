@@ -62,7 +62,7 @@ def write_xlsx(path: str | Path, columns: list[str], rows: list[list[str]], shad
 
 def _plain(value: str) -> str:
     """Without characters that XML has no form for."""
-    return re.sub(r"[^\t\n\r\x20-퟿-�\U00010000-\U0010FFFF]", "", value)
+    return re.sub("[^\t\n\r\x20-퟿-�\U00010000-\U0010ffff]", "", value)
 
 
 def read_xlsx(path: str | Path) -> tuple[list[str], list[list[str]]]:
