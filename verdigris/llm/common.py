@@ -91,8 +91,8 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-#: Nodes that a task's forest holds before it is sent on.
-FOREST_NODES = 500_000
+#: Nodes that a task's forest holds before it is sent on, and edges that one task takes by itself.
+FOREST_NODES, FEW_EDGES = 500_000, 100_000
 
 
 def _forest(rows):
@@ -136,7 +136,8 @@ def _forest(rows):
 def components(edges: DataFrame, a: str, b: str, label: str = "cc") -> DataFrame:
     """Connected components of the undirected ``edges``: rows (node long, component_id long = smallest node reachable).
 
-    Each task first reduces its edges to a spanning forest; then rounds of large-star and small-star hang every node
+    Each task first reduces its edges to a spanning forest; if at most ``FEW_EDGES`` edges are left, one task joins them, else
+    rounds of large-star and small-star hang every node
     on a smaller one until nothing changes.  A round shuffles by node with a map-side ``min``, so a hub is one small sum
     per task; lineage is cut by a table in the shared folder after each round.  Nulls and loops are ignored; no edges
     give no rows.
@@ -146,6 +147,10 @@ def components(edges: DataFrame, a: str, b: str, label: str = "cc") -> DataFrame
     mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     now = written(e.distinct(), label)
     before = mark(now)
+    if before[0] <= FEW_EDGES:  # one task's forest is the answer
+        few, now = now, written(now.coalesce(1).mapInArrow(_forest, "u long, v long"), label)
+        drop_written(few)
+        before = (0, None)
     while before[0]:
         # large-star: neighbours larger than a node go to the smallest of its neighbourhood
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -12,10 +12,10 @@ set with Jaccard similarity of ``percent``/100 or more; whether that earlier lin
    set is therefore keyed by the runs in its prefix, the first words that such a run can reach to (prefix filter).  Few sets
    share a run of rare words, so groups stay small where single words would make large ones.  Words that share a place in the
    order only make keys that more sets share.
-4. A group's sets are held against its first one; sizes (length filter), the places of the shared run (positional filter) and
+4. A group's sets are held against its first one and the one before; sizes (length filter), the places of the shared run (positional filter) and
    parities of the words' hashes, which differ in no more bits than the sets do in words, bound the overlap from above.  What
    is left is verified on the words themselves.
-5. Sets that no first one settled are held against all earlier sets of their groups and verified again.
+5. Sets that this did not settle are held against all earlier sets of their groups and verified again.
 
 Sets without a clean run of ``RUN`` words, where ``percent`` is low, take single words, as in the plain prefix.
 
@@ -116,9 +116,9 @@ def prefix_length(n: Column, run: int, percent: int) -> Column:
 
 
 def postings(lines: DataFrame, classes: bytes, size: int, percent: int) -> DataFrame:
-    """(key, doc_id, at, flips) of the sets that can have a partner of another set.
+    """(key, doc_id, at, flips, flops) of the sets that can have a partner of another set.
 
-    ``at`` packs line number, size and place, ``flips`` the parities of the words' hashes in 64 classes.
+    ``at`` packs line number, size and place; ``flips`` and ``flops`` are the parities of the words' hashes in 128 classes.
     """
     # a set without its like in size has no partner: the next larger one holds it and one word more
     kept = lines.where(100 * F.col("n").cast("long") >= percent * (F.col("n").cast("long") + 1))
@@ -144,32 +144,35 @@ def _keyed(lines: DataFrame, classes: bytes, size: int, run: int, percent: int)
     place = lambda h: F.shiftleft(class_at(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 32 - HASH_BITS))
     prefix = F.slice(F.sort_array(F.transform("h", place)), F.lit(1), prefix_length(F.col("n"), run, percent)).alias("pre")
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h)  # noqa: E731  # by the low six bits
-    flips = F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h))).alias("flips")
-    lines = lines.select("doc_id", "line_no", "n", flips, prefix)
+    zero = F.lit(0).cast("long")
+    half = lambda which: F.aggregate("h", zero, lambda acc, h: F.when(h.bitwiseAND(64) == which, acc.bitwiseXOR(bit(h))).otherwise(acc))
+    lines = lines.select("doc_id", "line_no", "n", half(0).alias("flips"), half(64).alias("flops"), prefix)
     keys = F.col("pre")
     count = F.greatest(F.size("pre") - (run - 1), F.lit(0))
     for i in range(1, run):
         keys = F.zip_with(F.slice(keys, F.lit(1), count), F.slice("pre", F.lit(1 + i), count), lambda a, b: F.xxhash64(a, b))
     narrow = lambda c: F.least(F.col(c), F.lit(WIDE)).cast("long")
     line = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.shiftleft(narrow("n"), 16))
-    each = lines.select("doc_id", line.alias("line"), "flips", F.posexplode(keys).alias("pos", "key"))
-    return each.select(F.xxhash64("key", F.lit(run)).alias("key"), "doc_id", F.col("line").bitwiseOR(narrow("pos")).alias("at"), "flips")
+    each = lines.select("doc_id", line.alias("line"), "flips", "flops", F.posexplode(keys).alias("pos", "key"))
+    return each.select(F.xxhash64("key", F.lit(run)).alias("key"), "doc_id", F.col("line").bitwiseOR(narrow("pos")).alias("at"), "flips", "flops")
 
 
 def line_no(at: str) -> Column:
     return F.shiftright(at, 32).cast("int")
 
 
-def possible(x: str, y: str, p: str, q: str, percent: int) -> Column:
-    """Length, positional and parity filter for two packed places ``x`` and ``y`` and parities ``p`` and ``q``.
+def possible(one: str, other: str, percent: int) -> Column:
+    """Length, positional and parity filter for two sets whose columns end in ``one`` and ``other``.
 
     Sizes must be near; what can be shared is what stands before and behind the key; linked sets differ in at most
     (n + m) * (100 - percent) / (100 + percent) words, each of which flips one parity.
     """
+    x, y = f"at{one}", f"at{other}"
     n, m = (F.shiftright(c, 16).bitwiseAND(F.lit(WIDE)) for c in (x, y))
     i, j = (F.col(c).bitwiseAND(F.lit(WIDE)) for c in (x, y))
     most = F.least(i, j) + F.least(n - i, m - j)
-    differ = F.bit_count(F.col(p).bitwiseXOR(F.col(q)))
+    parities = lambda c: F.bit_count(F.col(f"{c}{one}").bitwiseXOR(F.col(f"{c}{other}")))
+    differ = parities("flips") + parities("flops")
     sized = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
     return (sized & ((100 + percent) * most >= percent * (n + m))) | (n == WIDE) | (m == WIDE)
 
@@ -204,8 +207,8 @@ def repeats(hashed: DataFrame) -> DataFrame:
 
 
 def met_sets(hashed: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, at, flips, hd, ha, place, near_head) of sets behind the first of their group: that first one's document and
-    place, the set's own place in the group, and whether the two can be near.
+    """(key, doc_id, at, flips, flops, doc_id1, at1, doc_id3, at3, place, near1, near3) of sets behind the first of their group:
+    document and packed place of the first and of the set before, its own place in the group, and whether they can be near.
 
     A set that can't be near the first, and with which no third one stands, is left out.
     """
@@ -213,28 +216,31 @@ def met_sets(hashed: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
     once = hashed.join(small_side(copies, 56), ["doc_id", "line_no", "h1", "h2"], "left_anti")
     group = Window.partitionBy("key").orderBy("doc_id", "at")
     head = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = ("doc_id", "at", "flips", "flops")
     met = postings(once, classes, size, percent).select(
-        "key", "doc_id", "at", "flips", F.first("doc_id").over(head).alias("hd"), F.first("at").over(head).alias("ha"), F.first("flips").over(head).alias("hf"),
+        "key", *own, *(F.first(c).over(head).alias(f"{c}1") for c in own), *(F.lag(c).over(group).alias(f"{c}3") for c in own),
         F.row_number().over(group).alias("place"), F.lead("at").over(group).isNull().alias("last"),
     )
-    met = met.where("place > 1").withColumn("near_head", possible("at", "ha", "flips", "hf", percent))
     # lines of one document number that share a line number, from repeated ids, are not earlier than each other
-    other = (F.col("doc_id") != F.col("hd")) | (line_no("at") != line_no("ha"))
-    return written(met.withColumn("near_head", F.col("near_head") & other).where("near_head or place > 2 or not last").drop("hf", "last"), "met")
+    other = lambda i: (F.col("doc_id") != F.col(f"doc_id{i}")) | (line_no("at") != line_no(f"at{i}"))
+    met = met.where("place > 1").withColumns({f"near{i}": possible("", f"{i}", percent) & other(i) for i in (1, 3)})
+    return written(met.where("near1 or near3 or place > 2 or not last").drop("flips1", "flops1", "flips3", "flops3", "last"), "met")
 
 
 def near_lines(met: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, line_no) of the lines, first of their set, that an earlier line's other set is near to."""
-    as_pair = lambda df, d1, a1, d2, a2: df.select(F.col(d1).alias("d1"), line_no(a1).alias("l1"), F.col(d2).alias("d2"), line_no(a2).alias("l2")).distinct()
-    heads = written(as_pair(met.where("near_head"), "hd", "ha", "doc_id", "at"), "heads")
+    pair = lambda a, b: (F.col(f"doc_id{a}").alias("d1"), line_no(f"at{a}").alias("l1"), F.col(f"doc_id{b}").alias("d2"), line_no(f"at{b}").alias("l2"))
+    heads = written(met.where("near1").select(*pair("1", "")).union(met.where("near3").select(*pair("3", ""))).distinct(), "heads")
     settled = verified(heads, docs, percent)
 
-    # sets that no first one settled, with those between
-    late = met.where("place > 2").withColumn("line_no", line_no("at")).join(small_side(settled, 32), ["doc_id", "line_no"], "left_anti")
-    late = late.select("key", F.col("doc_id").alias("d2"), F.col("at").alias("a2"), F.col("flips").alias("f2"))
-    early = met.select("key", F.col("doc_id").alias("d1"), F.col("at").alias("a1"), F.col("flips").alias("f1"))
-    earlier = (F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (line_no("a1") < line_no("a2")))
-    others = as_pair(late.join(early.hint("merge"), "key").where(earlier & possible("a1", "a2", "f1", "f2", percent)), "d1", "a1", "d2", "a2")
+    # sets that are still open, with those between: a line's few keys stand beside the word that it is settled
+    own = ("doc_id", "at", "flips", "flops")
+    late = met.where("place > 2").select("key", *own, line_no("at").alias("line_no"), F.lit(False).alias("done"))
+    late = late.unionByName(settled.withColumn("done", F.lit(True)), allowMissingColumns=True)
+    late = late.withColumn("done", F.max("done").over(Window.partitionBy("doc_id", "line_no"))).where("key is not null and not done")
+    side = lambda df, i: df.select("key", *(F.col(c).alias(f"{c}{i}") for c in own))
+    earlier = (F.col("doc_id1") < F.col("doc_id2")) | ((F.col("doc_id1") == F.col("doc_id2")) & (line_no("at1") < line_no("at2")))
+    others = side(late, 2).join(side(met, 1).hint("merge"), "key").where(earlier & possible("1", "2", percent)).select(*pair("1", "2")).distinct()
     others = written(others.join(heads.hint("merge"), ["d1", "l1", "d2", "l2"], "left_anti"), "others")
     again = verified(others, docs, percent)
     out = written(settled.union(again).distinct(), "near")

@@ -7,9 +7,10 @@ Two texts link when the Jaccard similarity of their sets of word n-grams is at l
   sizes, so if n-grams are dealt by hash into more than ``d`` cells, some cell is equal on both sides.  A tile is (band, cell,
   hash of the cell's n-grams); a set has tiles of its own band and of every band that a larger linked set can be in.  Every
   linked pair meets in a tile, unrelated texts hardly ever do.
-* In a round, a text meets one anchor of its tiles; a pair goes on only if the bitmaps of their hashed n-grams allow it: bits
-  set in one bitmap but not in the other are n-grams missing from the other, which bounds the overlap from above.  A bitmap has
-  bits in proportion to its set; of two, the longer is folded to the shorter one's length.
+* In a round, a text meets one anchor of its tiles; a pair goes on only if the bitmaps of their hashed n-grams allow it.  A bit
+  is the parity of the n-grams that hash to it, so two bitmaps differ in no more bits than the sets do in n-grams: the count of
+  differing bits bounds the overlap from above, and does not saturate as the set grows.  A bitmap has bits in proportion to
+  what linked sets of its size can differ in; of two, the longer is folded to the shorter one's length.
 * What is left is settled by the exact intersection of the two sorted arrays, for all texts that meet an anchor in one go.
 * After each round, tiles whose members are all connected are done.  In the last round, members outside a tile's largest
   component meet all its members across components, block by block, so every link between different components is found.
@@ -17,7 +18,7 @@ Two texts link when the Jaccard similarity of their sets of word n-grams is at l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import components, drop_written, free_name, small_side, text_batches, text_slices, written
@@ -26,10 +27,10 @@ from verdigris.llm.common import components, drop_written, free_name, small_side
 BAND = 1.25
 #: Cells beyond those that differences can spoil: this many more must be equal, so that equal empty cells don't count.
 SPARE = 2
-#: Bits of a bitmap for each n-gram of its set, up to a power of two, and bits at least.
-GRAM_BITS, LEAST_BITS = 4, 64
+#: Bits of a bitmap for each n-gram that a linked set of the same size can differ in, up to a power of two, and bits at least.
+SPREAD, LEAST_BITS = 3, 64
 #: Rounds of anchors before blocks of tiles meet, members of a block, and texts that meet one copy of an anchor's text.
-ROUNDS, BLOCK, SHARE = 3, 512, 64
+ROUNDS, BLOCK, SHARE = 2, 512, 64
 SLICE_BYTES = 4_000_000
 
 
@@ -131,26 +132,29 @@ def tile_keys(grams, percent: int, starts: list[int]):
     return np.concatenate(out).view(np.int64)
 
 
-def bitmap(grams):
-    """Bits of the n-grams' hashes, as many as the next power of two holds for each."""
+def bitmap(grams, percent: int):
+    """Parities of the n-grams by hash, as many as a power of two that leaves unlike sets apart."""
     import numpy as np
 
-    size = max(LEAST_BITS, 1 << (GRAM_BITS * len(grams) - 1).bit_length()) if len(grams) else LEAST_BITS
-    bits = np.zeros(size, dtype=np.uint8)
-    bits[(grams & np.uint64(size - 1)).astype(np.int64)] = 1
+    need = SPREAD * 2 * len(grams) * (100 - percent) // (100 + percent)
+    size = max(LEAST_BITS, 1 << max(0, need - 1).bit_length())
+    bits = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 def folded(maps: list, words: int):
-    """Bitmaps of any lengths as rows of ``words`` 64-bit words: halves of a longer one are laid over each other."""
+    """Bitmaps of any lengths as rows of ``words`` 64-bit words: halves of a longer one are added up by parity."""
     import numpy as np
 
     out = np.zeros((len(maps), words), dtype=np.uint64)
-    for i, m in enumerate(maps):
-        row = np.frombuffer(m, dtype=np.uint64)
-        while len(row) > words:
-            row = row[: len(row) // 2] | row[len(row) // 2 :]
-        out[i] = row
+    sizes = np.fromiter(map(len, maps), dtype=np.int64, count=len(maps)) // 8
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        rows = np.frombuffer(b"".join([maps[i] for i in at]), dtype=np.uint64).reshape(len(at), size)
+        while rows.shape[1] > words:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        out[at] = rows
     return out
 
 
@@ -172,20 +176,17 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 tiles = [tile_keys(g, percent, starts) if len(g) else np.zeros(0, dtype=np.int64) for g in sets]
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tiles])]), pa.int32()), pa.array(np.concatenate(tiles)))
                 hi, lo = (np.frombuffer(b"".join(m[i : i + 8] for m in marks), dtype="<i8") for i in (0, 8))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([len(g) for g in sets], pa.int64()), pa.array(hi), pa.array(lo), flat, pa.array([bitmap(g) for g in sets], pa.binary())], names=[x.split()[0] for x in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([len(g) for g in sets], pa.int64()), pa.array(hi), pa.array(lo), flat, pa.array([bitmap(g, percent) for g in sets], pa.binary())], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.mapInArrow(sign, schema)
 
 
 def _possible(p, q, n, m, percent: int):
-    """Whether sets of ``n`` and ``m`` with bitmaps ``p`` and ``q`` can link: bits of one that the other lacks bound the overlap."""
+    """Whether sets of ``n`` and ``m`` with bitmaps ``p`` and ``q`` can link: each differing bit is an n-gram that one set lacks."""
     import numpy as np
 
-    both = np.bitwise_count(p & q).sum(axis=-1, dtype=np.int64)
-    lack = np.bitwise_count(p).sum(axis=-1, dtype=np.int64) - both
-    over = np.bitwise_count(q).sum(axis=-1, dtype=np.int64) - both
-    most = np.minimum(n - lack, m - over)
-    return 100 * most >= percent * (n + m - most)
+    differ = np.bitwise_count(p ^ q).sum(axis=-1, dtype=np.int64)
+    return (100 + percent) * differ <= (100 - percent) * (n + m)
 
 
 def _allowed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -300,11 +301,11 @@ def _links(shared: DataFrame, sizes: DataFrame, rows: DataFrame, n: int, percent
         if turn and links.isEmpty():
             now = shared.withColumn("comp", F.col("row_id"))
         elif turn:
-            comps = written(components(links, "a", "b"), "comps")
-            side = small_side(comps.withColumnRenamed("node", "row_id"), 32)
-            now = shared.join(side, "row_id", "left").withColumn("comp", F.coalesce("component_id", "row_id")).drop("component_id")
-            now = written(now, "now")
-            drop_written(comps)
+            # a text's few tiles stand beside its component
+            comps = components(links, "a", "b").select(F.col("node").alias("row_id"), F.col("component_id").alias("comp"))
+            both = shared.unionByName(comps, allowMissingColumns=True)
+            comp = F.coalesce(F.max("comp").over(Window.partitionBy("row_id")), F.col("row_id"))
+            now = written(both.withColumn("comp", comp).where("tile is not null"), "now")
         else:
             now = shared.withColumn("comp", F.col("row_id"))
         pairs = _anchored(now, sizes, percent, turn) if turn < ROUNDS else written(_blocks(now, sizes, percent), "pairs")
