@@ -278,11 +278,16 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, row_id: str
     # only tiles with two texts or more go on; counts are summed where tiles are read, so a tile of very many is no load
     tiles = nodes.select("row_id", F.explode("tiles").alias("tile"))
     many = written(tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("tile"), "many")
-    shared = written(tiles.join(small_side(many, 24), "tile", "left_semi"), "tiles")
+    every = written(tiles.join(small_side(many, 24), "tile", "left_semi"), "tiles")
+    # of tiles with the same members, known by their number and 128 bits over them, one says it all
+    marks = (F.bit_xor(F.xxhash64("row_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row_id")).alias("y"))
+    kinds = every.groupBy("tile").agg(F.count(F.lit(1)).alias("members"), *marks).groupBy("members", "x", "y").agg(F.min("tile").alias("tile"))
+    kinds = written(kinds.select("tile"), "kinds")
+    shared = written(every.join(small_side(kinds, 24), "tile", "left_semi"), "tiles")
     met = small_side(written(shared.select("row_id").distinct(), "met"), 24)
     sizes = written(nodes.select("row_id", "n", "bits").join(met, "row_id", "left_semi"), "sizes")
     ids = written(signed.select("row_id", "n_shingles", "set_hi", "set_lo"), "ids")
-    for t in (signed, many, met):
+    for t in (signed, many, every, kinds, met):
         drop_written(t)
     links = _links(shared, sizes, rows, n, percent)
     # an id with several texts joins their nodes
