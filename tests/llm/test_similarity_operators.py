@@ -251,3 +251,31 @@ def test_blocks_of_clustered_vectors_hardly_meet(spark, monkeypatch):
     for i in some:
         for j in np.flatnonzero(x @ x[i] >= 0.95):
             assert (own[i], own[j]) in met
+
+
+def shuffled_bytes(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_blocks_that_all_meet_are_not_copied(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32))
+    x[2000:2400] = x[:400] + rng.normal(size=(400, 32)) * 0.02
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(cover_tree, "BLOCK", 64)
+    monkeypatch.setattr(cover_tree, "PIVOTS", 32)
+    monkeypatch.setattr(cover_tree, "STRIP", 200_000, raising=False)
+    monkeypatch.setattr(cover_tree, "MERGE", 2, raising=False)
+    before = shuffled_bytes(spark)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.link_vectors(df).collect()}
+    moved = shuffled_bytes(spark) - before
+    u = cover_tree.unit(x.astype(np.float32))
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    top = groups(range(3000), [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b])
+    assert got == {i: (int(near[i].sum()), top[i]) for i in range(3000)}
+    assert moved < 10 * x.astype(np.float32).nbytes, moved
