@@ -279,3 +279,17 @@ def test_blocks_that_all_meet_are_not_copied(spark, monkeypatch):
     top = groups(range(3000), [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b])
     assert got == {i: (int(near[i].sum()), top[i]) for i in range(3000)}
     assert moved < 10 * x.astype(np.float32).nbytes, moved
+
+
+def test_bitmaps_tell_near_sets_below_the_limit_apart():
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    passed = 0
+    for _ in range(200):
+        base = rng.integers(0, 2**63, 150 + 11).astype(np.uint64)  # 139 of 161 n-grams are shared: 86 %
+        a, b = np.sort(base[:150]), np.sort(base[11:])
+        maps = [near_dup.bitmap(x, 90) for x in (a, b)]
+        p, q = near_dup.folded(maps, min(map(len, maps)) // 8)
+        passed += bool(near_dup._possible(p, q, len(a), len(b), 90))
+    assert passed < 20, passed

@@ -27,8 +27,9 @@ from verdigris.llm.common import components, drop_written, free_name, small_side
 BAND = 1.25
 #: Cells beyond those that differences can spoil: this many more must be equal, so that equal empty cells don't count.
 SPARE = 2
-#: Bits of a bitmap for each n-gram that a linked set of the same size can differ in, up to a power of two, and bits at least.
-SPREAD, LEAST_BITS = 3, 64
+#: Bits of a bitmap for each n-gram that a linked set of the same size can differ in, up to a power of two, and bits at least: few
+#: n-grams then share a bit, so near copies just below the limit are told apart before their texts meet.
+SPREAD, LEAST_BITS = 16, 64
 #: Rounds of anchors before blocks of tiles meet, members of a block, and texts that meet one copy of an anchor's text.
 ROUNDS, BLOCK, SHARE = 2, 512, 64
 SLICE_BYTES = 4_000_000
