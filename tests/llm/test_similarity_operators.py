@@ -293,3 +293,22 @@ def test_bitmaps_tell_near_sets_below_the_limit_apart():
         p, q = near_dup.folded(maps, min(map(len, maps)) // 8)
         passed += bool(near_dup._possible(p, q, len(a), len(b), 90))
     assert passed < 20, passed
+
+
+def test_lines_just_below_the_limit_do_not_all_pair(spark, monkeypatch):
+    rng = random.Random(15)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        x = list(base)
+        for k in rng.sample(range(60), 4):
+            x[k] = f"u{i}x{k}"
+        rows.append((i, " ".join(x)))
+    rows += [(500 + i, rows[i][1] + " more") for i in range(0, 150, 10)]
+    met, plain = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *rest: (met.append(pairs.count()), plain(pairs, *rest))[1])
+    monkeypatch.setattr(line_dedup, "PASS_WORDS", 3000, raising=False)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = plain_lines(rows)
+    assert {r["doc_id"] for r in got if r["n_removed"]} == {d for d, _ in gone} and len(gone) >= 15
+    assert sum(met) < 4 * len(rows), met

@@ -15,7 +15,9 @@ set with Jaccard similarity of ``percent``/100 or more; whether that earlier lin
 4. A group's sets are held against its first one and the one before; sizes (length filter), the places of the shared run (positional filter) and
    parities of the words' hashes, which differ in no more bits than the sets do in words, bound the overlap from above.  What
    is left is verified on the words themselves.
-5. Sets that this did not settle are held against all earlier sets of their groups and verified again.
+5. Sets that this did not settle are held against the closest by parities of the ``BEFORE`` sets before them in their groups.
+6. Sets that are still open meet all earlier sets of their groups in a semi-join on the hashes of all their words, which stops
+   at the first that is near: no row is made for a pair.
 
 Sets without a clean run of ``RUN`` words, where ``percent`` is low, take single words, as in the plain prefix.
 
@@ -26,6 +28,7 @@ the executors.  Any order is right, a good one is fast.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +43,12 @@ CLASSES, LOW, HASH_BITS = 100, 27, 24
 RUN = 2
 #: Sizes and places from here on are not told apart by the filters, which then let a pair pass.
 WIDE = 0xFFFF
+#: Passes over classes of keys, at most, and words of the corpus for each: a pass shuffles its own keys alone.
+PASSES, PASS_WORDS = 8, 4_000_000
+#: Sets before an open one in its group that it picks the closest of.
+BEFORE = 32
+#: For tables of hashes, which hardly repeat.
+PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
 
 
 def class_of(n: Column) -> Column:
@@ -78,8 +87,8 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     return h.select("doc_id", "line_no", F.size("h").alias("n"), F.xxhash64("h").alias("h1"), F.xxhash64(F.lit(1), "h").alias("h2"), F.transform("h", lambda x: F.shiftright(x, 32).cast("int")).alias("h"))
 
 
-def rarity_table(hashed: DataFrame) -> tuple[bytes, int]:
-    """A byte per counter, and the number of counters: a power of two that follows the words of the corpus.
+def rarity_table(hashed: DataFrame) -> tuple[bytes, int, int]:
+    """A byte per counter, the number of counters (a power of two that follows the words of the corpus), and that of words.
 
     A word counts once for each line that has it; blocks of counters are put together by Spark.
     """
@@ -91,7 +100,7 @@ def rarity_table(hashed: DataFrame) -> tuple[bytes, int]:
     in_order = lambda rows, text: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), text), "")
     block = each.groupBy(F.expr("b div 4096").alias("k")).agg(in_order(F.struct("b", "c"), lambda s: F.char(s["c"] + LOW)).alias("s"))
     one = block.agg(in_order(F.struct("k", "s"), lambda x: x["s"]).cast("binary").alias("classes"))
-    return bytes(one.first()["classes"]), size
+    return bytes(one.first()["classes"]), size, total
 
 
 def least_size(run: int, percent: int) -> int | None:
@@ -115,14 +124,15 @@ def prefix_length(n: Column, run: int, percent: int) -> Column:
     return F.least(F.floor((run - 1) * ((n - e) * (100 - percent) / percent + 1) + 1 + e).cast("int"), n)
 
 
-def postings(lines: DataFrame, classes: bytes, size: int, percent: int) -> DataFrame:
-    """(key, doc_id, at, flips, flops) of the sets that can have a partner of another set.
+def keyed_sets(lines: DataFrame, classes: bytes, size: int, percent: int) -> list[tuple[int, DataFrame]]:
+    """(run, table) with (doc_id, line, flips, flops, pre) of the sets that can have a partner of another set, written.
 
-    ``at`` packs line number, size and place; ``flips`` and ``flops`` are the parities of the words' hashes in 128 classes.
+    ``line`` packs line number and size; ``flips`` and ``flops`` are the parities of the words' hashes in 128 classes; ``pre``
+    has the places of the words that the keys are made of.
     """
     # a set without its like in size has no partner: the next larger one holds it and one word more
     kept = lines.where(100 * F.col("n").cast("long") >= percent * (F.col("n").cast("long") + 1))
-    out, above = None, None
+    out, above = [], None
     for run in range(RUN, 0, -1):
         least = least_size(run, percent)
         if least is None:
@@ -130,8 +140,8 @@ def postings(lines: DataFrame, classes: bytes, size: int, percent: int) -> DataF
         # sets of this run's sizes, and those that one smaller than the longer run's least size can be linked to
         part = kept.where(F.col("n") >= least)
         part = part if above is None else part.where(percent * F.col("n").cast("long") <= 100 * (above - 1))
-        part = _keyed(part, classes, size, run, percent)
-        out, above = part if out is None else out.unionByName(part), least
+        out.append((run, written(_keyed(part, classes, size, run, percent), "keyed", **PLAIN)))
+        above = least
         if least <= 1:
             break
     return out
@@ -146,15 +156,28 @@ def _keyed(lines: DataFrame, classes: bytes, size: int, run: int, percent: int)
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h)  # noqa: E731  # by the low six bits
     zero = F.lit(0).cast("long")
     half = lambda which: F.aggregate("h", zero, lambda acc, h: F.when(h.bitwiseAND(64) == which, acc.bitwiseXOR(bit(h))).otherwise(acc))
-    lines = lines.select("doc_id", "line_no", "n", half(0).alias("flips"), half(64).alias("flops"), prefix)
-    keys = F.col("pre")
-    count = F.greatest(F.size("pre") - (run - 1), F.lit(0))
-    for i in range(1, run):
-        keys = F.zip_with(F.slice(keys, F.lit(1), count), F.slice("pre", F.lit(1 + i), count), lambda a, b: F.xxhash64(a, b))
-    narrow = lambda c: F.least(F.col(c), F.lit(WIDE)).cast("long")
-    line = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.shiftleft(narrow("n"), 16))
-    each = lines.select("doc_id", line.alias("line"), "flips", "flops", F.posexplode(keys).alias("pos", "key"))
-    return each.select(F.xxhash64("key", F.lit(run)).alias("key"), "doc_id", F.col("line").bitwiseOR(narrow("pos")).alias("at"), "flips", "flops")
+    line = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.shiftleft(_narrow("n"), 16))
+    return lines.select("doc_id", line.alias("line"), half(0).alias("flips"), half(64).alias("flops"), prefix)
+
+
+def _narrow(c: str) -> Column:
+    return F.least(F.col(c), F.lit(WIDE)).cast("long")
+
+
+def postings(keyed: list[tuple[int, DataFrame]], turn: int = 0, passes: int = 1) -> DataFrame:
+    """(key, doc_id, at, flips, flops) of the keys of one of ``passes`` classes; ``at`` packs line number, size and place."""
+    out = None
+    for run, lines in keyed:
+        keys = F.col("pre")
+        count = F.greatest(F.size("pre") - (run - 1), F.lit(0))
+        for i in range(1, run):
+            keys = F.zip_with(F.slice(keys, F.lit(1), count), F.slice("pre", F.lit(1 + i), count), lambda a, b: F.xxhash64(a, b))
+        each = lines.select("doc_id", "line", "flips", "flops", F.posexplode(keys).alias("pos", "key"))
+        each = each.select(F.xxhash64("key", F.lit(run)).alias("key"), "doc_id", F.col("line").bitwiseOR(_narrow("pos")).alias("at"), "flips", "flops")
+        if passes > 1:
+            each = each.where(F.pmod(F.shiftrightunsigned("key", 40), F.lit(passes)) == turn)
+        out = each if out is None else out.unionByName(each)
+    return out
 
 
 def line_no(at: str) -> Column:
@@ -162,38 +185,53 @@ def line_no(at: str) -> Column:
 
 
 def possible(one: str, other: str, percent: int) -> Column:
-    """Length, positional and parity filter for two sets whose columns end in ``one`` and ``other``.
+    """:func:`can_be_near` for two sets whose columns end in ``one`` and ``other``."""
+    side = lambda i: tuple(F.col(f"{c}{i}") for c in ("at", "flips", "flops"))
+    return can_be_near(side(one), side(other), percent)
+
+
+def differing(one, other) -> Column:
+    """Parities in which two sets (at, flips, flops) differ."""
+    return F.bit_count(one[1].bitwiseXOR(other[1])) + F.bit_count(one[2].bitwiseXOR(other[2]))
+
+
+def can_be_near(one, other, percent: int) -> Column:
+    """Length, positional and parity filter for two sets (at, flips, flops).
 
     Sizes must be near; what can be shared is what stands before and behind the key; linked sets differ in at most
     (n + m) * (100 - percent) / (100 + percent) words, each of which flips one parity.
     """
-    x, y = f"at{one}", f"at{other}"
+    x, y = one[0], other[0]
     n, m = (F.shiftright(c, 16).bitwiseAND(F.lit(WIDE)) for c in (x, y))
-    i, j = (F.col(c).bitwiseAND(F.lit(WIDE)) for c in (x, y))
+    i, j = (c.bitwiseAND(F.lit(WIDE)) for c in (x, y))
     most = F.least(i, j) + F.least(n - i, m - j)
-    parities = lambda c: F.bit_count(F.col(f"{c}{one}").bitwiseXOR(F.col(f"{c}{other}")))
-    differ = parities("flips") + parities("flops")
-    sized = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+    sized = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differing(one, other) <= (100 - percent) * (n + m))
     return (sized & ((100 + percent) * most >= percent * (n + m))) | (n == WIDE) | (m == WIDE)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Later lines (doc_id, line_no) of those ``pairs`` (d1, l1, d2, l2) whose words are similar enough."""
-    ends = pairs.select(F.col("d1").alias("d"), F.col("l1").alias("l")).union(pairs.select("d2", "l2")).distinct()
-    need = written(ends.groupBy("d").agg(F.collect_list("l").alias("ls")), "need")
-    texts = docs.join(small_side(need, 48, arrays=("ls",)), docs["doc_id"] == need["d"])
-    lines = F.get(F.transform(F.array(F.split("text", "\n")), lambda x: F.transform("ls", lambda l: F.struct(l.alias("l"), F.get(x, l).alias("line")))), F.lit(0))
-    words = texts.select("d", F.explode(lines).alias("x")).select("d", "x.l", words_of(F.col("x.line")).alias("w"))
-    words = written(words, "words")
+    words = line_words(pairs.select("d1", "l1").union(pairs.select("d2", "l2")).distinct(), docs)
     side = lambda i: words.select(F.col("d").alias(f"d{i}"), F.col("l").alias(f"l{i}"), F.col("w").alias(f"w{i}")).hint("merge")
     both = pairs.join(side(1), ["d1", "l1"]).join(side(2), ["d2", "l2"]).withColumn("both", F.size(F.array_intersect("w1", "w2")))
     same = 100 * F.col("both") >= percent * (F.size("w1") + F.size("w2") - F.col("both"))
     out = written(both.where(same).select(F.col("d2").alias("doc_id"), F.col("l2").alias("line_no")).distinct(), "later")
     drop_written(words)
-    drop_written(need)
     return out
 
 
+def line_words(ends: DataFrame, docs: DataFrame) -> DataFrame:
+    """(d, l, w array<string>) with the words of the lines (document, line number) of ``ends``, written."""
+    ends = ends.toDF("d", "l")
+    need = written(ends.groupBy("d").agg(F.collect_list("l").alias("ls")), "need")
+    texts = docs.join(small_side(need, 48, arrays=("ls",)), docs["doc_id"] == need["d"])
+    lines = F.get(F.transform(F.array(F.split("text", "\n")), lambda x: F.transform("ls", lambda l: F.struct(l.alias("l"), F.get(x, l).alias("line")))), F.lit(0))
+    words = texts.select("d", F.explode(lines).alias("x")).select("d", "x.l", words_of(F.col("x.line")).alias("w"))
+    words = written(words, "words")
+    drop_written(need)
+    return words
+
+
 def repeats(hashed: DataFrame) -> DataFrame:
     """(doc_id, line_no, h1, h2) of every line whose set an earlier line has as well."""
     own = hashed.select("doc_id", "line_no", "h1", "h2")
@@ -206,25 +244,28 @@ def repeats(hashed: DataFrame) -> DataFrame:
     return out
 
 
-def met_sets(hashed: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+def met_sets(keyed: list[tuple[int, DataFrame]], passes: int, percent: int) -> list[DataFrame]:
     """(key, doc_id, at, flips, flops, doc_id1, at1, doc_id3, at3, place, near1, near3) of sets behind the first of their group:
     document and packed place of the first and of the set before, its own place in the group, and whether they can be near.
 
-    A set that can't be near the first, and with which no third one stands, is left out.
+    A set that can't be near the first, and with which no third one stands, is left out.  A table for each pass over a class of
+    keys: all keys at once would hold more on disk than all that is written.
     """
-    classes, size = rarity_table(hashed)
-    once = hashed.join(small_side(copies, 56), ["doc_id", "line_no", "h1", "h2"], "left_anti")
     group = Window.partitionBy("key").orderBy("doc_id", "at")
     head = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = ("doc_id", "at", "flips", "flops")
-    met = postings(once, classes, size, percent).select(
-        "key", *own, *(F.first(c).over(head).alias(f"{c}1") for c in own), *(F.lag(c).over(group).alias(f"{c}3") for c in own),
-        F.row_number().over(group).alias("place"), F.lead("at").over(group).isNull().alias("last"),
-    )
     # lines of one document number that share a line number, from repeated ids, are not earlier than each other
     other = lambda i: (F.col("doc_id") != F.col(f"doc_id{i}")) | (line_no("at") != line_no(f"at{i}"))
-    met = met.where("place > 1").withColumns({f"near{i}": possible("", f"{i}", percent) & other(i) for i in (1, 3)})
-    return written(met.where("near1 or near3 or place > 2 or not last").drop("flips1", "flops1", "flips3", "flops3", "last"), "met")
+    out = []
+    for turn in range(passes):
+        met = postings(keyed, turn, passes).select(
+            "key", *own, *(F.first(c).over(head).alias(f"{c}1") for c in own), *(F.lag(c).over(group).alias(f"{c}3") for c in own),
+            F.row_number().over(group).alias("place"), F.lead("at").over(group).isNull().alias("last"),
+        )
+        met = met.where("place > 1").withColumns({f"near{i}": possible("", f"{i}", percent) & other(i) for i in (1, 3)})
+        met = met.where("near1 or near3 or place > 2 or not last").drop("flips1", "flops1", "flips3", "flops3", "last")
+        out.append(written(met, "met"))
+    return out
 
 
 def near_lines(met: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -233,32 +274,65 @@ def near_lines(met: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     heads = written(met.where("near1").select(*pair("1", "")).union(met.where("near3").select(*pair("3", ""))).distinct(), "heads")
     settled = verified(heads, docs, percent)
 
-    # sets that are still open, with those between: a line's few keys stand beside the word that it is settled
-    own = ("doc_id", "at", "flips", "flops")
-    late = met.where("place > 2").select("key", *own, line_no("at").alias("line_no"), F.lit(False).alias("done"))
-    late = late.unionByName(settled.withColumn("done", F.lit(True)), allowMissingColumns=True)
-    late = late.withColumn("done", F.max("done").over(Window.partitionBy("doc_id", "line_no"))).where("key is not null and not done")
-    side = lambda df, i: df.select("key", *(F.col(c).alias(f"{c}{i}") for c in own))
-    earlier = (F.col("doc_id1") < F.col("doc_id2")) | ((F.col("doc_id1") == F.col("doc_id2")) & (line_no("at1") < line_no("at2")))
-    others = side(late, 2).join(side(met, 1).hint("merge"), "key").where(earlier & possible("1", "2", percent)).select(*pair("1", "2")).distinct()
-    others = written(others.join(heads.hint("merge"), ["d1", "l1", "d2", "l2"], "left_anti"), "others")
-    again = verified(others, docs, percent)
-    out = written(settled.union(again).distinct(), "near")
-    for t in (heads, settled, others, again):
+    # of the sets before it in its groups each open one is held against the one with the fewest parities to tell them apart
+    own, group = ("doc_id", "at", "flips", "flops"), Window.partitionBy("key").orderBy("doc_id", "at")
+    before = F.collect_list(F.struct(*own)).over(group.rowsBetween(-BEFORE, -1))
+    rows = _marked(met, settled).withColumn("before", F.when(~F.col("done") & (F.col("place") > 2), before)).where("before is not null")
+    this = tuple(F.col(c) for c in own[1:])
+    earlier = lambda p: (p["doc_id"] < F.col("doc_id")) | ((p["doc_id"] == F.col("doc_id")) & (line_no(p["at"]) < F.col("line_no")))
+    fits = lambda p: earlier(p) & can_be_near(this, tuple(p[c] for c in own[1:]), percent)
+    near = F.transform(F.filter("before", fits), lambda p: F.struct(differing(this, tuple(p[c] for c in own[1:])).alias("differ"), p["doc_id"].alias("d1"), line_no(p["at"]).alias("l1")))
+    # a set that fits none of those before it is done with this key, if they are all there are
+    late = rows.select("key", *own, "line_no", "place", F.array_min(near).alias("best")).where(F.col("best").isNotNull() | (F.col("place") > BEFORE))
+    late = written(late, "late")
+    best = late.where("best is not null").groupBy(F.col("doc_id").alias("d2"), F.col("line_no").alias("l2")).agg(F.min("best").alias("best"))
+    best = written(best.select("best.d1", "best.l1", "d2", "l2"), "closest")
+    closest = verified(best, docs, percent)
+
+    # what is still open meets all earlier sets of its groups; of those that are near, the first found is enough
+    still = written(late.drop("place", "best").join(closest.withColumnRenamed("doc_id", "d").withColumnRenamed("line_no", "l"), (F.col("doc_id") == F.col("d")) & (F.col("line_no") == F.col("l")), "left_anti"), "open")
+    keys = still.select("key").distinct()
+    beside = written(met.select("key", *own, line_no("at").alias("line_no")).join(keys.hint("merge"), "key", "left_semi"), "beside")
+    ends = still.select("doc_id", "line_no").union(beside.select("doc_id", "line_no")).distinct()
+    words = line_words(ends, docs)
+    hashes = written(words.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"), F.transform("w", lambda w: F.xxhash64(w)).alias("w")), "hashes")
+    side = lambda df, i: df.join(hashes.hint("merge"), ["doc_id", "line_no"]).select("key", *(F.col(c).alias(f"{c}{i}") for c in (*own, "line_no", "w")))
+    one, two = side(beside, 1), side(still, 2)
+    both = F.size(F.array_intersect("w1", "w2"))
+    first = (F.col("doc_id1") < F.col("doc_id2")) | ((F.col("doc_id1") == F.col("doc_id2")) & (F.col("line_no1") < F.col("line_no2")))
+    same = 100 * both >= percent * (F.size("w1") + F.size("w2") - both)
+    one = one.withColumnRenamed("key", "key1").hint("merge")
+    again = two.join(one, (F.col("key") == F.col("key1")) & first & possible("1", "2", percent) & same, "left_semi")
+    again = written(again.select(F.col("doc_id2").alias("doc_id"), F.col("line_no2").alias("line_no")).distinct(), "again")
+    out = written(settled.union(closest).union(again).distinct(), "near")
+    for t in (heads, settled, late, best, closest, still, beside, words, hashes, again):
         drop_written(t)
     return out
 
 
+def _marked(met: DataFrame, settled: DataFrame) -> DataFrame:
+    """(key, doc_id, at, flips, flops, place, line_no, done) of ``met``; ``done`` if the line is in ``settled``."""
+    rows = met.select("key", "doc_id", "at", "flips", "flops", "place", line_no("at").alias("line_no"), F.lit(False).alias("done"))
+    rows = rows.unionByName(settled.withColumn("done", F.lit(True)), allowMissingColumns=True)
+    return rows.withColumn("done", F.max("done").over(Window.partitionBy("doc_id", "line_no"))).where("key is not null")
+
+
 def later_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, gone array<int>): the lines to remove from each document of (doc_id, text); documents without any are left out."""
     # hashes hardly repeat within a page, so neither a dictionary nor compression would pay
-    every = written(hashed_lines(docs), "hashed", **{"compression": "uncompressed", "parquet.enable.dictionary": "false"})
+    every = written(hashed_lines(docs), "hashed", **PLAIN)
     hashed = every.where("n > 0")
     copies = repeats(hashed)
-    met = met_sets(hashed, copies, percent)
+    classes, size, words = rarity_table(hashed)
+    once = hashed.join(small_side(copies, 56), ["doc_id", "line_no", "h1", "h2"], "left_anti")
+    keyed = keyed_sets(once, classes, size, percent)
     drop_written(every)
-    near = near_lines(met, docs, percent)
-    drop_written(met)
+    met = met_sets(keyed, min(PASSES, 1 + words // PASS_WORDS), percent)
+    for _, t in keyed:
+        drop_written(t)
+    near = near_lines(reduce(DataFrame.union, met), docs, percent)
+    for t in met:
+        drop_written(t)
     gone = copies.select("doc_id", "line_no").union(near)
     out = written(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "gone")
     drop_written(copies)
