@@ -312,3 +312,42 @@ def test_lines_just_below_the_limit_do_not_all_pair(spark, monkeypatch):
     gone = plain_lines(rows)
     assert {r["doc_id"] for r in got if r["n_removed"]} == {d for d, _ in gone} and len(gone) >= 15
     assert sum(met) < 4 * len(rows), met
+
+
+def test_tiles_left_by_either_side_leave_linked_pairs_one():
+    import numpy as np
+
+    rng = np.random.default_rng(21)
+    starts, common, met = near_dup.band_starts(), rng.integers(0, 2**63, 40).astype(np.uint64), 0
+    for turn in range(400):
+        percent, size = (50, 67, 80, 90)[turn % 4], int(rng.integers(1, 260))
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        far = size * (100 - percent) // (100 + percent)
+        one, other = (np.unique(np.concatenate([base, common[: int(rng.integers(0, 4))], rng.integers(0, 2**63, int(rng.integers(0, far + 1))).astype(np.uint64)])) for _ in "ab")
+        both = len(np.intersect1d(one, other))
+        if 100 * both < percent * (len(one) + len(other) - both):
+            continue
+        met += 1
+        tiles = [near_dup.slotted_tiles(x, percent, starts) for x in (one, other)]
+        # any order that both sides read alike: here by the tile's own hash
+        kept = []
+        for keys, slots in tiles:
+            stay = set()
+            for slot in np.unique(slots):
+                stay |= set(sorted(keys[slots == slot].tolist())[int(slot) & (1 << near_dup.SLOT_BITS) - 1 :])
+            kept.append(stay)
+        assert kept[0] & kept[1]
+    assert met > 200
+
+
+def test_texts_that_share_a_common_passage_do_not_meet_in_blocks(spark, monkeypatch):
+    rng = random.Random(31)
+    passage = " ".join(f"p{k}" for k in range(14))
+    words = [f"w{i}" for i in range(5000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(120)) + " " + passage) for i in range(600)]
+    rows += [(1000 + i, rows[i][1].replace(" p13", " other")) for i in range(0, 600, 50)]
+    met, plain = [], near_dup._blocks
+    monkeypatch.setattr(near_dup, "_blocks", lambda now, *rest: (met.append(now.count()), plain(now, *rest))[1])
+    got = {r["row_id"]: r["component_id"] for r in near_dup.link_components(spark.createDataFrame(rows, "row_id long, text string"), 5, 80, "row_id").collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    assert sum(met) < len(rows), met

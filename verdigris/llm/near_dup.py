@@ -6,7 +6,11 @@ Two texts link when the Jaccard similarity of their sets of word n-grams is at l
 * Sizes fall into bands.  A linked pair whose larger set is in a band differs in at most ``d`` n-grams, known from the band's
   sizes, so if n-grams are dealt by hash into more than ``d`` cells, some cell is equal on both sides.  A tile is (band, cell,
   hash of the cell's n-grams); a set has tiles of its own band and of every band that a larger linked set can be in.  Every
-  linked pair meets in a tile, unrelated texts hardly ever do.
+  linked pair meets in a tile, unrelated texts hardly ever do, unless a cell holds nothing but n-grams that many texts have.
+* Bands have cells to spare: a set with ``s`` more of them than it and a linked one can differ in, and one, shares ``s + 1`` equal
+  cells or more with each linked one.  It therefore leaves its ``s`` most common tiles of the band, in one order over the corpus:
+  of a pair's equal cells the least common has ``s`` others before it on either side, so it stays on both (prefix filter).  Empty
+  cells come first in that order.
 * In a round, a text meets one anchor of its tiles; a pair goes on only if the bitmaps of their hashed n-grams allow it.  A bit
   is the parity of the n-grams that hash to it, so two bitmaps differ in no more bits than the sets do in n-grams: the count of
   differing bits bounds the overlap from above, and does not saturate as the set grows.  A bitmap has bits in proportion to
@@ -25,8 +29,10 @@ from verdigris.llm.common import components, drop_written, free_name, small_side
 
 #: Bands' sizes grow by this factor.
 BAND = 1.25
-#: Cells beyond those that differences can spoil: this many more must be equal, so that equal empty cells don't count.
-SPARE = 2
+#: Spare cells of a band: so many, and one for every so many n-grams that its linked pairs can differ in.
+SPARE, SPARE_EACH = 2, 8
+#: A tile's slot packs the number of its band among the set's and, below, the tiles that the set leaves in that band.
+SLOT_BITS = 16
 #: Bits of a bitmap for each n-gram that a linked set of the same size can differ in, up to a power of two, and bits at least: few
 #: n-grams then share a bit, so near copies just below the limit are told apart before their texts meet.
 SPREAD, LEAST_BITS = 16, 64
@@ -46,7 +52,7 @@ def cells_of(band: int, percent: int) -> int:
     """Cells of a band's tiles: more than its linked pairs can differ in, and some to spare."""
     top = band_starts()[band + 1] - 1
     d = 2 * top * (100 - percent) // (100 + percent)
-    return d + 1 + (SPARE if d else 0)
+    return d + 1 + (SPARE + d // SPARE_EACH if d else 0)
 
 
 def shingle_sets(part, n: int):
@@ -107,6 +113,11 @@ def shingle_sets(part, n: int):
 
 def tile_keys(grams, percent: int, starts: list[int]):
     """64-bit tile hashes of one sorted set: of its own band, and of every band that a linked larger set can be in."""
+    return slotted_tiles(grams, percent, starts)[0]
+
+
+def slotted_tiles(grams, percent: int, starts: list[int]):
+    """:func:`tile_keys`, and the slot of each: the band's number and how many of its tiles the set can leave."""
     import numpy as np
 
     size = len(grams)
@@ -115,22 +126,26 @@ def tile_keys(grams, percent: int, starts: list[int]):
     high = spread >> np.uint64(32)
     spread = (spread ^ (spread >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     spread ^= spread >> np.uint64(32)
-    out = []
+    out, slots = [], []
     b = band
     while b == band or size * 100 >= percent * starts[b]:
-        cells = cells_of(b, percent)
+        # what a linked pair of this very size can differ in leaves more to spare than what the band's largest can
+        cells, top = cells_of(b, percent), min(starts[b + 1] - 1, size * 100 // percent)
+        spare = cells - 1 - (size + top) * (100 - percent) // (100 + percent)
         cell = (high * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
         own, at = np.unique(cell[order], return_index=True)
         sums = np.add.reduceat(spread[order], at)
-        if cells - len(own) > (SPARE if cells > 1 else 0):  # too many empty cells to do without: they stand for themselves
-            empty = np.setdiff1d(np.arange(cells), own)
+        left = spare - (cells - len(own))
+        if left < 0:  # more empty cells than can be left: the others stand for themselves
+            empty = np.setdiff1d(np.arange(cells), own)[spare:]
             own, sums = np.concatenate([own, empty]), np.concatenate([sums, np.zeros(len(empty), dtype=np.uint64)])
         key = (sums + own.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) ^ np.uint64((b + 1) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)
         key = (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         out.append(key ^ (key >> np.uint64(30)))
+        slots.append(np.full(len(key), (b - band) << SLOT_BITS | min(max(left, 0), (1 << SLOT_BITS) - 1), dtype=np.int32))
         b += 1
-    return np.concatenate(out).view(np.int64)
+    return np.concatenate(out).view(np.int64), np.concatenate(slots)
 
 
 def bitmap(grams, percent: int):
@@ -160,8 +175,8 @@ def folded(maps: list, words: int):
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(row_id, n_shingles, set_hi, set_lo, tiles array<long>, bits) per row of (row_id, text)."""
-    schema = "row_id long, n_shingles long, set_hi long, set_lo long, tiles array<long>, bits binary"
+    """(row_id, n_shingles, set_hi, set_lo, tiles array<struct<tile, slot>>, bits) per row of (row_id, text)."""
+    schema = "row_id long, n_shingles long, set_hi long, set_lo long, tiles array<struct<tile:long,slot:int>>, bits binary"
 
     def sign(batches):
         import numpy as np
@@ -174,8 +189,10 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for at, part in text_slices(pc.fill_null(batch.column(1), ""), SLICE_BYTES):
                 sets = shingle_sets(part, n)
                 marks = [xxhash.xxh128_digest(g.tobytes()) for g in sets]
-                tiles = [tile_keys(g, percent, starts) if len(g) else np.zeros(0, dtype=np.int64) for g in sets]
-                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tiles])]), pa.int32()), pa.array(np.concatenate(tiles)))
+                none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))
+                tiles, slots = zip(*(slotted_tiles(g, percent, starts) if len(g) else none for g in sets), strict=True)
+                each = pa.StructArray.from_arrays([pa.array(np.concatenate(tiles)), pa.array(np.concatenate(slots))], names=["tile", "slot"])
+                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tiles])]), pa.int32()), each)
                 hi, lo = (np.frombuffer(b"".join(m[i : i + 8] for m in marks), dtype="<i8") for i in (0, 8))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([len(g) for g in sets], pa.int64()), pa.array(hi), pa.array(lo), flat, pa.array([bitmap(g, percent) for g in sets], pa.binary())], names=[x.split()[0] for x in schema.split(", ")])
 
@@ -277,12 +294,15 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, row_id: str
         nodes = nodes.dropDuplicates(["row_id", "set_hi", "set_lo"])
     nodes = nodes.select("row_id", F.col("n_shingles").alias("n"), "bits", "tiles")
     # only tiles with two texts or more go on; counts are summed where tiles are read, so a tile of very many is no load
-    tiles = nodes.select("row_id", F.explode("tiles").alias("tile"))
-    many = written(tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("tile"), "many")
-    every = written(tiles.join(small_side(many, 24), "tile", "left_semi"), "tiles")
+    tiles = nodes.select("row_id", F.explode("tiles").alias("t")).select("row_id", "t.tile", "t.slot")
+    many = written(tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "many")
+    # of a band's tiles a text leaves as many of the most common ones as its slot says
+    common = Window.partitionBy("row_id", "slot").orderBy(F.desc("members"), "tile")
+    ranked = tiles.join(small_side(many, 32), "tile").withColumn("rank", F.row_number().over(common))
+    every = written(ranked.where(F.col("rank") > F.col("slot").bitwiseAND((1 << SLOT_BITS) - 1)).select("row_id", "tile"), "tiles")
     # of tiles with the same members, known by their number and 128 bits over them, one says it all
     marks = (F.bit_xor(F.xxhash64("row_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row_id")).alias("y"))
-    kinds = every.groupBy("tile").agg(F.count(F.lit(1)).alias("members"), *marks).groupBy("members", "x", "y").agg(F.min("tile").alias("tile"))
+    kinds = every.groupBy("tile").agg(F.count(F.lit(1)).alias("members"), *marks).where("members > 1").groupBy("members", "x", "y").agg(F.min("tile").alias("tile"))
     kinds = written(kinds.select("tile"), "kinds")
     shared = written(every.join(small_side(kinds, 24), "tile", "left_semi"), "tiles")
     met = small_side(written(shared.select("row_id").distinct(), "met"), 24)
