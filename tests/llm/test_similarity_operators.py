@@ -351,3 +351,14 @@ def test_texts_that_share_a_common_passage_do_not_meet_in_blocks(spark, monkeypa
     got = {r["row_id"]: r["component_id"] for r in near_dup.link_components(spark.createDataFrame(rows, "row_id long, text string"), 5, 80, "row_id").collect()}
     assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
     assert sum(met) < len(rows), met
+
+
+def test_keys_of_one_set_alone_are_not_sorted(spark, monkeypatch):
+    rng = random.Random(41)
+    rows = [(i, "\n".join(" ".join(f"w{rng.randrange(10**9)}" for _ in range(30)) for _ in range(10))) for i in range(100)]
+    rows += [(1000 + i, rows[i][1].split("\n")[0] + " more") for i in range(0, 100, 10)]
+    met, plain = [], line_dedup.postings
+    monkeypatch.setattr(line_dedup, "postings", lambda *a: (met.append(plain(*a).count()), plain(*a))[1])
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_removed"]}
+    assert got == {1000 + i for i in range(0, 100, 10)}
+    assert sum(met) < 1000, met

@@ -12,11 +12,12 @@ set with Jaccard similarity of ``percent``/100 or more; whether that earlier lin
    set is therefore keyed by the runs in its prefix, the first words that such a run can reach to (prefix filter).  Few sets
    share a run of rare words, so groups stay small where single words would make large ones.  Words that share a place in the
    order only make keys that more sets share.
-4. A group's sets are held against its first one and the one before; sizes (length filter), the places of the shared run (positional filter) and
+4. Keys that one set alone has, which most are, are counted by themselves and go no further.
+5. A group's sets are held against its first one and the one before; sizes (length filter), the places of the shared run (positional filter) and
    parities of the words' hashes, which differ in no more bits than the sets do in words, bound the overlap from above.  What
    is left is verified on the words themselves.
-5. Sets that this did not settle are held against the closest by parities of the ``BEFORE`` sets before them in their groups.
-6. Sets that are still open meet all earlier sets of their groups in a semi-join on the hashes of all their words, which stops
+6. Sets that this did not settle are held against the closest by parities of the ``BEFORE`` sets before them in their groups.
+7. Sets that are still open meet all earlier sets of their groups in a semi-join on the hashes of all their words, which stops
    at the first that is near: no row is made for a pair.
 
 Sets without a clean run of ``RUN`` words, where ``percent`` is low, take single words, as in the plain prefix.
@@ -33,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import drop_written, free_name, small_side, written
+from verdigris.llm.common import BROADCAST_BYTES, drop_written, free_name, small_side, written
 
 #: Counters at most, and words a counter has on average before there are more of them.
 BUCKETS, BUCKET_WORDS = 1 << 16, 256
@@ -43,8 +44,9 @@ CLASSES, LOW, HASH_BITS = 100, 27, 24
 RUN = 2
 #: Sizes and places from here on are not told apart by the filters, which then let a pair pass.
 WIDE = 0xFFFF
-#: Passes over classes of keys, at most, and words of the corpus for each: a pass shuffles its own keys alone.
-PASSES, PASS_WORDS = 8, 4_000_000
+#: Passes over classes of keys, at most, and bytes of a key that several sets have: a pass takes what can be broadcast, and with
+#: more keys than that it shuffles its own class alone.
+PASSES, KEY_BYTES = 8, 24
 #: Sets before an open one in its group that it picks the closest of.
 BEFORE = 32
 #: For tables of hashes, which hardly repeat.
@@ -87,8 +89,8 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     return h.select("doc_id", "line_no", F.size("h").alias("n"), F.xxhash64("h").alias("h1"), F.xxhash64(F.lit(1), "h").alias("h2"), F.transform("h", lambda x: F.shiftright(x, 32).cast("int")).alias("h"))
 
 
-def rarity_table(hashed: DataFrame) -> tuple[bytes, int, int]:
-    """A byte per counter, the number of counters (a power of two that follows the words of the corpus), and that of words.
+def rarity_table(hashed: DataFrame) -> tuple[bytes, int]:
+    """A byte per counter, and the number of counters (a power of two that follows the words of the corpus).
 
     A word counts once for each line that has it; blocks of counters are put together by Spark.
     """
@@ -100,7 +102,7 @@ def rarity_table(hashed: DataFrame) -> tuple[bytes, int, int]:
     in_order = lambda rows, text: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), text), "")
     block = each.groupBy(F.expr("b div 4096").alias("k")).agg(in_order(F.struct("b", "c"), lambda s: F.char(s["c"] + LOW)).alias("s"))
     one = block.agg(in_order(F.struct("k", "s"), lambda x: x["s"]).cast("binary").alias("classes"))
-    return bytes(one.first()["classes"]), size, total
+    return bytes(one.first()["classes"]), size
 
 
 def least_size(run: int, percent: int) -> int | None:
@@ -125,10 +127,10 @@ def prefix_length(n: Column, run: int, percent: int) -> Column:
 
 
 def keyed_sets(lines: DataFrame, classes: bytes, size: int, percent: int) -> list[tuple[int, DataFrame]]:
-    """(run, table) with (doc_id, line, flips, flops, pre) of the sets that can have a partner of another set, written.
+    """(run, table) with (doc_id, line, flips, flops, keys) of the sets that can have a partner of another set, written.
 
-    ``line`` packs line number and size; ``flips`` and ``flops`` are the parities of the words' hashes in 128 classes; ``pre``
-    has the places of the words that the keys are made of.
+    ``line`` packs line number and size; ``flips`` and ``flops`` are the parities of the words' hashes in 128 classes; ``keys``
+    has the runs of the words' places.
     """
     # a set without its like in size has no partner: the next larger one holds it and one word more
     kept = lines.where(100 * F.col("n").cast("long") >= percent * (F.col("n").cast("long") + 1))
@@ -157,27 +159,32 @@ def _keyed(lines: DataFrame, classes: bytes, size: int, run: int, percent: int)
     zero = F.lit(0).cast("long")
     half = lambda which: F.aggregate("h", zero, lambda acc, h: F.when(h.bitwiseAND(64) == which, acc.bitwiseXOR(bit(h))).otherwise(acc))
     line = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.shiftleft(_narrow("n"), 16))
-    return lines.select("doc_id", line.alias("line"), half(0).alias("flips"), half(64).alias("flops"), prefix)
+    keys, count = F.col("pre"), F.greatest(F.size("pre") - (run - 1), F.lit(0))
+    for i in range(1, run):
+        keys = F.zip_with(F.slice(keys, F.lit(1), count), F.slice("pre", F.lit(1 + i), count), lambda a, b: F.xxhash64(a, b))
+    sets = lines.select("doc_id", line.alias("line"), half(0).alias("flips"), half(64).alias("flops"), prefix)
+    return sets.select("doc_id", "line", "flips", "flops", keys.cast("array<long>").alias("keys"))
 
 
 def _narrow(c: str) -> Column:
     return F.least(F.col(c), F.lit(WIDE)).cast("long")
 
 
-def postings(keyed: list[tuple[int, DataFrame]], turn: int = 0, passes: int = 1) -> DataFrame:
-    """(key, doc_id, at, flips, flops) of the keys of one of ``passes`` classes; ``at`` packs line number, size and place."""
+def shared_keys(keyed: list[tuple[int, DataFrame]]) -> DataFrame:
+    """(key) of the keys that two sets or more have, written; only keys are shuffled for it."""
+    each = [lines.select(F.explode("keys").alias("key")).select(F.xxhash64("key", F.lit(run)).alias("key")) for run, lines in keyed]
+    return written(reduce(DataFrame.union, each).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared", **PLAIN)
+
+
+def postings(keyed: list[tuple[int, DataFrame]], shared: DataFrame, turn: int = 0, passes: int = 1) -> DataFrame:
+    """(key, doc_id, at, flips, flops) of the ``shared`` keys of one of ``passes`` classes; ``at`` packs line number, size and place."""
+    own = lambda df: df.where(F.pmod(F.shiftrightunsigned("key", 40), F.lit(passes)) == turn) if passes > 1 else df
     out = None
     for run, lines in keyed:
-        keys = F.col("pre")
-        count = F.greatest(F.size("pre") - (run - 1), F.lit(0))
-        for i in range(1, run):
-            keys = F.zip_with(F.slice(keys, F.lit(1), count), F.slice("pre", F.lit(1 + i), count), lambda a, b: F.xxhash64(a, b))
-        each = lines.select("doc_id", "line", "flips", "flops", F.posexplode(keys).alias("pos", "key"))
-        each = each.select(F.xxhash64("key", F.lit(run)).alias("key"), "doc_id", F.col("line").bitwiseOR(_narrow("pos")).alias("at"), "flips", "flops")
-        if passes > 1:
-            each = each.where(F.pmod(F.shiftrightunsigned("key", 40), F.lit(passes)) == turn)
+        each = lines.select("doc_id", "line", "flips", "flops", F.posexplode("keys").alias("pos", "key"))
+        each = own(each.select(F.xxhash64("key", F.lit(run)).alias("key"), "doc_id", F.col("line").bitwiseOR(_narrow("pos")).alias("at"), "flips", "flops"))
         out = each if out is None else out.unionByName(each)
-    return out
+    return out.join(small_side(own(shared), KEY_BYTES), "key", "left_semi")
 
 
 def line_no(at: str) -> Column:
@@ -244,13 +251,15 @@ def repeats(hashed: DataFrame) -> DataFrame:
     return out
 
 
-def met_sets(keyed: list[tuple[int, DataFrame]], passes: int, percent: int) -> list[DataFrame]:
+def met_sets(keyed: list[tuple[int, DataFrame]], percent: int) -> list[DataFrame]:
     """(key, doc_id, at, flips, flops, doc_id1, at1, doc_id3, at3, place, near1, near3) of sets behind the first of their group:
     document and packed place of the first and of the set before, its own place in the group, and whether they can be near.
 
     A set that can't be near the first, and with which no third one stands, is left out.  A table for each pass over a class of
-    keys: all keys at once would hold more on disk than all that is written.
+    keys: the shared keys of a pass can be broadcast, or if they are too many, all keys at once would hold too much on disk.
     """
+    shared = shared_keys(keyed)
+    passes = min(PASSES, 1 + shared.count() * KEY_BYTES // BROADCAST_BYTES)
     group = Window.partitionBy("key").orderBy("doc_id", "at")
     head = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = ("doc_id", "at", "flips", "flops")
@@ -258,13 +267,14 @@ def met_sets(keyed: list[tuple[int, DataFrame]], passes: int, percent: int) -> l
     other = lambda i: (F.col("doc_id") != F.col(f"doc_id{i}")) | (line_no("at") != line_no(f"at{i}"))
     out = []
     for turn in range(passes):
-        met = postings(keyed, turn, passes).select(
+        met = postings(keyed, shared, turn, passes).select(
             "key", *own, *(F.first(c).over(head).alias(f"{c}1") for c in own), *(F.lag(c).over(group).alias(f"{c}3") for c in own),
             F.row_number().over(group).alias("place"), F.lead("at").over(group).isNull().alias("last"),
         )
         met = met.where("place > 1").withColumns({f"near{i}": possible("", f"{i}", percent) & other(i) for i in (1, 3)})
         met = met.where("near1 or near3 or place > 2 or not last").drop("flips1", "flops1", "flips3", "flops3", "last")
         out.append(written(met, "met"))
+    drop_written(shared)
     return out
 
 
@@ -323,11 +333,11 @@ def later_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     every = written(hashed_lines(docs), "hashed", **PLAIN)
     hashed = every.where("n > 0")
     copies = repeats(hashed)
-    classes, size, words = rarity_table(hashed)
+    classes, size = rarity_table(hashed)
     once = hashed.join(small_side(copies, 56), ["doc_id", "line_no", "h1", "h2"], "left_anti")
     keyed = keyed_sets(once, classes, size, percent)
     drop_written(every)
-    met = met_sets(keyed, min(PASSES, 1 + words // PASS_WORDS), percent)
+    met = met_sets(keyed, percent)
     for _, t in keyed:
         drop_written(t)
     near = near_lines(reduce(DataFrame.union, met), docs, percent)
