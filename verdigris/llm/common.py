@@ -189,6 +189,22 @@ def small_side(df: DataFrame, row_bytes: int, n_rows: int | None = None, arrays:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
 
 
+def least_frequent_of(df: DataFrame, count: str, most: int) -> int:
+    """The least power of two that at most ``most`` rows of ``df`` reach in ``count``: what is above may be broadcast.
+
+    Rows are counted by powers of two, so at most 64 numbers come to the driver.
+    """
+    level = F.floor(F.log2(F.greatest(F.col(count), F.lit(1)))).cast("int").alias("level")
+    found = {r["level"]: r["k"] for r in df.select(level).groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect()}
+    total, least = 0, 63
+    for at in range(62, -1, -1):
+        total += found.get(at, 0)
+        if total > most:
+            break
+        least = at
+    return 2**least if least < 63 else 2**63 - 1
+
+
 def text_slices(column, most_bytes: int):
     """(first row, part) of an Arrow string column in parts of about ``most_bytes``; a longer text stands alone."""
     import numpy as np

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import chat, cover_tree, html_text, licenses, line_dedup, mixing, near_dup, packing, quality, toxicity
-from verdigris.llm.common import table
+from verdigris.llm import chat, cover_tree, html_text, licenses, line_dedup, mixing, near_dup, packing, prefix_trie, quality, spelling, token_counts, toxicity
+from verdigris.llm.common import ascii_lower, table, written
 
 
 def tokenizer_path() -> str:
@@ -215,9 +215,75 @@ SELECT doc_id, domain, lang, source, n_tokens, unnest(range(times))::INT AS epoc
 """
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # runs of fewer than six letters can't give a word; a longer run is matched whole
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z\u00C0-\u00FF]{6,}"), F.lit(0))).alias("run"))
+    runs = runs.select("doc_id", ascii_lower(F.col("run")).alias("run"))
+    h = F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "run").cast("binary"))
+    cut = (h % F.length("run")).cast("int")
+    word = F.when(h % 199 == 0, F.concat(F.substring("run", F.lit(1), cut), F.substring("run", cut + 2, F.length("run")))).otherwise(F.col("run"))
+    words = runs.select(word.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.length("word") >= 6) & (F.col("n") >= 5))
+    return spelling.variants(words, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    rebuilt = written(prefix_trie.with_prefix(places, c - c % 5, F.crc32(c.cast("string").cast("binary")) % 9), "rebuilt")
+    return prefix_trie.trie(rebuilt, places.select("conv_id").distinct())
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+#: crc32 of {text}, whose code points lie below 256, bit by bit: eight steps for each UTF-8 byte, which comes in with the first.
+CRC32 = r"""xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[b::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR b IN
+  flatten([CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END FOR c IN string_split({text}, '')])])),
+  lambda a, b: CASE WHEN xor(a, b) % 2 = 1 THEN xor(xor(a, b) // 2, 3988292384) ELSE xor(a, b) // 2 END), 4294967295)"""
+
+OP11_SQL = r"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS x FROM documents) WHERE length(x) >= 6 GROUP BY 1, 2),
+h AS (SELECT run, k, CRC AS h FROM r),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n FROM h GROUP BY 1),
+v AS (SELECT * FROM w WHERE length(word) >= 6 AND n >= 5),
+p AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v),
+s AS (SELECT word, left(word, i - 1) || '*' || substr(word, i + 1) AS t FROM p),
+d AS (SELECT DISTINCT word, left(word, i - 1) || substr(word, i + 1) AS t FROM p),
+m AS (SELECT a.word AS a, b.word AS b FROM s a JOIN s b ON a.t = b.t AND a.word <> b.word
+      UNION ALL SELECT d.word, v.word FROM d JOIN v ON d.t = v.word UNION ALL SELECT v.word, d.word FROM d JOIN v ON d.t = v.word),
+o AS (SELECT a AS word, b AS form, n AS form_n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS place, count(*) OVER (PARTITION BY a) AS n_near FROM m JOIN v ON v.word = m.b),
+f AS (SELECT v.word, v.n, coalesce(o.n_near, 0) AS n_near, CASE WHEN form_n >= 5 * v.n THEN form END AS form, CASE WHEN form_n >= 5 * v.n THEN form_n END AS form_n
+      FROM v LEFT JOIN o ON o.word = v.word AND place = 1),
+t AS (SELECT word, word AS root FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root AND f.form IS NOT NULL),
+z AS (SELECT word, root FROM t JOIN (SELECT word AS root FROM f WHERE form IS NULL) USING (root))
+SELECT f.word, f.form, z.root, f.n, f.n_near, f.form_n FROM f JOIN z USING (word)
+""".replace("CRC", CRC32.format(text="doc_id || ':' || run"))
+
+OP12_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, CRC % 9 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[:h], h.own[h + 1:]) AS turns FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 5),
+m AS (SELECT conv_id AS c, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
+k AS (SELECT c, depth, turns[:depth] AS prefix, len(turns) = depth AS ends FROM m),
+n AS (SELECT prefix, depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS ends,
+             (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE strlen(any_value(prefix[depth].text)) END AS own FROM k GROUP BY prefix, depth),
+x AS (SELECT k.c, n.* FROM k JOIN n USING (prefix, depth)),
+e AS (SELECT DISTINCT a.conv_id AS parent, b.conv_id, b.depth FROM x a JOIN x b ON b.c = a.c AND b.depth = a.depth + 1),
+g AS (SELECT n.conv_id, n.depth, count(e.depth) AS n_children FROM n LEFT JOIN e ON e.parent = n.conv_id AND e.depth = n.depth + 1 GROUP BY 1, 2),
+u AS (SELECT DISTINCT a.conv_id AS top, a.depth AS top_depth, b.conv_id, b.depth, b.own FROM x a JOIN x b ON b.c = a.c AND b.depth >= a.depth),
+s AS (SELECT top, top_depth, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM u JOIN g USING (conv_id, depth) GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, e.parent AS parent_conv_id, n.n_convs, g.n_children, s.n_leaves, s.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN g USING (conv_id, depth) JOIN s ON s.top = n.conv_id AND s.top_depth = n.depth LEFT JOIN e ON e.conv_id = n.conv_id AND e.depth = n.depth
+""".replace("CRC", CRC32.format(text="conv_id::VARCHAR"))
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_license_scans": op2_license_scans, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_html_extraction": op5_html_extraction, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_chat_formatting": op9_chat_formatting, "op10_line_dedup": op10_line_dedup}
+    return {"op1_packing": op1_packing, "op2_license_scans": op2_license_scans, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_html_extraction": op5_html_extraction, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_chat_formatting": op9_chat_formatting, "op10_line_dedup": op10_line_dedup, "op11_spelling_variants": op11_spelling_variants, "op12_conversation_trie": op12_conversation_trie, "op13_token_counts": op13_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op6_embedding_near_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op6_embedding_near_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_conversation_trie": OP12_SQL}
