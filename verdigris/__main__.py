@@ -51,7 +51,7 @@ class Context:
         return io.load_labels(self.spark, self.path("labels.jsonl"))
 
     def texts(self) -> DataFrame:
-        return self.spark.read.parquet(self.path("corpus/texts")).select("doc_id", "text")
+        return extract.stored_texts(self.spark, self.path("corpus"))
 
     def gold(self) -> DataFrame:
         value = F.struct(*(F.try_element_at("labels", F.lit(t.id)).alias(t.id) for t in self.registry)).alias("gold")

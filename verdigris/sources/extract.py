@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import text as T
+from verdigris.sources.commits import Tables
 
 THIN_CHARS, THIN_IMAGE = 100, 0.5
 MANIFEST = ("doc_id", "file_name", "page_count", "n_chars", "extractor", "thin_pages", "transcribed_pages", "unread_pages", "truncated", "original_chars", "limit", "head_share", "error")
@@ -41,7 +42,10 @@ def plain(content: bytes) -> tuple[list[str], list[float]]:
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFrame:
-    """(doc_id, path, content) of a folder's files with the suffix in any case; hidden files are left out, two files of one id are an error."""
+    """(doc_id, path, content) of a folder's files with the suffix in any case; hidden files are left out, two files of one id are an error.
+
+    Spark's own reader passes over files without a byte; :mod:`verdigris.sources.documents` lists them too.
+    """
     pattern = "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     name = F.substring_index("path", "/", -1)
@@ -52,10 +56,31 @@ def list_files(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFra
     return files
 
 
+def extractors() -> dict[str, Extractor]:
+    return dict(_registered)
+
+
+def pages_of(content: bytes, tried: list[tuple[str, Extractor]]) -> tuple[list[str], list[float], str, str]:
+    """(page texts, image shares, extractor, error) of a file: each of the named extractors until one finds text."""
+    pages: list[str] = []
+    images: list[float] = []
+    used, error = "", ""
+    for name, f in tried:
+        try:
+            found, shares = f(content)
+            pages, images = list(found), [min(1.0, float(i)) for i in shares]
+            used, error = name, ""
+        except Exception as e:  # an unreadable file is a recorded outcome
+            error = f"{type(e).__name__}: {e}"[:300]
+        if any(p.strip() for p in pages):
+            break
+    return pages, images, used, error
+
+
 def read_pages(files: DataFrame, extractor: str = "plain", fallback: str | None = None) -> DataFrame:
     """(doc_id, pages, images, extractor, error): the fallback is taken when the first finds no text."""
     names = [n for n in (extractor, fallback) if n]
-    funcs = [_registered[n] for n in names]
+    funcs = [(n, _registered[n]) for n in names]
 
     def run(batches: Iterable):
         import pandas as pd
@@ -63,16 +88,8 @@ def read_pages(files: DataFrame, extractor: str = "plain", fallback: str | None
         for batch in batches:
             rows = []
             for doc, content in zip(batch["doc_id"], batch["content"], strict=True):
-                pages, images, used, error = [], [], "", ""
-                for name, f in zip(names, funcs, strict=True):
-                    try:
-                        pages, images = f(bytes(content))
-                        used, error = name, ""
-                    except Exception as e:  # an unreadable file is a recorded outcome
-                        error = f"{type(e).__name__}: {e}"[:300]
-                    if any(p.strip() for p in pages):
-                        break
-                rows.append((doc, list(pages), [min(1.0, float(i)) for i in images], used, error))
+                pages, images, used, error = pages_of(bytes(content), funcs)
+                rows.append((doc, pages, images, used, error))
             yield pd.DataFrame(rows, columns=["doc_id", "pages", "images", "extractor", "error"])
 
     return files.select("doc_id", "content").mapInPandas(run, "doc_id string, pages array<string>, images array<double>, extractor string, error string")
@@ -134,37 +151,54 @@ def missing_texts(ids: DataFrame, texts: DataFrame, key: str = "doc_id") -> list
     return [str(r[0]) for r in ids.select(key).distinct().join(texts.select(key), key, "left_anti").orderBy(key).collect()]
 
 
-def extract_corpus(spark: SparkSession, folder: str, out: str, extractor: str = "plain", fallback: str | None = None, suffix: str = "pdf", transcripts: DataFrame | None = None, limit: int | None = None, head_share: float = 0.7) -> DataFrame:
-    """Texts under ``out/texts`` and manifest rows under ``out/manifest`` for the files that ``out`` does not have yet.
+#: What is stored of a document: its text, and beside it a manifest row that people read.
+STORED = {
+    "texts": "doc_id string, text string",
+    "manifest": "doc_id string, file_name string, page_count int, n_chars int, extractor string, thin_pages int, transcribed_pages int, unread_pages int, truncated boolean, original_chars int, `limit` string, head_share double, error string",
+}
+_WHOLE = "doc_id string, file_name string, text string, page_count int, n_chars int, extractor string, thin_pages int, transcribed_pages int, unread_pages int, truncated boolean, original_chars int, error string"
 
-    Run again, it goes on where it stood; with ``transcripts`` documents with unread pages are read again.  Returns the
-    manifest, one row for each document; files and manifest that don't add up are an error.
-    """
-    from verdigris.sources.io import read_manifest
 
-    def there(path: str) -> bool:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def corpus_tables(spark: SparkSession, out: str) -> Tables:
+    """Texts and manifest of an extracted corpus, which change together."""
+    return Tables(spark, out, STORED | {"whole": _WHOLE}, {"manifest": ("csv", {"header": "true"})})
+
+
+def extract_corpus(spark: SparkSession, folder: str, out: str, extractor: str = "plain", fallback: str | None = None, suffix: str = "pdf", transcripts: DataFrame | None = None, limit: int | None = None, head_share: float = 0.7) -> DataFrame:
+    """Texts and manifest rows under ``out`` for the files that it does not have yet, in one commit.
 
+    Files are read once: what was extracted is staged, both tables are made of it, and one rename makes both count.  A run that
+    dies before leaves nothing that is read.  Run again, it goes on where it stood; with ``transcripts`` documents with unread
+    pages are read again and replaced.  Returns the manifest, one row for each document; files and manifest that don't add
+    up are an error.
+    """
+    tables = corpus_tables(spark, out)
     files = list_files(spark, folder, suffix)
-    old = read_manifest(spark, f"{out}/manifest") if there(f"{out}/manifest") else None
+    old = tables.latest("manifest", "doc_id")
     todo = pending_documents(files, old, retry_unread=transcripts is not None)
-    names = files.select("doc_id", F.substring_index("path", "/", -1).alias("file_name"))
-    rows = document_texts(read_pages(todo, extractor, fallback), transcripts, limit, head_share)
-    rows.select("doc_id", "text", "page_count", "extractor", "thin_pages", "transcribed_pages", "unread_pages", "truncated", "original_chars", "error", "n_chars").write.mode("append").parquet(f"{out}/texts")
-    kept = spark.read.parquet(f"{out}/texts")
-    new = kept if old is None else kept.join(todo.select("doc_id"), "doc_id", "left_semi")
-    manifest = new.join(names, "doc_id").withColumns({"limit": F.lit("" if limit is None else str(limit)), "head_share": F.lit(head_share)})
-    manifest.select(*MANIFEST).write.mode("append").option("header", True).csv(f"{out}/manifest")
-    done = read_manifest(spark, f"{out}/manifest")
-    if lost := [r[0] for r in files.join(done, "doc_id", "left_anti").select("doc_id").limit(5).collect()]:
+    names = todo.select("doc_id", F.substring_index("path", "/", -1).alias("file_name"))
+    rows = document_texts(read_pages(todo, extractor, fallback), transcripts, limit, head_share).join(names, "doc_id")
+    staged = tables.stage()
+    whole = staged.write("whole", rows)
+    if not whole.isEmpty():
+        staged.write("texts", whole)
+        staged.write("manifest", whole.withColumns({"limit": F.lit("" if limit is None else str(limit)), "head_share": F.lit(head_share)}))
+        tables.files.delete(staged.path("whole"))
+        staged.commit()
+    done = tables.latest("manifest", "doc_id")
+    if lost := [r[0] for r in files.select("doc_id").join(done, "doc_id", "left_anti").limit(5).collect()]:
         raise BadCorpus(f"files without a manifest row: {lost}")
-    return done
+    return done.select(*MANIFEST)
+
+
+def stored_texts(spark: SparkSession, out: str) -> DataFrame:
+    """(doc_id, text) of all documents that :func:`extract_corpus` stored."""
+    return corpus_tables(spark, out).latest("texts", "doc_id")
 
 
 def load_texts(spark: SparkSession, out: str, ids: DataFrame) -> DataFrame:
     """Texts that :func:`extract_corpus` stored, for the ids; missing ones are an error that lists them."""
-    stored = spark.read.parquet(f"{out}/texts").groupBy("doc_id").agg(F.max_by("text", "transcribed_pages").alias("text"))
+    stored = stored_texts(spark, out)
     if lost := missing_texts(ids, stored):
         raise BadCorpus(f"{len(lost)} ids have no text: {lost[:50]}")
     return texts_of(ids, stored)
