@@ -217,10 +217,13 @@ def test_token_counts(spark, common):
     assert token_counts.count_tokens(docs.limit(0), tokenizer_path()).count() == 0
 
 
-def test_each_pre_token_is_merged_once(spark):
-    rows = spark.createDataFrame([(1, 1, "the cat the cat the"), (2, 1, "the dog")], "row_id long, doc_id long, text string")
-    times = token_counts.pre_token_counts(rows, tokenizer_path()).where("pre_token IS NOT NULL")
-    assert {(r["row_id"], r["pre_token"]): r["times"] for r in times.collect()} == {(1, "the"): 1, (1, " cat"): 2, (1, " the"): 2, (2, "the"): 1, (2, " dog"): 1}
+def test_frequencies_meet_pieces(spark):
+    rows = spark.createDataFrame([(1, 7, "the cat the cat the"), (2, 8, "the dog"), (3, None, "")], "row_id long, doc_id long, text string")
+    for held in (1, 100):
+        counted = token_counts.pre_token_counts(rows.repartition(2), tokenizer_path(), held)
+        assert {r["pre_token"]: r["n"] for r in counted.collect()} == {"the": 2, " cat": 2, " the": 2, " dog": 1}
+    got = {r["row_id"]: (r["doc_id"], r["n_bytes"], r["n_tokens"], {tuple(o) for o in r["others"]}) for r in token_counts.document_counts(rows, tokenizer_path(), {"the": 10, " cat": 100}).collect()}
+    assert got == {1: (7, 19, 210, {(" the", 2)}), 2: (8, 7, 10, {(" dog", 1)}), 3: (None, 0, 0, set())}
 
 
 def test_pre_tokens_need_a_byte_level_file():

@@ -1,11 +1,10 @@
 """Token counts of documents from the counts of their distinct pre-tokens; no ids are made.
 
-1. :func:`pre_token_counts` splits every whole text as the tokenizer would before its merges, and counts each pre-token of
-   a document once with its frequency there.
-2. :func:`piece_counts` runs the merges once for each pre-token of the whole corpus.
-3. :func:`count_tokens` joins both and adds up frequency times pieces.  The pre-tokens that are met most often are
-   broadcast, so that no task gets all documents of a common one, and a document's common pre-tokens become one sum before
-   anything is shuffled; the others, each of few documents, meet in a shuffled join.
+1. :func:`pre_token_counts` splits every whole text as the tokenizer would before its merges, and counts pre-tokens.
+2. :func:`piece_counts` runs the merges once for each distinct pre-token of the whole corpus.
+3. :func:`document_counts` takes each document's pre-tokens with their frequencies and adds up frequency times pieces for
+   those that are met most often, whose counts every task has: no task gets all documents of a common one.
+4. :func:`count_tokens` adds the others, each of few documents, in a shuffled join.
 """
 
 from __future__ import annotations
@@ -15,10 +14,10 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import least_frequent_of, text_batches, written
 
-#: Pre-tokens that are broadcast, and bytes that one of them has, at most: 20 MB in all.
+#: Pre-tokens whose counts every task has, and bytes that one of them has, at most: 20 MB in all.
 COMMON, COMMON_BYTES = 200_000, 100
-#: Rows that one Arrow batch carries back.
-ROWS_OUT = 100_000
+#: Pre-tokens that a task counts before it hands them on.
+HELD = 100_000
 _workers: dict = {}
 
 
@@ -68,11 +67,10 @@ def _worker(path: str) -> PreTokens:
     return _workers[path]
 
 
-def pre_token_counts(rows: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(row_id, doc_id, n_bytes, pre_token, times) of ``rows`` (row_id, doc_id, text without nulls).
+def pre_token_counts(texts: DataFrame, tokenizer_path: str, held: int = HELD) -> DataFrame:
+    """(pre_token, n): how often each pre-token stands in all of ``texts`` (text without nulls).
 
-    Each text gives one row for each distinct pre-token, with its frequency, and one row with a null pre-token that carries
-    the text's bytes; in the others they are 0.
+    A task adds up in memory and hands on what it has once it holds ``held`` pre-tokens, so few rows are left to shuffle.
     """
 
     def split(batches):
@@ -80,33 +78,21 @@ def pre_token_counts(rows: DataFrame, tokenizer_path: str) -> DataFrame:
 
         import pyarrow as pa
 
-        words = _worker(tokenizer_path)
-        names = ["row_id", "doc_id", "n_bytes", "pre_token", "times"]
-
-        def out(batch, who, sizes, tokens, times):
-            at = pa.array(who, pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes, pa.int64()), pa.array(tokens, pa.string()), pa.array(times, pa.int64())], names=names)
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["pre_token", "n"])
 
+        words, found = _worker(tokenizer_path), Counter()
         for batch in batches:
-            who, sizes, tokens, times = [], [], [], []
-            for i, value in enumerate(batch.column(2)):
-                text = value.as_py()
-                found = Counter(words(text))
-                who += [i] * (len(found) + 1)
-                sizes.append(len(text.encode()))
-                sizes += [0] * len(found)
-                tokens.append(None)
-                tokens += found.keys()
-                times.append(0)
-                times += found.values()
-                if len(who) >= ROWS_OUT:
-                    yield out(batch, who, sizes, tokens, times)
-                    who, sizes, tokens, times = [], [], [], []
-            if who:
-                yield out(batch, who, sizes, tokens, times)
+            for value in batch.column(0):
+                found.update(words(value.as_py()))
+                if len(found) >= held:
+                    yield out(found)
+                    found.clear()
+        if found:
+            yield out(found)
 
-    text_batches(rows.sparkSession)
-    return rows.select("row_id", "doc_id", "text").mapInArrow(split, "row_id long, doc_id long, n_bytes long, pre_token string, times long")
+    text_batches(texts.sparkSession)
+    return texts.select("text").mapInArrow(split, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
 
 
 def piece_counts(words: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -124,6 +110,43 @@ def piece_counts(words: DataFrame, tokenizer_path: str) -> DataFrame:
     return words.select("pre_token", "n").mapInArrow(count, "pre_token string, n long, pieces long")
 
 
+def document_counts(rows: DataFrame, tokenizer_path: str, known: dict[str, int]) -> DataFrame:
+    """(row_id, doc_id, n_bytes, n_tokens, others) of ``rows`` (row_id, doc_id, text without nulls), a row each.
+
+    A document's distinct pre-tokens, with their frequencies, meet the piece counts ``known``, which every task has: ``n_tokens``
+    is the sum of frequency times pieces.  ``others`` holds the pre-tokens that it does not have, with their frequencies.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches):
+        from collections import Counter
+
+        import numpy as np
+        import pyarrow as pa
+
+        words, pieces = _worker(tokenizer_path), shared.value
+        for batch in batches:
+            sizes, sums, ends, tokens, times = [], [], [0], [], []
+            for value in batch.column(2):
+                text = value.as_py()
+                total = 0
+                for token, n in Counter(words(text)).items():
+                    k = pieces.get(token)
+                    if k is None:
+                        tokens.append(token)
+                        times.append(n)
+                    else:
+                        total += n * k
+                sizes.append(len(text.encode()))
+                sums.append(total)
+                ends.append(len(tokens))
+            others = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(times, pa.int64())], names=["pre_token", "times"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), others], names=["row_id", "doc_id", "n_bytes", "n_tokens", "others"])
+
+    text_batches(rows.sparkSession)
+    return rows.select("row_id", "doc_id", "text").mapInArrow(count, "row_id long, doc_id long, n_bytes long, n_tokens long, others array<struct<pre_token:string,times:long>>")
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", limit: int = 1024, common: int = COMMON) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row of ``docs``, equal to the tokenizer's own counts.
 
@@ -131,20 +154,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     length is split whole; no rows give no rows.  Other columns of ``docs`` are ignored, whatever their names.  The counts of
     distinct pre-tokens and each row's sums are written to the shared folder, where the result reads them.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("row_id", F.monotonically_increasing_id())
-    times = pre_token_counts(rows, tokenizer_path)
-    words = times.where("pre_token IS NOT NULL").groupBy("pre_token").agg(F.sum("times").alias("n"))
-    pieces = written(piece_counts(words, tokenizer_path), "pre-tokens")
-    least = least_frequent_of(pieces, "n", common)
-    often = (F.col("n") >= least) & (F.octet_length("pre_token") <= COMMON_BYTES)
-    known = F.broadcast(pieces.where(often).select("pre_token", "pieces"))
-    # a row id is used in this one pass alone and then read from the table
-    rest = F.when(F.col("pieces").isNull(), F.col("pre_token")).alias("pre_token")
-    sums = times.join(known, "pre_token", "left").groupBy("row_id", "doc_id", rest).agg(
-        F.sum("n_bytes").alias("n_bytes"), F.sum("times").alias("times"), F.sum(F.col("times") * F.coalesce("pieces", F.lit(0))).alias("n_tokens")
-    )
-    sums = written(sums, "token-sums")
-    seldom = sums.where("pre_token IS NOT NULL").drop("n_tokens").join(pieces.where(~often).select("pre_token", "pieces"), "pre_token")
-    parts = sums.where("pre_token IS NULL").select("row_id", "doc_id", "n_bytes", "n_tokens").unionByName(seldom.select("row_id", "doc_id", "n_bytes", (F.col("times") * F.col("pieces")).alias("n_tokens")))
-    out = parts.groupBy("row_id", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    pieces = written(piece_counts(pre_token_counts(rows, tokenizer_path), tokenizer_path), "pre-tokens")
+    often = (F.col("n") >= least_frequent_of(pieces, "n", common)) & (F.octet_length("pre_token") <= COMMON_BYTES)
+    known = {r["pre_token"]: r["pieces"] for r in pieces.where(often).select("pre_token", "pieces").collect()}
+    # a row id is made in this one pass alone and then read from the table
+    sums = written(document_counts(rows.withColumn("row_id", F.monotonically_increasing_id()), tokenizer_path, known), "token-sums")
+    seldom = sums.select("row_id", F.explode("others").alias("o")).select("row_id", "o.*").join(pieces.where(~often).select("pre_token", "pieces"), "pre_token")
+    more = seldom.groupBy("row_id").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
+    out = sums.drop("others").join(more, "row_id", "left").withColumn("n_tokens", F.col("n_tokens") + F.coalesce("more", F.lit(0)))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
