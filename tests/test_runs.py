@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from verdigris import project
 from verdigris.__main__ import main
-from verdigris.operators import batching, labeling, program, runs
+from verdigris.operators import labeling, program, runs
 from verdigris.operators import sampling as Sa
 from verdigris.plans.registry import BadDeclaration, Registry
 from verdigris.sources import extract, io, xlsx
@@ -26,6 +26,21 @@ def predictor(rows, attempt):
 """
 
 
+SERVICE = """
+from verdigris.operators.batching import FolderService
+
+def answer(custom_id, body):
+    text = body.rsplit("Document:\\n", 1)[1]
+    if text.endswith(" 7"):
+        return None
+    urgent = "null" if text.endswith(" 9") else "yes" if "now" in text else "no"
+    kind = "" if text.endswith(" 8") else "[[ ## kind ## ]]\\n" + ("bill" if "pay" in text else "letter")
+    return f"[[ ## urgent ## ]]\\n{urgent}\\n{kind}"
+
+service = FolderService("FOLDER", answer)
+"""
+
+
 @pytest.fixture()
 def folder(tmp_path):
     root = tmp_path / "p"
@@ -47,7 +62,7 @@ def sheet_of(root: Path) -> list[dict]:
 def test_project_from_documents_to_report(spark, folder, capsys):
     root = str(folder)
     assert main(["extract", root]) == 0 and main(["extract", root]) == 0
-    assert spark.read.parquet(f"{root}/corpus/texts").count() == 60
+    assert extract.stored_texts(spark, f"{root}/corpus").count() == 60
     assert main(["sample-labels", root, "--n", "54", "--seed", "3"]) == 0 and main(["sample-labels", root]) == 2
     plan = runs.load_plan(spark, folder / "label_plan.json")
     assert plan.count() == 54 and plan.where("is_holdout").count() == 14
@@ -77,6 +92,15 @@ def test_project_from_documents_to_report(spark, folder, capsys):
     assert "aggregate 1.000" in (folder / "runs/holdout/report.md").read_text()
     assert main(["production", root]) == 0 and "coverage" in (folder / "qa.md").read_text()
     assert spark.read.text(f"{root}/outputs").count() == 60
+    assert "production run" in project.status(root)["done"]
+    assert main(["production", root, "--batch"]) == 2 and "service" in capsys.readouterr().err
+    (folder / "custom.py").write_text(CUSTOM + SERVICE.replace("FOLDER", f"{root}/service"))
+    assert main(["production", root, "--batch"]) == 0 and main(["production", root, "--batch"]) == 0
+    sent = json.loads(next((folder / "service/batches").glob("*/*.json")).read_text())
+    assert len(sent) == 60 and len(list((folder / "service/batches").glob("*/*.json"))) == 1 and sent[0][1].startswith("urgent (binary")
+    done = {o["doc_id"]: o for o in (json.loads(r["value"]) for r in spark.read.text(f"{root}/outputs").collect())}
+    assert len(done) == 60 and done["d07"] == {"doc_id": "d07", "ok": False, "error": "no reply"} and done["d08"]["error"] == "missing: kind"
+    assert done["d06"]["values"] == {"urgent": "yes", "kind": "bill"} and done["d09"]["values"] == {"urgent": None, "kind": "bill"}
     assert main(["close", root]) == 0 and "adjudication.md: missing" in (folder / "REPORT.md").read_text()
     assert runs.write_prompt(Registry.read(f"{root}/tasks.yaml"), folder, [{"text": "x" * 900, "labels": {"urgent": "yes"}}]).read_text().count("x") < 500
 
@@ -123,39 +147,6 @@ def test_extraction_goes_on(spark, tmp_path):
         extract.load_texts(spark, str(tmp_path / "out"), spark.createDataFrame([("zz",)], "doc_id string"))
 
 
-class Service:
-    def __init__(self):
-        self.sent, self.asked = {}, 0
-
-    def submit(self, requests):
-        name = f"b{len(self.sent)}"
-        self.sent[name] = requests
-        return name
-
-    def status(self, batch):
-        self.asked += 1
-        return "ended" if self.asked > 1 else "running"
-
-    def results(self, batch):
-        return [(r["id"], f"reply {r['id']}") for r in self.sent[batch] if r["id"] != "3"]
-
-
-def test_batches_go_on_after_a_death(tmp_path):
-    path, service = tmp_path / "state.json", Service()
-    requests = [(str(i), {"id": str(i)}) for i in range(5)]
-    state = batching.State.read(path, "f")
-    assert batching.submit(state, requests[:3], service, 2) == 2
-    again = batching.State.read(path, "f")
-    assert again.sent == {"0", "1", "2"} and batching.submit(again, requests, service, 2) == 1
-    got = {}
-    assert batching.collect(again, service, got.__setitem__, wait=0.01) == 4
-    assert got == {"0": "reply 0", "1": "reply 1", "2": "reply 2", "4": "reply 4", "3": None} and not batching.State.read(path, "f").open
-    with pytest.raises(project.Refused):
-        batching.State.read(path, "other tasks")
-    names = {batching.custom_id(f"a b/{i}" * 9, "g") for i in range(9)}
-    assert len(names) == 9 and all(len(n) <= 64 for n in names)
-
-
 def test_a_predictor_that_raises_fails_alone(spark):
     def touchy(rows, attempt):
         if any(d == "3" for d, _ in rows):

@@ -102,10 +102,6 @@ def test_resume(spark, tmp_path):
     again = {r["doc_id"]: r for r in resume.produce(docs, path, resume.replay({str(i): {"x": -i} for i in range(20)}), 2).collect()}
     assert all(r["ok"] for r in again.values()) and again["3"]["values"] == {"x": "3"} and again["19"]["values"] == {"x": "-19"}
     assert spark.read.parquet(path).count() == 25
-    src = str(tmp_path / "in")
-    docs.write.parquet(src)
-    resume.stream_outcomes(spark.readStream.schema(docs.schema).parquet(src), str(tmp_path / "s"), str(tmp_path / "c"), resume.replay({str(i): {"x": i} for i in range(20)})).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "s")).where("ok").count() == 20
 
 
 def test_project(tmp_path, capsys):

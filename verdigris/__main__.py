@@ -8,12 +8,13 @@ import json
 import shutil
 import sys
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris import project
-from verdigris.operators import facts, gates, labeling, metrics, runs, sampling
+from verdigris.operators import batching, facts, gates, labeling, metrics, program, runs, sampling
 from verdigris.plans.registry import BadDeclaration, Registry
 from verdigris.sources import extract, io
 from verdigris.streaming import resume
@@ -37,6 +38,7 @@ class Context:
 
     @property
     def registry(self) -> Registry:
+        load_customizations(self.folder if self.folder.is_dir() else self.folder.parent)  # tasks may name matchers of its own
         return Registry.read(str(self.folder if self.folder.is_file() else self.folder / "tasks.yaml"))
 
     @property
@@ -68,16 +70,25 @@ class Context:
         return module.predictor
 
 
+_customized: dict[tuple[str, int], Any] = {}
+
+
 def load_customizations(folder: str | Path):
-    """Runs a project's ``custom.py``, which registers normalizers, matchers, extractors; None without one.  Executors get it too."""
+    """Runs a project's ``custom.py``, which registers normalizers, matchers, extractors; None without one.  Executors get it too.
+
+    A file that hasn't changed is run once.
+    """
     path = Path(folder) / "custom.py"
     if not path.exists():
         return None
+    if (held := (str(path.resolve()), path.stat().st_mtime_ns)) in _customized:
+        return _customized[held]
     spec = importlib.util.spec_from_file_location("custom", path)
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
     if active := SparkSession.getActiveSession():
         active.sparkContext.addPyFile(str(path))
+        _customized[held] = module
     return module
 
 
@@ -184,9 +195,29 @@ def holdout(c: Context, args) -> None:
     print(report.to_markdown())
 
 
+def batched(c: Context) -> DataFrame:
+    """Outcomes by way of the batch service that ``custom.py`` defines as ``service``: a request for each document and group of tasks.
+
+    Replies are read strictly and merged; a document whose reply to a group is missing or can't be read fails.
+    """
+    module = load_customizations(c.folder)
+    if module is None or not hasattr(module, "service"):
+        raise project.Refused("custom.py must define service, the batch service to send to")
+    registry, texts = c.registry, c.texts()
+    whole = program.Program.of(registry)
+    prompt = lambda group: whole.prompt(registry, group, "\0")
+    parts = F.create_map(*(F.lit(x) for g in registry.groups for x in (g, prompt(g).rsplit("\0", 1)[0])))
+    requests = texts.select("doc_id", F.explode(F.array(*(F.lit(g) for g in registry.groups))).alias("group"), "text").select("doc_id", "group", F.concat(F.try_element_at(parts, F.col("group")), F.coalesce("text", F.lit(""))).alias("body"))
+    run = batching.Batches(c.spark, c.path("batches"), registry.fingerprint())
+    run.plan(requests)
+    run.send(requests, module.service)
+    run.collect(module.service)
+    return program.merged(run.latest().where(F.col("fingerprint") == registry.fingerprint()), registry)
+
+
 def production(c: Context, args) -> None:
-    best = resume.produce(c.texts(), c.path("outcomes"), c.predictor(), c.config.production_retries)
     registry = c.registry
+    best = batched(c) if args.batch else resume.produce(c.texts(), c.path("outcomes"), c.predictor(), c.config.production_retries)
     io.outputs_json(best).write.mode("overwrite").text(c.path("outputs"))
     values = F.struct(*(F.try_element_at("values", F.lit(t.id)).alias(t.id) for t in registry)).alias("values")
     o = best.select("doc_id", "ok", "error", values)
@@ -218,7 +249,7 @@ COMMANDS = {
     "sample-labels": (sample_labels, (("--n", {"type": int, "default": 120}), ("--holdout", {"type": float, "default": 0.25}), ("--seed", {"type": int, "default": 1}), ("--prefill", {"action": "store_true"}))),
     "label-sheet": (label_sheet, (("--predictions", {}), ("--xlsx", {"action": "store_true"}))), "import-labels": (import_labels, (("sheet", {}),)), "audit-labels": (audit_labels, ()),
     "make-splits": (make_splits, (("--reason", {"default": ""}),)), "run-baseline": (run_baseline, (("--name", {"default": "zero_shot"}),)), "compile": (compile_command, (("--name", {"default": ""}),)),
-    "holdout": (holdout, (("--who", {"required": True}), ("--reason", {"default": ""}))), "production": (production, ()),
+    "holdout": (holdout, (("--who", {"required": True}), ("--reason", {"default": ""}))), "production": (production, (("--batch", {"action": "store_true"}),)),
     "rescore": (rescore, (("pairs", {"help": "parquet with doc_id and gold and pred structs"}), ("out", {}))), "adjudicate": (adjudicate, (("pairs", {}),)), "close": (close, (("--notes", {}),)),
 }
 

@@ -1,109 +1,221 @@
-"""Requests sent in batches to a service that answers later: what was sent is remembered, so a run that died goes on.
+"""Requests sent in batches to a service that answers later, each exactly once: an append-only table of request states.
 
-The service is a client with ``submit(requests) -> id``, ``status(id) -> 'running' | 'ended'`` and ``results(id)`` giving
-(custom_id, reply or None); tests use one of their own.
+Every step is a commit (:mod:`verdigris.sources.commits`): which requests stand in which batch is committed before anything
+is sent, then what the service took, then what it answered.  A run that dies goes on from the table: a batch that was sent
+but not noted is found again at the service, by its key or by the ids of its requests, and not sent twice.
+
+A batch is sent by the task that holds it, so request bodies never pass through the driver.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
 import time
-from collections.abc import Callable, Iterable
-from dataclasses import asdict, dataclass, field
-from pathlib import Path
+import uuid
+from collections.abc import Iterable
 from typing import Protocol
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from verdigris.project import Refused
+from verdigris.sources.commits import Conflict, Tables
 
 #: Requests in a batch at most.
 SIZE = 10_000
+#: Tables of a batched run: what is to be sent, what was sent, what came back.
+STATES = {
+    "requests": "custom_id string, doc_id string, group string, batch string, fingerprint string",
+    "sent": "batch string, service_id string",
+    "replies": "custom_id string, batch string, reply string",
+}
+_ROW_BITS = 33  # monotonically_increasing_id counts rows below this bit and partitions above it
 
 
-class Client(Protocol):
-    def submit(self, requests: list[dict]) -> str: ...
-    def status(self, batch: str) -> str: ...
-    def results(self, batch: str) -> Iterable[tuple[str, str | None]]: ...
-
-
-@dataclass
-class State:
-    """Batches of a run by their service ids, with the documents in each; saved before anything is waited for."""
+class Service(Protocol):
+    """What a batch service offers; objects go to the executors, so they must pickle."""
 
-    path: str
-    fingerprint: str
-    batches: dict[str, list[str]] = field(default_factory=dict)
-    collected: list[str] = field(default_factory=list)
+    def submit(self, key: str, requests: list[tuple[str, str]]) -> str:
+        """Starts a batch of (custom_id, body) named ``key`` and gives the service's id of it."""
 
-    @classmethod
-    def read(cls, path: str | Path, fingerprint: str) -> State:
-        """The state of a run that went before, or a new one; one made with other tasks is refused."""
-        p = Path(path)
-        if not p.exists():
-            return cls(str(p), fingerprint)
-        raw = json.loads(p.read_text(encoding="utf-8"))
-        if raw["fingerprint"] != fingerprint:
-            raise Refused("batches of other tasks are still open; collect them or remove their state")
-        return cls(**raw)
-
-    def save(self) -> None:
-        held = Path(f"{self.path}.new")
-        held.write_text(json.dumps(asdict(self)), encoding="utf-8")
-        held.replace(self.path)
+    def find(self, key: str) -> str | None:
+        """The service's id of the batch named ``key``, if it has one."""
 
-    @property
-    def sent(self) -> set[str]:
-        return {d for ids in self.batches.values() for d in ids}
+    def ended(self, service_id: str) -> bool: ...
 
-    @property
-    def open(self) -> list[str]:
-        return [b for b in self.batches if b not in self.collected]
+    def results(self, service_id: str) -> Iterable[tuple[str, str | None]]:
+        """(custom_id, reply); what the service gave up on is missing or None."""
 
 
 def custom_id(doc_id: str, group: str) -> str:
     """A request's name: only letters, digits, - and _, at most 64 characters, different for different requests."""
-    import hashlib
-
     plain = "".join(c if c.isascii() and (c.isalnum() or c in "-_") else "-" for c in f"{doc_id}--{group}")
     return f"{plain[:47]}-{hashlib.sha256(f'{doc_id}|{group}'.encode()).hexdigest()[:16]}"
 
 
-def submit(state: State, requests: Iterable[tuple[str, dict]], client: Client, size: int = SIZE) -> int:
-    """Sends requests (doc_id, body) that were not sent yet, ``size`` at a time; returns how many batches went out."""
-    sent, held, out = state.sent, [], 0
-
-    def go() -> None:
-        nonlocal held, out
-        if held:
-            batch = client.submit([body for _, body in held])
-            state.batches[batch] = [d for d, _ in held]
-            state.save()
-            out, held = out + 1, []
-
-    for doc, body in requests:
-        if doc not in sent:
-            held.append((doc, body))
-            if len(held) == size:
-                go()
-    go()
-    return out
-
-
-def collect(state: State, client: Client, take: Callable[[str, str | None], None], wait: float = 30.0, most: float = 86_400.0) -> int:
-    """Waits for open batches and hands each reply to ``take``; what never came is handed over as None, to be asked live."""
-    began, n = time.monotonic(), 0
-    for batch in state.open:
-        while client.status(batch) != "ended":
+def custom_ids(doc_id: Column, group: Column) -> Column:
+    """:func:`custom_id` as a column."""
+    plain = F.regexp_replace(F.concat(doc_id, F.lit("--"), group), "[^A-Za-z0-9_-]", "-")
+    return F.concat(F.substring(plain, 1, 47), F.lit("-"), F.substring(F.sha2(F.concat(doc_id, F.lit("|"), group), 256), 1, 16))
+
+
+class Batches:
+    """A batched run under ``root``.  ``fingerprint`` names the tasks asked; a run of other tasks is refused while requests are open."""
+
+    def __init__(self, spark: SparkSession, root: str, fingerprint: str, size: int = SIZE):
+        self.spark, self.fingerprint, self.size = spark, fingerprint, size
+        self.tables = Tables(spark, root, STATES)
+        others = self.latest().where((F.col("fingerprint") != fingerprint) & F.col("state").isin("written", "sent"))
+        if not others.isEmpty():
+            raise Refused("batches of other tasks are still open; collect them or remove their state")
+
+    # --- what there is
+
+    def latest(self) -> DataFrame:
+        """(custom_id, doc_id, group, fingerprint, batch, service_id, state, reply) of every request.
+
+        ``state`` is written (to be sent), sent, answered or missing (the batch ended without a reply to it).
+        """
+        requests, sent, replies = (self.tables.read(t) for t in ("requests", "sent", "replies"))
+        r = requests.join(F.broadcast(sent), "batch", "left") if not sent.isEmpty() else requests.withColumn("service_id", F.lit(None).cast("string"))
+        r = r.join(replies.select("custom_id", "reply", F.lit(True).alias("_back")), "custom_id", "left")
+        state = F.when(F.col("reply").isNotNull(), "answered").when(F.col("_back"), "missing").when(F.col("service_id").isNotNull(), "sent").otherwise("written")
+        return r.select("custom_id", "doc_id", "group", "fingerprint", "batch", "service_id", state.alias("state"), "reply")
+
+    # --- steps
+
+    def plan(self, requests: DataFrame) -> int:
+        """Puts those of ``requests`` (doc_id, group, ...) that have no state yet in batches and commits that; how many there were.
+
+        Rows that repeat a document and group are one request; nulls are the empty text.
+        """
+        named = requests.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("doc_id", "group"))).distinct()
+        named = named.withColumn("custom_id", custom_ids(F.col("doc_id"), F.col("group")))
+        new = named.join(self.tables.read("requests").select("custom_id"), "custom_id", "left_anti")
+        n = new.count()
+        if not n:
+            return 0
+        row = F.col("_row")
+        place = F.concat_ws("-", F.lit(uuid.uuid4().hex), F.shiftright(row, _ROW_BITS).cast("string"), F.floor(row.bitwiseAND(2**_ROW_BITS - 1) / self.size).cast("string"))
+        dealt = new.repartition(-(-n * 20 // (19 * self.size))).withColumn("_row", F.monotonically_increasing_id())
+        self.tables.put({"requests": dealt.select("custom_id", "doc_id", "group", place.alias("batch"), F.lit(self.fingerprint).alias("fingerprint"))})
+        return n
+
+    def reconcile(self, known: DataFrame) -> int:
+        """Notes batches that the service has and the table does not: ``known`` has (service_id, custom_id) of its requests.
+
+        For services that don't keep a batch's key.  Returns how many batches were found.
+        """
+        open_ = self.latest().where("state = 'written'").select("custom_id", "batch")
+        found = open_.join(known, "custom_id").select("batch", "service_id").groupBy("batch").agg(F.min("service_id").alias("service_id"))
+        staged = self.tables.stage()
+        n = staged.write("sent", found).count()
+        if n:
+            staged.commit()
+        return n
+
+    def send(self, requests: DataFrame, service: Service) -> int:
+        """Sends the batches that are written and not sent; ``requests`` has (doc_id, group, body).  How many batches there were.
+
+        A task asks the service for its batch's key first, so one that is run again sends nothing twice.  A request whose
+        body is gone is sent with an empty one.
+        """
+        todo = self.latest().where("state = 'written'").select("custom_id", "batch")
+        bodies = requests.select(custom_ids(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "group"))).alias("custom_id"), F.coalesce(F.col("body").cast("string"), F.lit("")).alias("body"))
+        bodies = bodies.groupBy("custom_id").agg(F.min("body").alias("body"))
+
+        def one(key, frame):
+            import pandas as pd
+
+            name = key[0]
+            held = service.find(name) or service.submit(name, list(zip(frame["custom_id"], frame["body"].fillna(""), strict=True)))
+            return pd.DataFrame({"batch": [name], "service_id": [held]})
+
+        staged = self.tables.stage()
+        sent = staged.write("sent", todo.join(bodies, "custom_id", "left").groupBy("batch").applyInPandas(one, STATES["sent"]))
+        n = sent.count()
+        if n:
+            staged.commit()
+        return n
+
+    def collect(self, service: Service, wait: float = 30.0, most: float = 86_400.0) -> int:
+        """Waits for the batches that are sent and commits their replies; what never came is committed as missing.  How many replies came."""
+        began = time.monotonic()
+        requests, sent, back = (self.tables.read(t) for t in ("requests", "sent", "replies"))
+        open_ = sent.join(back.select("batch").distinct(), "batch", "left_anti")
+        left = sorted((r["batch"], r["service_id"]) for r in open_.collect())  # one row a batch
+        if not left:
+            return 0
+        while late := [s for _, s in left if not service.ended(s)]:
             if time.monotonic() - began > most:
-                raise Refused(f"batch {batch} has not ended; run again to go on")
+                raise Refused(f"batch {late[0]} has not ended; run again to go on")
             time.sleep(wait)
-        missing = set(state.batches[batch])
-        for doc, reply in client.results(batch):
-            if doc in missing:
-                missing.discard(doc)
-                take(doc, reply)
-                n += 1
-        for doc in sorted(missing):
-            take(doc, None)
-        state.collected.append(batch)
-        state.save()
-    return n
+
+        def read(batches):
+            import pandas as pd
+
+            for frame in batches:
+                for name, held in zip(frame["batch"], frame["service_id"], strict=True):
+                    got = pd.DataFrame(service.results(held), columns=["custom_id", "reply"])
+                    yield got.drop_duplicates("custom_id").assign(batch=name)[["custom_id", "batch", "reply"]]
+
+        ended = self.spark.createDataFrame(left, STATES["sent"]).repartition(min(len(left), 1_000))
+        got = ended.mapInPandas(read, STATES["replies"])
+        whole = requests.join(F.broadcast(ended.select("batch")), "batch", "left_semi").select("custom_id", "batch").join(got.drop("batch"), "custom_id", "left")
+        staged = self.tables.stage()
+        rows = staged.write("replies", whole)
+        try:
+            staged.commit("replies-" + hashlib.sha256("|".join(b for b, _ in left).encode()).hexdigest())
+        except Conflict:  # another run collected the same batches
+            return 0
+        return rows.where("reply IS NOT NULL").count()
+
+
+class FolderService:
+    """A batch service kept in a folder that all executors see: what tests and replays send to.
+
+    ``answer`` maps (custom_id, body) to a reply or None.  Every submission is a file that comes into place at once, so that a
+    test can count how often a batch was sent.
+    """
+
+    def __init__(self, folder: str, answer):
+        self.folder, self.answer = folder, answer
+
+    def _open(self):
+        from verdigris.sources.documents import open_folder
+
+        return open_folder(self.folder)
+
+    def find(self, key: str) -> str | None:
+        from pyarrow import fs
+
+        system, root = self._open()
+        there = system.get_file_info(fs.FileSelector(f"{root}/batches/{key}", allow_not_found=True))
+        return min((f"{key}/{i.base_name.removesuffix('.json')}" for i in there), default=None)
+
+    def submit(self, key: str, requests: list[tuple[str, str]]) -> str:
+        import json
+
+        system, root = self._open()
+        mark = uuid.uuid4().hex
+        for part in (f"batches/{key}", "arriving"):
+            system.create_dir(f"{root}/{part}", recursive=True)
+        with system.open_output_stream(f"{root}/arriving/{mark}") as out:
+            out.write(json.dumps([list(r) for r in requests]).encode())
+        system.move(f"{root}/arriving/{mark}", f"{root}/batches/{key}/{mark}.json")
+        return f"{key}/{mark}"
+
+    def ended(self, service_id: str) -> bool:
+        return True
+
+    def results(self, service_id: str) -> list[tuple[str, str | None]]:
+        import json
+
+        system, root = self._open()
+        with system.open_input_stream(f"{root}/batches/{service_id}.json") as file:
+            return [(c, self.answer(c, body)) for c, body in json.loads(file.read())]
+
+    def submissions(self, spark: SparkSession) -> DataFrame:
+        """(custom_id, times): how often each request was sent."""
+        rows = spark.read.text(f"{self.folder}/batches/*", wholetext=True).select(F.explode(F.from_json("value", "array<array<string>>")).alias("request"))
+        return rows.groupBy(F.get("request", F.lit(0)).alias("custom_id")).agg(F.count(F.lit(1)).alias("times"))

@@ -13,6 +13,9 @@ from dataclasses import asdict, dataclass, field
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from verdigris.plans.registry import BadDeclaration, Registry
 from verdigris.streaming.resume import Predictor
 
@@ -121,6 +124,27 @@ def build_program(registry: Registry, ask: Ask, program: Program | None = None)
     return predictor
 
 
+def merged(replies: DataFrame, registry: Registry) -> DataFrame:
+    """Outcomes (doc_id, ok, values, error, attempts) from one reply for each document and group: (doc_id, group, reply).
+
+    Fields are read strictly: one that is left out, or a reply that is missing, fails the document; a null word is an answer.
+    """
+    ids = F.create_map(*(x for g, tasks in registry.groups.items() for x in (F.lit(g), F.array(*(F.lit(t.id) for t in tasks)))))
+    r = replies.select("doc_id", "group", "reply", F.try_element_at(ids, F.col("group")).alias("ids")).where("ids IS NOT NULL")
+    parts = F.split(F.coalesce("reply", F.lit("")), r"\[\[ ## (?=\w+ ## \]\])")
+    fields = F.transform(F.filter(parts, lambda p: p.rlike(r"^\w+ ## \]\]")), lambda p: F.struct(F.regexp_extract(p, r"^(\w+) ## \]\]", 1).alias("k"), F.btrim(F.regexp_replace(p, r"^\w+ ## \]\]", ""), F.lit(" \t\r\n")).alias("v")))
+    last = lambda i: F.try_element_at(F.filter("fields", lambda f: f["k"] == i), F.lit(-1))["v"]
+    r = r.withColumn("fields", fields).withColumn("read", F.transform("ids", lambda i: F.struct(i.alias("k"), last(i).alias("v"))))
+    missing = F.transform(F.filter("read", lambda f: f["v"].isNull()), lambda f: f["k"])
+    error = F.when(F.col("reply").isNull(), "no reply").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))).otherwise("")
+    said = F.transform("read", lambda f: F.struct(f["k"], F.when(~F.lower(f["v"]).isin("", "null"), f["v"]).alias("v")))
+    one = r.select("doc_id", "group", error.alias("error"), said.alias("said"))
+    out = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("group", "said", "error"))).alias("g"), F.count_distinct("group").alias("n"))
+    first = F.coalesce(F.get(F.filter(F.transform("g", lambda x: x["error"]), lambda e: e != ""), F.lit(0)), F.when(F.col("n") < len(registry.groups), "no reply").otherwise(""))
+    ok = first == ""
+    return out.select("doc_id", ok.alias("ok"), F.when(ok, F.map_from_entries(F.flatten(F.transform("g", lambda x: x["said"])))).alias("values"), first.alias("error"), F.lit(1).alias("attempts"))
+
+
 def cached(ask: Ask, held: dict[str, str]) -> Ask:
     """``ask`` with replies kept by prompt; a further attempt asks afresh and replaces what was kept."""
     key = lambda p: hashlib.sha256(p.encode()).hexdigest()

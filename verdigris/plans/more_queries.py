@@ -339,13 +339,6 @@ def readable_supports(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")).withColumn("readable_as", St.readable_at(F.col("n")))
 
 
-@query("SELECT n, half, reads_as FROM (VALUES (5, 0.29, 'presence check only'), (10, 0.22, 'detecting total failure'), (30, 0.14, 'coarse comparison'), (50, 0.11, 'a number with a caveat'), (100, 0.08, 'a number')) t(n, half, reads_as)".replace("0.29", "0.29::DOUBLE"))
-def half_widths(spark: SparkSession, d: str) -> DataFrame:
-    """The table of half widths, read back from its Markdown."""
-    rows = [[c.strip() for c in line.strip("|").split("|")] for line in St.half_width_table().splitlines()[2:]]
-    return spark.createDataFrame([(int(n), int(w.strip("±").split(" ")[0]) / 100, phrase) for n, w, phrase in rows], "n int, half double, reads_as string")
-
-
 CI_DOCS = "doc_id % 10 = 3"
 
 

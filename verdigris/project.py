@@ -136,6 +136,15 @@ class Budget:
             raise BudgetSpent(f"{self.max_rollouts} rollouts are used up")
         self.rollouts += n
 
+    def check_rollouts(self) -> None:
+        """Refuses to go on once the cap is reached."""
+        if self.rollouts >= self.max_rollouts:
+            raise BudgetSpent(f"{self.max_rollouts} rollouts are used up")
+
+    def paid(self, n: int) -> None:
+        """Counts rollouts that were made, also those past the cap."""
+        self.rollouts += n
+
 
 def experiment_id(n: int) -> str:
     return f"exp_{n:03d}"
@@ -178,7 +187,7 @@ def markdown_table(columns: list[str], rows: list[tuple]) -> str:
 #: The stages of a project and the file that shows each is done.
 STAGES = (
     ("tasks declared", "tasks.yaml"), ("text extracted", "extraction_manifest.csv"), ("documents sampled", "label_plan.json"), ("labels imported", "labels.jsonl"), ("labels audited", "label_audit.md"),
-    ("splits made", "splits.json"), ("baselines recorded", "runs/baselines"), ("compiled", "runs/champion"), ("holdout measured", "holdout.lock.json"), ("production run", "outputs.jsonl"), ("closed", "REPORT.md"),
+    ("splits made", "splits.json"), ("baselines recorded", "runs/baselines"), ("compiled", "runs/champion"), ("holdout measured", "holdout.lock.json"), ("production run", "outputs"), ("closed", "REPORT.md"),
 )
 
 

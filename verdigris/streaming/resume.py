@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from verdigris.project import Budget, BudgetSpent, Refused
+from verdigris.sources.commits import Tables
 
 #: ``at`` is when an outcome was made, in seconds.
 OUTCOME = "doc_id string, ok boolean, values map<string,string>, error string, attempts int, at double"
@@ -81,10 +85,66 @@ def produce(docs: DataFrame, path: str, predictor: Predictor, retries: int = 3)
     return best
 
 
-def stream_outcomes(stream: DataFrame, path: str, checkpoint: str, predictor: Predictor, retries: int = 3):
-    """The same over arriving documents: micro-batches until what is there is done; the checkpoint remembers."""
+#: Tables of a streamed run.
+STREAMED = {"outcomes": OUTCOME}
+
+
+def stream_tables(spark: SparkSession, root: str) -> Tables:
+    return Tables(spark, root, STREAMED)
 
-    def each(batch: DataFrame, _: int) -> None:
-        predict(batch, predictor, retries).write.mode("append").parquet(path)
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_outcomes(stream: DataFrame, root: str, predictor: Predictor, retries: int = 3, budget: Budget | None = None, after: Callable[[int], None] | None = None) -> StreamingQuery:
+    """The same over arriving documents (doc_id, text): one outcome for each id, however often it arrives or the run dies.
+
+    Ids that came before are held in the stream's state store, so a repeated one isn't asked again (RocksDB as
+    ``spark.sql.streaming.stateStore.providerClass`` keeps that off the heap).  A micro-batch's outcomes are one commit under
+    the batch's number: one that is run again after a crash finds itself committed and asks nothing.  Attempts are counted
+    from what a batch wrote, and a run whose ``budget`` is used up stops at the end of that batch: it passes its cap by one
+    batch at most, and what was paid for is kept.  ``after`` is called with each batch's number once it is committed.  Everything is under ``root``; the
+    query ends when all that is there is done.  A null id has no outcome.
+    """
+    tables = stream_tables(stream.sparkSession, root)
+    if budget is not None:
+        budget.check_rollouts()
+
+    def each(batch: DataFrame, number: int) -> None:
+        key = f"stream-{number}"
+        if not tables.done(key):
+            staged = tables.stage()
+            rows = staged.write("outcomes", predict(batch, predictor, retries))
+            staged.commit(key)
+            if budget is not None:
+                budget.paid(rows.agg(F.coalesce(F.sum("attempts"), F.lit(0))).first()[0])
+                try:
+                    budget.check_rollouts()
+                except BudgetSpent as e:  # no ordinary exception, and the stream waits for ever on any other
+                    raise Refused(str(e)) from e
+        else:
+            # nothing to ask, but the ids of this batch must reach the state store
+            batch.write.format("noop").mode("append").save()
+        if after is not None:
+            after(number)
+
+    ids = F.col("doc_id").cast("string")
+    once = stream.where(ids.isNotNull()).select(ids.alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    return once.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+
+
+def ask_again(docs: DataFrame, root: str, predictor: Predictor, retries: int = 3) -> int:
+    """Asks for those of ``docs`` (doc_id, text) whose streamed outcome is a failure; how many there were."""
+    tables = stream_tables(docs.sparkSession, root)
+    ids = F.col("doc_id").cast("string")
+    bad = streamed(docs.sparkSession, root).where("NOT ok").select("doc_id")
+    staged = tables.stage()
+    rows = staged.write("outcomes", predict(docs.select(ids.alias("doc_id"), "text").dropDuplicates(["doc_id"]).join(bad, "doc_id", "left_semi"), predictor, retries))
+    n = rows.count()
+    if n:
+        staged.commit()
+    return n
+
+
+def streamed(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, ok, values, error, attempts, at) of every document that a streamed run has met: the last good outcome, else the last one."""
+    rows = stream_tables(spark, root).read("outcomes", with_commit=True)
+    best = F.max_by(F.struct("ok", "values", "error", "attempts", "at"), F.struct("ok", "commit_number")).alias("o")
+    return rows.groupBy("doc_id").agg(best).select("doc_id", "o.*")
