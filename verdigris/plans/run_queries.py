@@ -8,9 +8,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.functions import sql as Sq
 from verdigris.operators import batching, typed_replies
 from verdigris.operators import reply_cache as Rc
-from verdigris.plans.queries import query, table
+from verdigris.plans import inputs as I
+from verdigris.plans.queries import ENTITY, FACTS, TASKS, query, table
 from verdigris.plans.registry import Registry
 from verdigris.sources import documents as Do
 from verdigris.sources import extract as Ex
@@ -199,3 +201,25 @@ def typed_replies_read_back(spark: SparkSession, d: str) -> DataFrame:
         F.coalesce("doc_id", F.regexp_extract("line", '"doc_id": "([0-9]+)"', 1)).alias("doc_id"), "ok", "error", "values.flag", F.array_join("values.tags", ",").alias("tags"), F.col("values.amount.value").alias("amount"),
         "values.amount.unit", "values.where.start", F.array_join(F.transform("problems", lambda x: F.substring_index(x, ":", 1)), ",").alias("problems"),
     )
+
+
+# --- normalizers and matchers in SQL --------------------------------------------------------------------------------
+
+
+def _sql(spark: SparkSession, d: str, text: str, rows: str) -> DataFrame:
+    """``text`` over ``{rows}``, in a session whose SQL functions are registered for the tasks."""
+    Sq.register(spark, TASKS)
+    return spark.sql(text, rows=I.frame(spark, d, rows))
+
+
+@query(f"SELECT id, pred AS raw, {ENTITY('pred')} AS value FROM ({I.NAMES})")
+def norm_entity_name_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    return _sql(spark, d, "SELECT id, pred AS raw, norm_entity_name(pred) AS value FROM {rows}", I.NAMES)
+
+
+@query(f"WITH {FACTS} SELECT doc_id, task_id, tp, fp, fn, tn, correct FROM facts")
+def tasks_matched_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Every answer of every task judged by the functions that its declaration makes, in SQL text alone."""
+    one = "SELECT CAST(doc_id AS STRING) AS doc_id, '{0}' AS task_id, match_{0}(gold_{0}, pred_{0}) AS o FROM {{rows}}"
+    union = " UNION ALL ".join(one.format(t.id) for t in TASKS)
+    return _sql(spark, d, f"SELECT doc_id, task_id, o.tp, o.fp, o.fn, o.tn, o.correct FROM ({union})", I.CLASSES)
