@@ -31,6 +31,32 @@ def test_broken_pages_take_linear_time(piece):
     assert time.perf_counter() - began < 20
 
 
+def test_deep_pages_take_little_memory():
+    import tracemalloc
+
+    for piece in ("<div>x ", "<div><p>x</p></b></i></section> ", "<div>x</div><div><p>y"):
+        page = piece * (400_000 // len(piece))
+        tracemalloc.start()
+        began = time.perf_counter()
+        found = html_text.blocks(page)
+        rows = [b[1].features() for b in found]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(rows) > 12_000 and len(found[-1][1]) <= 2 * html_text.DEPTH
+        assert peak < 80_000_000 and time.perf_counter() - began < 20
+
+
+def test_paths_are_shared_and_weigh_the_innermost_names():
+    import numpy as np
+
+    found = html_text.blocks("<main class='big page'><p>a</p><p>b</p><ul><li>c</ul></main><main class='big page'><p>d")
+    assert found[0][1] is found[1][1] is found[3][1] and found[0][1] == ("main", ".big", ".page", "p") and found[2][1] != found[0][1]
+    want = np.zeros(html_text.PATH_SLOTS)
+    for i, name in enumerate(("li", "ul", ".page", ".big", "main")):
+        want[html_text._slot(name, html_text.PATH_SLOTS)] += 1.0 if i < 4 else 0.6
+    assert np.allclose(found[2][1].features(), np.minimum(want, 1.5))
+
+
 def test_blocks_of_odd_markup():
     texts = lambda page: [b[0] for b in html_text.blocks(page)]
     assert texts("<p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> here</p>") == ["sum x+1 here"]

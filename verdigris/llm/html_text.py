@@ -95,15 +95,83 @@ class _Tags:
         return None
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
+class Path:
+    """The names of open elements, outermost first: a node under the path of the enclosing ones.
+
+    Equal paths of a page are one node, which its blocks share, and a node's features come from its parent's; so blocks
+    cost the same however deep they lie.
+    """
+
+    __slots__ = ("parent", "own", "size", "kids", "counts", "row")
+
+    def __init__(self, parent: Path | None = None, own: tuple[str, ...] = ()):
+        self.parent, self.own, self.size = parent, own, (len(parent) if parent is not None else 0) + len(own)
+        self.kids: dict[tuple[str, ...], Path] = {}
+        self.counts = self.row = None
+
+    def under(self, own: tuple[str, ...]) -> Path:
+        """The path with one more element."""
+        found = self.kids.get(own)
+        if found is None:
+            found = self.kids[own] = Path(self, own)
+        return found
+
+    def nodes(self) -> list[Path]:
+        """This node and those above it, innermost first."""
+        out, at = [], self
+        while at is not None:
+            out.append(at)
+            at = at.parent
+        return out
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self):
+        return (name for node in reversed(self.nodes()) for name in node.own)
+
+    def __getitem__(self, i):
+        return tuple(self)[i]
+
+    def __eq__(self, other) -> bool:
+        return self is other or (isinstance(other, (tuple, Path)) and tuple(self) == tuple(other))
+
+    __hash__ = object.__hash__
+
+    def features(self):
+        """Hashed counts of the names; the innermost four weigh more."""
+        import numpy as np
+
+        if self.row is None:
+            todo, at = [], self
+            while at is not None and at.counts is None:
+                todo.append(at)
+                at = at.parent
+            for node in reversed(todo):
+                node.counts = np.zeros(PATH_SLOTS, dtype=np.float32) if node.parent is None else node.parent.counts.copy()
+                for name in node.own:
+                    node.counts[_slot(name, PATH_SLOTS)] += 1
+            self.row = 0.6 * self.counts
+            near, at = 4, self
+            while near and at is not None:
+                for name in at.own[::-1][:near]:
+                    self.row[_slot(name, PATH_SLOTS)] += 0.4
+                near, at = near - min(near, len(at.own)), at.parent
+            self.row = np.minimum(self.row, 1.5)
+        return self.row
+
+
+def blocks(page: str | None) -> list[tuple[str, Path, int]]:
     """(text, path, characters in links) of each leaf block with text, in page order.
 
     The path holds the open elements that break lines, outermost first, each as its tag and the words of its class, id and
     role; character references are decoded and white space is one space.
     """
-    out: list[tuple[str, tuple[str, ...], int]] = []
+    out: list[tuple[str, Path, int]] = []
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = Path()
+    stack: list[tuple[str, Path]] = []
+    opened: dict[str, int] = {}
     held: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -112,10 +180,14 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if held:
             text = " ".join(_html.unescape("".join(held)).split())
             if text:
-                out.append((text, tuple(x for _, names in stack for x in names), linked))
+                out.append((text, stack[-1][1] if stack else root, linked))
             held.clear()
         linked = 0
 
+    def close(down_to: int) -> None:
+        while len(stack) > down_to:
+            opened[stack.pop()[0]] -= 1
+
     n = len(page)
     tags, held_head = _Tags(page), False
     unclosed: set[str] = set()
@@ -136,10 +208,11 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                 continue
             flush()
             in_link = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                at_top = len(stack) - 1
+                while stack[at_top][0] != tag:
+                    at_top -= 1
+                close(at_top)
             continue
         if tag in HIDDEN_TAGS:
             if tag not in ("select", "textarea", "datalist"):
@@ -166,10 +239,10 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if tag in VOID:
             continue
         if tag in _BLOCKS_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in CLOSES.get(tag, ()):
-                del stack[i:]
+            close(len(stack) - 1)
+        for i in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
+            if stack[i][0] in CLOSES[tag]:
+                close(i)
                 break
             if stack[i][0] in ("ul", "ol", "dl", "table", "article", "section", "div", "nav"):
                 break
@@ -177,7 +250,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         for a in _ATTR.finditer(attributes):
             names += [f".{w}" for w in _SPLIT.split((a[2] or a[3] or a[4] or "").lower()) if len(w) > 1]
         if len(stack) < DEPTH:
-            stack.append((tag, tuple(names)))
+            stack.append((tag, (stack[-1][1] if stack else root).under(tuple(names))))
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
@@ -187,16 +261,9 @@ def vectors(page_blocks):
     import numpy as np
 
     x = np.zeros((len(page_blocks), PATH_SLOTS + WORD_SLOTS + EXTRA), dtype=np.float32)
-    seen: dict[tuple[str, ...], object] = {}
     n = len(page_blocks)
     for i, (text, path, linked) in enumerate(page_blocks):
-        row = seen.get(path)
-        if row is None:
-            row = np.zeros(PATH_SLOTS, dtype=np.float32)
-            for depth, name in enumerate(reversed(path)):
-                row[_slot(name, PATH_SLOTS)] += 1.0 if depth < 4 else 0.6
-            row = seen[path] = np.minimum(row, 1.5)
-        x[i, :PATH_SLOTS] = row
+        x[i, :PATH_SLOTS] = path.features()
         words = [hash_word(w) for w in text.split(" ")]
         x[i, PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] = np.bincount(words, minlength=WORD_SLOTS) / len(words)
         k = PATH_SLOTS + WORD_SLOTS
