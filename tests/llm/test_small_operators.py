@@ -63,6 +63,19 @@ def test_patterns_hold_the_histogram():
             assert ranges[0][0] == 0 and ranges[-1][1] == histogram[n] and all(x[1] == y[0] for x, y in zip(ranges, ranges[1:]))
 
 
+def test_many_hits_in_one_text_take_linear_time(spark):
+    import time
+
+    mit = "permission is hereby granted free of charge to any person obtaining one copy of this software and associated documentation files "
+    texts = [(1, "all rights reserved " * 32_000), (2, mit * 400), (3, "cc by " * 10 + mit + "all rights reserved")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3, "doc_id")
+    licenses.scan(df.where("doc_id = 3")).collect()
+    began = time.perf_counter()
+    got = {r["row_id"]: r for r in licenses.scan(df).select("row_id", F.size("hits").alias("n"), F.array_distinct(F.transform("hits", lambda h: h["label"])).alias("labels")).collect()}
+    assert time.perf_counter() - began < 40
+    assert (got[1]["n"], got[1]["labels"]) == (32_000, ["reserved"]) and got[2]["n"] == 400 and set(got[3]["labels"]) == {"cc-by", "mit", "reserved"}
+
+
 def test_licenses(spark):
     rows = [
         (1, "Licensed under CC BY-NC 4.0."), (2, "All Rights\nReserved. ALL rights reserved!"), (3, "This work is licensed under the big GNU General Public License, version 3."), (4, None), (5, ""), (6, "cc"),

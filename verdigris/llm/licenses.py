@@ -148,4 +148,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE, row_id:
     better = lambda a, b: (a["cover"] > b["cover"]) | ((a["cover"] == b["cover"]) & (a["start"] < b["start"]))
     beside = lambda a, b: (a["template"] == b["template"]) & ~a["exact"] & (F.abs(a["start"] - b["start"]) <= SHIFT)
     w = w.select("row_id", F.size("w").cast("long").alias("n_words"), hits.alias("hits"))
-    return w.withColumn("hits", F.filter("hits", lambda h: ~F.exists("hits", lambda o: beside(o, h) & better(o, h))))
+    # hits are in order of template and start, so one beside another is near it in the array: as many starts as SHIFT lie on
+    # either side, and windows that begin before the text all start at 0
+    reach = 2 * SHIFT + max(len(t.text.split()) for t in templates)
+    around = lambda i: F.slice("hits", F.greatest(i + 1 - reach, F.lit(1)), F.lit(2 * reach + 1))
+    return w.withColumn("hits", F.filter("hits", lambda h, i: h["exact"] | ~F.exists(around(i), lambda o: beside(o, h) & better(o, h))))
