@@ -92,6 +92,17 @@ def test_a_budget_stops_within_a_batch(spark, tmp_path, arriving):
     assert resume.streamed(spark, root).count() == 40 and more.rollouts + paid == 40 + 8
 
 
+def test_waves_stop_within_one_of_the_cap(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    budget = project.Budget(max_rollouts=20)
+    with pytest.raises(project.BudgetSpent):
+        resume.predict_within(docs, by_rule(), 2, budget, wave=8)
+    assert 20 <= budget.rollouts < 20 + 2 * 8
+    enough = project.Budget()
+    got = resume.predict_within(docs, by_rule(), 2, enough, wave=16)
+    assert got.count() == 40 and got.select("doc_id").distinct().count() == 40 and enough.rollouts == 48 == got.agg(F.sum("attempts")).first()[0]
+
+
 # --- batches
 
 

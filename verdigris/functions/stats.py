@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verdigris.sources.commits import scratch
+
+_ROW_BITS = 33  # monotonically_increasing_id counts rows below this bit and partitions above it
 #: The normal quantile of a two-sided 95 % interval.
 Z = 1.959963984540054
 #: Support, half width of the interval of a recall near 0.8, and what such a number can carry.
@@ -60,6 +63,29 @@ def index_of(seed: int, replicate: Column, draw: Column, n: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % n
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``at``, their place from 0 in an order: ranges are sorted apart and shifted by the sizes of those before.
+
+    The ranges are written once and read for both, so that sizes and places come from the same ranges.  Rows that are equal
+    in ``order`` follow each other in any way.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    path = scratch(spark, "numbered")
+    ranged.write.parquet(path)
+    held = spark.read.schema(ranged.schema).parquet(path).withColumn("_part", F.shiftright("_row", _ROW_BITS))
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    return held.join(F.broadcast(before), "_part").withColumn("at", F.col("_before") + F.col("_row").bitwiseAND(2**_ROW_BITS - 1)).drop("_part", "_row", "_before")
+
+
+def draws(spark: SparkSession, resamples: int, n: int, seed: int) -> DataFrame:
+    """(r, i, times): how often each of ``resamples`` replicates takes row ``i`` of ``n``, counted before anything is joined."""
+    grid = spark.range(resamples * n).select(F.expr(f"id div {max(n, 1)}").alias("r"), (F.col("id") % max(n, 1)).alias("k"))
+    return grid.select("r", index_of(seed, F.col("r"), F.col("k"), F.lit(max(n, 1))).alias("i")).groupBy("r", "i").agg(F.count(F.lit(1)).alias("times"))
+
+
 def bootstrap_interval(values: DataFrame, value: str, key: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
     """(low, high, n): percentile interval of the mean of ``value``, by resampling rows with replacement.
 
@@ -67,14 +93,11 @@ def bootstrap_interval(values: DataFrame, value: str, key: str, resamples: int =
     this is for evaluation splits, not for corpora.  No rows give (0, 0, 0).
     """
     spark = values.sparkSession
-    from pyspark.sql import Window
-
-    rows = values.select(F.col(value).cast("double").alias("v"), (F.row_number().over(Window.orderBy(key)) - 1).alias("i"))
+    rows = numbered(values.select(F.col(value).cast("double").alias("v"), F.col(key).alias("_key")), F.col("_key")).select("v", F.col("at").alias("i"))
     n = values.count()
     if n == 0:
         return spark.range(1).select(F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit(0).cast("long").alias("n"))
-    grid = spark.range(resamples).withColumnRenamed("id", "r").select("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    drawn = grid.select("r", index_of(seed, F.col("r"), F.col("k"), F.lit(n)).alias("i")).groupBy("r", "i").agg(F.count(F.lit(1)).alias("times"))
+    drawn = draws(spark, resamples, n, seed)
     means = drawn.join(rows, "i").groupBy("r").agg((F.sum(F.col("times") * F.col("v")) / n).alias("mean"))
     ends = means.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     return ends.select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), F.lit(n).cast("long").alias("n"))

@@ -12,30 +12,30 @@ from pyspark.sql.types import StringType
 
 # Results depend on each of them.
 NULL_WORDS = ("", "-", "--", "n/a", "na", "nil", "none", "not applicable", "not found", "not specified", "not stated", "null", "unspecified")
-LEGAL_SUFFIXES = "incorporated corporation company limited inc llc llp lllp pllc plc ltd corp gmbh ag nv bv sa spa srl pty lp pc co".split()
+LEGAL_SUFFIXES = ("incorporated", "corporation", "company", "limited", "inc", "llc", "llp", "lllp", "pllc", "plc", "ltd", "corp", "gmbh", "ag", "nv", "bv", "sa", "spa", "srl", "pty", "lp", "pc", "co")
 ARTICLES = ("the", "a", "an")
-HONORIFICS = "mr mrs ms mx miss dr prof professor sir dame rev hon".split()
-CREDENTIALS = "phd md jd esq mba cpa dds llm msc bsc".split()
-TRUE_WORDS = "true t yes y 1 affirmative present".split()
-FALSE_WORDS = "false f no n 0 negative absent".split()
+HONORIFICS = ("mr", "mrs", "ms", "mx", "miss", "dr", "prof", "professor", "sir", "dame", "rev", "hon")
+CREDENTIALS = ("phd", "md", "jd", "esq", "mba", "cpa", "dds", "llm", "msc", "bsc")
+TRUE_WORDS = ("true", "t", "yes", "y", "1", "affirmative", "present")
+FALSE_WORDS = ("false", "f", "no", "n", "0", "negative", "absent")
 MAGNITUDES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mm": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9, "t": 1e12, "trillion": 1e12}
 UNIT_MAGNITUDES = {"thousand": 1e3, "thousands": 1e3, "million": 1e6, "millions": 1e6, "mm": 1e6, "billion": 1e9, "billions": 1e9, "bn": 1e9, "trillion": 1e12, "trillions": 1e12}
 CURRENCY_SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
 CURRENCY_NAMES = {
-    "USD": ("us dollar", "us dollars", "u.s. dollars", "us$", "usd"),
-    "CAD": ("canadian dollar", "canadian dollars", "cad", "c$"),
-    "AUD": ("australian dollar", "australian dollars", "aud", "a$"),
-    "EUR": ("euro", "euros", "eur"),
-    "GBP": ("pound sterling", "pounds sterling", "british pounds", "gbp"),
-    "JPY": ("yen", "japanese yen", "jpy"),
-}
+    "us dollar": "USD", "us dollars": "USD", "u.s. dollars": "USD", "us$": "USD", "usd": "USD",
+    "canadian dollar": "CAD", "canadian dollars": "CAD", "cad": "CAD", "c$": "CAD",
+    "australian dollar": "AUD", "australian dollars": "AUD", "aud": "AUD", "a$": "AUD",
+    "euro": "EUR", "euros": "EUR", "eur": "EUR",
+    "pound sterling": "GBP", "pounds sterling": "GBP", "british pounds": "GBP", "gbp": "GBP",
+    "yen": "JPY", "japanese yen": "JPY", "jpy": "JPY",
+}
 TIME_UNITS = {
-    "days": ("day", "days", "calendar day", "calendar days", "d"),
-    "business days": ("business day", "business days", "working day", "working days"),
-    "weeks": ("week", "weeks", "wk", "wks"),
-    "months": ("month", "months", "mo", "mos", "calendar month", "calendar months"),
-    "years": ("year", "years", "yr", "yrs"),
-}
+    "day": "days", "days": "days", "calendar day": "days", "calendar days": "days", "d": "days",
+    "business day": "business days", "business days": "business days", "working day": "business days", "working days": "business days",
+    "week": "weeks", "weeks": "weeks", "wk": "weeks", "wks": "weeks",
+    "month": "months", "months": "months", "mo": "months", "mos": "months", "calendar month": "months", "calendar months": "months",
+    "year": "years", "years": "years", "yr": "years", "yrs": "years",
+}
 DOLLAR_CODES = ("USD", "CAD", "AUD", "NZD", "SGD", "HKD")
 #: Typographic signs and what they fold to.
 SINGLE_QUOTES, DOUBLE_QUOTES, DASHES, SPACES = "‘’‚‛", "“”„", "‐‑‒–—―", "   "
@@ -148,7 +148,7 @@ def split_unit_magnitude(amount: Column, unit: Column) -> Column:
 
 def canonical_unit(unit: Column, declared: str | None = None, aliases: dict[str, str] | None = None) -> Column:
     """A unit's code: the task's aliases, then currencies, periods and symbols; the declared unit if none is written."""
-    names = {n: code for table in (CURRENCY_NAMES, TIME_UNITS) for code, ns in table.items() for n in ns} | CURRENCY_SYMBOLS
+    names = CURRENCY_NAMES | TIME_UNITS | CURRENCY_SYMBOLS
     dollars = declared if declared in DOLLAR_CODES else "USD"
     names |= {"dollar": dollars, "dollars": dollars}
     names |= {" ".join(k.split()).lower(): v for k, v in (aliases or {}).items()}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.functions.stats import numbered
 from verdigris.operators.facts import labels_of, long_labels
-from verdigris.operators.sampling import hash_rank, numbered
+from verdigris.operators.sampling import hash_rank
 from verdigris.plans.registry import THRESHOLDED, Registry
 
 CLASS_SHIFT, NULL_RISE, LOW_CONFIDENCE = 0.15, 0.15, 0.10

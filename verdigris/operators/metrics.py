@@ -92,13 +92,10 @@ def task_primary_interval(facts: DataFrame, registry: Registry, resamples: int =
     Documents are drawn by hash as in :func:`stats.bootstrap_interval`; draws carry how often a document was taken, and every
     replicate's counts are sums weighed by that.
     """
-    from pyspark.sql import Window
-
     spark = facts.sparkSession
-    docs = facts.select("doc_id").distinct().select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("i"))
+    docs = St.numbered(facts.select("doc_id").distinct(), F.col("doc_id")).withColumnRenamed("at", "i")
     n = docs.count()
-    grid = spark.range(resamples).withColumnRenamed("id", "r").select("r", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("k"))
-    times = grid.select("r", St.index_of(seed, F.col("r"), F.col("k"), F.lit(max(n, 1))).alias("i")).groupBy("r", "i").agg(F.count(F.lit(1)).alias("w"))
+    times = St.draws(spark, resamples, n, seed).withColumnRenamed("times", "w")
     drawn = times.join(docs, "i").select("r", "doc_id", "w")
     one = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
     f = facts.select("doc_id", "task_id", "task_type", "tp", "fp", "fn", F.coalesce("gold_items", one("gold")).alias("g"), F.coalesce("pred_items", one("pred")).alias("p"))

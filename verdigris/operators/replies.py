@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions.stats import numbered
 from verdigris.plans.registry import Registry
 
 HEADER = r"\[\[ ## (\w+) ## \]\]"
@@ -50,8 +51,6 @@ def merge_groups(replies: DataFrame, n_groups: int) -> DataFrame:
 
 def batches(pending: DataFrame, size: int = 10_000, key: str = "doc_id") -> DataFrame:
     """Pending requests with a batch number, ``size`` a batch, in order of key; numbers come from counts per range, not from one task."""
-    from verdigris.operators.sampling import numbered
-
     return numbered(pending, F.col(key)).withColumn("batch", F.floor(F.col("at") / size).cast("int")).drop("at")
 
 

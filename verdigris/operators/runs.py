@@ -19,7 +19,7 @@ from verdigris.operators import metrics as Me
 from verdigris.operators import sampling as Sa
 from verdigris.plans.registry import Registry
 from verdigris.sources.io import BadData, predictions_json
-from verdigris.streaming.resume import Predictor, predict
+from verdigris.streaming.resume import Predictor, predict, predict_within
 
 
 @dataclass
@@ -153,9 +153,9 @@ def load_plan(spark: SparkSession, path: str | Path) -> DataFrame:
 # --- runs with a predictor ------------------------------------------------------------------------------------------
 
 
-def evaluate(docs: DataFrame, gold: DataFrame, registry: Registry, predictor: Predictor, retries: int = 2, ceiling: float = 0.0) -> tuple[Scored, DataFrame]:
-    """Scores of a predictor over (doc_id, text) against (doc_id, gold struct); too many unreadable replies refuse the run."""
-    outcomes = predict(docs, predictor, retries).persist()
+def evaluate(docs: DataFrame, gold: DataFrame, registry: Registry, predictor: Predictor, retries: int = 2, ceiling: float = 0.0, budget: project.Budget | None = None) -> tuple[Scored, DataFrame]:
+    """Scores of a predictor over (doc_id, text) against (doc_id, gold struct); too many unreadable replies refuse the run; with a budget it stops when that is used up."""
+    outcomes = predict(docs, predictor, retries).persist() if budget is None else predict_within(docs, predictor, retries, budget)
     G.failure_gate(outcomes, ceiling)
     values = F.struct(*(F.try_element_at("values", F.lit(t.id)).alias(t.id) for t in registry)).alias("pred")
     pairs = gold.withColumn("doc_id", F.col("doc_id").cast("string")).join(outcomes.select("doc_id", "ok", values), "doc_id")
@@ -188,8 +188,7 @@ def run_experiment(docs: DataFrame, gold: DataFrame, registry: Registry, make: C
     began, parent = time.monotonic(), project.champion(folder)
     predictor = make(parent)
 
-    scored, outcomes = evaluate(docs, gold, registry, predictor, ceiling=1.0)
-    budget.count(int(outcomes.agg(F.coalesce(F.sum("attempts"), F.lit(0))).first()[0]))
+    scored, outcomes = evaluate(docs, gold, registry, predictor, ceiling=1.0, budget=budget)
     payload = metrics_payload(scored)
     outcomes.unpersist()
     entry = project.record_experiment(folder, config, payload["summary"]["aggregate"], primary_of(payload), parent["id"] if parent else None, budget.rollouts, time.monotonic() - began)

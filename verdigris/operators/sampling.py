@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import stats as St
+from verdigris.functions.stats import numbered
 from verdigris.plans.registry import Registry
 
 SPLIT_SEED = 20260918
@@ -24,19 +25,6 @@ def hash_rank(key: Column, seed: int, purpose: str) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(purpose)))
 
 
-def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-    """``rows`` with ``at``, their place from 0 in an order: ranges are sorted apart and shifted by the sizes of those before.
-
-    The number of ranges is fixed, so that it does not change between counting and numbering.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
-    inner = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    return inner.join(F.broadcast(before), "_part").withColumn("at", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
-
-
 def draw_sample(docs: DataFrame, n: int, holdout_share: float, seed: int, key: str = "doc_id") -> DataFrame:
     """(key, is_holdout): ``n`` documents without replacement, the corpus at most; a share of them, one at least, held out.
 
@@ -55,6 +43,7 @@ def to_correct(plan: DataFrame) -> DataFrame:
 
 def strategy(n: int) -> tuple[tuple[float, float, float], str, bool]:
     """Ratios of train, val and holdout for so many labels, their name, and whether folds apply."""
+    # Splits and reports depend on these counts, ratios and names.
     if n >= 200:
         return (0.50, 0.25, 0.25), "50/25/25", False
     if n >= 100:
@@ -115,21 +104,21 @@ def assign_splits(strata: DataFrame, ratios: tuple[float, float, float], seed: i
 def repaired(splits: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """Splits where no class is in the holdout alone: the smallest such class gives its first carrier to train, until there is none.
 
-    A class's first carrier is all that a round brings to the driver; as many rounds as there are orphan classes at most.
+    What reaches the driver is each orphan class's first carrier and the orphan classes that those carry.
     """
     spark = splits.sparkSession
     where = labels.join(splits.select(F.col(key).alias("doc_id"), "split"), "doc_id")
     tally = where.groupBy("task_id", "label").agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "holdout").alias("hold"))
     orphans = tally.where("train = 0 and hold > 0").select("task_id", "label")
-    carriers = where.where(F.col("split") == "holdout").join(F.broadcast(orphans), ["task_id", "label"]).select("task_id", "label", "doc_id").distinct()
+    carriers = where.where(F.col("split") == "holdout").join(F.broadcast(orphans), ["task_id", "label"]).select("task_id", "label", F.col("doc_id").cast("string").alias("doc_id")).distinct()
     per = {(r["task_id"], r["label"]): (r["n"], r["doc"]) for r in carriers.groupBy("task_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc")).collect()}
+    firsts = spark.createDataFrame(sorted({(doc,) for _, doc in per.values()}), "doc_id string")
+    held = {r["doc_id"]: {(c["task_id"], c["label"]) for c in r["classes"]} for r in carriers.join(F.broadcast(firsts), "doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("task_id", "label")).alias("classes")).collect()}
     moved: list[str] = []
     while per:
-        name = min(per, key=lambda k: (per[k][0], k))
-        doc = per.pop(name)[1]
+        doc = per[min(per, key=lambda k: (per[k][0], k))][1]
         moved.append(doc)
-        for r in carriers.where(F.col("doc_id") == doc).collect():
-            per.pop((r["task_id"], r["label"]), None)
+        per = {k: v for k, v in per.items() if k not in held[doc]}
     if not moved:
         return splits
     gives = F.broadcast(spark.createDataFrame([(m,) for m in moved], "_moved string"))

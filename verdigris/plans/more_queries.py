@@ -339,18 +339,14 @@ def readable_supports(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")).withColumn("readable_as", St.readable_at(F.col("n")))
 
 
-CI_DOCS = "doc_id % 10 = 3"
-
-
-@query(f"""WITH {FACTS}, x AS (SELECT doc_id, tp, fp, fn FROM facts WHERE task_id = 'number' AND doc_id IN (SELECT CAST(doc_id AS STRING) FROM documents WHERE {CI_DOCS})),
+@query(f"""WITH {FACTS}, x AS (SELECT doc_id, tp, fp, fn FROM facts WHERE task_id = 'number'),
 v AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, * FROM x), m0 AS (SELECT count(*) AS n FROM v),
 g AS (SELECT r, CAST(concat('0x', substr(md5(concat('3:', r, ':', k)), 1, 8)) AS BIGINT) % n AS i FROM (SELECT unnest(range(200)) AS r), m0, LATERAL (SELECT unnest(range(n)) AS k)),
 m AS (SELECT r, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM g JOIN v USING (i) GROUP BY r), f AS (SELECT CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM m)
 SELECT 'number' AS task_id, round(quantile_cont(f1, 0.025), 9) AS low, round(quantile_cont(f1, 0.975), 9) AS high FROM f""")
 def task_primary_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Resampled interval of a headline number over an evaluation split, a tenth of the documents."""
-    split = facts(spark, d).where(F.col("doc_id").cast("long") % 10 == 3)
-    ends = Me.task_primary_interval(split.where("task_id = 'number'"), TASKS, resamples=200, seed=3)
+    """Resampled interval of a headline number over all documents."""
+    ends = Me.task_primary_interval(facts(spark, d).where("task_id = 'number'"), TASKS, resamples=200, seed=3)
     return ends.select("task_id", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
@@ -398,28 +394,36 @@ def split_problems(spark: SparkSession, d: str) -> DataFrame:
     return Sa.verify_splits(table(spark, d, "documents").select("doc_id"), placed)
 
 
-@query(f"""WITH {LONG}, dec AS (SELECT * FROM (VALUES ('quality', 'true', 0), ('quality', 'false', 1), ('toxic', 'true', 2), ('toxic', 'false', 3), ('lang', 'en', 4), ('lang', 'de', 5), ('lang', 'fr', 6), ('lang', 'es', 7), ('lang', 'it', 8)) t(task_id, label, pos)),
-f AS (SELECT pos, long.doc_id FROM long JOIN dec USING (task_id, label) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY {RANK('long.doc_id', 0, 'cover')}, long.doc_id) = 1),
-has AS (SELECT DISTINCT f.doc_id, dec.pos FROM f JOIN long USING (doc_id) JOIN dec USING (task_id, label))
-SELECT count(DISTINCT dec.pos) = (SELECT count(DISTINCT pos) FROM long JOIN dec USING (task_id, label)) AS covered, (SELECT count(*) FROM docs) AS n FROM has JOIN dec USING (pos)""")
+@query(f"""WITH RECURSIVE {LONG}, dec AS (SELECT * FROM (VALUES ('quality', 'true', 0), ('quality', 'false', 1), ('toxic', 'true', 2), ('toxic', 'false', 3), ('lang', 'en', 4), ('lang', 'de', 5), ('lang', 'fr', 6), ('lang', 'es', 7), ('lang', 'it', 8)) t(task_id, label, pos)),
+c AS (SELECT DISTINCT CAST(long.doc_id AS STRING) AS doc_id, pos FROM long JOIN dec USING (task_id, label)), h AS (SELECT doc_id, list(pos) AS classes FROM c GROUP BY doc_id),
+f AS (SELECT pos, doc_id FROM c QUALIFY row_number() OVER (PARTITION BY pos ORDER BY {RANK('c.doc_id', 0, 'cover')}, c.doc_id) = 1),
+g AS (SELECT 0 AS i, []::INT[] AS done, []::STRING[] AS front UNION ALL
+  SELECT i + 1, CASE WHEN f.doc_id IS NOT NULL AND NOT list_contains(done, i) THEN list_concat(done, classes) ELSE done END, CASE WHEN f.doc_id IS NOT NULL AND NOT list_contains(done, i) THEN list_append(front, f.doc_id) ELSE front END
+  FROM g LEFT JOIN f ON f.pos = i LEFT JOIN h ON h.doc_id = f.doc_id WHERE i < 9),
+top AS (SELECT front FROM g WHERE i = 9)
+SELECT CAST(doc_id AS STRING) AS doc_id, list_contains(front, CAST(doc_id AS STRING)) AS front,
+CASE WHEN list_contains(front, CAST(doc_id AS STRING)) THEN lpad(CAST(list_position(front, CAST(doc_id AS STRING)) - 1 AS STRING), 8, '0') ELSE {RANK('doc_id', 0, 'order')} END AS place FROM (SELECT DISTINCT doc_id FROM labels), top""")
 def class_coverage_order(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the head of the order, as long as there are classes, carries every class, and how many documents it orders."""
-    labels = long_labels(spark, d)
-    docs = table(spark, d, "labels").select("doc_id").distinct()
-    order = Sa.class_coverage_order(labels, docs, LABELS)
-    head = order.where("front").select("doc_id")
-    seen = labels.join(F.broadcast(head), "doc_id", "left_semi").select("task_id", "label").distinct().agg(F.count(F.lit(1)).alias("a"))
-    every = labels.select("task_id", "label").distinct().agg(F.count(F.lit(1)).alias("b"))
-    return order.agg(F.count_distinct("doc_id").alias("n")).crossJoin(seen).crossJoin(every).select((F.col("a") == F.col("b")).alias("covered"), "n")
-
-
-@query(f"""WITH c AS (SELECT doc_id, lang, source FROM documents), l AS (SELECT source AS label, min(lang) AS lang, CAST(doc_id AS STRING) AS doc_id FROM c GROUP BY ALL)
-SELECT doc_id, CASE WHEN doc_id = (SELECT min(CAST(doc_id AS STRING)) FROM documents WHERE doc_id % 97 = 5) THEN 'train' ELSE CASE WHEN doc_id::BIGINT % 97 = 5 THEN 'holdout' ELSE 'train' END END AS split FROM (SELECT CAST(doc_id AS STRING) AS doc_id FROM documents)""")
+    """The whole order: carriers of every class, then the rest."""
+    return Sa.class_coverage_order(long_labels(spark, d), table(spark, d, "labels").select("doc_id"), LABELS)
+
+
+#: Classes of which the holdout has all carriers; the second lies within the first, and others overlap.
+ORPHANS = {"a": "doc_id % 97 = 5", "b": "doc_id % 97 = 5 AND doc_id % 2 = 1", "c": "doc_id % 89 = 3", "d": "doc_id % 13 = 4"}
+
+
+@query(f"""WITH RECURSIVE c AS ({' UNION ALL '.join(f"SELECT '{k}' AS label, CAST(doc_id AS STRING) AS doc_id FROM documents WHERE {v}" for k, v in ORPHANS.items())}),
+o AS (SELECT label, count(*) AS n, min(doc_id) AS doc FROM c GROUP BY label), s AS (SELECT doc_id AS doc, list(label) AS held FROM c GROUP BY doc_id),
+g AS (SELECT (SELECT list(label ORDER BY n, label) FROM o) AS open, []::STRING[] AS moved UNION ALL
+  SELECT list_filter(open, lambda x: NOT list_contains(held, x)), list_append(moved, o.doc) FROM g JOIN o ON o.label = open[1] JOIN s ON s.doc = o.doc),
+m AS (SELECT moved FROM g WHERE len(open) = 0)
+SELECT CAST(doc_id AS STRING) AS doc_id, CASE WHEN CAST(doc_id AS STRING) IN (SELECT doc_id FROM c) AND NOT list_contains(moved, CAST(doc_id AS STRING)) THEN 'holdout' ELSE 'train' END AS split FROM documents, m""")
 def repaired_splits(spark: SparkSession, d: str) -> DataFrame:
-    """A class that only the holdout has gives its first carrier to train."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") % 97 == 5).alias("odd"))
-    placed = docs.select("doc_id", F.when(F.col("odd"), "holdout").otherwise("train").alias("split"))
-    labels = docs.select("doc_id", F.lit("kind").alias("task_id"), F.when(F.col("odd"), "odd").otherwise("even").alias("label"))
+    """Classes that only the holdout has give first carriers to train, the smallest class first, until each has one there."""
+    docs = table(spark, d, "documents").select("doc_id", F.array_compact(F.array(*(F.when(F.expr(v), k) for k, v in ORPHANS.items()))).alias("labels"))
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "labels")
+    placed = docs.select("doc_id", F.when(F.size("labels") > 0, "holdout").otherwise("train").alias("split"))
+    labels = docs.select("doc_id", F.lit("kind").alias("task_id"), F.explode(F.when(F.size("labels") > 0, F.col("labels")).otherwise(F.array(F.lit("plain")))).alias("label"))
     return Sa.repaired(placed, labels)
 
 

@@ -16,6 +16,7 @@ from verdigris.plans.queries import ENTITY, FACTS, TASKS, query, table
 from verdigris.plans.registry import Registry
 from verdigris.sources import documents as Do
 from verdigris.sources import extract as Ex
+from verdigris.sources import io
 from verdigris.sources.commits import Tables, scratch
 from verdigris.streaming import resume
 
@@ -223,3 +224,56 @@ def tasks_matched_by_sql(spark: SparkSession, d: str) -> DataFrame:
     one = "SELECT CAST(doc_id AS STRING) AS doc_id, '{0}' AS task_id, match_{0}(gold_{0}, pred_{0}) AS o FROM {{rows}}"
     union = " UNION ALL ".join(one.format(t.id) for t in TASKS)
     return _sql(spark, d, f"SELECT doc_id, task_id, o.tp, o.fp, o.fn, o.tn, o.correct FROM ({union})", I.CLASSES)
+
+
+# --- files that people and other programs read ----------------------------------------------------------------------
+
+
+@query("SELECT CAST(doc_id AS STRING) AS doc_id, CAST(quality AS STRING) AS quality, CASE WHEN toxic = 1 THEN '1' END AS toxic, CASE WHEN doc_id % 4 = 0 THEN 0.25 ELSE 1.0 END AS inclusion_probability FROM labels")
+def stored_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Label records written as JSON lines and read back: a label that is null stays one, a missing probability is 1."""
+    path = f"{scratch(spark, 'labels')}/labels"
+    k = F.col("doc_id")
+    values = F.create_map(F.lit("quality"), F.col("quality").cast("string"), F.lit("toxic"), F.when(F.col("toxic") == 1, "1"))
+    rows = table(spark, d, "labels").select(k.cast("string").alias("doc_id"), F.lit("all").alias("stratum"), F.when(k % 4 == 0, 0.25).alias("inclusion_probability"), F.lit("blind").alias("labeling_mode"), F.lit("").alias("notes"), values.alias("labels"))
+    io.write_labels(rows, path)
+    back = io.load_labels(spark, path)
+    return back.select("doc_id", *(F.try_element_at("labels", F.lit(c)).alias(c) for c in ("quality", "toxic")), F.col("inclusion_probability").cast("decimal(3,2)").alias("inclusion_probability"))
+
+
+@query("""SELECT CAST(doc_id AS STRING) AS doc_id, CASE WHEN doc_id % 7 = 0 THEN concat('see "', lang, '", line', chr(10), 'two') ELSE '' END AS notes, CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE '' END AS flag, concat(lang, '; ', source) AS tags FROM documents""")
+def stored_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """A filled-in sheet as CSV, with quotes and line ends in its cells, read by the tasks' columns."""
+    path = f"{scratch(spark, 'sheet')}/sheet"
+    k = F.col("doc_id")
+    notes = F.when(k % 7 == 0, F.concat(F.lit('see "'), "lang", F.lit('", line\ntwo'))).otherwise("")
+    sheet = table(spark, d, "documents").select(F.concat(k.cast("string"), F.lit(".pdf")).alias("file_name"), notes.alias("notes"), F.when(k % 2 == 0, "yes").otherwise("").alias("flag"), F.concat("lang", F.lit("; "), "source").alias("tags"), F.lit("x").alias("other"))
+    sheet.unionByName(sheet.limit(1).withColumn("file_name", F.lit("  "))).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    tasks = Registry.of({"tasks": [{"id": "flag", "type": "binary", "question": "?"}, {"id": "tags", "type": "extract_list", "question": "?"}]})
+    return io.read_sheet(spark, path, tasks)
+
+
+@query("SELECT CAST(doc_id AS STRING) AS doc_id, doc_id % 9 <> 0 AS ok, CASE WHEN doc_id % 9 <> 0 THEN lang END AS lang, CASE WHEN doc_id % 9 = 0 THEN 'no reply' END AS error, CASE WHEN doc_id % 9 = 0 THEN 'error' ELSE 'values' END AS last_key FROM documents")
+def stored_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """A full run's outputs as JSON lines: values or an error, never both."""
+    path = f"{scratch(spark, 'outputs')}/outputs"
+    ok = F.col("doc_id") % 9 != 0
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), ok.alias("ok"), F.when(ok, F.create_map(F.lit("lang"), F.col("lang"))).alias("values"), F.when(~ok, "no reply").alias("error"))
+    io.outputs_json(rows).write.text(path)
+    line = F.col("value")
+    back = spark.read.text(path)
+    return back.select(
+        F.get_json_object(line, "$.doc_id").alias("doc_id"), F.get_json_object(line, "$.ok").cast("boolean").alias("ok"), F.get_json_object(line, "$.values.lang").alias("lang"),
+        F.get_json_object(line, "$.error").alias("error"), F.element_at(F.json_object_keys(line), -1).alias("last_key"),
+    )
+
+
+@query("SELECT source AS project, CAST(count(*) AS STRING) AS n_documents, lang AS notes, 2 AS times FROM documents GROUP BY source, lang")
+def stored_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """A ledger that grows by appended rows; columns that a row lacks are empty."""
+    path = f"{scratch(spark, 'ledger')}/ledger"
+    rows = table(spark, d, "documents").groupBy(F.col("source").alias("project"), F.col("lang").alias("notes")).agg(F.count(F.lit(1)).alias("n_documents"))
+    io.append_ledger(rows, path)
+    io.append_ledger(rows, path)
+    back = spark.read.option("header", True).csv(path).where("version IS NULL AND cost_usd IS NULL")
+    return back.groupBy("project", "n_documents", "notes").agg(F.count(F.lit(1)).cast("int").alias("times"))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from verdigris.functions.stats import numbered
 from verdigris.project import Budget, BudgetSpent, Refused
-from verdigris.sources.commits import Tables
+from verdigris.sources.commits import Tables, scratch
 
 #: ``at`` is when an outcome was made, in seconds.
 OUTCOME = "doc_id string, ok boolean, values map<string,string>, error string, attempts int, at double"
@@ -130,6 +131,24 @@ def stream_outcomes(stream: DataFrame, root: str, predictor: Predictor, retries:
     return once.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
 
 
+def predict_within(docs: DataFrame, predictor: Predictor, retries: int, budget: Budget, wave: int = 256) -> DataFrame:
+    """Outcomes of (doc_id, text) like :func:`predict`, asked in waves of ``wave`` documents until the budget is used up.
+
+    Each wave is written once and its attempts are counted from that before the next one begins, so a run stops within one wave
+    of its cap, with :class:`BudgetSpent`.  For evaluation splits: waves are jobs of their own, in order of id.
+    """
+    spark = docs.sparkSession
+    tables = stream_tables(spark, scratch(spark, "waves"))
+    ranked = numbered(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), F.col("doc_id"))
+    for first in range(0, ranked.count(), wave):
+        budget.check_rollouts()
+        staged = tables.stage()
+        rows = staged.write("outcomes", predict(ranked.where((F.col("at") >= first) & (F.col("at") < first + wave)).drop("at"), predictor, retries))
+        staged.commit()
+        budget.paid(rows.agg(F.coalesce(F.sum("attempts"), F.lit(0))).first()[0])
+    return tables.read("outcomes")
+
+
 def ask_again(docs: DataFrame, root: str, predictor: Predictor, retries: int = 3) -> int:
     """Asks for those of ``docs`` (doc_id, text) whose streamed outcome is a failure; how many there were."""
     tables = stream_tables(docs.sparkSession, root)
