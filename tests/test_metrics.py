@@ -104,3 +104,16 @@ def test_gates(spark, pairs):
         G.failure_gate(worse)
     gaps = spark.createDataFrame([("t", True, False), ("u", False, True)], "task_id string, within_ci boolean, is_large boolean")
     assert G.read_gaps(gaps).first()[0] == "large_few" and G.read_gaps(gaps.where("is_large")).first()[0] == "large_widespread" and G.read_gaps(gaps.limit(0)).first()[0] == "within_ci"
+
+
+def test_findings_name_tasks_far_below_validation():
+    from verdigris.operators.runs import READINGS, HoldoutFindings
+
+    gap = {"holdout": 0.4, "validation": 0.9, "gap": 0.5, "low": 0.3, "high": 0.5, "support": 12, "readable_as": "detecting total failure"}
+    gaps = [{**gap, "task_id": "a", "within_ci": False, "is_large": True}, {**gap, "task_id": "b", "within_ci": True, "is_large": False}]
+    rates = [{"task_id": "a", "counts": "true", "precision": 1.0, "precision_low": 0.6, "precision_high": 1.0, "recall": 0.25, "recall_low": 0.1, "recall_high": 0.5, "f1": 0.4}]
+    lock = {"opened_at": "now", "opened_by": "me", "overrides": [{"at": "later", "by": "you", "reason": "a | b"}]}
+    found = HoldoutFindings(0.4, "large_few", gaps, [{"task_id": "b", "measurable": False}], lock, (0.3, 0.5), 0.9, 30, rates)
+    text = found.to_markdown()
+    assert found.worse == ["a"] and "- a: far below validation" in text and READINGS["large_few"][1] in text and "validation 0.900, +0.500" in text
+    assert "| a | 0.400 | 0.300 to 0.500 | 0.900 | +0.500 | large gap | 12 | detecting total failure |" in text and "0.100 to 0.500" in text and "- b: too few" in text and "a | b" in text

@@ -89,7 +89,20 @@ def test_project_from_documents_to_report(spark, folder, capsys):
     assert main(["run-baseline", root]) == 0 and runs.load_metrics(folder / "runs" / "baseline_zero_shot")["summary"]["aggregate"] == 1.0
     assert main(["compile", root]) == 0 and project.champion(root)["aggregate"] == 1.0
     assert main(["holdout", root, "--who", "me"]) == 0 and main(["holdout", root, "--who", "me"]) == 2
-    assert "aggregate 1.000" in (folder / "runs/holdout/report.md").read_text()
+    report = (folder / "runs/holdout/report.md").read_text()
+    assert "aggregate 1.000 (1.000 to 1.000) over 14 documents; validation 1.000, +0.000" in report and "within_ci: holdout and validation agree. Next: release it." in report
+    assert "| urgent | true | 1.000 |" in report and "| kind | all answers | 1.000 |" in report and "can carry" in report
+    champion = project.champion(root)["id"]
+    strict = TASKS.replace("enum: [letter, bill]}", "enum: [letter, bill], synonyms: {bills: bill}}")
+    (folder / "tasks.yaml").write_text(strict)
+    (folder / "labels.jsonl").rename(folder / "labels.old")
+    spark.read.text(str(folder / "labels.old")).selectExpr("replace(value, '\"kind\":\"bill\"', '\"kind\":\"letter\"') AS value").write.text(str(folder / "labels.jsonl"))
+    capsys.readouterr()
+    assert main(["rescore", root, champion]) == 0 and "(was 1.000)" in capsys.readouterr().out
+    assert runs.load_metrics(folder / "runs" / champion)["summary"]["aggregate"] < 1
+    assert main(["adjudicate", root, champion]) == 0 and "0 close calls, 3 other errors" in capsys.readouterr().out and (folder / "runs" / champion / "adjudication.md").exists()
+    assert main(["rescore", root, "exp_099"]) == 2 and main(["adjudicate", root, "holdout"]) == 0
+    (folder / "adjudication.md").unlink()
     assert main(["production", root]) == 0 and "coverage" in (folder / "qa.md").read_text()
     assert spark.read.text(f"{root}/outputs").count() == 60
     assert "production run" in project.status(root)["done"]

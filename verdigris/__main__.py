@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris import project
-from verdigris.operators import batching, facts, gates, labeling, metrics, program, runs, sampling
+from verdigris.operators import batching, facts, gates, labeling, program, runs, sampling
 from verdigris.plans.registry import BadDeclaration, Registry
 from verdigris.sources import extract, io
 from verdigris.streaming import resume
@@ -191,7 +191,7 @@ def compile_command(c: Context, args) -> None:
 
 def holdout(c: Context, args) -> None:
     before = project.champion(c.folder)
-    report = runs.run_holdout(*_part(c, "holdout"), c.registry, c.predictor(), before["per_task"] if before else {}, c.folder, args.who, args.reason)
+    report = runs.run_holdout(*_part(c, "holdout"), c.registry, c.predictor(), before["per_task"] if before else {}, c.folder, args.who, args.reason, aggregate=before["aggregate"] if before else None)
     print(report.to_markdown())
 
 
@@ -228,15 +228,36 @@ def production(c: Context, args) -> None:
     print(text)
 
 
+def run_pairs(c: Context, run: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, gold, pred, ok) and (doc_id, ok, error, predicted) of a stored run: its predictions beside today's labels."""
+    path = c.folder / "runs" / run / "predictions"
+    if not path.exists():
+        raise project.Refused(f"run {run} has no stored predictions")
+    rows = io.load_predictions(c.spark, str(path))
+    kept = rows.select("doc_id", F.col("failed").isNull().alias("ok"), F.coalesce("failed.error", F.lit("")).alias("error"), "predicted")
+    pred = F.struct(*(F.try_element_at("predicted", F.lit(t.id)).alias(t.id) for t in c.registry)).alias("pred")
+    return c.gold().join(kept.select("doc_id", "ok", pred), "doc_id"), kept
+
+
 def rescore(c: Context, args) -> None:
-    f = facts.match_results(c.spark.read.parquet(args.pairs), c.registry)
-    for name, df in (("tasks", metrics.primary_values(f, c.registry)), ("classes", metrics.class_metrics(f, c.registry)), ("scores", facts.example_scores(f)), ("confusion", metrics.confusion(f))):
-        df.write.mode("overwrite").parquet(f"{args.out}/{name}")
+    """Scores a run again from its stored predictions: no model is asked, and the numbers follow today's tasks and labels."""
+    folder, registry = c.folder / "runs" / args.run, c.registry
+    pairs, kept = run_pairs(c, args.run)
+    before = runs.load_metrics(folder)["summary"]
+    scored = runs.score_split(facts.match_results(pairs, registry, failed=~F.col("ok")), registry, kept.where("NOT ok"))
+    after = runs.write_run(scored, registry, folder)["summary"]
+    for name in sorted(k for k in after if k == "aggregate" or k.startswith("primary.")):
+        was = before.get(name)
+        print(f"{name.removeprefix('primary.')}: {after[name]:.3f}" + ("" if was is None or abs(was - after[name]) < 1e-9 else f" (was {was:.3f})"))
 
 
 def adjudicate(c: Context, args) -> None:
-    f = facts.match_results(c.spark.read.parquet(args.pairs), c.registry)
-    (c.folder / "adjudication.md").write_text(runs.adjudication_markdown(gates.adjudicate(f)), encoding="utf-8")
+    """Close calls and errors of a run, from its stored predictions, for a person to check."""
+    decisions = gates.adjudicate(facts.match_results(run_pairs(c, args.run)[0].where("ok"), c.registry))
+    text = runs.adjudication_markdown(decisions)
+    for path in (c.folder / "runs" / args.run / "adjudication.md", c.folder / "adjudication.md"):
+        path.write_text(text, encoding="utf-8")
+    print(f"{decisions.where(F.col('reason') != 'error').count()} close calls, {decisions.where(F.col('reason') == 'error').count()} other errors")
 
 
 def close(c: Context, args) -> None:
@@ -250,7 +271,7 @@ COMMANDS = {
     "label-sheet": (label_sheet, (("--predictions", {}), ("--xlsx", {"action": "store_true"}))), "import-labels": (import_labels, (("sheet", {}),)), "audit-labels": (audit_labels, ()),
     "make-splits": (make_splits, (("--reason", {"default": ""}),)), "run-baseline": (run_baseline, (("--name", {"default": "zero_shot"}),)), "compile": (compile_command, (("--name", {"default": ""}),)),
     "holdout": (holdout, (("--who", {"required": True}), ("--reason", {"default": ""}))), "production": (production, (("--batch", {"action": "store_true"}),)),
-    "rescore": (rescore, (("pairs", {"help": "parquet with doc_id and gold and pred structs"}), ("out", {}))), "adjudicate": (adjudicate, (("pairs", {}),)), "close": (close, (("--notes", {}),)),
+    "rescore": (rescore, (("run", {"help": "a folder of runs"}),)), "adjudicate": (adjudicate, (("run", {}),)), "close": (close, (("--notes", {}),)),
 }
 
 

@@ -81,6 +81,19 @@ def primary_values(facts: DataFrame, registry: Registry, support_floor: int = SU
     )
 
 
+def answer_rates(facts: DataFrame, registry: Registry) -> DataFrame:
+    """(task_id, counts, support, precision, precision_low, precision_high, recall, recall_low, recall_high, f1): how often an answer is right, and how much is found.
+
+    A binary task is counted on its answers ``true``, others on all answers; intervals are Wilson's.
+    """
+    yes = class_counts(facts, registry).where("label = 'true'").join(facts.where("task_type = 'binary'").select("task_id").distinct(), "task_id", "left_semi")
+    rest = facts.where("task_type <> 'binary'").groupBy("task_id").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    c = yes.select("task_id", F.lit("true").alias("counts"), "tp", "fp", "fn").unionByName(rest.select("task_id", F.lit("all answers").alias("counts"), "tp", "fp", "fn"))
+    support = F.col("tp") + F.col("fn")
+    ends = dict(zip(("precision_low", "precision_high", "recall_low", "recall_high"), (*St.wilson(F.col("tp"), F.col("tp") + F.col("fp")), *St.wilson(F.col("tp"), support)), strict=True))
+    return _prf(c).withColumns(ends).select("task_id", "counts", support.alias("support"), "precision", "precision_low", "precision_high", "recall", "recall_low", "recall_high", "f1")
+
+
 def primary_map(primary: DataFrame) -> DataFrame:
     """All tasks' headline numbers as one map."""
     return primary.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("task_id", "primary")))).alias("per_task"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris import project
+from verdigris.functions import stats as St
 from verdigris.operators import facts as Fa
 from verdigris.operators import gates as G
 from verdigris.operators import metrics as Me
@@ -190,34 +191,63 @@ def run_experiment(docs: DataFrame, gold: DataFrame, registry: Registry, make: C
 
     scored, outcomes = evaluate(docs, gold, registry, predictor, ceiling=1.0, budget=budget)
     payload = metrics_payload(scored)
-    outcomes.unpersist()
     entry = project.record_experiment(folder, config, payload["summary"]["aggregate"], primary_of(payload), parent["id"] if parent else None, budget.rollouts, time.monotonic() - began)
-    write_run(scored, registry, Path(folder) / "runs" / entry["id"])
+    write_run(scored, registry, Path(folder) / "runs" / entry["id"], outcomes.withColumnRenamed("values", "predicted"))
+    outcomes.unpersist()
     return entry
 
 
+#: What the gaps between validation and holdout say together, and what to do then.
+READINGS = {
+    "within_ci": ("holdout and validation agree", "release it"),
+    "modest": ("a drop of the usual size", "release it with the holdout's numbers"),
+    "large_few": ("a few tasks learned their examples by heart", "take those tasks back to their baseline"),
+    "large_widespread": ("the program as a whole was tuned to its validation documents", "take a simpler one"),
+}
+
+
 @dataclass
-class HoldoutReport:
-    """What the one look at a holdout found."""
+class HoldoutFindings:
+    """What the one look at a holdout found.
+
+    ``interval`` is that of the aggregate over resampled documents; ``gaps`` has a row a task with both numbers, the interval,
+    support and what so much support can carry; ``rates`` has how often answers are right and how much they find.
+    """
 
     aggregate: float
     verdict: str
     gaps: list[dict]
     tasks: list[dict]
     lock: dict
+    interval: tuple[float, float] = (0.0, 1.0)
+    validation: float = 0.0
+    n: int = 0
+    rates: list[dict] = field(default_factory=list)
+
+    @property
+    def worse(self) -> list[str]:
+        """Tasks that fell far short of validation."""
+        return [g["task_id"] for g in self.gaps if g["is_large"]]
 
     def to_markdown(self) -> str:
-        lines = ["# Holdout", "", f"aggregate {self.aggregate:.3f}; {self.verdict}; opened {self.lock['opened_at']} by {self.lock['opened_by']}", ""]
-        lines += [project.markdown_table(["task", "holdout", "validation", "gap", "low", "high", "reads"], [(g["task_id"], g["holdout"], g["validation"], g["gap"], g["low"], g["high"], "inside" if g["within_ci"] else "large gap" if g["is_large"] else "outside") for g in self.gaps]), ""]
+        span = lambda low, high: f"{low:.3f} to {high:.3f}"
+        reading, action = READINGS[self.verdict]
+        lines = ["# Holdout", "", f"aggregate {self.aggregate:.3f} ({span(*self.interval)}) over {self.n} documents; validation {self.validation:.3f}, {self.validation - self.aggregate:+.3f}; opened {self.lock['opened_at']} by {self.lock['opened_by']}", ""]
+        lines += [f"{self.verdict}: {reading}. Next: {action}.", "", "## Tasks", ""]
+        told = lambda g: "inside" if g["within_ci"] else "large gap" if g["is_large"] else "outside"
+        lines += [project.markdown_table(["task", "holdout", "range", "validation", "gap", "reads", "examples", "can carry"], [(g["task_id"], g["holdout"], span(g["low"], g["high"]), g["validation"], f"{g['gap']:+.3f}", told(g), g["support"], g["readable_as"]) for g in self.gaps]), ""]
+        lines += ["## Answers", "", project.markdown_table(["task", "counts", "precision", "range", "recall", "range", "F1"], [(r["task_id"], r["counts"], r["precision"], span(r["precision_low"], r["precision_high"]), r["recall"], span(r["recall_low"], r["recall_high"]), r["f1"]) for r in self.rates]), ""]
+        lines += [f"- {t}: far below validation; quote the number here, and go back to its baseline" for t in self.worse]
         lines += [f"- {t['task_id']}: too few examples to measure" for t in self.tasks if not t["measurable"]]
         lines += [f"- opened again on {o['at']} by {o['by']}: {o['reason']}" for o in self.lock["overrides"]]
         return "\n".join(lines)
 
 
-def run_holdout(docs: DataFrame, gold: DataFrame, registry: Registry, predictor: Predictor, validation: dict[str, float], folder: str | Path, who: str, reason: str = "", resamples: int = 1000, seed: int = 0) -> HoldoutReport:
+def run_holdout(docs: DataFrame, gold: DataFrame, registry: Registry, predictor: Predictor, validation: dict[str, float], folder: str | Path, who: str, reason: str = "", resamples: int = 1000, seed: int = 0, aggregate: float | None = None) -> HoldoutFindings:
     """Predicts, then takes the lock, then scores: a run that fails before has not looked.
 
-    ``validation`` has each task's headline number there; gaps are read against resampled intervals.
+    ``validation`` has each task's headline number there, ``aggregate`` the aggregate (else their weighed mean stands for it);
+    gaps are read against resampled intervals.
     """
     spark = docs.sparkSession
     if (Path(folder) / "holdout.lock.json").exists() and not reason:
@@ -229,9 +259,17 @@ def run_holdout(docs: DataFrame, gold: DataFrame, registry: Registry, predictor:
     tasks = _rows(scored.tasks, "task_id")
     found = scored.tasks.select("task_id", F.col("primary").alias("value")).join(ends, "task_id")
     before = spark.createDataFrame([(k, float(v)) for k, v in validation.items()], "task_id string, value double")
-    gaps = G.holdout_gaps(before, found).join(ends, "task_id")
-    report = HoldoutReport(scored.summary.where("name = 'aggregate'").first()["value"], G.read_gaps(gaps).first()[0], _rows(gaps, "task_id"), tasks, lock)
-    write_run(scored, registry, Path(folder) / "runs" / "holdout")
+    rates = Me.answer_rates(scored.facts, registry)
+    carried = rates.select("task_id", "support", St.readable_at(F.col("support")).alias("readable_as"))
+    gaps = G.holdout_gaps(before, found).join(ends, "task_id").join(carried, "task_id")
+    whole = St.bootstrap_interval(scored.examples, "aggregate", "doc_id", resamples, seed).first()
+    weight = sum(t.weight for t in registry if t.id in validation)
+    mean = sum(t.weight * float(validation[t.id]) for t in registry if t.id in validation) / weight if weight else 0.0
+    report = HoldoutFindings(
+        scored.summary.where("name = 'aggregate'").first()["value"], G.read_gaps(gaps).first()[0], _rows(gaps, "task_id"), tasks, lock,
+        (whole["low"], whole["high"]), mean if aggregate is None else aggregate, whole["n"], _rows(rates, "task_id", "counts"),
+    )
+    write_run(scored, registry, Path(folder) / "runs" / "holdout", outcomes.withColumnRenamed("values", "predicted"))
     (Path(folder) / "runs" / "holdout" / "report.md").write_text(report.to_markdown(), encoding="utf-8")
     outcomes.unpersist()
     return report

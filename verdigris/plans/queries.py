@@ -306,6 +306,16 @@ def class_metrics(spark: SparkSession, d: str) -> DataFrame:
     return Me.class_metrics(facts(spark, d), TASKS).withColumns({c: F.round(c, 9) for c in ("recall_low", "recall_high")})
 
 
+_ENDS = [*wilson_sql("tp", "(tp + fp)"), *wilson_sql("tp", "(tp + fn)")]
+
+
+@query(f"""WITH {FACTS}, {CLASSCOUNTS}, r AS (SELECT task_id, 'true' AS counts, tp, fp, fn FROM classes WHERE task_id = 'flag' AND label = 'true'
+UNION ALL SELECT task_id, 'all answers', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM facts WHERE task_id <> 'flag' GROUP BY task_id)
+SELECT task_id, counts, tp + fn AS support, {PRF}, round({_ENDS[0]}, 9) AS precision_low, round({_ENDS[1]}, 9) AS precision_high, round({_ENDS[2]}, 9) AS recall_low, round({_ENDS[3]}, 9) AS recall_high FROM r""")
+def answer_rates(spark: SparkSession, d: str) -> DataFrame:
+    return Me.answer_rates(facts(spark, d), TASKS).withColumns({c: F.round(c, 9) for c in ("precision_low", "precision_high", "recall_low", "recall_high")})
+
+
 @query(f"""WITH {TALLY}, {CLASSCOUNTS}, s AS (SELECT *, tp + fn AS support, {PRF} FROM classes),
 b AS (SELECT task_id, avg(f1) FILTER (support >= 30) AS above, avg(f1) FILTER (tp + fp + fn > 0) AS seen, max(f1) FILTER (label = 'true') AS pos, min(support) AS rarest FROM s GROUP BY task_id),
 r AS (SELECT task_id, avg(correct::INT) AS exact_match, avg((g IS NULL)::INT) AS gold_null_rate, avg((p IS NULL)::INT) AS pred_null_rate FROM facts GROUP BY task_id)
