@@ -38,6 +38,8 @@ SLOT_BITS = 16
 SPREAD, LEAST_BITS = 16, 64
 #: Rounds of anchors before blocks of tiles meet, members of a block, and texts that meet one copy of an anchor's text.
 ROUNDS, BLOCK, SHARE = 2, 512, 64
+#: Bits by which the count of a tile is told from others, beyond those that number the tiles.
+KEY_BITS = 8
 SLICE_BYTES = 4_000_000
 
 
@@ -293,12 +295,15 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, row_id: str
     if not signed.groupBy("row_id").count().where("count > 1").isEmpty():
         nodes = nodes.dropDuplicates(["row_id", "set_hi", "set_lo"])
     nodes = nodes.select("row_id", F.col("n_shingles").alias("n"), "bits", "tiles")
-    # only tiles with two texts or more go on; counts are summed where tiles are read, so a tile of very many is no load
-    tiles = nodes.select("row_id", F.explode("tiles").alias("t")).select("row_id", "t.tile", "t.slot")
-    many = written(tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "many")
+    # only tiles with two texts or more go on; counts are summed where tiles are read, so a tile of very many is no load.  They
+    # are counted by as many of a tile's bits as let one in 256 share a count, few bytes to shuffle: such a tile goes on
+    # needlessly, and common ones are told by any one order that all texts share
+    bits = min(64, int(nodes.agg(F.coalesce(F.sum(F.size("tiles")), F.lit(0))).first()[0]).bit_length() + KEY_BITS)
+    tiles = nodes.select("row_id", F.explode("tiles").alias("t")).select("row_id", "t.tile", "t.slot", F.shiftrightunsigned("t.tile", 64 - bits).alias("key"))
+    many = written(tiles.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "many")
     # of a band's tiles a text leaves as many of the most common ones as its slot says
     common = Window.partitionBy("row_id", "slot").orderBy(F.desc("members"), "tile")
-    ranked = tiles.join(small_side(many, 32), "tile").withColumn("rank", F.row_number().over(common))
+    ranked = tiles.join(small_side(many, 32), "key").withColumn("rank", F.row_number().over(common))
     every = written(ranked.where(F.col("rank") > F.col("slot").bitwiseAND((1 << SLOT_BITS) - 1)).select("row_id", "tile"), "tiles")
     # of tiles with the same members, known by their number and 128 bits over them, one says it all
     marks = (F.bit_xor(F.xxhash64("row_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row_id")).alias("y"))
