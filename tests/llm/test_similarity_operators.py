@@ -362,3 +362,27 @@ def test_keys_of_one_set_alone_are_not_sorted(spark, monkeypatch):
     got = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_removed"]}
     assert got == {1000 + i for i in range(0, 100, 10)}
     assert sum(met) < 1000, met
+
+
+@pytest.mark.parametrize("few", [None, 64])
+def test_wide_clusters_are_compared_in_bounded_memory(monkeypatch, few):
+    """All pairs of two blocks lie near the threshold: no list of them is held, and links are those of all pairs."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng, n = np.random.default_rng(3), 1200 if few is None else 150
+    if few:
+        monkeypatch.setattr(cover_tree, "PAIRS", few)
+    centre = rng.normal(size=64)
+    x, y = (cover_tree.unit(centre / np.linalg.norm(centre) + 0.03 * rng.normal(size=(n, 64))) for _ in range(2))
+    tree_x, tree_y = cover_tree.Tree(x), cover_tree.Tree(y)
+    within, between = cover_tree.Links(n, np.ones(n, dtype=np.int64)), cover_tree.Links(2 * n, np.ones(2 * n, dtype=np.int64))
+    tracemalloc.start()
+    cover_tree.traverse(x, x, tree_x, tree_x, 0, 0.95, within)
+    cover_tree.traverse(x, y, tree_x, tree_y, n, 0.95, between)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (within.count == (x @ x.T >= 0.95).sum(axis=1) - 1).all()
+    assert (between.count == np.concatenate([(x @ y.T >= 0.95).sum(axis=1), (x @ y.T >= 0.95).sum(axis=0)])).all()
+    assert peak < 100_000_000
