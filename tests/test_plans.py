@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+from verdigris.plans import more_queries as _more  # noqa: F401  # registers beside the others
 from verdigris.plans import queries as Q
 
 
@@ -21,3 +22,13 @@ def test_match_list_takes_every_line(spark, tmp_path):
         want[o] = (tp, pred.total() - tp, gold.total() - tp)
     got = {r["l_orderkey"]: (r["tp"], r["fp"], r["fn"]) for r in Q.queries()["match_list"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_quotes_are_places_of_their_own_characters(spark, tmp_path):
+    """Other case, white space, marks at the ends, null words and missing texts: what the query's SQL says of each."""
+    docs = [(0, "he said SHALL pay\n within days"), (1, "see one two three"), (2, None), (3, "N/A or more"), (4, "aç😀 nine ten"), (5, "x"), (6, "x")]
+    quotes = [(0, "shall pay within"), (1, '"one two"'), (2, "gone"), (3, "N/A"), (4, "nine"), (5, None), (6, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(quotes, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["doc_id"]: (r["start"], r["text"]) for r in Q.queries()["quotes_to_spans"](spark, str(tmp_path)).collect()}
+    assert got == {0: (None, "shall pay within"), 1: (None, '"one two"'), 2: (None, None), 3: (0, None), 4: (4, None), 5: (None, None), 6: (0, None)}
