@@ -32,3 +32,21 @@ def test_quotes_are_places_of_their_own_characters(spark, tmp_path):
     spark.createDataFrame(quotes, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r["doc_id"]: (r["start"], r["text"]) for r in Q.queries()["quotes_to_spans"](spark, str(tmp_path)).collect()}
     assert got == {0: (None, "shall pay within"), 1: (None, '"one two"'), 2: (None, None), 3: (0, None), 4: (4, None), 5: (None, None), 6: (0, None)}
+
+
+def test_streamed_documents_are_written_by_the_tables_own_tasks(spark, tmp_path, monkeypatch):
+    """No task reads the whole table to make the stream's files, and a document that arrives twice is stored once."""
+    from verdigris.plans import run_queries as Ru
+
+    rows = [(k, f"text {k}" * (1 + k % 4)) for k in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(Ru, "scratch", lambda *_: str(tmp_path / "stream"))
+    limit = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "1000")
+    try:
+        out = Ru.streamed_outcomes(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(limit, old)
+    assert len(list((tmp_path / "stream" / "in").glob("part-*"))) >= 12
+    assert sorted(int(r["doc_id"]) for r in out) == list(range(80)) and {r["stored"] for r in out} == {1}

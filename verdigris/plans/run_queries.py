@@ -17,7 +17,7 @@ from verdigris.plans.registry import Registry
 from verdigris.sources import documents as Do
 from verdigris.sources import extract as Ex
 from verdigris.sources import io
-from verdigris.sources.commits import Tables, scratch
+from verdigris.sources.commits import Files, Tables, scratch
 from verdigris.streaming import resume
 
 # --- a stream of documents ------------------------------------------------------------------------------------------
@@ -29,6 +29,10 @@ def _by_rule(rows: list[tuple[str, str]], attempt: int) -> list:
     return [ValueError("unreadable") if k == 7 or (k == 3 and attempt == 1) else {"n": len(text)} for k, (_, text) in zip(kinds, rows, strict=True)]
 
 
+#: Micro-batches, about, that arriving documents are dealt into.
+STREAM_BATCHES = 8
+
+
 class _PowerCut(RuntimeError):
     pass
 
@@ -39,9 +43,12 @@ def streamed_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """All documents as a file stream, a quarter of them arriving twice; the run dies after a commit and goes on."""
     root = scratch(spark, "stream")
     docs = table(spark, d, "documents").select("doc_id", "text")
-    docs.repartition(3).write.parquet(f"{root}/in")
-    docs.where("doc_id % 4 = 0").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = lambda: spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    # files as the table's own tasks make them, and at least three
+    parts = docs.rdd.getNumPartitions()
+    (docs if parts >= 3 else docs.repartition(3)).write.parquet(f"{root}/in")
+    docs.where("doc_id % 4 = 0").write.mode("append").parquet(f"{root}/in")
+    files = len(Files(spark, root).names(f"{root}/in"))
+    stream = lambda: spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", -(-files // STREAM_BATCHES)).parquet(f"{root}/in")
 
     def dies(number: int) -> None:
         raise _PowerCut(f"after batch {number}")
