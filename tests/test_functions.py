@@ -136,3 +136,20 @@ def test_spans(spark):
 def test_excerpts(spark):
     r = spark.range(1).select(T.truncate(F.lit("a" * 50 + "b" * 50), 10, 0.7).alias("t"), T.context_window(F.lit("x\ny NEEDLE z"), F.lit("needle"), 3).alias("w"), T.doc_id_of(F.lit(" A.PDF ")).alias("d"), T.is_pdf(F.lit("/x/.a.pdf")).alias("p")).first()
     assert r["t"] == "aaaaaaa" + T.TRUNCATED + "bbb" and r["w"] == " y NEEDLE z"[-11:] and r["d"] == "A" and r["p"] is False
+
+
+def test_equal_pairs_of_items_are_scored_once(monkeypatch):
+    """A batch that repeats its items compares them once, and keeps a bounded number of scores."""
+    import pyarrow as pa
+
+    from verdigris.functions import similarity as S
+
+    calls, real = [], S.common_length
+    monkeypatch.setattr(S, "common_length", lambda a, b: calls.append(1) or real(a, b))
+    a, b = pa.array([["one two", "", "three"], None, []] * 50), pa.array([["one twoz", "three"], ["x"], ["y"]] * 50)
+    got = S._pair_scores.func(a, b).to_pylist()
+    assert len(calls) == 3 and got[1::3] == [[]] * 50 and got[2::3] == [[]] * 50
+    assert [(p["i"], p["j"]) for p in got[0]] == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1)]
+    assert got[0][0]["s"] == pytest.approx(-14 / 15) and got[0][5]["s"] == -1.0 and got[0][2]["s"] == 0.0
+    monkeypatch.setattr(S, "_KEPT", 2)
+    assert S._pair_scores.func(a, b).to_pylist() == got

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
@@ -46,17 +47,29 @@ def similarity(a: Column, b: Column) -> Column:
 _SCORED = ArrayType(StructType([StructField("s", DoubleType()), StructField("i", IntegerType()), StructField("j", IntegerType())]))
 
 
-@F.pandas_udf(_SCORED)
-def _pair_scores(a: pd.Series, b: pd.Series) -> pd.Series:
-    def scored(xs, ys) -> list[dict]:
-        out = []
-        for i, x in enumerate(xs):
-            for j, y in enumerate(ys):
-                score = 1.0 if x == y else 2.0 * common_length(x, y) / (len(x) + len(y)) if x and y else 0.0
-                out.append({"s": -score, "i": i, "j": j})
-        return out
-
-    return pd.Series([scored([] if x is None else x, [] if y is None else y) for x, y in zip(a, b, strict=True)])
+#: Scores of different pairs that a batch keeps.
+_KEPT = 100_000
+
+
+@F.arrow_udf(_SCORED)
+def _pair_scores(a: pa.Array, b: pa.Array) -> pa.Array:
+    ends, scores, first, second = [0], [], [], []
+    kept: dict[tuple, float] = {}
+    for xs, ys in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        for i, x in enumerate(xs or ()):
+            for j, y in enumerate(ys or ()):
+                score = kept.get((x, y))
+                if score is None:
+                    score = -1.0 if x == y else -2.0 * common_length(x, y) / (len(x) + len(y)) if x and y else -0.0
+                    if len(kept) >= _KEPT:
+                        kept.clear()
+                    kept[x, y] = score
+                scores.append(score)
+                first.append(i)
+                second.append(j)
+        ends.append(len(scores))
+    pairs = pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(first, pa.int32()), pa.array(second, pa.int32())], names=["s", "i", "j"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
 
 
 def pair_scores(a: Column, b: Column) -> Column:
