@@ -364,6 +364,27 @@ def test_keys_of_one_set_alone_are_not_sorted(spark, monkeypatch):
     assert sum(met) < 1000, met
 
 
+def test_lines_that_share_keys_and_are_no_copies_go_no_further(spark, monkeypatch):
+    rng = random.Random(43)
+    rows = [(12 * g + i, " ".join([f"g{g}a", f"g{g}b", *(f"w{rng.randrange(300)}" for _ in range(30))])) for g in range(20) for i in range(12)]
+    rows += [(1000 + g, rows[12 * g][1] + " more") for g in range(0, 20, 4)]
+    met, plain = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, label, **o: (out := plain(df, label, **o), label == "met" and met.append(out.count()))[0])
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_removed"]}
+    assert got == {d for d, _ in plain_lines(rows)} == {1000 + g for g in range(0, 20, 4)}
+    assert sum(met) < 100, met
+
+
+def test_lines_at_the_end_of_a_large_group_meet_all_before_them(spark, monkeypatch):
+    rng = random.Random(44)
+    monkeypatch.setattr(line_dedup, "BEFORE", 2)
+    monkeypatch.setattr(line_dedup, "KEPT", 1)
+    rows = [(i, " ".join(["ga", "gb", *(f"w{rng.randrange(300)}" for _ in range(n))])) for i, n in enumerate([30, 80, 100] * 14)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(3, 42, 5)]
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_removed"]}
+    assert got == {d for d, _ in plain_lines(rows)} >= {1000 + i for i in range(3, 42, 5)}
+
+
 @pytest.mark.parametrize("few", [None, 64])
 def test_wide_clusters_are_compared_in_bounded_memory(monkeypatch, few):
     """All pairs of two blocks lie near the threshold: no list of them is held, and links are those of all pairs."""

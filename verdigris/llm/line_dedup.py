@@ -13,12 +13,15 @@ set with Jaccard similarity of ``percent``/100 or more; whether that earlier lin
    share a run of rare words, so groups stay small where single words would make large ones.  Words that share a place in the
    order only make keys that more sets share.
 4. Keys that one set alone has, which most are, are counted by themselves and go no further.
-5. A group's sets are held against its first one and the one before; sizes (length filter), the places of the shared run (positional filter) and
-   parities of the words' hashes, which differ in no more bits than the sets do in words, bound the overlap from above.  What
-   is left is verified on the words themselves.
-6. Sets that this did not settle are held against the closest by parities of the ``BEFORE`` sets before them in their groups.
-7. Sets that are still open meet all earlier sets of their groups in a semi-join on the hashes of all their words, which stops
-   at the first that is near: no row is made for a pair.
+5. A group's sets are held against the ``BEFORE`` ones before them, and later ones against the first: sizes (length filter), the
+   places of the shared run (positional filter) and parities of the words' hashes, which differ in no more bits than the sets
+   do in words, bound the overlap from above.  A set that can be near none of them goes no further; the others keep the
+   closest by parities, so the steps below read few rows of a group.
+6. Of all that a set has kept under its keys, the closest is verified on the words themselves, then the others if need be and they
+   are few.
+7. Sets that are still open and had more than these meet all earlier sets of their groups in a semi-join, first by the
+   same bounds, then those that it leaves on the hashes of all their words.  It stops at the first that is near: no row is made
+   for a pair.
 
 Sets without a clean run of ``RUN`` words, where ``percent`` is low, take single words, as in the plain prefix.
 
@@ -47,8 +50,12 @@ WIDE = 0xFFFF
 #: Passes over classes of keys, at most, and bytes of a key that several sets have: a pass takes what can be broadcast, and with
 #: more keys than that it shuffles its own class alone.
 PASSES, KEY_BYTES = 8, 24
-#: Sets before an open one in its group that it picks the closest of.
-BEFORE = 32
+#: Sets before one in its group that it is held against first, and those of them that it keeps.
+BEFORE, KEPT = 32, 3
+#: Sets besides the closest that a line is verified against one by one.
+OTHERS = 2
+#: Words up to which parities in 64 classes tell sets apart; larger ones have those of half of their words beside.
+SHORT = 64
 #: For tables of hashes, which hardly repeat.
 PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
 
@@ -129,8 +136,8 @@ def prefix_length(n: Column, run: int, percent: int) -> Column:
 def keyed_sets(lines: DataFrame, classes: bytes, size: int, percent: int) -> list[tuple[int, DataFrame]]:
     """(run, table) with (doc_id, line, flips, flops, keys) of the sets that can have a partner of another set, written.
 
-    ``line`` packs line number and size; ``flips`` and ``flops`` are the parities of the words' hashes in 128 classes; ``keys``
-    has the runs of the words' places.
+    ``line`` packs line number and size; ``flips`` has the parities of the words' hashes in 64 classes, ``flops`` those of the
+    words with a high bit, 0 for a set of few words; ``keys`` has the runs of the words' places.
     """
     # a set without its like in size has no partner: the next larger one holds it and one word more
     kept = lines.where(100 * F.col("n").cast("long") >= percent * (F.col("n").cast("long") + 1))
@@ -155,14 +162,15 @@ def _keyed(lines: DataFrame, classes: bytes, size: int, run: int, percent: int)
     class_at = lambda h: F.ascii(F.substr(table, h.bitwiseAND(F.lit(size - 1)), F.lit(1)))
     place = lambda h: F.shiftleft(class_at(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 32 - HASH_BITS))
     prefix = F.slice(F.sort_array(F.transform("h", place)), F.lit(1), prefix_length(F.col("n"), run, percent)).alias("pre")
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h)  # noqa: E731  # by the low six bits
-    zero = F.lit(0).cast("long")
-    half = lambda which: F.aggregate("h", zero, lambda acc, h: F.when(h.bitwiseAND(64) == which, acc.bitwiseXOR(bit(h))).otherwise(acc))
+    bit = lambda h, of: F.call_function("shiftleft", of.cast("long"), h)  # noqa: E731  # by the low six bits
+    parity = lambda of: F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h, of(h))))
+    flips = parity(lambda h: F.lit(1))
+    flops = F.when(F.col("n") > SHORT, parity(lambda h: F.shiftrightunsigned(h, 31))).otherwise(F.lit(0).cast("long"))
     line = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.shiftleft(_narrow("n"), 16))
     keys, count = F.col("pre"), F.greatest(F.size("pre") - (run - 1), F.lit(0))
     for i in range(1, run):
         keys = F.zip_with(F.slice(keys, F.lit(1), count), F.slice("pre", F.lit(1 + i), count), lambda a, b: F.xxhash64(a, b))
-    sets = lines.select("doc_id", line.alias("line"), half(0).alias("flips"), half(64).alias("flops"), prefix)
+    sets = lines.select("doc_id", line.alias("line"), flips.alias("flips"), flops.alias("flops"), prefix)
     return sets.select("doc_id", "line", "flips", "flops", keys.cast("array<long>").alias("keys"))
 
 
@@ -198,8 +206,10 @@ def possible(one: str, other: str, percent: int) -> Column:
 
 
 def differing(one, other) -> Column:
-    """Parities in which two sets (at, flips, flops) differ."""
-    return F.bit_count(one[1].bitwiseXOR(other[1])) + F.bit_count(one[2].bitwiseXOR(other[2]))
+    """Parities in which two sets (at, flips, flops) differ, in 128 classes if both have them, else in 64."""
+    every, high = one[1].bitwiseXOR(other[1]), one[2].bitwiseXOR(other[2])
+    halves = F.bit_count(every.bitwiseXOR(high)) + F.bit_count(high)
+    return F.when((one[2] == 0) | (other[2] == 0), F.bit_count(every)).otherwise(halves)
 
 
 def can_be_near(one, other, percent: int) -> Column:
@@ -252,79 +262,91 @@ def repeats(hashed: DataFrame) -> DataFrame:
 
 
 def met_sets(keyed: list[tuple[int, DataFrame]], percent: int) -> list[DataFrame]:
-    """(key, doc_id, at, flips, flops, doc_id1, at1, doc_id3, at3, place, near1, near3) of sets behind the first of their group:
-    document and packed place of the first and of the set before, its own place in the group, and whether they can be near.
+    """(key, doc_id, at, flips, flops, line_no, near array<struct<differ, d1, l1>>, more) of sets that can be near an earlier one of their group.
 
-    A set that can't be near the first, and with which no third one stands, is left out.  A table for each pass over a class of
-    keys: the shared keys of a pass can be broadcast, or if they are too many, all keys at once would hold too much on disk.
+    ``near`` has those of the ``BEFORE`` sets before it, and of a later place the group's first, that it can be near to, the
+    closest ``KEPT`` by parities; ``more`` says that there can be others.  A set that fits none is left out if they were all
+    there are.  A table for each pass over a class of keys: the shared keys of a pass can be broadcast, or if they are too
+    many, all keys at once would hold too much on disk.
     """
     shared = shared_keys(keyed)
     passes = min(PASSES, 1 + shared.count() * KEY_BYTES // BROADCAST_BYTES)
     group = Window.partitionBy("key").orderBy("doc_id", "at")
-    head = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = ("doc_id", "at", "flips", "flops")
+    this = tuple(F.col(c) for c in own[1:])
     # lines of one document number that share a line number, from repeated ids, are not earlier than each other
-    other = lambda i: (F.col("doc_id") != F.col(f"doc_id{i}")) | (line_no("at") != line_no(f"at{i}"))
+    earlier = lambda p: (p["doc_id"] < F.col("doc_id")) | (line_no(p["at"]) < line_no("at"))
+    fits = lambda p: can_be_near(this, tuple(p[c] for c in own[1:]), percent) & earlier(p)
+    far = F.col("place") > BEFORE + 1
     out = []
     for turn in range(passes):
         met = postings(keyed, shared, turn, passes).select(
-            "key", *own, *(F.first(c).over(head).alias(f"{c}1") for c in own), *(F.lag(c).over(group).alias(f"{c}3") for c in own),
-            F.row_number().over(group).alias("place"), F.lead("at").over(group).isNull().alias("last"),
-        )
-        met = met.where("place > 1").withColumns({f"near{i}": possible("", f"{i}", percent) & other(i) for i in (1, 3)})
-        met = met.where("near1 or near3 or place > 2 or not last").drop("flips1", "flops1", "flips3", "flops3", "last")
+            "key", *own, F.row_number().over(group).alias("place"), F.collect_list(F.struct(*own)).over(group.rowsBetween(-BEFORE, -1)).alias("before"),
+            F.first(F.struct(*own)).over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
+        ).where("place > 1")
+        held = F.filter(F.when(far, F.array_append("before", F.col("first"))).otherwise(F.col("before")), fits)
+        near = F.transform(held, lambda p: F.struct(differing(this, tuple(p[c] for c in own[1:])).alias("differ"), p["doc_id"].alias("d1"), line_no(p["at"]).alias("l1")))
+        met = met.select("key", *own, "place", near.alias("near")).where((F.size("near") > 0) | far)
+        met = met.select("key", *own, line_no("at").alias("line_no"), F.slice(F.array_sort("near"), 1, KEPT).alias("near"), ((F.size("near") > KEPT) | far).alias("more"))
         out.append(written(met, "met"))
     drop_written(shared)
     return out
 
 
-def near_lines(met: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def near_lines(met: DataFrame, keyed: list[tuple[int, DataFrame]], docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, line_no) of the lines, first of their set, that an earlier line's other set is near to."""
-    pair = lambda a, b: (F.col(f"doc_id{a}").alias("d1"), line_no(f"at{a}").alias("l1"), F.col(f"doc_id{b}").alias("d2"), line_no(f"at{b}").alias("l2"))
-    heads = written(met.where("near1").select(*pair("1", "")).union(met.where("near3").select(*pair("3", ""))).distinct(), "heads")
-    settled = verified(heads, docs, percent)
-
-    # of the sets before it in its groups each open one is held against the one with the fewest parities to tell them apart
-    own, group = ("doc_id", "at", "flips", "flops"), Window.partitionBy("key").orderBy("doc_id", "at")
-    before = F.collect_list(F.struct(*own)).over(group.rowsBetween(-BEFORE, -1))
-    rows = _marked(met, settled).withColumn("before", F.when(~F.col("done") & (F.col("place") > 2), before)).where("before is not null")
-    this = tuple(F.col(c) for c in own[1:])
-    earlier = lambda p: (p["doc_id"] < F.col("doc_id")) | ((p["doc_id"] == F.col("doc_id")) & (line_no(p["at"]) < F.col("line_no")))
-    fits = lambda p: earlier(p) & can_be_near(this, tuple(p[c] for c in own[1:]), percent)
-    near = F.transform(F.filter("before", fits), lambda p: F.struct(differing(this, tuple(p[c] for c in own[1:])).alias("differ"), p["doc_id"].alias("d1"), line_no(p["at"]).alias("l1")))
-    # a set that fits none of those before it is done with this key, if they are all there are
-    late = rows.select("key", *own, "line_no", "place", F.array_min(near).alias("best")).where(F.col("best").isNotNull() | (F.col("place") > BEFORE))
-    late = written(late, "late")
-    best = late.where("best is not null").groupBy(F.col("doc_id").alias("d2"), F.col("line_no").alias("l2")).agg(F.min("best").alias("best"))
-    best = written(best.select("best.d1", "best.l1", "d2", "l2"), "closest")
-    closest = verified(best, docs, percent)
-
-    # what is still open meets all earlier sets of its groups; of those that are near, the first found is enough
-    still = written(late.drop("place", "best").join(closest.withColumnRenamed("doc_id", "d").withColumnRenamed("line_no", "l"), (F.col("doc_id") == F.col("d")) & (F.col("line_no") == F.col("l")), "left_anti"), "open")
-    keys = still.select("key").distinct()
-    beside = written(met.select("key", *own, line_no("at").alias("line_no")).join(keys.hint("merge"), "key", "left_semi"), "beside")
-    ends = still.select("doc_id", "line_no").union(beside.select("doc_id", "line_no")).distinct()
-    words = line_words(ends, docs)
-    hashes = written(words.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"), F.transform("w", lambda w: F.xxhash64(w)).alias("w")), "hashes")
-    side = lambda df, i: df.join(hashes.hint("merge"), ["doc_id", "line_no"]).select("key", *(F.col(c).alias(f"{c}{i}") for c in (*own, "line_no", "w")))
-    one, two = side(beside, 1), side(still, 2)
-    both = F.size(F.array_intersect("w1", "w2"))
-    first = (F.col("doc_id1") < F.col("doc_id2")) | ((F.col("doc_id1") == F.col("doc_id2")) & (F.col("line_no1") < F.col("line_no2")))
-    same = 100 * both >= percent * (F.size("w1") + F.size("w2") - both)
-    one = one.withColumnRenamed("key", "key1").hint("merge")
-    again = two.join(one, (F.col("key") == F.col("key1")) & first & possible("1", "2", percent) & same, "left_semi")
-    again = written(again.select(F.col("doc_id2").alias("doc_id"), F.col("line_no2").alias("line_no")).distinct(), "again")
-    out = written(settled.union(closest).union(again).distinct(), "near")
-    for t in (heads, settled, late, best, closest, still, beside, words, hashes, again):
+    own = ("doc_id", "at", "flips", "flops")
+    fits = met.where(F.size("near") > 0).groupBy(F.col("doc_id").alias("d2"), F.col("line_no").alias("l2"))
+    best = written(fits.agg(F.min(F.get("near", F.lit(0))).alias("best")).select("best.d1", "best.l1", "d2", "l2"), "closest")
+    settled = verified(best, docs, percent)
+
+    # a line that its closest one did not settle meets the others that it has with it, each once whatever keys they share, if they are few
+    still = written(without(met, settled), "open")
+    rest = still.select(F.explode("near").alias("p"), F.col("doc_id").alias("d2"), F.col("line_no").alias("l2")).select("p.d1", "p.l1", "d2", "l2").distinct()
+    rest = rest.join(small_side(best, 48), ["d1", "l1", "d2", "l2"], "left_anti").groupBy("d2", "l2").agg(F.collect_list(F.struct("d1", "l1")).alias("ps"))
+    rest = written(rest, "rest")
+    others = verified(rest.where(F.size("ps") <= OTHERS).select(F.explode("ps").alias("p"), "d2", "l2").select("p.*", "d2", "l2"), docs, percent)
+
+    # what is still open and has more than these meets all earlier sets of its groups; the first found that is near is enough
+    many = rest.where(F.size("ps") > OTHERS).select(F.col("d2").alias("doc_id"), F.col("l2").alias("line_no"), F.lit(True).alias("many"))
+    last = without(still, others).join(small_side(many, 32), ["doc_id", "line_no"], "left").where("more or many")
+    last = written(last.select("key", *own, "line_no"), "last")
+    found = [settled, others]
+    if not last.isEmpty():
+        found.append(_met_again(last, keyed, docs, percent))
+    out = written(reduce(DataFrame.union, found).distinct(), "near")
+    for t in (best, still, rest, last, *found):
         drop_written(t)
     return out
 
 
-def _marked(met: DataFrame, settled: DataFrame) -> DataFrame:
-    """(key, doc_id, at, flips, flops, place, line_no, done) of ``met``; ``done`` if the line is in ``settled``."""
-    rows = met.select("key", "doc_id", "at", "flips", "flops", "place", line_no("at").alias("line_no"), F.lit(False).alias("done"))
-    rows = rows.unionByName(settled.withColumn("done", F.lit(True)), allowMissingColumns=True)
-    return rows.withColumn("done", F.max("done").over(Window.partitionBy("doc_id", "line_no"))).where("key is not null")
+def without(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows`` of other lines than ``lines`` (doc_id, line_no)."""
+    return rows.join(small_side(lines, 32), ["doc_id", "line_no"], "left_anti").select(*rows.columns)
+
+
+def _met_again(still: DataFrame, keyed: list[tuple[int, DataFrame]], docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, line_no) of those lines of ``still`` (key, doc_id, at, flips, flops, line_no) that an earlier set of their groups is near to."""
+    own = ("doc_id", "at", "flips", "flops")
+    named = lambda df, i, *more: df.select(F.col("key").alias(f"key{i}"), *(F.col(c).alias(f"{c}{i}") for c in (*own, "line_no", *more))).hint("merge")
+    earlier = (F.col("doc_id1") < F.col("doc_id2")) | ((F.col("doc_id1") == F.col("doc_id2")) & (F.col("line_no1") < F.col("line_no2")))
+    meet = (F.col("key1") == F.col("key2")) & earlier & possible("1", "2", percent)
+    keys = written(still.select("key").distinct(), "keys")
+    beside = written(postings(keyed, keys).select("key", *own, line_no("at").alias("line_no")), "beside")
+    # most can be near none of those either, so that words are fetched for few
+    can = named(still, 2).join(named(beside, 1), meet, "left_semi")
+    can = written(can.select(*(F.col(f"{c}2").alias(c) for c in ("key", *own, "line_no"))), "can")
+    can_keys = written(can.select("key").distinct(), "keys")
+    near_by = written(beside.join(small_side(can_keys, KEY_BYTES), "key", "left_semi"), "beside")
+    words = line_words(can.select("doc_id", "line_no").union(near_by.select("doc_id", "line_no")).distinct(), docs)
+    hashes = written(words.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"), F.transform("w", lambda w: F.xxhash64(w)).alias("w")), "hashes")
+    one, two = (named(df.join(hashes.hint("merge"), ["doc_id", "line_no"]), i, "w") for df, i in ((near_by, 1), (can, 2)))
+    both = F.size(F.array_intersect("w1", "w2"))
+    again = two.join(one, meet & (100 * both >= percent * (F.size("w1") + F.size("w2") - both)), "left_semi")
+    again = written(again.select(F.col("doc_id2").alias("doc_id"), F.col("line_no2").alias("line_no")).distinct(), "again")
+    for t in (keys, beside, can, can_keys, near_by, words, hashes):
+        drop_written(t)
+    return again
 
 
 def later_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -338,10 +360,8 @@ def later_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     keyed = keyed_sets(once, classes, size, percent)
     drop_written(every)
     met = met_sets(keyed, percent)
-    for _, t in keyed:
-        drop_written(t)
-    near = near_lines(reduce(DataFrame.union, met), docs, percent)
-    for t in met:
+    near = near_lines(reduce(DataFrame.union, met), keyed, docs, percent)
+    for t in (*met, *(t for _, t in keyed)):
         drop_written(t)
     gone = copies.select("doc_id", "line_no").union(near)
     out = written(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "gone")
