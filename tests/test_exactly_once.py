@@ -203,3 +203,30 @@ def test_what_the_service_has_is_found_by_request_ids(spark, asked):
     assert {r["service_id"] for r in run.latest().where("state = 'sent'").collect()} == {"svc-1"} and run.latest().where("state = 'sent'").count() == len(ids)
     run.send(requests, service)
     assert service.submissions(spark).join(spark.createDataFrame([(c,) for c in ids], "custom_id string"), "custom_id").count() == 0
+
+
+def test_bodies_are_dealt_once(spark, asked, monkeypatch):
+    from verdigris.sources import commits
+
+    requests, service, root = asked
+    plans, plain = [], commits.Staged.write
+    monkeypatch.setattr(commits.Staged, "write", lambda self, t, rows: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), plain(self, t, rows))[1])
+    run = batching.Batches(spark, root, "f", size=10)
+    run.plan(requests)
+    plans.clear()
+    run.send(requests, service)
+    assert len(plans) == 1 and "hashpartitioning(batch" not in plans[0]
+    assert {r["times"] for r in service.submissions(spark).collect()} == {1}
+
+
+def test_batches_of_an_earlier_version_are_sent_with_their_bodies(spark, asked):
+    requests, service, root = asked
+    run = batching.Batches(spark, root, "f", size=10)
+    run.plan(requests)
+    now = run.tables.read("requests").withColumn("batch", F.concat(F.lit("0a-0-"), F.substring_index("batch", "-", -1)))
+    old = batching.Batches(spark, f"{root}-old", "f", size=10)
+    old.tables.put({"requests": now})
+    assert old.send(requests, service) == now.select("batch").distinct().count()
+    run.send(requests, service)
+    sent = [x for p in (root, f"{root}-old") for b in batching.Batches(spark, p, "f").latest().select("service_id").distinct().collect() for x in service.results(b[0])]
+    assert len(sent) == 2 * now.count() and len(set(sent)) == now.count()

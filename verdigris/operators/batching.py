@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Iterable
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.project import Refused
@@ -29,7 +29,13 @@ STATES = {
     "sent": "batch string, service_id string",
     "replies": "custom_id string, batch string, reply string",
 }
-_ROW_BITS = 33  # monotonically_increasing_id counts rows below this bit and partitions above it
+#: Batches that :func:`_part` names.
+_NAMED = "^[0-9a-f]+-[0-9]+-[0-9]+-[0-9]+$"
+
+
+def _part(deal: Column, name: Column) -> Column:
+    """The part of a deal (an id, -, its parts' number) that a request goes to; a part's batches have its name, -, a number."""
+    return F.concat_ws("-", deal, F.pmod(F.xxhash64(name), F.element_at(F.split(deal, "-"), 2).cast("long")).cast("string"))
 
 
 class Service(Protocol):
@@ -95,9 +101,10 @@ class Batches:
         n = new.count()
         if not n:
             return 0
-        row = F.col("_row")
-        place = F.concat_ws("-", F.lit(uuid.uuid4().hex), F.shiftright(row, _ROW_BITS).cast("string"), F.floor(row.bitwiseAND(2**_ROW_BITS - 1) / self.size).cast("string"))
-        dealt = new.repartition(-(-n * 20 // (19 * self.size))).withColumn("_row", F.monotonically_increasing_id())
+        deal = F.concat_ws("-", F.lit(uuid.uuid4().hex), F.lit(-(-n * 20 // (19 * self.size))).cast("string"))
+        own = Window.partitionBy("_part").orderBy("custom_id")
+        dealt = new.withColumn("_part", _part(deal, F.col("custom_id")))
+        place = F.concat_ws("-", "_part", F.floor((F.row_number().over(own) - 1) / self.size).cast("string"))
         self.tables.put({"requests": dealt.select("custom_id", "doc_id", "group", place.alias("batch"), F.lit(self.fingerprint).alias("fingerprint"))})
         return n
 
@@ -122,17 +129,29 @@ class Batches:
         """
         todo = self.latest().where("state = 'written'").select("custom_id", "batch")
         bodies = requests.select(custom_ids(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "group"))).alias("custom_id"), F.coalesce(F.col("body").cast("string"), F.lit("")).alias("body"))
-        bodies = bodies.groupBy("custom_id").agg(F.min("body").alias("body"))
-
-        def one(key, frame):
+        if todo.where(~F.col("batch").rlike(_NAMED)).isEmpty():
+            # a body's part is known without its batch: bodies are dealt once, to the part, and repeated ones are one there
+            deals = todo.select(F.substring_index("batch", "-", 2).alias("deal")).distinct()
+            bodies = bodies.join(F.broadcast(deals)).select(_part(F.col("deal"), F.col("custom_id")).alias("part"), "custom_id", "body")
+            bodies = bodies.repartition("part").groupBy("part", "custom_id").agg(F.min("body").alias("body"))
+            todo = todo.withColumn("part", F.substring_index("batch", "-", 3))
+        else:  # batches that an earlier version named
+            named = todo.select(F.col("custom_id").alias("custom_id"), F.col("batch").alias("part"))
+            bodies = named.join(bodies, "custom_id").groupBy("part", "custom_id").agg(F.min("body").alias("body"))
+            todo = todo.withColumn("part", F.col("batch"))
+
+        def one(left, right):
             import pandas as pd
 
-            name = key[0]
-            held = service.find(name) or service.submit(name, list(zip(frame["custom_id"], frame["body"].fillna(""), strict=True)))
-            return pd.DataFrame({"batch": [name], "service_id": [held]})
+            rows = left[["custom_id", "batch"]].merge(right[["custom_id", "body"]], "left", "custom_id")
+            out = []
+            for name, frame in rows.groupby("batch"):
+                held = service.find(name) or service.submit(name, list(zip(frame["custom_id"], frame["body"].fillna(""), strict=True)))
+                out.append((name, held))
+            return pd.DataFrame(out, columns=["batch", "service_id"], dtype=object)
 
         staged = self.tables.stage()
-        sent = staged.write("sent", todo.join(bodies, "custom_id", "left").groupBy("batch").applyInPandas(one, STATES["sent"]))
+        sent = staged.write("sent", todo.groupBy("part").cogroup(bodies.groupBy("part")).applyInPandas(one, STATES["sent"]))
         n = sent.count()
         if n:
             staged.commit()
