@@ -385,6 +385,21 @@ def test_lines_at_the_end_of_a_large_group_meet_all_before_them(spark, monkeypat
     assert got == {d for d, _ in plain_lines(rows)} >= {1000 + i for i in range(3, 42, 5)}
 
 
+@pytest.mark.parametrize("before", [32, 4])
+def test_sets_of_a_group_are_not_gathered_around_each_set(spark, monkeypatch, before):
+    """Groups of 12 sets, small or large by ``BEFORE``: pairs come from joins, and no window holds a list of sets for each row."""
+    rng = random.Random(45)
+    monkeypatch.setattr(line_dedup, "BEFORE", before)
+    rows = [(12 * g + i, " ".join([f"g{g}a", f"g{g}b", *(f"w{rng.randrange(300)}" for _ in range(30))])) for g in range(10) for i in range(12)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 120, 7)]
+    plans, plain = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, label, **o: (plans.append(df._jdf.queryExecution().toString()) if label in ("met", "placed") else None, plain(df, label, **o))[1])
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_removed"]}
+    assert got == {d for d, _ in plain_lines(rows)} >= {1000 + i for i in range(0, 120, 7)}
+    windows = [line for plan in plans for line in plan.split("\n") if "Window [" in line]
+    assert plans and not any("collect_list" in line for line in windows) and bool(windows) == (before == 4)
+
+
 @pytest.mark.parametrize("few", [None, 64])
 def test_wide_clusters_are_compared_in_bounded_memory(monkeypatch, few):
     """All pairs of two blocks lie near the threshold: no list of them is held, and links are those of all pairs."""

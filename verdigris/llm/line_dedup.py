@@ -134,10 +134,10 @@ def prefix_length(n: Column, run: int, percent: int) -> Column:
 
 
 def keyed_sets(lines: DataFrame, classes: bytes, size: int, percent: int) -> list[tuple[int, DataFrame]]:
-    """(run, table) with (doc_id, line, flips, flops, keys) of the sets that can have a partner of another set, written.
+    """(run, table) with (doc_id, line, flips, flops, pre array<int>) of the sets that can have a partner of another set, written.
 
     ``line`` packs line number and size; ``flips`` has the parities of the words' hashes in 64 classes, ``flops`` those of the
-    words with a high bit, 0 for a set of few words; ``keys`` has the runs of the words' places.
+    words with a high bit, 0 for a set of few words; ``pre`` has the places of the words in the prefix, in order.
     """
     # a set without its like in size has no partner: the next larger one holds it and one word more
     kept = lines.where(100 * F.col("n").cast("long") >= percent * (F.col("n").cast("long") + 1))
@@ -160,18 +160,22 @@ def _keyed(lines: DataFrame, classes: bytes, size: int, run: int, percent: int)
     # positions count from 1, so without its first byte the table is read by counter, and counter 0 reads that of 1
     table = F.lit(classes[1:])
     class_at = lambda h: F.ascii(F.substr(table, h.bitwiseAND(F.lit(size - 1)), F.lit(1)))
-    place = lambda h: F.shiftleft(class_at(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 32 - HASH_BITS))
+    # arrays that can't hold null are sorted as plain numbers
+    place = lambda h: F.coalesce(F.shiftleft(class_at(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 32 - HASH_BITS)), F.lit(0))
     prefix = F.slice(F.sort_array(F.transform("h", place)), F.lit(1), prefix_length(F.col("n"), run, percent)).alias("pre")
     bit = lambda h, of: F.call_function("shiftleft", of.cast("long"), h)  # noqa: E731  # by the low six bits
     parity = lambda of: F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h, of(h))))
     flips = parity(lambda h: F.lit(1))
     flops = F.when(F.col("n") > SHORT, parity(lambda h: F.shiftrightunsigned(h, 31))).otherwise(F.lit(0).cast("long"))
     line = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.shiftleft(_narrow("n"), 16))
-    keys, count = F.col("pre"), F.greatest(F.size("pre") - (run - 1), F.lit(0))
-    for i in range(1, run):
-        keys = F.zip_with(F.slice(keys, F.lit(1), count), F.slice("pre", F.lit(1 + i), count), lambda a, b: F.xxhash64(a, b))
-    sets = lines.select("doc_id", line.alias("line"), flips.alias("flips"), flops.alias("flops"), prefix)
-    return sets.select("doc_id", "line", "flips", "flops", keys.cast("array<long>").alias("keys"))
+    return lines.select("doc_id", line.alias("line"), flips.alias("flips"), flops.alias("flops"), prefix)
+
+
+def keys_of(lines: DataFrame, run: int, *columns: str) -> DataFrame:
+    """(columns, pos, key): the runs of the words' places in the prefix of each set of ``lines``, hashed."""
+    count = F.greatest(F.size("pre") - (run - 1), F.lit(0))
+    each = lines.select(*columns, "pre", F.posexplode(F.slice("pre", F.lit(1), count)).alias("pos", "place"))
+    return each.select(*columns, "pos", F.xxhash64("place", *(F.get("pre", F.col("pos") + i) for i in range(1, run)), F.lit(run)).alias("key"))
 
 
 def _narrow(c: str) -> Column:
@@ -179,23 +183,27 @@ def _narrow(c: str) -> Column:
 
 
 def shared_keys(keyed: list[tuple[int, DataFrame]]) -> DataFrame:
-    """(key) of the keys that two sets or more have, written; only keys are shuffled for it."""
-    each = [lines.select(F.explode("keys").alias("key")).select(F.xxhash64("key", F.lit(run)).alias("key")) for run, lines in keyed]
-    return written(reduce(DataFrame.union, each).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared", **PLAIN)
+    """(key, large) of the keys that two sets or more have, written; only keys are shuffled for it.
+
+    ``large``: more than ``BEFORE`` + 1 sets have it.
+    """
+    each = reduce(DataFrame.union, (keys_of(lines, run).select("key") for run, lines in keyed))
+    counted = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return written(counted.where("n > 1").select("key", (F.col("n") > BEFORE + 1).alias("large")), "shared", **PLAIN)
 
 
 def postings(keyed: list[tuple[int, DataFrame]], shared: DataFrame, turn: int = 0, passes: int = 1) -> DataFrame:
-    """(key, doc_id, at, flips, flops) of the ``shared`` keys of one of ``passes`` classes; ``at`` packs line number, size and place."""
+    """(key, doc_id, at, flips, flops) of the ``shared`` keys of one of ``passes`` classes, with the other columns of ``shared``.
+
+    ``at`` packs line number, size and place.
+    """
     own = lambda df: df.where(F.pmod(F.shiftrightunsigned("key", 40), F.lit(passes)) == turn) if passes > 1 else df
-    out = None
-    for run, lines in keyed:
-        each = lines.select("doc_id", "line", "flips", "flops", F.posexplode("keys").alias("pos", "key"))
-        each = own(each.select(F.xxhash64("key", F.lit(run)).alias("key"), "doc_id", F.col("line").bitwiseOR(_narrow("pos")).alias("at"), "flips", "flops"))
-        out = each if out is None else out.unionByName(each)
-    return out.join(small_side(own(shared), KEY_BYTES), "key", "left_semi")
+    each = (keys_of(lines, run, "doc_id", "line", "flips", "flops") for run, lines in keyed)
+    each = (own(keys).select("key", "doc_id", F.col("line").bitwiseOR(_narrow("pos")).alias("at"), "flips", "flops") for keys in each)
+    return reduce(DataFrame.union, each).join(small_side(own(shared), KEY_BYTES), "key")
 
 
-def line_no(at: str) -> Column:
+def line_no(at: str | Column) -> Column:
     return F.shiftright(at, 32).cast("int")
 
 
@@ -270,34 +278,71 @@ def met_sets(keyed: list[tuple[int, DataFrame]], percent: int) -> list[DataFrame
     many, all keys at once would hold too much on disk.
     """
     shared = shared_keys(keyed)
-    passes = min(PASSES, 1 + shared.count() * KEY_BYTES // BROADCAST_BYTES)
-    group = Window.partitionBy("key").orderBy("doc_id", "at")
-    own = ("doc_id", "at", "flips", "flops")
-    this = tuple(F.col(c) for c in own[1:])
-    # lines of one document number that share a line number, from repeated ids, are not earlier than each other
-    earlier = lambda p: (p["doc_id"] < F.col("doc_id")) | (line_no(p["at"]) < line_no("at"))
-    fits = lambda p: can_be_near(this, tuple(p[c] for c in own[1:]), percent) & earlier(p)
-    far = F.col("place") > BEFORE + 1
-    out = []
-    for turn in range(passes):
-        met = postings(keyed, shared, turn, passes).select(
-            "key", *own, F.row_number().over(group).alias("place"), F.collect_list(F.struct(*own)).over(group.rowsBetween(-BEFORE, -1)).alias("before"),
-            F.first(F.struct(*own)).over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
-        ).where("place > 1")
-        held = F.filter(F.when(far, F.array_append("before", F.col("first"))).otherwise(F.col("before")), fits)
-        near = F.transform(held, lambda p: F.struct(differing(this, tuple(p[c] for c in own[1:])).alias("differ"), p["doc_id"].alias("d1"), line_no(p["at"]).alias("l1")))
-        met = met.select("key", *own, "place", near.alias("near")).where((F.size("near") > 0) | far)
-        met = met.select("key", *own, line_no("at").alias("line_no"), F.slice(F.array_sort("near"), 1, KEPT).alias("near"), ((F.size("near") > KEPT) | far).alias("more"))
-        out.append(written(met, "met"))
+    counts = {r["large"]: r["n"] for r in shared.groupBy("large").agg(F.count(F.lit(1)).alias("n")).collect()}
+    passes = min(PASSES, 1 + counts.get(False, 0) * KEY_BYTES // BROADCAST_BYTES)
+    small, large = (shared.where(c).select("key") for c in ("not large", "large"))
+    out = [written(_met_in_small(postings(keyed, small, turn, passes), percent), "met") for turn in range(passes)]
+    if counts.get(True):
+        out.append(_met_in_large(postings(keyed, large), percent))
     drop_written(shared)
     return out
 
 
+#: What is known of a set under a key.
+SET = ("doc_id", "at", "flips", "flops")
+
+
+def ends_of(posted: DataFrame, i: int, *more: str) -> DataFrame:
+    """``posted`` with ``i`` behind the names of its columns, for joins that shuffle."""
+    return posted.select(*(F.col(c).alias(f"{c}{i}") for c in ("key", *SET, *more))).hint("merge")
+
+
+def meet(percent: int) -> Column:
+    """The first of two sets of one group is earlier and can be near; lines of repeated ids with one line number are not earlier than each other."""
+    earlier = (F.col("doc_id1") < F.col("doc_id2")) | ((F.col("doc_id1") == F.col("doc_id2")) & (line_no("at1") < line_no("at2")))
+    return (F.col("key1") == F.col("key2")) & earlier & possible("1", "2", percent)
+
+
+def closeness() -> Column:
+    this, other = (tuple(F.col(f"{c}{i}") for c in SET[1:]) for i in "21")
+    return F.struct(differing(this, other).alias("differ"), F.col("doc_id1").alias("d1"), line_no("at1").alias("l1"))
+
+
+def _met_in_small(posted: DataFrame, percent: int) -> DataFrame:
+    """:func:`met_sets` of groups of up to ``BEFORE`` + 1 sets: each set meets all earlier ones in a join."""
+    pairs = ends_of(posted, 2).join(ends_of(posted, 1), meet(percent))
+    met = pairs.groupBy("key2", *(f"{c}2" for c in SET)).agg(F.sort_array(F.collect_list(closeness())).alias("near")).toDF("key", *SET, "near")
+    return met.select("key", *SET, line_no("at").alias("line_no"), F.slice("near", 1, KEPT).alias("near"), (F.size("near") > KEPT).alias("more"))
+
+
+def _met_in_large(posted: DataFrame, percent: int) -> DataFrame:
+    """:func:`met_sets` of larger groups, written: each set meets the ``BEFORE`` ones before it, later ones also the first.
+
+    Sets meet in blocks of ``BEFORE`` places, each with its own and the one before, so a group's work is spread over tasks.
+    """
+    group = Window.partitionBy("key").orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = posted.select("key", *SET, F.row_number().over(group).alias("place"), F.first(F.struct(*SET)).over(group).alias("first"))
+    placed = written(placed.withColumn("block", F.expr(f"place div {BEFORE}")), "placed")
+    one = ends_of(placed, 1, "place", "block").withColumn("block1", F.explode(F.array(F.col("block1"), F.col("block1") + 1)))
+    two = ends_of(placed, 2, "place", "block")
+    beside = (F.col("block1") == F.col("block2")) & (F.col("place2") - F.col("place1")).between(1, BEFORE)
+    near = two.join(one, beside & meet(percent)).select("key2", *(f"{c}2" for c in SET), "place2", closeness().alias("near"))
+    late = ends_of(placed.where(F.col("place") > BEFORE + 1), 2, "place", "first")
+    late = late.select("*", F.col("key2").alias("key1"), *(F.col("first2")[c].alias(f"{c}1") for c in SET))
+    late = late.select("key2", *(f"{c}2" for c in SET), "place2", F.when(meet(percent), closeness()).alias("near"))
+    met = near.union(late).toDF("key", *SET, "place", "near").groupBy("key", *SET, "place").agg(F.sort_array(F.collect_list("near")).alias("near"))
+    more = (F.size("near") > KEPT) | (F.col("place") > BEFORE + 1)
+    out = written(met.select("key", *SET, line_no("at").alias("line_no"), F.slice("near", 1, KEPT).alias("near"), more.alias("more")), "met")
+    drop_written(placed)
+    return out
+
+
 def near_lines(met: DataFrame, keyed: list[tuple[int, DataFrame]], docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, line_no) of the lines, first of their set, that an earlier line's other set is near to."""
-    own = ("doc_id", "at", "flips", "flops")
     fits = met.where(F.size("near") > 0).groupBy(F.col("doc_id").alias("d2"), F.col("line_no").alias("l2"))
-    best = written(fits.agg(F.min(F.get("near", F.lit(0))).alias("best")).select("best.d1", "best.l1", "d2", "l2"), "closest")
+    # two columns of one row, as both are chosen alike; a struct could not be kept in a hash table
+    closest = F.get("near", F.lit(0))
+    best = written(fits.agg(*(F.min_by(closest[c], closest["differ"]).alias(c) for c in ("d1", "l1"))).select("d1", "l1", "d2", "l2"), "closest")
     settled = verified(best, docs, percent)
 
     # a line that its closest one did not settle meets the others that it has with it, each once whatever keys they share, if they are few
@@ -310,7 +355,7 @@ def near_lines(met: DataFrame, keyed: list[tuple[int, DataFrame]], docs: DataFra
     # what is still open and has more than these meets all earlier sets of its groups; the first found that is near is enough
     many = rest.where(F.size("ps") > OTHERS).select(F.col("d2").alias("doc_id"), F.col("l2").alias("line_no"), F.lit(True).alias("many"))
     last = without(still, others).join(small_side(many, 32), ["doc_id", "line_no"], "left").where("more or many")
-    last = written(last.select("key", *own, "line_no"), "last")
+    last = written(last.select("key", *SET, "line_no"), "last")
     found = [settled, others]
     if not last.isEmpty():
         found.append(_met_again(last, keyed, docs, percent))
@@ -327,22 +372,18 @@ def without(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _met_again(still: DataFrame, keyed: list[tuple[int, DataFrame]], docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, line_no) of those lines of ``still`` (key, doc_id, at, flips, flops, line_no) that an earlier set of their groups is near to."""
-    own = ("doc_id", "at", "flips", "flops")
-    named = lambda df, i, *more: df.select(F.col("key").alias(f"key{i}"), *(F.col(c).alias(f"{c}{i}") for c in (*own, "line_no", *more))).hint("merge")
-    earlier = (F.col("doc_id1") < F.col("doc_id2")) | ((F.col("doc_id1") == F.col("doc_id2")) & (F.col("line_no1") < F.col("line_no2")))
-    meet = (F.col("key1") == F.col("key2")) & earlier & possible("1", "2", percent)
     keys = written(still.select("key").distinct(), "keys")
-    beside = written(postings(keyed, keys).select("key", *own, line_no("at").alias("line_no")), "beside")
+    beside = written(postings(keyed, keys).select("key", *SET, line_no("at").alias("line_no")), "beside")
     # most can be near none of those either, so that words are fetched for few
-    can = named(still, 2).join(named(beside, 1), meet, "left_semi")
-    can = written(can.select(*(F.col(f"{c}2").alias(c) for c in ("key", *own, "line_no"))), "can")
+    can = ends_of(still, 2, "line_no").join(ends_of(beside, 1, "line_no"), meet(percent), "left_semi")
+    can = written(can.select(*(F.col(f"{c}2").alias(c) for c in ("key", *SET, "line_no"))), "can")
     can_keys = written(can.select("key").distinct(), "keys")
     near_by = written(beside.join(small_side(can_keys, KEY_BYTES), "key", "left_semi"), "beside")
     words = line_words(can.select("doc_id", "line_no").union(near_by.select("doc_id", "line_no")).distinct(), docs)
     hashes = written(words.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"), F.transform("w", lambda w: F.xxhash64(w)).alias("w")), "hashes")
-    one, two = (named(df.join(hashes.hint("merge"), ["doc_id", "line_no"]), i, "w") for df, i in ((near_by, 1), (can, 2)))
+    one, two = (ends_of(df.join(hashes.hint("merge"), ["doc_id", "line_no"]), i, "line_no", "w") for df, i in ((near_by, 1), (can, 2)))
     both = F.size(F.array_intersect("w1", "w2"))
-    again = two.join(one, meet & (100 * both >= percent * (F.size("w1") + F.size("w2") - both)), "left_semi")
+    again = two.join(one, meet(percent) & (100 * both >= percent * (F.size("w1") + F.size("w2") - both)), "left_semi")
     again = written(again.select(F.col("doc_id2").alias("doc_id"), F.col("line_no2").alias("line_no")).distinct(), "again")
     for t in (keys, beside, can, can_keys, near_by, words, hashes):
         drop_written(t)
