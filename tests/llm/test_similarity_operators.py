@@ -400,6 +400,15 @@ def test_sets_of_a_group_are_not_gathered_around_each_set(spark, monkeypatch, be
     assert plans and not any("collect_list" in line for line in windows) and bool(windows) == (before == 4)
 
 
+def test_the_first_of_equal_lines_stays_and_sets_are_counted_unsorted(spark, monkeypatch):
+    plans, plain = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, label, **o: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if label == "repeated" else None, plain(df, label, **o))[1])
+    rows = [(5, "b c a\nx y z\na b c"), (2, "q\nz y x\na c b\nz x y"), (9, "c b a"), (-3, "other words here\nb a c"), (2, "q\nx z y")]
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-3, "other words here\nb a c", 0), (2, "q\nx z y", 0), (2, "q\nz y x", 2), (5, "", 3), (9, "", 1)]
+    assert plans and not any("SortAggregate" in p for p in plans)
+
+
 @pytest.mark.parametrize("few", [None, 64])
 def test_wide_clusters_are_compared_in_bounded_memory(monkeypatch, few):
     """All pairs of two blocks lie near the threshold: no list of them is held, and links are those of all pairs."""

@@ -260,12 +260,15 @@ def line_words(ends: DataFrame, docs: DataFrame) -> DataFrame:
 def repeats(hashed: DataFrame) -> DataFrame:
     """(doc_id, line_no, h1, h2) of every line whose set an earlier line has as well."""
     own = hashed.select("doc_id", "line_no", "h1", "h2")
-    first = F.min(F.struct("doc_id", "line_no")).alias("f")
-    sets = own.groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    sets = written(sets.select("h1", "h2", F.col("f.doc_id").alias("fd"), F.col("f.line_no").alias("fl")), "repeated")
-    out = own.join(small_side(sets, 56), ["h1", "h2"]).where("doc_id <> fd or line_no <> fl")
+    # the first document, then its first such line: plain numbers are kept in a hash table, a struct of both would be sorted
+    counted = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("fd"), F.count(F.lit(1)).alias("copies"))
+    sets = written(counted.where("copies > 1").select("h1", "h2", "fd"), "repeated")
+    several = written(own.join(small_side(sets, 48), ["h1", "h2"]), "several")
+    first = written(several.where("doc_id = fd").groupBy("h1", "h2").agg(F.min("line_no").alias("fl")), "first")
+    out = several.join(small_side(first, 48), ["h1", "h2"]).where("doc_id <> fd or line_no <> fl")
     out = written(out.select("doc_id", "line_no", "h1", "h2"), "repeats")
-    drop_written(sets)
+    for t in (sets, several, first):
+        drop_written(t)
     return out
 
 
